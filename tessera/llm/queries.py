@@ -6,10 +6,11 @@ from .langid import op10_language_id
 from .matroska import op4_matroska
 from .merkle import op5_merkle
 from .mixing import op3_fair_queue_mix
+from .ngram_join import op6_ngram_join
 from .packing import op1_best_fit_packing
 from .quality import op9_quality
 from .toxicity import op7_toxicity
 from .warc import op2_warc_salvage
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_warc_salvage, op3_fair_queue_mix, op4_matroska, op5_merkle, op7_toxicity, op9_quality, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_warc_salvage, op3_fair_queue_mix, op4_matroska, op5_merkle, op6_ngram_join, op7_toxicity, op9_quality, op10_language_id)}
 ORACLE_SQL: dict[str, str] = {}

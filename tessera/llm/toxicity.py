@@ -25,7 +25,7 @@ from .labelled import TRAINING_ROWS, fit_logistic, logistic, training_rows
 from .shared import read, remainder
 
 LEXICON_TERMS = 20_000
-LEAST_WEIGHT = 1.0
+LEAST_WEIGHT = 2.0
 BEGINNINGS = range(4, 9)
 
 # Characters that look like Latin letters, and signs and digits that stand for them.
