@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .context_mixing import op8_context_mixing
 from .langid import op10_language_id
 from .matroska import op4_matroska
 from .merkle import op5_merkle
@@ -12,5 +13,5 @@ from .quality import op9_quality
 from .toxicity import op7_toxicity
 from .warc import op2_warc_salvage
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_warc_salvage, op3_fair_queue_mix, op4_matroska, op5_merkle, op6_ngram_join, op7_toxicity, op9_quality, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_warc_salvage, op3_fair_queue_mix, op4_matroska, op5_merkle, op6_ngram_join, op7_toxicity, op8_context_mixing, op9_quality, op10_language_id)}
 ORACLE_SQL: dict[str, str] = {}
