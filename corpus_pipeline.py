@@ -1,7 +1,79 @@
-"""The corpus pipeline (being built)."""
-STAGES = []
+"""The corpus pipeline: language ID, toxicity, near duplicates, mixing and packing of ``documents``.
+
+Each stage takes (spark, docs, sf_dir) and works on all that the stage before kept.  All but the last return the columns
+of documents.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera.llm import langid, mixing, ngram_join, packing, toxicity
+from tessera.llm.shared import read, written
+
+TOXIC_FROM = 0.3
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that language ID rejects: without a letter, or unlike every language learned from ``lang``."""
+    found = docs.withColumn("_language", langid.predict(spark, langid.train(docs), F.col("text")))
+    return found.where(~F.col("_language.rejected")).select(docs.columns)
+
+
+def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that score as toxic, by a lexicon learned from the labels of the documents that are left."""
+    lexicon = toxicity.learn(docs, read(spark, sf_dir, "labels"), F.lit(True))
+    scored = docs.withColumn("_score", toxicity.score(spark, lexicon, F.col("text")))
+    return scored.where(F.col("_score") < TOXIC_FROM).select(docs.columns)
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each group of near duplicates, the one with the smallest doc_id; repeated rows are one.
+
+    Rows with a null doc_id can't be told apart by it and stay.
+    """
+    found = ngram_join.near_duplicates(docs)
+    gone = found.where("doc_id != component_id").select("doc_id").distinct()
+    left = docs.join(gone, "doc_id", "left_anti")
+    named = left.where("doc_id is not null").dropDuplicates(["doc_id"])
+    return named.unionByName(docs.where("doc_id is null")).select(docs.columns)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the mix takes, as many times as it takes them; one taken in part is whole."""
+    taken = mixing.mix(docs).where("taken > 0").groupBy("doc_id", "turn", "source")
+    taken = taken.agg(F.ceil(F.sum("taken") / F.sum("size")).cast("int").alias("_times"))
+    turned = docs.withColumn("_turn", mixing.turn_of(F.col("doc_id"), F.col("text"))).alias("d")
+    t = taken.alias("t")
+    same = F.col("d.doc_id").eqNullSafe(F.col("t.doc_id")) & (F.col("d._turn") == F.col("t.turn")) & F.col("d.source").eqNullSafe(F.col("t.source"))
+    found = turned.join(t, same).select("d.*", F.col("t._times").alias("_times"))
+    return found.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(docs.columns)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every piece of every document left, with its sequence and place."""
+    return packing.pack(docs)
+
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+STAGES: list[tuple[str, Stage]] = [
+    ("language_id", language_id),
+    ("toxicity", without_toxic),
+    ("near_duplicates", one_of_each),
+    ("mixing", mixed),
+    ("packing", packed),
+]
+
+#: SQL can't express the models; the stages are tested against brute force instead.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; each but the last is written and read again."""
+    docs = read(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
