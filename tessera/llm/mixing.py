@@ -11,7 +11,7 @@ ranges grow with the rows.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -51,13 +51,18 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
     )
 
 
-def word_sizes(docs: DataFrame, seed: int = 7) -> DataFrame:
+def turn_of(doc_id: Column, text: Column, seed: int = 7) -> Column:
+    """A document's place in the shuffle."""
+    return F.xxhash64(F.lit(seed), F.coalesce(doc_id.cast("long"), F.lit(-1)), text)
+
+
+def word_sizes(docs: DataFrame) -> DataFrame:
     """(doc_id, source, size, turn): words of the text (null: 0) and the shuffled place, a hash of the id."""
     return docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.col("source").cast("string").alias("source"),
         F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-        F.xxhash64(F.lit(seed), F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), F.col("text")).alias("turn"),
+        turn_of(F.col("doc_id"), F.col("text")).alias("turn"),
     )
 
 
