@@ -10,6 +10,7 @@ from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType, StructField, StructType
 
 from tessera.functions.vectors import dot, doubles, l2_normalise, stretched
 
@@ -21,7 +22,7 @@ def embed(cells: DataFrame, pixels: str, make_embedder: Callable[[], Embedder],
 
     ``make_embedder`` runs once a Python worker and task, so a model is loaded where it is used.
     """
-    schema = cells.schema.add("cls", "array<float>")
+    schema = StructType([*cells.schema.fields, StructField("cls", ArrayType(FloatType()))])
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = make_embedder()

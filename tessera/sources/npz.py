@@ -28,7 +28,7 @@ def read_tiles(spark: SparkSession, root: str, splits: tuple[str, ...] = ("train
         for b in batches:
             rows = []
             for path, content, split, name, site in zip(b["path"], b["content"], b["folder"], b["name"], b["site_id"], strict=True):
-                row = {"site_id": site, "tile": name.removesuffix(".npz"), "split": split, "path": path, "problem": None}
+                row = dict.fromkeys(fields) | {"site_id": site, "tile": name.removesuffix(".npz"), "split": split, "path": path}
                 try:
                     with np.load(io.BytesIO(content)) as z:
                         h, w = z["RED"].shape
@@ -53,8 +53,8 @@ def read_masks(spark: SparkSession, root: str) -> DataFrame:
             rows = []
             for path, content, folder, name, parts in zip(b["path"], b["content"], b["folder"], b["name"], b["parts"], strict=True):
                 version, resolution, site = [None, None, None, *parts[:-2]][-3:]
-                row = {"site": site, "resolution": resolution, "dataset_version": version, "split": folder.removesuffix("annot")}
-                row |= {"tile_id": name.removesuffix(".npz"), "mask_path": path, "classify": None, "problem": None}
+                row = dict.fromkeys(fields) | {"site": site, "resolution": resolution, "dataset_version": version, "split": folder.removesuffix("annot")}
+                row |= {"tile_id": name.removesuffix(".npz"), "mask_path": path}
                 try:
                     with np.load(io.BytesIO(content)) as z:
                         mask = z["CLASSIFY"]
