@@ -4,9 +4,10 @@
    to be very frequent come last, all others by hash.  Any order gives the right result.
 2. A second scan gives each document its set's identity and its prefix, the first n - ceil(t n) + 1 shingles in that
    order.  Two sets of similarity t or more share a shingle of both prefixes.  Documents with equal sets are one class.
-3. Classes that share a prefix shingle are a group; groups of the same members are kept once.
-4. Each class is checked against a pivot of its groups, so that most of a large group of near copies is linked by as many
-   pairs as it has members, not by their square.
+3. Classes that share a prefix shingle are a group; groups of the same members are kept once and groups with the same
+   anchor become one.
+4. Members of large groups are checked against their groups' pivots, so that most of a large group of near copies is
+   linked by about as many pairs as it has members, not by their square.
 5. Groups that still hold more than one component are searched by signature trees: leaves of classes of similar size, nodes
    with OR-combined (and AND-combined) bitmaps of their shingles and the range of sizes.  Two trees, or one with itself, are
    walked together and a pair of nodes is dropped when no member of one can overlap enough with any of the other, by sizes
@@ -14,7 +15,7 @@
    each pair of blocks is a task of its own.
 6. What is left is verified on the whole sets, and components follow from the links by minimum labels.
 
-Shuffled are prefixes, then rows of classes that share something; whole sets only for those.
+Shuffled are prefixes, then bitmaps of classes that share something; whole sets only for pairs that bitmaps let pass.
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .shared import read, written
@@ -35,6 +37,8 @@ SIMILARITY = 75  # per cent
 SKETCH_BITS = 20
 FILTER_BITS = 23
 BLOCK = 2048  # members of a group that one task walks at once
+PIVOT_FROM = 8  # members of a group from which on it gets pivots first
+PIVOTS = 6
 LEAF = 16
 FAN = 8
 
@@ -236,27 +240,28 @@ def _sides(g: np.ndarray, h: np.ndarray, side: np.ndarray) -> list[tuple[np.ndar
 
 
 def document_prefixes(docs: DataFrame, frequent: np.ndarray, percent: int = SIMILARITY) -> DataFrame:
-    """(doc_id, h, n, keys): the set's identity and size, and its prefix."""
+    """(doc_id, h, n, keys, bits): the set's identity and size, its prefix and its bitmap."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent)  # 4 MB
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, sizes, keys = [], [], []
+            ids, sizes, keys, bits = [], [], [], []
             for s in text_sets(b.column(1)):
                 ids.append(set_id(s))
+                bits.append(bitmap(s).tobytes() if len(s) else None)
                 sizes.append(len(s))
                 keys.append(prefix(s, shared.value, percent).view(np.int64))
             bounds = np.r_[0, np.cumsum([len(k) for k in keys])].astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(bounds, np.concatenate(keys) if keys else np.zeros(0, np.int64))],
-                ["doc_id", "h", "n", "keys"],
+                [b.column(0), pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(bounds, np.concatenate(keys) if keys else np.zeros(0, np.int64)), pa.array(bits, pa.binary())],
+                ["doc_id", "h", "n", "keys", "bits"],
             )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(rows, "doc_id long, h long, n long, keys array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(rows, "doc_id long, h long, n long, keys array<long>, bits binary")
 
 
 def whole_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(h, n, tokens, bits) of the sets whose identity is in ``wanted`` (h), and of a few more.
+    """(h, tokens) of the sets whose identity is in ``wanted`` (h), and of a few more.
 
     ``wanted`` becomes a filter of 2^FILTER_BITS bits, so that texts of no interest are dropped where they are read.
     """
@@ -278,12 +283,12 @@ def whole_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             for s in text_sets(b.column(0)):
                 h = set_id(s)
                 if len(s) and h not in done and flags[_slots(mix64(np.array([h], np.int64).view(np.uint64)), FILTER_BITS)[0]]:
-                    out.append((h, len(s), s.tobytes(), bitmap(s).tobytes()))
+                    out.append((h, s.tobytes()))
                     if len(done) < 1_000_000:
                         done.add(h)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*out, strict=True)) or [[]] * 4, (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["h", "n", "tokens", "bits"])
+            yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in out], pa.int64()), pa.array([t for _, t in out], pa.binary())], ["h", "tokens"])
 
-    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(rows, "h long, n long, tokens binary, bits binary").dropDuplicates(["h"])
+    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(rows, "h long, tokens binary").dropDuplicates(["h"])
 
 
 def _bit_rows(flags: np.ndarray) -> pa.RecordBatch:
@@ -324,6 +329,27 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int = SIMILARITY) -> Da
     return pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
 
 
+def plausible(pairs: DataFrame, bitmaps: DataFrame, percent: int = SIMILARITY) -> DataFrame:
+    """The (a, b) pairs whose sizes and bitmaps allow the similarity."""
+    one = bitmaps.select(F.col("h").alias("a"), F.col("n").alias("p"), F.col("bits").alias("x"))
+    two = bitmaps.select(F.col("h").alias("b"), F.col("n").alias("q"), F.col("bits").alias("y"))
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = np.zeros(b.num_rows, bool)
+            sizes = zip(b.column("p").to_pylist(), b.column("q").to_pylist(), strict=True)
+            for i, ((p, q), x, y) in enumerate(zip(sizes, b.column("x"), b.column("y"), strict=True)):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                size = min(len(x), len(y))
+                x, y = fold(x, size), fold(y, size)
+                overlap = min(p - int(_bits(x & ~y)), q - int(_bits(y & ~x)))
+                keep[i] = (100 + percent) * overlap >= percent * (p + q)
+            yield b.select(["a", "b"]).filter(pa.array(keep))
+
+    near = pairs.select("a", "b").join(one, "a").join(two, "b").where(100 * F.least("p", "q") >= percent * F.greatest("p", "q"))
+    return near.select("a", "b", "p", "q", "x", "y").mapInArrow(check, "a long, b long")
+
+
 def components(links: DataFrame) -> DataFrame:
     """(h, comp) of all ends of (a, b) links: minimum labels over links, with jumps to the label's own label."""
     edges = written(links.select("a", "b").union(links.select("b", "a")).distinct(), "edges")
@@ -338,7 +364,7 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def tree_candidates(members: DataFrame, sets: DataFrame, percent: int = SIMILARITY) -> DataFrame:
+def tree_candidates(members: DataFrame, bitmaps: DataFrame, percent: int = SIMILARITY) -> DataFrame:
     """Distinct (a, b) pairs of different components that may link, from (key, h, n, comp) rows of groups."""
     sizes = members.groupBy("key").agg(F.count("*").alias("size"))
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
@@ -346,7 +372,7 @@ def tree_candidates(members: DataFrame, sets: DataFrame, percent: int = SIMILARI
     # a pair of blocks (i, j), i <= j, is a task; a member of block k goes to all pairs with k
     turn = F.transform(F.sequence(F.lit(0), F.col("of") - 1), lambda o: F.struct(F.least(o, F.col("block")).alias("i"), F.greatest(o, F.col("block")).alias("j")))
     dealt = dealt.withColumn("at", F.explode(turn)).select("key", "at.i", "at.j", "h", "n", "comp", "block")
-    rows = dealt.join(sets.select("h", "bits"), "h")
+    rows = dealt.join(bitmaps.select("h", "bits"), "h")
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Rows come sorted by (key, i, j), so a group ends where the next begins."""
@@ -377,7 +403,7 @@ def tree_candidates(members: DataFrame, sets: DataFrame, percent: int = SIMILARI
     return tasks.select("key", "i", "j", "h", "n", "comp", "block", "bits").mapInPandas(search, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, percent: int = SIMILARITY, pivots: int = 2) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = SIMILARITY) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of ``docs``.
 
     Null and wordless texts have no shingles and link with nothing; rows with a null doc_id lead no component (one of only
@@ -389,28 +415,19 @@ def near_duplicates(docs: DataFrame, percent: int = SIMILARITY, pivots: int = 2)
     member = (F.xxhash64("h", F.lit(1)), F.xxhash64("h", F.lit(2)))
     groups = keyed.groupBy("key").agg(F.count("*").alias("size"), F.max("n").alias("top"), F.bit_xor(member[0]).alias("x"), F.sum(member[1] % (1 << 40)).alias("y")).where("size > 1")
     kept = groups.groupBy("size", "x", "y").agg(F.min("key").alias("key")).select("key")
-    members = written(keyed.join(kept, "key", "left_semi"), "members")
-    sets = written(whole_sets(docs, members), "sets")
-
-    links = None
-    labels = None
-    for turn in range(pivots):
-        now = members if labels is None else _labelled(members, labels)
-        order = F.xxhash64("h", F.lit(turn))
-        pivot = now.groupBy("key").agg(F.min_by(F.struct(F.col("h"), F.col("n")), order).alias("p"))
-        near = now.join(pivot, "key").where((100 * F.least("n", "p.n") >= percent * F.greatest("n", "p.n")) & (F.col("h") != F.col("p.h")))
-        if labels is not None:
-            heads = labels.select(F.col("h").alias("ph"), F.col("comp").alias("pcomp"))
-            near = near.withColumn("ph", F.col("p.h")).join(heads, "ph", "left").where(F.col("comp") != F.coalesce("pcomp", "ph"))
-        pairs = near.groupBy("h").agg(F.min_by("p.h", F.xxhash64("p.h", F.lit(turn))).alias("b")).select(F.col("h").alias("a"), "b")
-        new = written(verified(pairs, sets, percent), "links")
-        links = new if links is None else links.union(new)
-        labels = components(links)
-    now = _labelled(members, labels)
+    # A member stays if another one of its group is near enough in size.
+    by_size = W.partitionBy("key").orderBy("n", "h")
+    sized = keyed.join(kept, "key", "left_semi").select("*", F.lag("n").over(by_size).alias("less"), F.lead("n").over(by_size).alias("more"))
+    near = (100 * F.col("less") >= percent * F.col("n")) | (100 * F.col("n") >= percent * F.col("more"))
+    members = anchored(written(sized.where(F.coalesce(near, F.lit(False))).select("key", "h", "n"), "members"))
+    bitmaps = written(base.select("h", "n", "bits").join(members.select("h").distinct(), "h", "left_semi").dropDuplicates(["h"]), "bitmaps")
+
+    starred = pivot_pairs(members, percent)
+    links = _links(docs, plausible(starred, bitmaps, percent), percent)
+    now = members.join(components(links), "h", "left").withColumn("comp", F.coalesce("comp", "h"))
     mixed = now.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 != c1").select("key")
-    rest = now.join(mixed, "key", "left_semi")
-    last = written(verified(tree_candidates(rest, sets, percent), sets, percent), "links")
-    labels = components(links.union(last))
+    rest = written(now.join(mixed, "key", "left_semi").select("key", "h", "n", "comp"), "rest")
+    labels = components(links.union(_links(docs, tree_candidates(rest, bitmaps, percent), percent)))
 
     classes = base.groupBy("h", "n").agg(F.min("doc_id").alias("first"))
     heads = classes.join(labels, "h", "left").withColumn("comp", F.coalesce("comp", "h"))
@@ -422,8 +439,35 @@ def near_duplicates(docs: DataFrame, percent: int = SIMILARITY, pivots: int = 2)
     )
 
 
-def _labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
-    return members.join(labels, "h", "left").withColumn("comp", F.coalesce("comp", "h"))
+def anchored(members: DataFrame) -> DataFrame:
+    """Groups with the same anchor, their member with the least hash, as one group under the anchor's name; ``degree`` is in
+    how many groups a member was.
+
+    Near copies share many shingles, so they are in many groups of almost the same members; those mostly have one anchor.
+    Members that were in a group together still are.
+    """
+    anchors = members.groupBy("key").agg(F.min_by("h", F.xxhash64("h")).alias("anchor"))
+    named = members.join(anchors, "key").select(F.col("anchor").alias("key"), "h", "n").distinct()
+    degrees = members.groupBy("h").agg(F.count("*").alias("degree"))
+    return written(named.join(degrees, "h").select("key", "h", "n", "degree"), "groups")
+
+
+def pivot_pairs(members: DataFrame, percent: int = SIMILARITY, pivots: int = PIVOTS) -> DataFrame:
+    """(a, b) pairs of members of large groups with their groups' pivots: the members that are in most groups, as those of
+    near copies are that have the fewest edits."""
+    large = members.groupBy("key").agg(F.count("*").alias("size")).where(F.col("size") >= PIVOT_FROM).select("key")
+    rows = members.join(large, "key", "left_semi")
+    first = W.partitionBy("key").orderBy(F.desc("degree"), "h")
+    chosen = rows.withColumn("turn", F.row_number().over(first)).where(F.col("turn") <= pivots).select("key", F.col("h").alias("b"), F.col("n").alias("m"))
+    near = members.join(chosen, "key").where((F.col("h") != F.col("b")) & (100 * F.least("n", "m") >= percent * F.greatest("n", "m")))
+    return near.select(F.greatest("h", "b").alias("a"), F.least("h", "b").alias("b")).distinct()
+
+
+def _links(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """Verified links among candidate (a, b) pairs."""
+    pairs = written(pairs, "pairs")
+    ends = pairs.select(F.col("a").alias("h")).union(pairs.select(F.col("b").alias("h"))).distinct()
+    return written(verified(pairs, whole_sets(docs, ends), percent), "links")
 
 
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
