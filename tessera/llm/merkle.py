@@ -109,17 +109,15 @@ def with_next(docs: DataFrame, rows_a_range: int = 20_000) -> DataFrame:
     )  # one row a range, at most 65,536
     if not spans:
         return one.select("doc_id", "text", F.lit("").alias("fingerprint"), F.lit("").alias("next_text"), F.lit("").alias("next_fingerprint"))
-    before = {s["span"]: spans[i - 1]["span"] for i, s in enumerate(spans)}
-    to_before = F.create_map(*[F.lit(x) for kv in before.items() for x in kv])
-    firsts = F.create_map(*[x for s in spans for x in (F.lit(s["span"]), F.lit(s["first"]))])
-    span = range_bucket(key, bounds, "long")
-    printed = one.withColumn("fingerprint", fingerprint(F.col("text"))).withColumn("key", key).withColumn("span", span)
+    ends = [(s["span"], s["first"], spans[i - 1]["span"]) for i, s in enumerate(spans)]  # the last goes to the first's turn
+    ends = docs.sparkSession.createDataFrame(ends, "span int, first long, before int")
+    printed = one.withColumn("fingerprint", fingerprint(F.col("text"))).withColumn("key", key).withColumn("span", range_bucket(key, bounds, "long"))
     # a visitor: a row that stands behind the last of the range before
-    is_first = F.col("key") == F.element_at(firsts, F.col("span"))
-    visits = F.when(is_first, F.array(F.struct(F.col("span").alias("at"), F.lit(0).alias("visitor")), F.struct(F.element_at(to_before, F.col("span")).alias("at"), F.lit(1).alias("visitor")))).otherwise(
-        F.array(F.struct(F.col("span").alias("at"), F.lit(0).alias("visitor")))
-    )
-    dealt = printed.withColumn("v", F.explode(visits)).select("doc_id", "text", "fingerprint", "key", "v.at", "v.visitor")
+    home = F.struct(F.col("span").alias("at"), F.lit(0).alias("visitor"))
+    away = F.struct(F.col("before").alias("at"), F.lit(1).alias("visitor"))
+    turns = F.when(F.col("key") == F.col("first"), F.array(home, away)).otherwise(F.array(home))
+    placed = printed.join(F.broadcast(ends), "span").withColumn("v", F.explode(turns))  # at most 65,536 ranges
+    dealt = placed.select("doc_id", "text", "fingerprint", "key", "v.at", "v.visitor")
     order = W.partitionBy("at").orderBy("visitor", "key", "text")
     return (
         dealt.withColumn("next_text", F.lead("text").over(order))
