@@ -35,13 +35,15 @@ def test_language_keeps_documents_that_have_one(stages):
     assert kept == set(ids(docs)) - rejected and len(rejected) < 0.02 * docs.count()
 
 
-def test_toxic_documents_go_and_others_stay(spark, data, stages):
-    docs, got = stages[1]
-    labels = {r["doc_id"]: r["toxic"] for r in read(spark, data, "labels").collect()}
-    kept = set(ids(got))
+def test_toxic_documents_go_and_others_stay(spark, data):
+    larger = data.replace("sf0.001", "sf0.01")  # the smallest tables have too few toxic labels to learn from
+    docs = read(spark, larger, "documents")
+    kept = set(ids(pipeline.without_toxic(spark, docs, larger)))
+    labels = {r["doc_id"]: r["toxic"] for r in read(spark, larger, "labels").collect()}
     clean = [i for i in ids(docs) if labels.get(i) == 0]
     toxic = [i for i in ids(docs) if labels.get(i) == 1]
-    assert sum(i in kept for i in clean) >= 0.97 * len(clean) and sum(i in kept for i in toxic) <= 0.5 * len(toxic)
+    assert sum(i in kept for i in clean) >= 0.97 * len(clean)
+    assert sum(i in kept for i in toxic) <= 0.5 * len(toxic)
 
 
 def test_one_of_each_group_stays(stages):
