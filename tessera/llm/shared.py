@@ -72,3 +72,15 @@ def range_bucket(key: Column, bounds: tuple[list, list[list]], kind: str) -> Col
     outer = F.size(F.filter(top, lambda b: b < key))
     inner = F.size(F.filter(F.element_at(low, outer + 1), lambda b: b < key))
     return F.when(key.isNull(), F.lit(-1)).otherwise(outer * (fan + 1) + inner).cast("int")
+
+
+_HELD: dict[str, object] = {}
+
+
+def held(name: str, make):
+    """What a Python worker keeps from task to task under ``name``: one thing at a time, so that workers which go from one
+    operator to the next don't add up what each of them remembers."""
+    if name not in _HELD:
+        _HELD.clear()
+        _HELD[name] = make()
+    return _HELD[name]

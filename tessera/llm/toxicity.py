@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .labelled import TRAINING_ROWS, fit_logistic, logistic, training_rows
-from .shared import read, remainder
+from .shared import held, read, remainder
 
 LEXICON_TERMS = 20_000
 LEAST_WEIGHT = 2.0
@@ -107,7 +107,7 @@ def _counted(rows: DataFrame, of: Callable[[str], set[str]]) -> DataFrame:
         for b in batches:
             for text in b["text"].to_pylist():
                 found.update(of(text))
-                if len(found) > 500_000:
+                if len(found) > 250_000:
                     yield out()
                     found.clear()
         if found:
@@ -167,14 +167,8 @@ def train(rows: DataFrame, least_documents: int = 3, max_terms: int = LEXICON_TE
     return lexicon
 
 
-_AUTOMATA: dict[str, object] = {}
-
-
 def _automaton(lexicon: Lexicon):
-    if lexicon.name not in _AUTOMATA:
-        _AUTOMATA.clear()
-        _AUTOMATA[lexicon.name] = lexicon.automaton()
-    return _AUTOMATA[lexicon.name]
+    return held(lexicon.name, lexicon.automaton)
 
 
 def score(spark: SparkSession, lexicon: Lexicon, text: Column) -> Column:
