@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .shared import read, written
+from .shared import held, read, written
 
 CAPACITY = 2048
 VOCABULARY = "byte_bpe_50k.json"
@@ -36,9 +36,20 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 # Unicode White_Space, as the tokenizer's own pattern means it.
 _SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-#: The tokenizer never merges across the start of a chunk found by this pattern, so chunks can be encoded apart.
-_CHUNK = re.compile(f"[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]?[^{_SPACE}]+|[{_SPACE}]+")
-_CACHE_LIMIT = 400_000
+#: Chunks that can be encoded apart, as the tokenizer's pattern always has a border where they begin: spaces but the last
+#: one before a word; a word before a space or common sign; signs before a space; else all up to the next space.
+_CHUNK = re.compile(
+    f"[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]?[^\\W_]+(?=[.,;:!?|#$%&*{_SPACE}]|$)|[.,;:!?|#$%&*]+(?=[{_SPACE}]|$)"
+    f"|[{_SPACE}]?[^{_SPACE}]+|[{_SPACE}]+"
+)
+_CACHE_LIMIT = 500_000
+
+
+def byte_letters() -> dict[int, str]:
+    """The byte-level alphabet: printable bytes stand for themselves, the others take letters from 256 on."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = (b for b in range(256) if b not in plain)
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
 class Encoder:
@@ -49,23 +60,27 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.model, self.letters = self.tokenizer.model, byte_letters()
         self.known: dict[str, bytes] = {}
 
+    def ids(self, chunk: str) -> list[int]:
+        """A chunk of letters alone is one piece for the model; others go through the whole tokenizer."""
+        if (chunk[1:] if chunk[0] == " " else chunk).isalpha():
+            return [t.id for t in self.model.tokenize(chunk.encode().decode("latin-1").translate(self.letters))]
+        return self.tokenizer.encode(chunk, add_special_tokens=False).ids
+
     def encode(self, text: str) -> bytes:
         chunks = _CHUNK.findall(text)
         known = self.known
-        if missing := [c for c in dict.fromkeys(chunks) if c not in known]:
-            if len(known) > _CACHE_LIMIT:
-                known.clear()
-                missing = list(dict.fromkeys(chunks))
-            for c, e in zip(missing, self.tokenizer.encode_batch(missing, add_special_tokens=False), strict=True):
-                known[c] = struct.pack(f"<{len(e.ids)}I", *e.ids)
+        if len(known) > _CACHE_LIMIT:
+            known.clear()
+        for c in chunks:
+            if c not in known:
+                ids = self.ids(c)
+                known[c] = struct.pack(f"<{len(ids)}I", *ids)
         return b"".join(map(known.__getitem__, chunks))
 
 
-_ENCODERS: dict[str, Encoder] = {}
-
-
 def cut(ids: bytes, capacity: int) -> Iterator[tuple[int, int, int, int]]:
     """(piece, start, length, crc32): pieces of ``capacity`` tokens, the first takes the remainder."""
     n = len(ids) // 4
@@ -89,7 +104,7 @@ def token_pieces(docs: DataFrame, vocabulary: str | None = None, capacity: int =
     end = struct.pack("<I", end_id)
 
     def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = _ENCODERS.get(vocabulary) or _ENCODERS.setdefault(vocabulary, Encoder(vocabulary))
+        encoder = held(vocabulary, lambda: Encoder(vocabulary))
         for b in batches:
             rows = [
                 (i, *p)
@@ -273,7 +288,7 @@ def pack(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACIT
     slots = places.groupBy("length").agg(F.sort_array(F.collect_list(F.struct("first", "count", "times", "bin", "offset"))).alias("slots"))
     n = numbered(pieces, sum(counts.values()))
     placed = n.join(F.broadcast(slots), "length").withColumn(
-        "slot", F.element_at(F.filter("slots", lambda s: (s["first"] <= F.col("number")) & (F.col("number") < s["first"] + s["count"])), 1)
+        "slot", F.get(F.filter("slots", lambda s: (s["first"] <= F.col("number")) & (F.col("number") < s["first"] + s["count"])), F.lit(0))
     )
     turn = F.col("number") - F.col("slot.first")
     return placed.select(
