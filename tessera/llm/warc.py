@@ -1,8 +1,8 @@
 """Operator 2: WARC archives, written as Spark text and read back by a salvage reader.
 
-Writing: each record is a string value and Spark's text writer puts it in a file, the last byte of the record being the
-writer's line end.  So archives land wherever Spark can write, through its committer, and a lost executor leaves no
-half-written archive.  Archives are kept to about ``archive_bytes`` each, since a reader task holds one archive.
+Writing: each record is a gzip member and Spark's text writer puts it in a file, the last byte of the member (always 0)
+being the writer's line end.  So archives land wherever Spark can write, through its committer, and a lost executor leaves
+no half-written archive.  Archives are kept to about ``archive_bytes`` of payload each, since a reader task holds one.
 
 Reading: ``binaryFile`` rows, each parsed by :func:`salvage`.  A record whose checks fail (version line, length, record
 end, digests) doesn't end the archive: the reader searches for the next version line or gzip member that holds a valid
@@ -12,6 +12,7 @@ record, goes on from there and reports the bytes between as a quarantined gap.
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import re
 import zlib
@@ -23,8 +24,8 @@ from pyspark.sql import functions as F
 
 from .shared import read, scratch_path, written
 
-VERSION = b"WARC/1.1\r\n"
 ARCHIVE_BYTES = 16 << 20
+MEMBER_BYTES = (16 << 20) - 1
 RECORDS = (
     "archive string, at long, length long, record_type string, record_id string, refers_to string, target_uri string, "
     "payload_bytes long, payload_digest string, payload binary, problem string"
@@ -43,30 +44,22 @@ def base32_sha1(payload: Column) -> Column:
     return F.translate(F.concat(*parts), "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
 
 
-def with_revisits(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
-    """page_id, url, payload, payload_bytes, payload_digest, refers_to (null: a response of its own).
+def revisits(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
+    """(page_id, others): for pages whose payload others share, (digest, response) of their payloads.
 
-    Of equal payloads of at least ``least_bytes`` bytes the largest page_id is the response.  Only digests and ids
-    meet in the aggregate; in the join back a digest with very many pages is one that Spark splits, as each digest has
-    one row on the other side.
+    Of equal payloads of at least ``least_bytes`` bytes the largest page_id is the response.  Only ids and digests are
+    shuffled; a digest's pages are summed up where they are read, and the join back has one row a digest on one side, so
+    Spark can split a digest with very many pages.
     """
     payload = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload")).select(
-        "*", F.octet_length("payload").cast("long").alias("payload_bytes"), base32_sha1(F.col("payload")).alias("payload_digest")
-    )
-    # The key in the ids' join is the page, not the digest: pages that are alone need no partner.
-    narrow = written(rows.select("page_id", "payload_bytes", "payload_digest"), "digests")
-    first = narrow.groupBy("payload_digest", "payload_bytes").agg(F.max("page_id").alias("response"), F.count("*").alias("n"))
-    shared = first.where((F.col("n") > 1) & (F.col("payload_bytes") >= least_bytes)).select("payload_digest", "response")
-    return (
-        rows.join(shared, "payload_digest", "left")
-        .withColumn("refers_to", F.when(F.col("page_id") != F.col("response"), F.col("response")))
-        .drop("response")
-    )
+    narrow = written(pages.select(F.col("page_id").cast("long").alias("page_id"), base32_sha1(payload).alias("digest"), F.octet_length(payload).alias("bytes")), "digests")
+    first = narrow.where(F.col("bytes") >= least_bytes).groupBy("digest").agg(F.max("page_id").alias("response"), F.count("*").alias("n"))
+    shared = narrow.join(first.where("n > 1").select("digest", "response"), "digest")
+    return shared.groupBy("page_id").agg(F.collect_set(F.struct("digest", "response")).alias("others"))
 
 
 def record(date: str) -> Column:
-    """The whole WARC record of a row of :func:`with_revisits`, without its last byte."""
+    """The whole WARC record of a (page_id, url, payload, payload_bytes, payload_digest, refers_to) row."""
     revisit = F.col("refers_to").isNotNull()
     block = F.when(revisit, F.lit(_HTTP.encode())).otherwise(F.concat(F.lit(_HTTP.encode()), F.col("payload")))
     uri = F.regexp_replace(F.coalesce("url", F.lit("")), r"[\x00-\x20\x7F]+", "")
@@ -88,7 +81,14 @@ def record(date: str) -> Column:
         F.octet_length(block).cast("string"),
         F.lit("\r\n\r\n"),
     )
-    return F.concat(head.cast("binary"), block, F.lit(b"\r\n\r")).cast("string")
+    return F.concat(head.cast("binary"), block, F.lit(b"\r\n\r\n"))
+
+
+def members(data: bytes) -> bytes:
+    """The record as a gzip member without its last byte, which is always 0: it is the highest of the length's four, and
+    records of 16 MiB or more become several members."""
+    parts = [gzip.compress(data[i : i + MEMBER_BYTES], 6, mtime=0) for i in range(0, max(1, len(data)), MEMBER_BYTES)]
+    return b"".join(parts)[:-1]
 
 
 def write_archives(pages: DataFrame, path: str, least_bytes: int = 0, archive_bytes: int = ARCHIVE_BYTES, date: str = "2020-01-01T00:00:00Z") -> None:
@@ -98,9 +98,22 @@ def write_archives(pages: DataFrame, path: str, least_bytes: int = 0, archive_by
     gives no records.
     """
     total = pages.agg(F.coalesce(F.sum(F.octet_length(F.col("html").cast("string")) + 600), F.lit(0))).first()[0]
-    archives = max(1, -(-total // archive_bytes))
-    rows = with_revisits(pages, least_bytes).select(record(date).alias("value"), F.xxhash64("page_id", "payload_digest").alias("place"))
-    rows.repartition(archives, "place").select("value").write.option("lineSep", "\n").text(path)
+    archives = int(max(1, -(-total // archive_bytes)))
+    payload = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"))
+    # Pages are dealt out to archives by id, once; the ids of their revisits come to them there.
+    mine = revisits(pages, least_bytes).repartition(archives, "page_id")
+    found = rows.repartition(archives, "page_id").join(mine, "page_id", "left")
+    known = found.withColumn("payload_bytes", F.octet_length("payload").cast("long")).withColumn("payload_digest", base32_sha1(F.col("payload")))
+    response = F.get(F.filter("others", lambda o: o["digest"] == F.col("payload_digest")), F.lit(0))["response"]
+    told = known.withColumn("refers_to", F.when(F.col("page_id") != response, response))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"value": pa.array([members(x.as_py()) for x in b.column(0)], pa.binary())})
+
+    packed = told.select(record(date).alias("record")).mapInArrow(pack, "value binary")
+    packed.select(F.col("value").cast("string")).write.option("lineSep", "\0").text(path)
 
 
 # --- reading -------------------------------------------------------------------------------------
@@ -122,7 +135,10 @@ def parse_record(data: bytes, at: int) -> tuple[dict, int]:
         name, colon, value = line.partition(b":")
         if not colon:
             raise ValueError("header line without a colon")
-        fields[name.strip().lower().decode("latin-1")] = value.strip().decode("utf-8", "replace")
+        key = name.strip().lower().decode("latin-1")
+        if key in fields and key in ("warc-type", "warc-record-id", "content-length"):
+            raise ValueError(f"{key} is repeated: the header runs into another")
+        fields[key] = value.strip().decode("utf-8", "replace")
     size = fields.get("content-length", "")
     if not size.isdigit():
         raise ValueError("no content length")
@@ -156,14 +172,32 @@ def parse_record(data: bytes, at: int) -> tuple[dict, int]:
 
 def member(data: bytes, at: int) -> tuple[bytes, int]:
     """The gzip member at ``at``, inflated, and where it ends."""
-    inflate = zlib.decompressobj(31)
+    inflate, parts, view = zlib.decompressobj(31), [], memoryview(data)
+    end = at
     try:
-        out = inflate.decompress(data[at:])
+        while not inflate.eof and end < len(data):
+            parts.append(inflate.decompress(view[end : end + 65_536]))
+            end = min(len(data), end + 65_536)
     except zlib.error as e:
         raise ValueError(f"gzip: {e}") from None
     if not inflate.eof:
         raise ValueError("gzip member is cut short")
-    return out, len(data) - len(inflate.unused_data)
+    return b"".join(parts), end - len(inflate.unused_data)
+
+
+def zipped_record(data: bytes, at: int) -> tuple[dict, int]:
+    """The record in the gzip member at ``at``; a record larger than a member goes on in the next ones."""
+    inner, end = member(data, at)
+    told = re.match(rb"WARC/.*?\r\nContent-Length: *(\d+)\r\n(?:[^\r\n]+\r\n)*\r\n", inner[:65_536], re.S | re.I)
+    while told and len(inner) < told.end() + int(told[1]) + 4 and data[end : end + 3] == b"\x1f\x8b\x08":
+        more, end = member(data, end)
+        if more.startswith(b"WARC/"):
+            raise ValueError("record goes on but the next member begins another")
+        inner += more
+    found, inner_end = parse_record(inner, 0)
+    if inner_end != len(inner):
+        raise ValueError("gzip member holds more than a record")
+    return found, end
 
 
 def salvage(data: bytes) -> Iterator[tuple[int, int, dict | str]]:
@@ -175,10 +209,7 @@ def salvage(data: bytes) -> Iterator[tuple[int, int, dict | str]]:
     while at < len(data):
         try:
             if data[at : at + 3] == b"\x1f\x8b\x08":
-                inner, end = member(data, at)
-                found, inner_end = parse_record(inner, 0)
-                if inner_end != len(inner):
-                    raise ValueError("gzip member holds more than a record")
+                found, end = zipped_record(data, at)
             else:
                 found, end = parse_record(data, at)
         except ValueError as e:
@@ -220,7 +251,7 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> Data
 def op2_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "warc")
     write_archives(read(spark, sf_dir, "pages"), path)
-    page = (lambda c: F.substring_index(c, ":", -1).cast("long"))
+    page = (lambda c: F.substring_index(c, ":", -1).try_cast("long"))
     return (
         read_archives(spark, path, payloads=False)
         .where("problem is null")
