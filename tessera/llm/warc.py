@@ -127,9 +127,11 @@ def parse_record(data: bytes, at: int) -> tuple[dict, int]:
     """The record whose version line is at ``at`` and where it ends; ValueError says which check failed."""
     if data[at : at + 5] != b"WARC/":
         raise ValueError("no version line")
-    head_end = data.find(b"\r\n\r\n", at, at + 65_536)
+    head_end = data.find(b"\r\n\r\n", at)  # urls make headers of any length
     if head_end < 0:
         raise ValueError("header has no end")
+    if data.find(b"\r\nWARC/", at, head_end) >= 0:
+        raise ValueError("header runs into another")
     fields = {}
     for line in data[at:head_end].split(b"\r\n")[1:]:
         name, colon, value = line.partition(b":")
@@ -185,11 +187,19 @@ def member(data: bytes, at: int) -> tuple[bytes, int]:
     return b"".join(parts), end - len(inflate.unused_data)
 
 
+def goes_on(inner: bytes) -> bool:
+    """Whether the record that ``inner`` begins with needs more bytes, for its header or for the length told there."""
+    head_end = inner.find(b"\r\n\r\n")
+    if head_end < 0:
+        return inner.startswith(b"WARC/")
+    told = re.match(rb"WARC/.*?\r\nContent-Length: *(\d+)\r\n", inner[: head_end + 2], re.S | re.I)
+    return told is not None and len(inner) < head_end + 4 + int(told[1]) + 4
+
+
 def zipped_record(data: bytes, at: int) -> tuple[dict, int]:
     """The record in the gzip member at ``at``; a record larger than a member goes on in the next ones."""
     inner, end = member(data, at)
-    told = re.match(rb"WARC/.*?\r\nContent-Length: *(\d+)\r\n(?:[^\r\n]+\r\n)*\r\n", inner[:65_536], re.S | re.I)
-    while told and len(inner) < told.end() + int(told[1]) + 4 and data[end : end + 3] == b"\x1f\x8b\x08":
+    while data[end : end + 3] == b"\x1f\x8b\x08" and goes_on(inner):
         more, end = member(data, end)
         if more.startswith(b"WARC/"):
             raise ValueError("record goes on but the next member begins another")

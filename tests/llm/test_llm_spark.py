@@ -116,6 +116,17 @@ def test_warc_of_odd_pages(spark, tmp_path):
     assert warc.read_archives(spark, none).count() == 0
 
 
+def test_warc_of_pages_with_long_urls(spark, tmp_path):
+    rows = [(1, "data:," + "x" * 100_000, "same"), (2, "data:," + "y" * 100_000, "same"), (3, "u", "other")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    path = f"file://{tmp_path}/w"
+    warc.write_archives(pages, path)
+    got = warc.read_archives(spark, path).toPandas()
+    assert got["problem"].isna().all() and sorted(got["target_uri"]) == sorted(r[1] for r in rows)
+    told = {r.record_id: (r.record_type, r.refers_to) for r in got.itertuples()}
+    assert told["urn:page:1"] == ("revisit", "urn:page:2") and told["urn:page:2"] == told["urn:page:3"] == ("response", None)
+
+
 # --- 3 mixing
 
 

@@ -109,6 +109,14 @@ def test_salvage_recovers_what_follows_a_fault(pack):
     assert sum(x[1] for x in found) == len(a) + len(broken) + len(c) * 2 + 24
 
 
+def test_a_header_may_be_longer_than_a_member(monkeypatch):
+    plain = record(b"a").replace(b"\r\nContent-Length", b"\r\nWARC-Target-URI: data:," + b"x" * 100_000 + b"\r\nContent-Length", 1)
+    assert [x[2]["payload_bytes"] for x in warc.salvage(plain + plain)] == [1, 1]
+    monkeypatch.setattr(warc, "MEMBER_BYTES", 5000)
+    zipped = warc.members(plain) + b"\0"
+    assert [x[2]["payload_bytes"] for x in warc.salvage(zipped + zipped)] == [1, 1]
+
+
 def test_a_digest_that_differs_is_a_fault():
     bad = record(b"abc", extra=b"WARC-Block-Digest: sha1:AAAA\r\n")
     assert [x[2] for x in warc.salvage(bad)] == ["block digest differs"]
