@@ -1,9 +1,9 @@
 """Operator 10: language ID by interpolated Kneser-Ney character models in sorted hash arrays.
 
 Spark counts the character n-grams of each language over all training documents (executors count words first, so a
-word's letters are walked once a task).  The model that comes out is bounded: at most ``MAX_GRAMS`` n-grams, the most
-frequent.  For each language and order it holds sorted 64-bit hashes with log probabilities, and sorted hashes of
-contexts with back-off weights.  A word's cost under each language doesn't depend on its neighbours, so workers
+word's letters are walked once a task).  All of them are in the model, so it grows with the distinct n-grams of a
+language, which its letters bound, not with its rows: 24 bytes each come to the driver.  For each language and order the
+model holds sorted 64-bit hashes with log probabilities, and sorted hashes of contexts with back-off weights.  A word's cost under each language doesn't depend on its neighbours, so workers
 remember the costs of words they have seen; a document's cross-entropy is the sum of its words' costs by their length.
 """
 
@@ -25,7 +25,7 @@ from .shared import held, read, remainder
 
 ORDER = 4
 DISCOUNT = 0.75
-MAX_GRAMS = 1_000_000
+GRAMS_AT_ONCE = 50_000  # that come to the driver in one row
 CALIBRATION_ROWS = 4_000
 UNDETERMINED = "und"
 SCORE = "lang_pred string, score double, entropy double, rejected boolean"
@@ -45,8 +45,19 @@ def gram_hashes(codes: np.ndarray, order: int) -> np.ndarray:
     return out ^ out >> np.uint64(32)
 
 
-def _gram_hash(gram: str) -> int:
-    return int(gram_hashes(np.array([ord(c) for c in gram], np.uint64), len(gram))[-1])
+def row_hashes(codes: np.ndarray) -> np.ndarray:
+    """The hash of each row of codes, as :func:`gram_hashes` has it of the same codes in a text."""
+    n = codes.shape[1]
+    out = np.full(len(codes), np.uint64(n), np.uint64)
+    for back in range(n):
+        out += (codes[:, n - 1 - back].astype(np.uint64) + np.uint64(1)) * _MULTIPLIERS[back]
+        out ^= out >> np.uint64(29)
+        out *= _MULTIPLIERS[5]
+    return out ^ out >> np.uint64(32)
+
+
+def codes_of(grams: list[str], order: int = ORDER) -> np.ndarray:
+    return np.frombuffer("".join(grams).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(-1, order)
 
 
 def letters(word: str) -> str:
@@ -62,10 +73,9 @@ class Table:
     values: np.ndarray
 
     @classmethod
-    def of(cls, found: dict[int, float]) -> Table:
-        keys = np.fromiter(found.keys(), np.uint64, len(found))
+    def of(cls, keys: np.ndarray, values: np.ndarray) -> Table:
         order = np.argsort(keys)
-        return cls(keys[order], np.fromiter(found.values(), np.float64, len(found))[order])
+        return cls(keys[order], values[order])
 
     def get(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(values, found?)"""
@@ -76,36 +86,40 @@ class Table:
 
 
 def kneser_ney(grams: dict[str, int], order: int = ORDER, discount: float = DISCOUNT) -> tuple[list[Table], list[Table], float]:
-    """Log probabilities of n-grams and log back-off weights of contexts by order, and that of an unknown character.
+    """:func:`kneser_ney_of` n-grams and their counts."""
+    return kneser_ney_of(codes_of(list(grams), order), np.fromiter(grams.values(), np.float64, len(grams)), discount)
+
+
+def kneser_ney_of(codes: np.ndarray, n: np.ndarray, discount: float = DISCOUNT) -> tuple[list[Table], list[Table], float]:
+    """Log probabilities of n-grams and log back-off weights of contexts by order, and that of an unknown character, from
+    different n-grams, a row of codes each, and their counts.
 
     The highest order has counts, each lower one the number of different characters before (continuation counts).
     """
-    counts: list[dict[str, float]] = [{} for _ in range(order + 1)]
-    counts[order] = dict(grams)
-    for n in range(order - 1, 0, -1):
-        lower: dict[str, float] = defaultdict(int)
-        for g in counts[n + 1]:
-            lower[g[1:]] += 1
-        counts[n] = dict(lower)
-    alphabet = len(counts[1]) + 1
-    probability: dict[str, float] = {}
+    order = codes.shape[1]
+    levels = [(codes, n.astype(np.float64), np.zeros(0, np.int64))]  # n-grams, counts, which of the next level ends each
+    for _ in range(order - 1):
+        ends = levels[-1][0][:, 1:]
+        _, first, which, times = np.unique(row_hashes(ends), return_index=True, return_inverse=True, return_counts=True)
+        levels[-1] = (*levels[-1][:2], which)
+        levels.append((ends[first], times.astype(np.float64), np.zeros(0, np.int64)))
+    alphabet = len(levels[-1][0]) + 1
+    lower = np.full(len(levels[-1][0]), 1.0 / alphabet)
     logs, weights = [], []
     unknown = 1.0 / alphabet
-    for n in range(1, order + 1):
-        totals, types = defaultdict(float), Counter()
-        for g, c in counts[n].items():
-            totals[g[:-1]] += c
-            types[g[:-1]] += 1
-        weight = {h: discount * types[h] / totals[h] for h in totals}
-        now = {}
-        for g, c in counts[n].items():
-            lower = probability[g[1:]] if n > 1 else 1.0 / alphabet
-            now[g] = max(c - discount, 0) / totals[g[:-1]] + weight[g[:-1]] * lower
-        if n == 1:
-            unknown = weight.get("", 1.0) / alphabet
-        probability = now
-        logs.append(Table.of({_gram_hash(g): float(np.log(p)) for g, p in now.items()}))
-        weights.append(Table.of({_gram_hash(h): float(np.log(w)) for h, w in weight.items()} if n > 1 else {}))
+    for k in range(1, order + 1):
+        grams, c, _ = levels[order - k]
+        contexts, which, types = np.unique(row_hashes(grams[:, :-1]), return_inverse=True, return_counts=True)
+        totals = np.bincount(which, c, len(contexts))
+        weight = discount * types / totals
+        if k > 1:
+            lower = lower[levels[order - k][2]]
+        p = np.maximum(c - discount, 0) / totals[which] + weight[which] * lower
+        if k == 1 and len(weight):
+            unknown = weight[0] / alphabet
+        logs.append(Table.of(row_hashes(grams), np.log(p)))
+        weights.append(Table.of(contexts, np.log(weight)) if k > 1 else Table(np.zeros(0, np.uint64), np.zeros(0)))
+        lower = p
     return logs, weights, float(np.log(unknown))
 
 
@@ -230,17 +244,44 @@ def gram_counts(docs: DataFrame, order: int = ORDER) -> DataFrame:
     return counted.mapInArrow(count, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
-def train(docs: DataFrame, calibration_rows: int = CALIBRATION_ROWS, max_grams: int = MAX_GRAMS) -> Model:
-    """Models of all non-null langs of ``docs``; rows with null text or lang teach nothing.
+def gram_codes(counted: DataFrame, order: int = ORDER) -> DataFrame:
+    """(lang, codes, n): the (lang, gram, n) rows, up to ``GRAMS_AT_ONCE`` of a language in a row, as uint32 and float64."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[str, tuple[list[str], list[int]]] = defaultdict(lambda: ([], []))
+
+        def out(lang: str) -> pa.RecordBatch:
+            grams, n = found.pop(lang)
+            codes = codes_of(grams, order).tobytes()
+            return pa.RecordBatch.from_pydict({"lang": [lang], "codes": pa.array([codes], pa.binary()), "n": pa.array([np.array(n, np.float64).tobytes()], pa.binary())})
+
+        for b in batches:
+            for lang, gram, n in zip(*(b[x].to_pylist() for x in ("lang", "gram", "n")), strict=True):
+                grams, times = found[lang]
+                grams.append(gram)
+                times.append(n)
+                if len(grams) >= GRAMS_AT_ONCE:
+                    yield out(lang)
+        for lang in list(found):
+            yield out(lang)
+
+    return counted.mapInArrow(pack, "lang string, codes binary, n binary")
+
+
+def train(docs: DataFrame, calibration_rows: int = CALIBRATION_ROWS) -> Model:
+    """Models of all non-null langs of ``docs`` that have a letter; rows with null text or lang teach nothing.
 
     The temperature of the scores and each language's limit of entropy, over which a text is rejected, are set on at
     most ``calibration_rows`` of the rows, the first by hash of the text.
     """
-    grams: dict[str, dict[str, int]] = defaultdict(dict)
-    for r in gram_counts(docs).orderBy(F.desc("n"), "lang", "gram").limit(max_grams).toLocalIterator():
-        grams[r["lang"]][r["gram"]] = r["n"]
-    languages = sorted(grams)
-    model = Model(languages, [kneser_ney(grams[x]) for x in languages])
+    parts: dict[str, list[tuple[bytes, bytes]]] = defaultdict(list)
+    for r in gram_codes(gram_counts(docs)).toLocalIterator(prefetchPartitions=True):
+        parts[r["lang"]].append((r["codes"], r["n"]))
+    languages, tables = sorted(parts), []
+    for x in languages:
+        codes, n = (b"".join(y) for y in zip(*parts.pop(x), strict=True))
+        tables.append(kneser_ney_of(np.frombuffer(codes, np.uint32).reshape(-1, ORDER), np.frombuffer(n, np.float64)))
+    model = Model(languages, tables)
     if not languages:
         return model
     sample = docs.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where(F.col("text").isNotNull() & F.col("lang").isin(languages))
@@ -281,7 +322,7 @@ def predict(spark: SparkSession, model: Model, text: Column) -> Column:
 
     Null texts and texts without a letter are ``und``, with score 0, and rejected; ties go to the first language.
     """
-    shared = spark.sparkContext.broadcast(model)  # bounded by MAX_GRAMS
+    shared = spark.sparkContext.broadcast(model)  # 16 bytes an n-gram and context
 
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:

@@ -350,3 +350,15 @@ def test_language_of_odd_rows(spark, odd, empty):
         assert (r.lang_pred == "und") == (not letters) and 0 <= r.score <= 1
     assert set(langid.identify(odd, empty).select("language.lang_pred").toPandas()["lang_pred"]) == {"und"}
     assert langid.identify(empty, odd).count() == 0
+
+
+def test_language_with_few_grams_beside_one_with_many(spark):
+    rng = np.random.default_rng(1)
+    words = ["".join(map(chr, w)) for w in rng.integers(0x4E00, 0x9E00, (350_000, 4))]  # over a million different grams
+    rows = [(" ".join(words[i : i + 1000]), "aa") for i in range(0, len(words), 1000)] + [("quick brown foxes jump", "zz")]
+    model = langid.train(spark.createDataFrame(rows, "text string, lang string"))
+    assert model.languages == ["aa", "zz"] and len(model.tables[0][0][3].keys) > 1_000_000
+    assert langid.classify(model, ["brown foxes"])["lang_pred"].tolist() == ["zz"]
+    grams = Counter(g for w in rows[-1][0].split() for g in (lambda x: [x[i : i + 4] for i in range(len(x) - 3)])(langid.START * 3 + w + langid.END))
+    for got, want in zip(model.tables[1][0], langid.kneser_ney(dict(grams))[0], strict=True):
+        assert (got.keys == want.keys).all() and got.values == pytest.approx(want.values)
