@@ -26,7 +26,8 @@ from .shared import held, read, remainder
 ORDER = 4
 DISCOUNT = 0.75
 GRAMS_AT_ONCE = 50_000  # that come to the driver in one row
-CALIBRATION_ROWS = 4_000
+TEMPERATURES = (0.25, 0.5, 1.0, 2.0, 4.0)
+TEXTS_AT_ONCE = 500
 UNDETERMINED = "und"
 SCORE = "lang_pred string, score double, entropy double, rejected boolean"
 
@@ -182,16 +183,23 @@ class Model:
 _KNOWN_LIMIT = 250_000
 
 
+def remembered(model: Model, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """:meth:`Model.entropies`, a few texts at a time, with what the worker remembers of words it has seen."""
+    out = [(np.zeros((0, len(model.languages))), np.zeros(0))]
+    for at in range(0, len(texts), TEXTS_AT_ONCE):
+        known, costs = held(model.name, lambda: ({}, []))
+        if len(known) > _KNOWN_LIMIT:
+            known.clear()
+            costs.clear()
+        out.append(model.entropies(texts[at : at + TEXTS_AT_ONCE], known, costs))
+    return np.concatenate([h for h, _ in out]), np.concatenate([sizes for _, sizes in out])
+
+
 def classify(model: Model, texts: list[str | None]) -> pd.DataFrame:
-    memory = held(model.name, lambda: ({}, []))
-    if len(memory[0]) > _KNOWN_LIMIT:
-        memory[0].clear()
-        memory[1].clear()
-    known, costs = memory
     n = len(texts)
     if not model.languages:
         return pd.DataFrame({"lang_pred": [UNDETERMINED] * n, "score": 0.0, "entropy": None, "rejected": True})
-    h, sizes = model.entropies(texts, known, costs)
+    h, sizes = remembered(model, texts)
     best = h.argmin(axis=1)
     least = h[np.arange(n), best]
     logits = -(h - least[:, None]) * np.sqrt(sizes)[:, None] * model.temperature
@@ -268,11 +276,43 @@ def gram_codes(counted: DataFrame, order: int = ORDER) -> DataFrame:
     return counted.mapInArrow(pack, "lang string, codes binary, n binary")
 
 
-def train(docs: DataFrame, calibration_rows: int = CALIBRATION_ROWS) -> Model:
+def own_entropies(rows: DataFrame, model: Model) -> DataFrame:
+    """(lang, n, total, square, top, loss0, ...) over all (text, lang) rows with a letter: their number, sum, sum of squares
+    and maximum of the entropy under their own language, and the sum of the loss at each of ``TEMPERATURES``."""
+    shared = rows.sparkSession.sparkContext.broadcast(model)
+    losses = [f"loss{i}" for i in range(len(TEMPERATURES))]
+
+    def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        numbers = {x: i for i, x in enumerate(shared.value.languages)}
+        sums = np.zeros((len(numbers), 3 + len(losses)))
+        top = np.full(len(numbers), -np.inf)
+        for b in batches:
+            h, sizes = remembered(shared.value, b["text"].tolist())
+            some = sizes > 0
+            h, root, truth = h[some], np.sqrt(sizes[some])[:, None], b["lang"][some].map(numbers).to_numpy(np.int64)
+            own = h[np.arange(len(h)), truth]
+            np.maximum.at(top, truth, own)
+            values = [np.ones(len(own)), own, own * own]
+            for t in TEMPERATURES:
+                z = -(h - h.min(axis=1, keepdims=True)) * root * t
+                values.append(np.log(np.exp(z).sum(axis=1)) - z[np.arange(len(h)), truth])
+            for i, v in enumerate(values):
+                sums[:, i] += np.bincount(truth, v, len(numbers))
+        out = pd.DataFrame(sums, columns=["n", "total", "square", *losses])
+        out.insert(0, "lang", shared.value.languages)
+        out.insert(4, "top", top)
+        yield out[out["n"] > 0]
+
+    kinds = "lang string, n double, total double, square double, top double, " + ", ".join(f"{x} double" for x in losses)
+    parts = rows.mapInPandas(measure, kinds).groupBy("lang")
+    return parts.agg(*[F.sum(x).alias(x) for x in ("n", "total", "square")], F.max("top").alias("top"), *[F.sum(x).alias(x) for x in losses])
+
+
+def train(docs: DataFrame) -> Model:
     """Models of all non-null langs of ``docs`` that have a letter; rows with null text or lang teach nothing.
 
-    The temperature of the scores and each language's limit of entropy, over which a text is rejected, are set on at
-    most ``calibration_rows`` of the rows, the first by hash of the text.
+    The temperature of the scores and each language's limit of entropy, over which a text is rejected, are set on all of
+    these rows; one row a language comes to the driver.
     """
     parts: dict[str, list[tuple[bytes, bytes]]] = defaultdict(list)
     for r in gram_codes(gram_counts(docs)).toLocalIterator(prefetchPartitions=True):
@@ -284,36 +324,13 @@ def train(docs: DataFrame, calibration_rows: int = CALIBRATION_ROWS) -> Model:
     model = Model(languages, tables)
     if not languages:
         return model
-    sample = docs.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where(F.col("text").isNotNull() & F.col("lang").isin(languages))
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            h, sizes = shared.value.entropies(b["text"].tolist(), {}, [])
-            yield pd.DataFrame({"lang": b["lang"], "h": list(h), "size": sizes})
-
-    # The cut is found on hashes alone, so that texts aren't sorted or brought together but for the few below it.
-    place = F.xxhash64("text")
-    cut = sample.select(place.alias("place")).orderBy("place").limit(calibration_rows).agg(F.max("place")).first()[0]
-    few = sample.where(place <= F.lit(cut)).limit(calibration_rows)
-    rows = few.mapInPandas(measure, "lang string, h array<double>, size double").toPandas()
-    h, sizes = np.array(rows["h"].tolist()).reshape(-1, len(languages)), rows["size"].to_numpy()
-    truth = np.array([languages.index(x) for x in rows["lang"]])
-    some = sizes > 0
-    if some.any():
-        h, sizes, truth = h[some], sizes[some], truth[some]
-        own = h[np.arange(len(h)), truth]
-
-        def loss(t: float) -> float:
-            z = -h * np.sqrt(sizes)[:, None] * t
-            z -= z.max(axis=1, keepdims=True)
-            return float((np.log(np.exp(z).sum(axis=1)) - z[np.arange(len(h)), truth]).mean())
-
-        model.temperature = min((0.25, 0.5, 1.0, 2.0, 4.0), key=loss)
-        for k in range(len(languages)):
-            e = own[truth == k]
-            # far above all that the language's own texts have, short and odd ones too
-            model.limits.append(float(e.max() + 2 * e.std() + 0.5) if len(e) else float("inf"))
+    rows = docs.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where("text is not null and lang is not null")
+    found = own_entropies(rows, model).toPandas().set_index("lang").loc[languages]
+    model.temperature = TEMPERATURES[int(found.filter(like="loss").sum().to_numpy().argmin())]
+    mean = found["total"] / found["n"]
+    std = np.sqrt(np.maximum(found["square"] / found["n"] - mean**2, 0))
+    # far above all that the language's own texts have, short and odd ones too
+    model.limits = (found["top"] + 2 * std + 0.5).tolist()
     return model
 
 
