@@ -18,13 +18,19 @@ TOXIC_FROM = 0.3
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that language ID rejects: without a letter, or unlike every language learned from ``lang``."""
+    """Drops documents that language ID rejects: without a letter, or unlike every language learned from ``lang``.
+
+    Where ``lang`` is null throughout no language is learned, and only documents without a letter go.
+    """
     found = docs.withColumn("_language", langid.predict(spark, langid.train(docs), F.col("text")))
     return found.where(~F.col("_language.rejected")).select(docs.columns)
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that score as toxic, by a lexicon learned from the labels of the documents that are left."""
+    """Drops documents that score as toxic, by a lexicon learned from the labels of the documents that are left.
+
+    Where nothing can be learned, as without labels of both kinds, no document goes.
+    """
     lexicon = toxicity.learn(docs, read(spark, sf_dir, "labels"), F.lit(True))
     scored = docs.withColumn("_score", toxicity.score(spark, lexicon, F.col("text")))
     return scored.where(F.col("_score") < TOXIC_FROM).select(docs.columns)

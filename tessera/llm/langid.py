@@ -198,7 +198,8 @@ def remembered(model: Model, texts: list[str | None]) -> tuple[np.ndarray, np.nd
 def classify(model: Model, texts: list[str | None]) -> pd.DataFrame:
     n = len(texts)
     if not model.languages:
-        return pd.DataFrame({"lang_pred": [UNDETERMINED] * n, "score": 0.0, "entropy": None, "rejected": True})
+        none = [not any(map(letters, _WORD.findall(t or ""))) for t in texts]
+        return pd.DataFrame({"lang_pred": [UNDETERMINED] * n, "score": 0.0, "entropy": None, "rejected": none})
     h, sizes = remembered(model, texts)
     best = h.argmin(axis=1)
     least = h[np.arange(n), best]
@@ -337,7 +338,8 @@ def train(docs: DataFrame) -> Model:
 def predict(spark: SparkSession, model: Model, text: Column) -> Column:
     """A struct of lang_pred, score, entropy and rejected for each text.
 
-    Null texts and texts without a letter are ``und``, with score 0, and rejected; ties go to the first language.
+    Null texts and texts without a letter are ``und``, with score 0, and rejected; ties go to the first language.  Where no
+    language was learned every text is ``und`` with score 0, and only those without a letter are rejected.
     """
     shared = spark.sparkContext.broadcast(model)  # 16 bytes an n-gram and context
 

@@ -27,6 +27,7 @@ from .shared import held, read, remainder
 LEXICON_TERMS = 20_000
 LEAST_WEIGHT = 2.0
 BEGINNINGS = range(4, 9)
+NOTHING_LEARNED = -2.0  # the logit of each text then: a score of 0.12
 
 # Characters that look like Latin letters, and signs and digits that stand for them.
 _CYRILLIC = dict(zip("авеіјкмнорстухѕԁԛԝһӏ", "abeijkmhopctyxsdqwhl", strict=True))
@@ -117,13 +118,16 @@ def _counted(rows: DataFrame, of: Callable[[str], set[str]]) -> DataFrame:
 
 
 def train(rows: DataFrame, least_documents: int = 3, max_terms: int = LEXICON_TERMS) -> Lexicon:
-    """A lexicon from the (text, label, fold) rows of folds 1 to 3 and its score's scale from those of fold 0."""
+    """A lexicon from the (text, label, fold) rows of folds 1 to 3 and its score's scale from those of fold 0.
+
+    Where no term is learned, as without rows of both labels, each text gets the same low score: nothing is toxic.
+    """
     spark = rows.sparkSession
     base = rows.where("fold > 0")
     sizes = {r["label"]: r["n"] for r in base.groupBy("label").agg(F.count("*").alias("n")).collect()}
     n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
     if not n1 or not n0:
-        return Lexicon({}, logit=[0.0, 0.0, 0.0, float(np.log((n1 + 0.5) / (n0 + 0.5)))])
+        return Lexicon({}, logit=[0.0, 0.0, 0.0, NOTHING_LEARNED])
     toxic = _counted(base.where("label = 1"), lambda t: terms(folded_words(t))).where(F.col("n") >= least_documents)
     candidates = {r["term"]: r["n"] for r in toxic.orderBy(F.desc("n"), "term").limit(10 * max_terms).collect()}
     held = spark.sparkContext.broadcast(frozenset(candidates))
@@ -136,6 +140,8 @@ def train(rows: DataFrame, least_documents: int = 3, max_terms: int = LEXICON_TE
         if low >= LEAST_WEIGHT:
             weights[term] = float(low)
     weights = dict(sorted(weights.items(), key=lambda x: (-x[1], x[0]))[:max_terms])
+    if not weights:
+        return Lexicon({}, logit=[0.0, 0.0, 0.0, NOTHING_LEARNED])
     lexicon = Lexicon(weights)
     # Exception phrases: a term's word with its neighbour, if several documents have them and no toxic one.
     heard = spark.sparkContext.broadcast(lexicon)
@@ -163,7 +169,7 @@ def train(rows: DataFrame, least_documents: int = 3, max_terms: int = LEXICON_TE
     if fold["label"].nunique() == 2:
         lexicon.logit = fit_logistic(fold[["a", "b", "c"]].to_numpy(), fold["label"].to_numpy()).tolist()
     else:
-        lexicon.logit = [1.0, 0.0, 0.0, -2.0]
+        lexicon.logit = [1.0, 0.0, 0.0, NOTHING_LEARNED]
     return lexicon
 
 

@@ -81,3 +81,12 @@ def test_stages_take_odd_rows(spark, data, rows):
         assert got.count() >= 0
         if name != "packing":
             assert got.columns == docs.columns
+
+
+@pytest.mark.parametrize("labels", [[], [(i, 1) for i in range(40)], [(i, i % 2) for i in range(40)]])
+def test_without_anything_to_learn_no_text_goes(spark, tmp_path, labels):
+    rows = [(i, None if i == 7 else "..." if i == 8 else "same words for all", None) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    spark.createDataFrame(labels, "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert ids(pipeline.without_toxic(spark, docs, str(tmp_path))) == list(range(40))
+    assert ids(pipeline.language_id(spark, docs, str(tmp_path))) == [i for i in range(40) if i not in (7, 8)]
