@@ -6,7 +6,8 @@ no half-written archive.  Archives are kept to about ``archive_bytes`` of payloa
 
 Reading: ``binaryFile`` rows, each parsed by :func:`salvage`.  A record whose checks fail (version line, length, record
 end, digests) doesn't end the archive: the reader searches for the next version line or gzip member that holds a valid
-record, goes on from there and reports the bytes between as a quarantined gap.
+record, goes on from there and reports the bytes between as a quarantined gap.  A gzip member may hold several records, and
+gaps between them.
 """
 
 from __future__ import annotations
@@ -26,8 +27,10 @@ from .shared import read, scratch_path, written
 
 ARCHIVE_BYTES = 16 << 20
 MEMBER_BYTES = (16 << 20) - 1
+#: Parts that the rows of one page_id are dealt to, so that an id (or null) with very many rows isn't one task.
+SALTS = 16
 RECORDS = (
-    "archive string, at long, length long, record_type string, record_id string, refers_to string, target_uri string, "
+    "archive string, at long, inner long, length long, record_type string, record_id string, refers_to string, target_uri string, "
     "payload_bytes long, payload_digest string, payload binary, problem string"
 )
 _HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
@@ -101,9 +104,10 @@ def write_archives(pages: DataFrame, path: str, least_bytes: int = 0, archive_by
     archives = int(max(1, -(-total // archive_bytes)))
     payload = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"))
-    # Pages are dealt out to archives by id, once; the ids of their revisits come to them there.
-    mine = revisits(pages, least_bytes).repartition(archives, "page_id")
-    found = rows.repartition(archives, "page_id").join(mine, "page_id", "left")
+    # Pages are dealt out to archives by id and url, once; the ids of their revisits come to them there.
+    mine = revisits(pages, least_bytes).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).repartition(archives, "page_id", "salt")
+    dealt = rows.withColumn("salt", F.pmod(F.xxhash64("url"), F.lit(SALTS)).cast("int")).repartition(archives, "page_id", "salt")
+    found = dealt.join(mine, ["page_id", "salt"], "left")
     known = found.withColumn("payload_bytes", F.octet_length("payload").cast("long")).withColumn("payload_digest", base32_sha1(F.col("payload")))
     response = F.get(F.filter("others", lambda o: o["digest"] == F.col("payload_digest")), F.lit(0))["response"]
     told = known.withColumn("refers_to", F.when(F.col("page_id") != response, response))
@@ -196,32 +200,56 @@ def goes_on(inner: bytes) -> bool:
     return told is not None and len(inner) < head_end + 4 + int(told[1]) + 4
 
 
-def zipped_record(data: bytes, at: int) -> tuple[dict, int]:
-    """The record in the gzip member at ``at``; a record larger than a member goes on in the next ones."""
+def zipped_records(data: bytes, at: int) -> tuple[list[tuple[int, int, dict | str]], int]:
+    """(place in the inflated bytes, length there, record or problem) of all that the gzip member at ``at`` holds, and where
+    it ends; a record larger than a member goes on in the next ones."""
     inner, end = member(data, at)
     while data[end : end + 3] == b"\x1f\x8b\x08" and goes_on(inner):
         more, end = member(data, end)
         if more.startswith(b"WARC/"):
             raise ValueError("record goes on but the next member begins another")
         inner += more
-    found, inner_end = parse_record(inner, 0)
-    if inner_end != len(inner):
-        raise ValueError("gzip member holds more than a record")
+    found = list(plain_records(inner))
+    if not any(isinstance(x, dict) for _, _, x in found):
+        raise ValueError(found[0][2] if found else "gzip member is empty")
     return found, end
 
 
-def salvage(data: bytes) -> Iterator[tuple[int, int, dict | str]]:
-    """(at, length, record) for every valid record of an archive and (at, length, problem) for every gap between.
+def plain_records(data: bytes) -> Iterator[tuple[int, int, dict | str]]:
+    """(at, length, record or problem) of inflated bytes: after a failed check it goes on at the next version line."""
+    at, lost, why = 0, None, ""
+    while at < len(data):
+        try:
+            found, end = parse_record(data, at)
+        except ValueError as e:
+            if lost is None:
+                lost, why = at, str(e)
+            ahead = data.find(b"WARC/", at + 1)
+            at = ahead if ahead >= 0 else len(data)
+            continue
+        if lost is not None:
+            yield lost, at - lost, why
+            lost = None
+        yield at, end - at, found
+        at = end
+    if lost is not None:
+        yield lost, len(data) - lost, why
 
-    Takes plain archives and those with one gzip member a record.
+
+def salvage(data: bytes) -> Iterator[tuple[int, int, int | None, dict | str]]:
+    """(at, length, inner, record) for every valid record of an archive and (at, length, inner, problem) for every gap.
+
+    Takes plain archives and those of gzip members.  ``inner`` is null for plain records and for gaps of archive bytes; else
+    it is the place in the inflated bytes of the member at ``at``, of which ``length`` bytes are meant where it is a gap.
     """
     at, lost, why = 0, None, ""
     while at < len(data):
         try:
             if data[at : at + 3] == b"\x1f\x8b\x08":
-                found, end = zipped_record(data, at)
+                found, end = zipped_records(data, at)
             else:
-                found, end = parse_record(data, at)
+                record, end = parse_record(data, at)
+                found = [(None, end - at, record)]
         except ValueError as e:
             if lost is None:
                 lost, why = at, str(e)
@@ -229,16 +257,17 @@ def salvage(data: bytes) -> Iterator[tuple[int, int, dict | str]]:
             at = min(ahead, default=len(data))
             continue
         if lost is not None:
-            yield lost, at - lost, why
+            yield lost, at - lost, None, why
             lost = None
-        yield at, end - at, found
+        for inner, n, x in found:
+            yield at, end - at if isinstance(x, dict) else n, inner, x
         at = end
     if lost is not None:
-        yield lost, len(data) - lost, why
+        yield lost, len(data) - lost, None, why
 
 
 def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
-    """Records and quarantined gaps (``problem`` not null) of all archives under ``path``."""
+    """Records and quarantined gaps (``problem`` not null) of all archives under ``path``; none where there are no bytes."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = {"string": pa.string(), "long": pa.int64(), "binary": pa.binary()}
@@ -246,9 +275,9 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> Data
         for b in batches:
             for archive, data in zip(b["path"].to_pylist(), b["content"], strict=True):
                 out: list[dict] = []
-                for at, n, x in salvage(data.as_py()):
+                for at, n, inner, x in salvage(data.as_py()):
                     row = {"problem": x} if isinstance(x, str) else x if payloads else x | {"payload": None}
-                    out.append({"archive": archive, "at": at, "length": n, **row})
+                    out.append({"archive": archive, "at": at, "inner": inner, "length": n, **row})
                     if len(out) == 500:
                         yield pa.RecordBatch.from_pylist(out, schema)
                         out = []
@@ -258,12 +287,18 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> Data
     return files.mapInArrow(rows, RECORDS)
 
 
+def quarantined(found: DataFrame) -> DataFrame:
+    """The log of gaps among the rows of :func:`read_archives`: archive, at, inner, length, problem."""
+    return found.where("problem is not null").select("archive", "at", "inner", "length", "problem")
+
+
 def op2_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raises where the archives just written have a gap: no page may go missing without a word."""
     path = scratch_path(spark, "warc")
     write_archives(read(spark, sf_dir, "pages"), path)
+    found = written(read_archives(spark, path, payloads=False), "records")
+    gaps = quarantined(found)
+    if first := gaps.first():
+        raise ValueError(f"{gaps.count()} gaps in {path}, such as {first.asDict()}")
     page = (lambda c: F.substring_index(c, ":", -1).try_cast("long"))
-    return (
-        read_archives(spark, path, payloads=False)
-        .where("problem is null")
-        .select(page("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", page("refers_to").alias("refers_to"))
-    )
+    return found.select(page("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", page("refers_to").alias("refers_to"))

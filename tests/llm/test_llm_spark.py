@@ -127,6 +127,29 @@ def test_warc_of_pages_with_long_urls(spark, tmp_path):
     assert told["urn:page:1"] == ("revisit", "urn:page:2") and told["urn:page:2"] == told["urn:page:3"] == ("response", None)
 
 
+def test_damaged_archives_give_the_other_records_and_a_log_of_gaps(spark, tmp_path):
+    rows = [(i, f"http://a/{i}", f"page {i} " + "x" * i) for i in range(60)]
+    path = tmp_path / "w"
+    warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string"), f"file://{path}", archive_bytes=10_000)
+    whole = warc.read_archives(spark, f"file://{path}").select("archive", "at", "length", "record_id").toPandas()
+    assert len(whole) == 60 and whole["archive"].nunique() > 1
+    lost = set()
+    for name, g in whole.sort_values("at").groupby("archive"):
+        file = path / name.split("/")[-1]
+        data = bytearray(file.read_bytes())
+        hit = g.iloc[len(g) // 2]
+        data[hit["at"] + hit["length"] // 2] ^= 0xFF
+        lost.add(hit["record_id"])
+        (path / f".{file.name}.crc").unlink(missing_ok=True)
+        file.write_bytes(bytes(data) + b"WARC/1.1\r\nWARC-Type: resp")
+    got = warc.read_archives(spark, f"file://{path}")
+    assert {r["record_id"] for r in got.where("problem is null").collect()} == set(whole["record_id"]) - lost
+    gaps = warc.quarantined(got).toPandas()
+    assert len(gaps) == 2 * len(lost) and (gaps["length"] > 0).all()
+    for name, g in got.toPandas().groupby("archive"):
+        assert g["length"].sum() == len((path / name.split("/")[-1]).read_bytes())  # records and gaps are all of it
+
+
 # --- 3 mixing
 
 

@@ -96,37 +96,45 @@ def record(body, kind="response", extra=b""):
 def test_salvage_recovers_what_follows_a_fault(pack):
     a, b, c = (pack(record(x * n)) for x, n in ((b"a", 10), (b"b", 3000), (b"WARC/1.1\r\n", 3)))
     whole = list(warc.salvage(a + b + c))
-    assert [x[2]["payload_bytes"] for x in whole] == [10, 3000, 30]
+    assert [x[3]["payload_bytes"] for x in whole] == [10, 3000, 30]
     broken = bytearray(b)
     broken[len(broken) // 2] ^= 0xFF
     if pack(b"") == b"":
         broken = bytearray(b.replace(b"Content-Length: 3000", b"Content-Length: 2999"))
     found = list(warc.salvage(a + bytes(broken) + c + a[:20] + c + b"tail"))
-    good = [x for x in found if isinstance(x[2], dict)]
-    gaps = [x for x in found if isinstance(x[2], str)]
-    assert [x[2]["payload_bytes"] for x in good] == [10, 30, 30]
+    good = [x for x in found if isinstance(x[3], dict)]
+    gaps = [x for x in found if isinstance(x[3], str)]
+    assert [x[3]["payload_bytes"] for x in good] == [10, 30, 30]
     assert [x[1] for x in gaps] == [len(broken), 20, 4]
     assert sum(x[1] for x in found) == len(a) + len(broken) + len(c) * 2 + 24
 
 
 def test_a_header_may_be_longer_than_a_member(monkeypatch):
     plain = record(b"a").replace(b"\r\nContent-Length", b"\r\nWARC-Target-URI: data:," + b"x" * 100_000 + b"\r\nContent-Length", 1)
-    assert [x[2]["payload_bytes"] for x in warc.salvage(plain + plain)] == [1, 1]
+    assert [x[3]["payload_bytes"] for x in warc.salvage(plain + plain)] == [1, 1]
     monkeypatch.setattr(warc, "MEMBER_BYTES", 5000)
     zipped = warc.members(plain) + b"\0"
-    assert [x[2]["payload_bytes"] for x in warc.salvage(zipped + zipped)] == [1, 1]
+    assert [x[3]["payload_bytes"] for x in warc.salvage(zipped + zipped)] == [1, 1]
+
+
+def test_a_member_may_hold_several_records_and_gaps():
+    inner = record(b"a") + b"junk" + record(b"bb") + record(b"ccc")[:-9]
+    zipped = warc.members(inner) + b"\0"
+    found = list(warc.salvage(b"??" + zipped + warc.members(record(b"dddd")) + b"\0"))
+    assert [(x[0], x[2], x[3]["payload_bytes"]) for x in found if isinstance(x[3], dict)] == [(2, 0, 1), (2, len(record(b"a")) + 4, 2), (2 + len(zipped), 0, 4)]
+    assert [x[:3] for x in found if isinstance(x[3], str)] == [(0, 2, None), (2, 4, len(record(b"a"))), (2, len(record(b"ccc")) - 9, len(inner) - len(record(b"ccc")) + 9)]
 
 
 def test_a_digest_that_differs_is_a_fault():
     bad = record(b"abc", extra=b"WARC-Block-Digest: sha1:AAAA\r\n")
-    assert [x[2] for x in warc.salvage(bad)] == ["block digest differs"]
+    assert [x[3] for x in warc.salvage(bad)] == ["block digest differs"]
 
 
 def test_records_larger_than_a_member_are_read(monkeypatch):
     monkeypatch.setattr(warc, "MEMBER_BYTES", 200)
     data = record(bytes(1000))
     found = list(warc.salvage(warc.members(data) + b"\0" + warc.members(data) + b"\0"))
-    assert [x[2]["payload_bytes"] for x in found] == [1000, 1000]
+    assert [x[3]["payload_bytes"] for x in found] == [1000, 1000]
 
 
 @pytest.mark.parametrize("n", [1, 8, 9, 400, 401, 1000])
