@@ -35,10 +35,12 @@ from .shingles import mix64, text_sets
 
 SIMILARITY = 75  # per cent
 SKETCH_BITS = 20
-FILTER_BITS = 23
+FILTER_BITS = (20, 27)  # least and most of a filter of set identities; between, 16 an identity
 BLOCK = 2048  # members of a group that one task walks at once
 PIVOT_FROM = 8  # members of a group from which on it gets pivots first
 PIVOTS = 6
+SALTS = 64  # parts of a group
+REMEMBERED = 1_000_000  # identities that a task knows again; those beyond are repeated, and made distinct later
 LEAF = 16
 FAN = 8
 
@@ -101,21 +103,23 @@ def set_id(s: np.ndarray) -> int:
     return int((mix64(s ^ place).sum() + np.uint64(len(s))).astype(np.int64)) if len(s) else 0
 
 
-def prefix(s: np.ndarray, frequent: np.ndarray, percent: int = SIMILARITY) -> np.ndarray:
+def prefix(s: np.ndarray, frequent: np.ndarray, percent: int = SIMILARITY) -> tuple[np.ndarray, np.ndarray]:
+    """The prefix's shingles that aren't frequent, and those that are."""
     n = len(s)
     take = n - -(-percent * n // 100) + 1 if n else 0
     often = frequent[_slots(s, SKETCH_BITS)]
     if not often.any():
-        return s[:take]
-    return s[np.lexsort((s, often))[:take]]
+        return s[:take], s[:0]
+    first = np.lexsort((s, often))[:take]
+    return s[first[often[first] == 0]], s[first[often[first] > 0]]
 
 
 # --- bitmaps and trees ---------------------------------------------------------------------------
 
 
 def bitmap(s: np.ndarray) -> np.ndarray:
-    """About four bits or more a shingle, a power of two of them, as 64-bit words."""
-    bits = max(64, 1 << int(4 * max(1, len(s)) - 1).bit_length())
+    """One bit a shingle or more (four where that is few, to tell small sets apart), a power of two, as 64-bit words."""
+    bits = max(64, min(512, 1 << int(4 * max(1, len(s)) - 1).bit_length()), 1 << int(max(1, len(s)) - 1).bit_length())
     at = (s & np.uint64(bits - 1)).astype(np.int64)
     flags = np.zeros(bits, np.uint8)
     flags[at] = 1
@@ -240,63 +244,87 @@ def _sides(g: np.ndarray, h: np.ndarray, side: np.ndarray) -> list[tuple[np.ndar
 
 
 def document_prefixes(docs: DataFrame, frequent: np.ndarray, percent: int = SIMILARITY) -> DataFrame:
-    """(doc_id, h, n, keys, bits): the set's identity and size, its prefix and its bitmap."""
+    """(doc_id, h, n, keys, hot, bits): the set's identity and size, its prefix (the frequent shingles of it apart) and its
+    bitmap; the last three only once for equal sets that a task sees."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent)  # 4 MB
 
+    def lists(parts: list[np.ndarray]) -> pa.Array:
+        bounds = np.r_[0, np.cumsum([len(k) for k in parts])].astype(np.int32)
+        return pa.ListArray.from_arrays(bounds, np.concatenate(parts).view(np.int64) if parts else np.zeros(0, np.int64))
+
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: set[int] = set()
         for b in batches:
-            ids, sizes, keys, bits = [], [], [], []
+            ids, sizes, keys, hot, bits = [], [], [], [], []
             for s in text_sets(b.column(1)):
-                ids.append(set_id(s))
-                bits.append(bitmap(s).tobytes() if len(s) else None)
+                h = set_id(s)
+                ids.append(h)
                 sizes.append(len(s))
-                keys.append(prefix(s, shared.value, percent).view(np.int64))
-            bounds = np.r_[0, np.cumsum([len(k) for k in keys])].astype(np.int32)
+                again = h in done or not len(s)
+                bits.append(None if again else bitmap(s).tobytes())
+                cold, often = prefix(s[:0] if again else s, shared.value, percent)
+                keys.append(cold)
+                hot.append(often)
+                if len(done) < REMEMBERED:
+                    done.add(h)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(bounds, np.concatenate(keys) if keys else np.zeros(0, np.int64)), pa.array(bits, pa.binary())],
-                ["doc_id", "h", "n", "keys", "bits"],
+                [b.column(0), pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), lists(keys), lists(hot), pa.array(bits, pa.binary())],
+                ["doc_id", "h", "n", "keys", "hot", "bits"],
             )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(rows, "doc_id long, h long, n long, keys array<long>, bits binary")
+    kinds = "doc_id long, h long, n long, keys array<long>, hot array<long>, bits binary"
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(rows, kinds)
+
+
+def marked(bits: int, keys: np.ndarray) -> np.ndarray:
+    """A filter of 2^bits bits with those of ``keys`` set."""
+    flags = np.zeros(1 << bits - 3, np.uint8)
+    at = _slots(mix64(keys.view(np.uint64)), bits)
+    np.bitwise_or.at(flags, at >> 3, (1 << (at & 7)).astype(np.uint8))
+    return flags
 
 
 def whole_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(h, tokens) of the sets whose identity is in ``wanted`` (h), and of a few more.
 
-    ``wanted`` becomes a filter of 2^FILTER_BITS bits, so that texts of no interest are dropped where they are read.
+    ``wanted`` becomes a filter, so that texts of no interest are dropped where they are read.  Its bits follow the number
+    of identities up to 16 MB; beyond some eight million identities it passes more sets than are wanted, none less.
     """
+    low, high = FILTER_BITS
+    bits = min(high, max(low, (16 * wanted.count()).bit_length()))
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flags = np.zeros(1 << FILTER_BITS, np.uint8)
+        flags = np.zeros(1 << bits - 3, np.uint8)
         for b in batches:
-            flags[_slots(mix64(np.asarray(b.column(0)).view(np.uint64)), FILTER_BITS)] = 1
+            flags |= marked(bits, np.asarray(b.column(0)))
         yield _bit_rows(flags)
 
-    filter_ = _ored(wanted.select("h").mapInArrow(mark, "chunk int, bits binary"))
-    shared = docs.sparkSession.sparkContext.broadcast(filter_)  # 1 MB
+    shared = docs.sparkSession.sparkContext.broadcast(_ored(wanted.select("h").mapInArrow(mark, "chunk int, bits binary"), bits))  # 16 MB at most
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flags = np.unpackbits(shared.value)
+        flags = shared.value
         done: set[int] = set()
         for b in batches:
             out: list[tuple] = []
             for s in text_sets(b.column(0)):
                 h = set_id(s)
-                if len(s) and h not in done and flags[_slots(mix64(np.array([h], np.int64).view(np.uint64)), FILTER_BITS)[0]]:
-                    out.append((h, s.tobytes()))
-                    if len(done) < 1_000_000:
-                        done.add(h)
+                if len(s) and h not in done:
+                    at = int(_slots(mix64(np.array([h], np.int64).view(np.uint64)), bits)[0])
+                    if flags[at >> 3] >> (at & 7) & 1:
+                        out.append((h, s.tobytes()))
+                        if len(done) < REMEMBERED:
+                            done.add(h)
             yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in out], pa.int64()), pa.array([t for _, t in out], pa.binary())], ["h", "tokens"])
 
     return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(rows, "h long, tokens binary").dropDuplicates(["h"])
 
 
 def _bit_rows(flags: np.ndarray) -> pa.RecordBatch:
-    parts = np.packbits(flags).reshape(16, -1)
+    parts = flags.reshape(16, -1)
     return pa.RecordBatch.from_pydict({"chunk": pa.array(range(16), pa.int32()), "bits": pa.array([zlib.compress(p.tobytes(), 1) for p in parts], pa.binary())})
 
 
-def _ored(rows: DataFrame) -> np.ndarray:
+def _ored(rows: DataFrame, bits: int) -> np.ndarray:
     def join(key: tuple, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = None
         for b in batches:
@@ -305,7 +333,7 @@ def _ored(rows: DataFrame) -> np.ndarray:
                 total = part if total is None else total | part
         yield pd.DataFrame({"chunk": [key[0]], "bits": [zlib.compress(total.tobytes(), 1)]})
 
-    out = np.zeros((16, (1 << FILTER_BITS) // 128), np.uint8)
+    out = np.zeros((16, 1 << bits - 7), np.uint8)
     for r in rows.groupBy("chunk").applyInPandas(join, "chunk int, bits binary").toLocalIterator():
         out[r["chunk"]] = np.frombuffer(zlib.decompress(r["bits"]), np.uint8)
     return out.reshape(-1)
@@ -403,6 +431,40 @@ def tree_candidates(members: DataFrame, bitmaps: DataFrame, percent: int = SIMIL
     return tasks.select("key", "i", "j", "h", "n", "comp", "block", "bits").mapInPandas(search, "a long, b long").distinct()
 
 
+def grouped(base: DataFrame, percent: int = SIMILARITY) -> DataFrame:
+    """(key, h, n): classes that share a prefix shingle, of each group of the same members one, without members that no
+    other of the group is near to in size.
+
+    Rows of a shingle that isn't frequent meet in one task, once; those of frequent ones are added up before they meet.
+    """
+    cold = base.select("h", "n", F.explode("keys").alias("key")).repartition("key").distinct()
+    hot = base.select("h", "n", F.explode("hot").alias("key")).distinct()
+    once, twice = F.xxhash64("h", F.lit(1)), F.xxhash64("h", F.lit(2))
+    kept = None
+    for rows in (cold, hot):
+        found = rows.groupBy("key").agg(F.count("*").alias("size"), F.bit_xor(once).alias("x"), F.sum(twice % (1 << 40)).alias("y")).where("size > 1")
+        kept = found if kept is None else kept.union(found)
+    kept = kept.groupBy("size", "x", "y").agg(F.min("key").alias("key")).select("key")
+    members = written(cold.join(kept, "key", "left_semi").union(hot.join(kept, "key", "left_semi")), "members")
+    # Sizes of a band are near each other; a member of a band with no other has a partner only in the bands beside it.
+    band = F.floor(F.log("n") / F.lit(float(np.log(100 / percent)) * (1 - 1e-9))).cast("int")
+    banded = members.withColumn("band", band)
+    bands = banded.groupBy("key", "band").agg(F.count("*").alias("size"), F.min("n").alias("low"), F.max("n").alias("high"))
+    beside = W.partitionBy("key").orderBy("band")  # a row a band, some hundred at most
+    bands = bands.select("key", "band", "size", F.lag("high").over(beside).alias("less"), F.lead("low").over(beside).alias("more"))
+    near = (F.col("size") > 1) | (100 * F.col("less") >= percent * F.col("n")) | (100 * F.col("n") >= percent * F.col("more"))
+    return banded.join(bands, ["key", "band"]).where(F.coalesce(near, F.lit(False))).select("key", "h", "n")
+
+
+def candidates(docs: DataFrame, percent: int = SIMILARITY) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The document_prefixes, the groups (key, h, n, degree) and the bitmaps (h, n, bits) of classes that share something."""
+    base = written(document_prefixes(docs, frequent_slots(shingle_sketch(docs)), percent), "prefixes")
+    members = anchored(written(grouped(base, percent), "near"))
+    ends = members.select("h").distinct()
+    bitmaps = written(base.where("bits is not null").select("h", "n", "bits").join(ends, "h", "left_semi").dropDuplicates(["h"]), "bitmaps")
+    return base, members, bitmaps
+
+
 def near_duplicates(docs: DataFrame, percent: int = SIMILARITY) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of ``docs``.
 
@@ -410,18 +472,7 @@ def near_duplicates(docs: DataFrame, percent: int = SIMILARITY) -> DataFrame:
     such rows has a null component_id); repeated rows are in one component; an empty table gives no rows; other columns
     are ignored.
     """
-    base = written(document_prefixes(docs, frequent_slots(shingle_sketch(docs)), percent), "prefixes")
-    keyed = base.select("h", "n", F.explode("keys").alias("key")).repartition("key").distinct()
-    member = (F.xxhash64("h", F.lit(1)), F.xxhash64("h", F.lit(2)))
-    groups = keyed.groupBy("key").agg(F.count("*").alias("size"), F.max("n").alias("top"), F.bit_xor(member[0]).alias("x"), F.sum(member[1] % (1 << 40)).alias("y")).where("size > 1")
-    kept = groups.groupBy("size", "x", "y").agg(F.min("key").alias("key")).select("key")
-    # A member stays if another one of its group is near enough in size.
-    by_size = W.partitionBy("key").orderBy("n", "h")
-    sized = keyed.join(kept, "key", "left_semi").select("*", F.lag("n").over(by_size).alias("less"), F.lead("n").over(by_size).alias("more"))
-    near = (100 * F.col("less") >= percent * F.col("n")) | (100 * F.col("n") >= percent * F.col("more"))
-    members = anchored(written(sized.where(F.coalesce(near, F.lit(False))).select("key", "h", "n"), "members"))
-    bitmaps = written(base.select("h", "n", "bits").join(members.select("h").distinct(), "h", "left_semi").dropDuplicates(["h"]), "bitmaps")
-
+    base, members, bitmaps = candidates(docs, percent)
     starred = pivot_pairs(members, percent)
     links = _links(docs, plausible(starred, bitmaps, percent), percent)
     now = members.join(components(links), "h", "left").withColumn("comp", F.coalesce("comp", "h"))
@@ -439,6 +490,24 @@ def near_duplicates(docs: DataFrame, percent: int = SIMILARITY) -> DataFrame:
     )
 
 
+def linked_classes(docs: DataFrame, percent: int = SIMILARITY) -> tuple[DataFrame, DataFrame]:
+    """The join itself: (doc_id, h, n_shingles, n_links) of every row, and all (a, b) pairs of different sets, by identity,
+    that link.
+
+    ``n_links`` counts the other rows that a row links with, those of its own class among them; pairs within a class aren't
+    listed.  Odd rows are as in :func:`near_duplicates`.
+    """
+    base, members, bitmaps = candidates(docs, percent)
+    alone = members.select("key", "h", "n", F.col("h").alias("comp"))
+    links = _links(docs, tree_candidates(alone, bitmaps, percent), percent)
+    sizes = written(base.where("n > 0").groupBy("h").agg(F.count("*").alias("rows")), "classes")
+    ends = links.select("a", "b").union(links.select("b", "a")).toDF("h", "other")
+    more = ends.join(sizes.select(F.col("h").alias("other"), "rows"), "other").groupBy("h").agg(F.sum("rows").alias("more"))
+    told = sizes.join(more, "h", "left").select("h", (F.col("rows") - 1 + F.coalesce("more", F.lit(0))).alias("n_links"))
+    rows = base.select("doc_id", "h", F.col("n").alias("n_shingles"))
+    return rows.join(told, "h", "left").select("doc_id", "h", "n_shingles", F.coalesce("n_links", F.lit(0)).alias("n_links")), links
+
+
 def anchored(members: DataFrame) -> DataFrame:
     """Groups with the same anchor, their member with the least hash, as one group under the anchor's name; ``degree`` is in
     how many groups a member was.
@@ -456,9 +525,12 @@ def pivot_pairs(members: DataFrame, percent: int = SIMILARITY, pivots: int = PIV
     """(a, b) pairs of members of large groups with their groups' pivots: the members that are in most groups, as those of
     near copies are that have the fewest edits."""
     large = members.groupBy("key").agg(F.count("*").alias("size")).where(F.col("size") >= PIVOT_FROM).select("key")
-    rows = members.join(large, "key", "left_semi")
-    first = W.partitionBy("key").orderBy(F.desc("degree"), "h")
-    chosen = rows.withColumn("turn", F.row_number().over(first)).where(F.col("turn") <= pivots).select("key", F.col("h").alias("b"), F.col("n").alias("m"))
+    rows = members.join(large, "key", "left_semi").withColumn("salt", F.pmod(F.xxhash64("h"), F.lit(SALTS)).cast("int"))
+    chosen = rows
+    for by in (["key", "salt"], ["key"]):  # the first of each part, then of all parts
+        first = W.partitionBy(*by).orderBy(F.desc("degree"), "h")
+        chosen = chosen.withColumn("turn", F.row_number().over(first)).where(F.col("turn") <= pivots)
+    chosen = chosen.select("key", F.col("h").alias("b"), F.col("n").alias("m"))
     near = members.join(chosen, "key").where((F.col("h") != F.col("b")) & (100 * F.least("n", "m") >= percent * F.greatest("n", "m")))
     return near.select(F.greatest("h", "b").alias("a"), F.least("h", "b").alias("b")).distinct()
 

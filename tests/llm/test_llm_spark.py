@@ -299,6 +299,27 @@ def test_join_of_many_near_copies(spark, monkeypatch):
     assert triples(ngram_join.near_duplicates(docs).toPandas()) == brute_components(rows)
 
 
+def brute_links(rows):
+    sets = [(i, brute_set(t)) for i, t in rows]
+    linked = lambda x, y: bool(x and y) and 100 * len(x & y) >= 75 * len(x | y)
+    return sorted((i, len(s), sum(linked(s, t) for k, (_, t) in enumerate(sets) if k != j)) for j, (i, s) in enumerate(sets))
+
+
+def test_links_of_documents(spark, docs, texts):
+    rows, pairs = ngram_join.linked_classes(docs)
+    got = sorted((r["doc_id"], r["n_shingles"], r["n_links"]) for r in rows.collect())
+    assert got == brute_links(texts.items()) and pairs.where("a >= b").count() == 0
+
+
+@pytest.mark.parametrize("least", [20, 27])
+def test_filters_keep_what_is_wanted(spark, docs, monkeypatch, least):
+    monkeypatch.setattr(ngram_join, "FILTER_BITS", (least, 27))
+    base = ngram_join.document_prefixes(docs, np.zeros(1 << ngram_join.SKETCH_BITS, np.uint32))
+    wanted = {r["h"] for r in base.where("n > 0 and h % 3 = 0").collect()}
+    got = ngram_join.whole_sets(docs, spark.createDataFrame([(h,) for h in wanted], "h long")).collect()
+    assert len(got) == len({r["h"] for r in got}) and wanted <= {r["h"] for r in got} and len(got) <= len(wanted) + 2
+
+
 def test_join_of_odd_rows(odd, empty):
     got = triples(ngram_join.near_duplicates(odd).toPandas())
     want = brute_components([(r[0], r[1]) for r in odd_rows() if r[0] is not None])
