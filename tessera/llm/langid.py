@@ -3,8 +3,9 @@
 Spark counts the character n-grams of each language over all training documents (executors count words first, so a
 word's letters are walked once a task).  All of them are in the model, so it grows with the distinct n-grams of a
 language, which its letters bound, not with its rows: 24 bytes each come to the driver.  For each language and order the
-model holds sorted 64-bit hashes with log probabilities, and sorted hashes of contexts with back-off weights.  A word's cost under each language doesn't depend on its neighbours, so workers
-remember the costs of words they have seen; a document's cross-entropy is the sum of its words' costs by their length.
+model holds sorted 64-bit hashes with log probabilities, and sorted hashes of contexts with back-off weights.  A word's cost
+under each language doesn't depend on its neighbours, so workers remember the costs of words they have seen; a document's
+cross-entropy is the sum of its words' costs by their length.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ import uuid
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -27,7 +29,9 @@ ORDER = 4
 DISCOUNT = 0.75
 GRAMS_AT_ONCE = 50_000  # that come to the driver in one row
 TEMPERATURES = (0.25, 0.5, 1.0, 2.0, 4.0)
-TEXTS_AT_ONCE = 500
+BYTES_AT_ONCE = 1 << 20  # characters of texts whose words are held as lists
+WORDS_AT_ONCE = 20_000  # words whose n-grams are looked up together
+SEEN_WORDS = 200_000
 UNDETERMINED = "und"
 SCORE = "lang_pred string, score double, entropy double, rejected boolean"
 
@@ -134,65 +138,88 @@ class Model:
     name: str = field(default_factory=lambda: uuid.uuid4().hex)
 
     def costs(self, words: list[str]) -> np.ndarray:
-        """(len(words), languages + 1): natural log probability of each word by language, and its characters."""
+        """(len(words), languages + 1): natural log probability of each word by language, and its characters.
+
+        A character's cost depends on it and the ``order`` - 1 before it, so each different n-gram of the words is looked up
+        once.
+        """
         pad = self.order - 1
         text = "".join(START * pad + w + END for w in words)
         codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
         sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
         starts = np.cumsum(sizes + pad) - sizes
-        place = np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+        begin = np.cumsum(sizes) - sizes
+        place = np.repeat(starts - begin, sizes) + np.arange(sizes.sum())
         hashes = [gram_hashes(codes, n) for n in range(1, self.order + 1)]
+        _, first, which = np.unique(hashes[-1][place], return_index=True, return_inverse=True)
+        place = place[first]
         out = np.zeros((len(words), len(self.languages) + 1))
-        begin = np.cumsum(sizes) - sizes
         for k, (logs, weights, unknown) in enumerate(self.tables):
-            total, open_ = np.zeros(len(place)), np.ones(len(place), bool)
+            total, open_ = np.zeros(len(place)), np.arange(len(place))
             for n in range(self.order, 0, -1):
-                value, found = logs[n - 1].get(hashes[n - 1][place])
-                found &= open_
-                total[found] += value[found]
-                open_ &= ~found
+                value, found = logs[n - 1].get(hashes[n - 1][place[open_]])
+                total[open_[found]] += value[found]
+                open_ = open_[~found]
                 if n > 1:
-                    weight, known = weights[n - 1].get(hashes[n - 2][place - 1])
-                    use = open_ & known
-                    total[use] += weight[use]
+                    weight, known = weights[n - 1].get(hashes[n - 2][place[open_] - 1])
+                    total[open_[known]] += weight[known]
             total[open_] += unknown
-            out[:, k] = np.add.reduceat(total, begin)
+            out[:, k] = np.add.reduceat(total[which], begin)
         out[:, -1] = sizes
-        empty = np.array([not w for w in words])
-        out[empty] = 0
+        out[np.fromiter((not w for w in words), bool, len(words))] = 0
         return out
 
-    def entropies(self, texts: list[str | None], known: dict[str, int], costs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        """Cross-entropies by text and language (nats a character) and the characters counted."""
-        found = [_WORD.findall(t.lower()) if t else [] for t in texts]
-        new = [w for w in dict.fromkeys(w for ws in found for w in ws) if w not in known]
-        for at in range(0, len(new), 50_000):
-            part = new[at : at + 50_000]
-            known.update(zip(part, range(len(known), len(known) + len(part)), strict=True))
-            costs.append(self.costs([letters(w) for w in part]))
-        table = np.concatenate(costs) if costs else np.zeros((0, len(self.languages) + 1))
-        costs[:] = [table]
-        sums = np.zeros((len(texts), len(self.languages) + 1))
-        for i, ws in enumerate(found):
-            if ws:
-                sums[i] = table[np.fromiter(map(known.__getitem__, ws), np.int64, len(ws))].sum(axis=0)
+    def entropies(self, texts: list[str | None], seen: Seen | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Cross-entropies by text and language (nats a character) and the characters counted.
+
+        Texts are taken some ``BYTES_AT_ONCE`` characters at a time, with the costs of words already ``seen``.
+        """
+        seen = seen or Seen(len(self.languages) + 1)
+        sums, at = np.zeros((len(texts), len(self.languages) + 1)), 0
+        while at < len(texts):
+            last, size = at, 0
+            while last < len(texts) and (last == at or size + len(texts[last] or "") <= BYTES_AT_ONCE):
+                size += len(texts[last] or "")
+                last += 1
+            found = [_WORD.findall(t.lower()) if t else [] for t in texts[at:last]]
+            seen.learn(set().union(*found), self)
+            words = np.fromiter(map(seen.places.__getitem__, chain.from_iterable(found)), np.int64, sum(map(len, found)))
+            ends = np.cumsum([0, *map(len, found)])
+            for i, (a, b) in enumerate(zip(ends, ends[1:], strict=False)):
+                if a < b:
+                    sums[at + i] = seen.costs[words[a:b]].sum(axis=0)
+            at = last
         sizes = sums[:, -1]
         return -sums[:, :-1] / np.maximum(sizes, 1)[:, None], sizes
 
 
-_KNOWN_LIMIT = 250_000
+@dataclass
+class Seen:
+    """The costs of words that a worker remembers, in a table of ``SEEN_WORDS`` rows or as many as one lot of texts has."""
+
+    width: int
+    places: dict[str, int] = field(default_factory=dict)
+    costs: np.ndarray = field(default_factory=lambda: np.zeros((0, 1)))
+
+    def learn(self, words: set[str], model: Model) -> None:
+        new = list(words.difference(self.places))
+        if len(self.places) + len(new) > max(SEEN_WORDS, len(new)):
+            self.places.clear()
+            new = list(words)
+        need = max(SEEN_WORDS, len(self.places) + len(new))
+        if self.costs.shape != (need, self.width):
+            table = np.zeros((need, self.width))
+            table[: len(self.places)] = self.costs[: len(self.places)]
+            self.costs = table
+        for at in range(0, len(new), WORDS_AT_ONCE):
+            part, n = new[at : at + WORDS_AT_ONCE], len(self.places)
+            self.places.update(zip(part, range(n, n + len(part)), strict=True))
+            self.costs[n : n + len(part)] = model.costs([letters(w) for w in part])
 
 
 def remembered(model: Model, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """:meth:`Model.entropies`, a few texts at a time, with what the worker remembers of words it has seen."""
-    out = [(np.zeros((0, len(model.languages))), np.zeros(0))]
-    for at in range(0, len(texts), TEXTS_AT_ONCE):
-        known, costs = held(model.name, lambda: ({}, []))
-        if len(known) > _KNOWN_LIMIT:
-            known.clear()
-            costs.clear()
-        out.append(model.entropies(texts[at : at + TEXTS_AT_ONCE], known, costs))
-    return np.concatenate([h for h, _ in out]), np.concatenate([sizes for _, sizes in out])
+    """:meth:`Model.entropies` with what the worker remembers of words it has seen."""
+    return model.entropies(texts, held(model.name, lambda: Seen(len(model.languages) + 1)))
 
 
 def classify(model: Model, texts: list[str | None]) -> pd.DataFrame:

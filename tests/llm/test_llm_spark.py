@@ -412,6 +412,6 @@ def test_language_limits_are_of_all_rows(spark):
     rows = [("the cat sat on the mat " * (1 + i % 3), "en") for i in range(6000)]  # copies share a hash
     few = ["kala ui vees", "qxj zvw", "mets on suur ja vana", "mets"]
     model = langid.train(spark.createDataFrame(rows + [(x, "et") for x in few], "text string, lang string"))
-    h = model.entropies(few, {}, [])[0][:, model.languages.index("et")]
+    h = model.entropies(few)[0][:, model.languages.index("et")]
     assert model.limits[model.languages.index("et")] == pytest.approx(h.max() + 2 * h.std() + 0.5)
     assert not langid.classify(model, few)["rejected"].any()
