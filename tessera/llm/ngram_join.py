@@ -118,8 +118,9 @@ def prefix(s: np.ndarray, frequent: np.ndarray, percent: int = SIMILARITY) -> tu
 
 
 def bitmap(s: np.ndarray) -> np.ndarray:
-    """One bit a shingle or more (four where that is few, to tell small sets apart), a power of two, as 64-bit words."""
-    bits = max(64, min(512, 1 << int(4 * max(1, len(s)) - 1).bit_length()), 1 << int(max(1, len(s)) - 1).bit_length())
+    """Two bits a shingle or more (four where that is few, to tell small sets apart), a power of two, as 64-bit words."""
+    n = max(1, len(s))
+    bits = max(64, min(512, 1 << int(4 * n - 1).bit_length()), 1 << int(2 * n - 1).bit_length())
     at = (s & np.uint64(bits - 1)).astype(np.int64)
     flags = np.zeros(bits, np.uint8)
     flags[at] = 1
@@ -437,7 +438,8 @@ def grouped(base: DataFrame, percent: int = SIMILARITY) -> DataFrame:
 
     Rows of a shingle that isn't frequent meet in one task, once; those of frequent ones are added up before they meet.
     """
-    cold = base.select("h", "n", F.explode("keys").alias("key")).repartition("key").distinct()
+    # keys are never null; said here, both uses below are the same shuffle
+    cold = base.select("h", "n", F.explode("keys").alias("key")).where("key is not null").repartition("key").distinct()
     hot = base.select("h", "n", F.explode("hot").alias("key")).distinct()
     once, twice = F.xxhash64("h", F.lit(1)), F.xxhash64("h", F.lit(2))
     kept = None
@@ -525,12 +527,10 @@ def pivot_pairs(members: DataFrame, percent: int = SIMILARITY, pivots: int = PIV
     """(a, b) pairs of members of large groups with their groups' pivots: the members that are in most groups, as those of
     near copies are that have the fewest edits."""
     large = members.groupBy("key").agg(F.count("*").alias("size")).where(F.col("size") >= PIVOT_FROM).select("key")
-    rows = members.join(large, "key", "left_semi").withColumn("salt", F.pmod(F.xxhash64("h"), F.lit(SALTS)).cast("int"))
-    chosen = rows
-    for by in (["key", "salt"], ["key"]):  # the first of each part, then of all parts
-        first = W.partitionBy(*by).orderBy(F.desc("degree"), "h")
-        chosen = chosen.withColumn("turn", F.row_number().over(first)).where(F.col("turn") <= pivots)
-    chosen = chosen.select("key", F.col("h").alias("b"), F.col("n").alias("m"))
+    first = lambda rows, *by: rows.withColumn("turn", F.row_number().over(W.partitionBy(*by).orderBy(F.desc("degree"), "h"))).where(F.col("turn") <= pivots)
+    # the first of each part of a group, then of all parts of the large groups
+    parts = first(members.withColumn("salt", F.pmod(F.xxhash64("h"), F.lit(SALTS)).cast("int")), "key", "salt")
+    chosen = first(parts.join(large, "key", "left_semi"), "key").select("key", F.col("h").alias("b"), F.col("n").alias("m"))
     near = members.join(chosen, "key").where((F.col("h") != F.col("b")) & (100 * F.least("n", "m") >= percent * F.greatest("n", "m")))
     return near.select(F.greatest("h", "b").alias("a"), F.least("h", "b").alias("b")).distinct()
 
