@@ -39,18 +39,18 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return np.cumprod(np.full(n + 1, _BASE, np.uint64)) * inverse, np.cumprod(np.full(n + 1, inverse, np.uint64)) * np.uint64(_BASE)
 
 
-def word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, start) of each word of the bytes: sums of byte values times powers of a base, from the word's start."""
+def word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, start, end) of each word of the bytes: sums of byte values times powers of a base, from the word's start."""
     blank = _SEPARATOR[data]
     edge = np.flatnonzero(np.diff(np.r_[True, blank, True].view(np.int8)))
     starts, ends = edge[::2], edge[1::2]
     power, inverse = _powers(len(data))
     sums = np.r_[np.uint64(0), np.cumsum(_VALUE[data] * power[: len(data)])]
-    return mix64((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64)), starts
+    return mix64((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64)), starts, ends
 
 
-def _hashed(data: np.ndarray) -> np.ndarray:
-    """Word hashes of one text, a bounded piece at a time, cut at blanks."""
+def words_of(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """:func:`word_hashes` of a long text, a bounded piece at a time, cut at blanks."""
     parts, at = [], 0
     while at < len(data):
         end = min(len(data), at + _PIECE)
@@ -61,9 +61,10 @@ def _hashed(data: np.ndarray) -> np.ndarray:
             else:
                 after = np.flatnonzero(_SEPARATOR[data[end:]])
                 end = end + int(after[0]) + 1 if len(after) else len(data)
-        parts.append(word_hashes(data[at:end])[0])
+        hashes, starts, ends = word_hashes(data[at:end])
+        parts.append((hashes, starts + at, ends + at))
         at = end
-    return np.concatenate(parts) if parts else np.zeros(0, np.uint64)
+    return tuple(map(np.concatenate, zip(*parts, strict=True))) if parts else (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
 def shingle_set(words: np.ndarray) -> np.ndarray:
@@ -95,7 +96,7 @@ def text_sets(texts: pa.Array) -> Iterator[np.ndarray]:
         last = min(last, len(texts))
         if at[last] - at[first] > _PIECE // 2 or last == first + 1:
             for i in range(first, last):
-                yield shingle_set(_hashed(data[at[i] : at[i + 1]])) if valid[i] else np.zeros(0, np.uint64)
+                yield shingle_set(words_of(data[at[i] : at[i + 1]])[0]) if valid[i] else np.zeros(0, np.uint64)
         else:
             # a blank after each text keeps words apart
             sizes = np.diff(at[first : last + 1])
@@ -104,7 +105,7 @@ def text_sets(texts: pa.Array) -> Iterator[np.ndarray]:
             place = np.ones(len(joined), bool)
             place[begin + sizes] = False
             joined[place] = data[at[first] : at[last]]
-            words, starts = word_hashes(joined)
+            words, starts, _ = word_hashes(joined)
             cut = np.searchsorted(starts, np.r_[begin, len(joined)])
             for i in range(last - first):
                 yield shingle_set(words[cut[i] : cut[i + 1]]) if valid[first + i] else np.zeros(0, np.uint64)

@@ -1,8 +1,10 @@
 """The llm operators on Spark: odd rows, and whole small tables against brute force."""
 
 import base64
+import bisect
 import hashlib
 import re
+import string
 import zlib
 from collections import Counter, defaultdict
 
@@ -12,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.llm import context_mixing, langid, matroska, merkle, mixing, ngram_join, packing, quality, queries, toxicity, warc
-from tests.llm.test_llm_units import brute_set
+from tests.llm.test_llm_units import brute_counts, brute_set, check_counts, rows_of_words
 
 KINDS = "doc_id long, text string, lang string, source string, n_chars long, n int, h string, key int, size double, score string, label int, word string, c int, block string, comp int, span int, number int"
 
@@ -353,20 +355,58 @@ def test_classifiers_on_odd_rows(spark, odd, empty, module):
 # --- 8 scores
 
 
-def test_scores_of_documents(spark, data, docs, texts):
-    got = run("op8", spark, data).set_index("doc_id")
+def small(text):
+    return re.findall(r"[^\x20\x09-\x0D]+", text.translate(str.maketrans(string.ascii_uppercase, string.ascii_lowercase)))
+
+
+def test_scores_of_documents(spark, data, texts):
+    larger = data.replace("sf0.001", "sf0.01")
+    docs = spark.read.parquet(f"{larger}/documents.parquet")
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.select("doc_id", "text").collect()}
+    got = run("op8", spark, larger).set_index("doc_id")
     learn = Counter()
     for i, t in texts.items():
         if zlib.crc32(str(i).encode()) % 7 != 2:
-            learn.update([*context_mixing.tokens(t), "\n"])
+            learn.update([*small(t), "\n"])
     n, v = sum(learn.values()), len(learn)
     for i, t in texts.items():
-        words, r = [*context_mixing.tokens(t), "\n"], got.loc[i]
+        words, r = [*small(t), "\n"], got.loc[i]
         assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(words), sum(w in learn for w in words), n)
         assert r["base_score"] == pytest.approx(sum(np.log10((learn[w] + 1) / (n + v + 1)) for w in words))
-        assert r["score"] < 0
+        assert r["score"] < 0 and r["held_out"] == (zlib.crc32(str(i).encode()) % 7 == 2)
     held = got[got["held_out"]]
-    assert held["score"].sum() / held["n_tokens"].sum() > -6
+    assert held["score"].sum() > held["base_score"].sum()
+
+
+def test_counts_are_the_same_in_any_ranges(spark, monkeypatch):
+    rows = rows_of_words(4, 900)
+    counted = spark.createDataFrame([(w, t, c) for (w, t), c in rows], "word binary, turn int, c long").repartition(5)
+    brute = brute_counts([(*k, c) for k, c in rows])
+    borders = context_mixing.range_borders(counted, len(rows), 100)
+    assert len(borders) > 3
+    sums, heads = context_mixing.border_sums(counted, borders), [context_mixing.head(w) for w in borders]
+    for span in range(len(borders) + 1):
+        part = [(k, c) for k, c in rows if bisect.bisect_right(heads, context_mixing.head(k[0])) == span]
+        edges = [(borders[k], sums[k]) for k in (span - 1, span) if 0 <= k < len(borders)]
+        lot = context_mixing.Lot([w for (w, _), _ in part], np.array([t for (_, t), _ in part]), np.array([float(c) for _, c in part]), edges)
+        check_counts(lot, [k for k, _ in part], brute)
+
+
+def test_scores_dont_depend_on_splits_or_tell_copies_apart(spark, docs, tmp_path, monkeypatch):
+    monkeypatch.setattr(context_mixing, "BLOCK_BYTES", 100_000)
+    path = f"{tmp_path}/docs"
+    docs.coalesce(1).write.parquet(path)
+    got = []
+    for size in ("128m", "64k"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        scored = context_mixing.score_documents(spark.read.parquet(path), F.col("doc_id") % 7 != 2, F.col("lang"))
+        got.append(scored.toPandas().sort_values("doc_id").reset_index(drop=True))
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got[0]["score"].to_numpy() == pytest.approx(got[1]["score"].to_numpy(), rel=1e-3)
+    texts = docs.select("doc_id", "text").toPandas().merge(got[0], on="doc_id")
+    long = texts[texts["n_tokens"] > 100]
+    copies = long["text"].duplicated(keep=False)
+    assert copies.any() and long[copies]["bits_per_byte"].max() < long[~copies]["bits_per_byte"].median()
 
 
 def test_scores_of_odd_rows(spark, odd, empty):

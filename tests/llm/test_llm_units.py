@@ -252,21 +252,135 @@ def test_kneser_ney_sums_to_one():
     assert total == pytest.approx(1.0, abs=1e-6)
 
 
-def test_context_mixing_is_a_distribution_over_bits():
-    words = [b"the", b"cat", b"then", b"thecat", b"\n"]
-    size = int(context_mixing.OFFSETS[-1])
-    zeros, ones = np.zeros(size, np.float32), np.zeros(size, np.float32)
-    at, bit, _ = context_mixing.slots(words)
-    for k in range(len(context_mixing.ORDERS)):
-        np.add.at(zeros, at[k], 1 - bit)
-        np.add.at(ones, at[k], bit)
-    m = context_mixing.fresh(zeros, ones)
-    m.learn(words, np.ones(len(words)))
-    cost = m.costs([*words, b"dog", b"xyzzy", b""])
-    assert np.isfinite(cost).all() and (cost < 0).all()
-    assert cost[:5].min() > cost[5:7].max()
-    every = [bytes([c]) for c in range(33, 127)] + [b""]
-    assert np.power(10.0, m.costs(every)).sum() <= 1.0 + 1e-6
+WORDS = [b"the", b"cat", b"then", b"thecat", b"\n", b"a", b"\x00\xff", b"x" * 100, b"x" * 63, b"x" * 64 + b"y", "ü".encode()]
+
+
+def brute_counts(rows):
+    """(turn or None, beginning as bits) -> [zeros, ones], of (word, turn, c) rows."""
+    found = {}
+    for w, turn, c in rows:
+        bits = "".join(f"{x:08b}" for x in w + b" ")[: context_mixing.DEPTH * 8]
+        for d, bit in enumerate(bits):
+            for t in (turn, None):
+                found.setdefault((t, bits[:d]), [0, 0])[int(bit)] += c
+    return found
+
+
+def rows_of_words(seed, more=300):
+    rng = random.Random(seed)
+    words = WORDS + ["".join(rng.choice("abcd") for _ in range(rng.randint(1, 9))).encode() for _ in range(more)]
+    return sorted({(w, rng.randint(0, 2)): rng.randint(0, 9) for w in words}.items(), key=lambda x: rng.random())
+
+
+def check_counts(lot, rows, brute):
+    for i, (w, turn) in enumerate(rows):
+        bits = "".join(f"{x:08b}" for x in w + b" ")[: context_mixing.DEPTH * 8]
+        for part, begin, t in ((lot.any, lot.begin[lot.row[i]], None), (lot.own, lot.own_begin[i], turn)):
+            for d in range(len(bits)):
+                assert (part[0][begin + d], part[1][begin + d]) == tuple(brute[t, bits[:d]]), (w, t, d)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_beginnings_equal_brute_force(seed):
+    rows = rows_of_words(seed)
+    words, turns, c = [w for (w, _), _ in rows], np.array([t for (_, t), _ in rows]), np.array([float(c) for _, c in rows])
+    check_counts(context_mixing.Lot(words, turns, c, []), [k for k, _ in rows], brute_counts([(*k, c) for k, c in rows]))
+
+
+def mixer_of(rows, bits=16, seed=0):
+    zeros, ones = np.zeros(3 << bits, np.float32), np.zeros(3 << bits, np.float32)
+    for (w, turn), c in rows:
+        flat = context_mixing.Flat.of([w])
+        at = context_mixing.hashed_slots(flat.data, flat.places(), np.full(len(flat.data), turn), bits).reshape(3, -1)
+        bit = np.unpackbits(flat.data)
+        for k in range(3):
+            np.add.at(zeros, at[k], c * (1 - bit))
+            np.add.at(ones, at[k], c * bit)
+    m = context_mixing.Mixer.fresh(zeros, ones, bits)
+    m.weights = np.random.default_rng(seed).uniform(0, 0.5, len(m.weights)).astype(np.float32)
+    return m
+
+
+def test_costs_equal_a_coder_that_goes_bit_by_bit():
+    rows = rows_of_words(7, 60)
+    m, exact = mixer_of(rows, 23), brute_counts([(*k, c) for k, c in rows])
+    near = {}
+    for (w, turn), c in rows:  # contexts of up to three bytes before, by dictionary
+        data = w + b" "
+        for j, byte in enumerate(data):
+            for order in (1, 2, 3):
+                for d, bit in enumerate(f"{byte:08b}"):
+                    near.setdefault((turn, order, data[max(0, j - order) : j], f"{byte:08b}"[:d]), [0, 0])[int(bit)] += c
+
+    def cost(w, turn):
+        data, total = w + b" ", 0.0
+        for j, byte in enumerate(data):
+            for d, bit in enumerate(f"{byte:08b}"):
+                so_far = "".join(f"{x:08b}" for x in data[:j]) + f"{byte:08b}"[:d]
+                pairs = [near[turn, o, data[max(0, j - o) : j], f"{byte:08b}"[:d]] for o in (1, 2, 3)]
+                pairs += [exact[t, so_far] if j < context_mixing.DEPTH else [0, 0] for t in (None, turn)]
+                z, seen = 0.0, [a + b for a, b in pairs]
+                gate = 4 * sum(seen[-1] >= x for x in (0.5, 2.5, 20.5)) + sum(seen[-2] >= x for x in (0.5, 2.5, 20.5))
+                for k, (a, b) in enumerate(pairs):
+                    level = sum(a + b > x for x in context_mixing.LEVELS) + (7 if min(a, b) < 0.5 else 0)
+                    z += m.weights[(k * 16 + gate) * 14 + level] * np.log((b + 0.1) / (a + 0.1))
+                p = m.refined(np.clip(np.array([z]), -14, 14), np.array([gate]))[0]
+                total += np.log10(p if bit == "1" else 1 - p)
+        return total
+
+    words, turns, c = [w for (w, _), _ in rows], np.array([t for (_, t), _ in rows]), np.array([float(c) for _, c in rows])
+    got = context_mixing.Lot(words, turns, c, []).costs(m, batch=17)
+    assert got == pytest.approx([cost(w, t) for w, t in zip(words, turns.tolist(), strict=True)], rel=1e-4)
+
+
+def test_context_mixing_is_a_distribution_over_words():
+    rows = rows_of_words(2) + [((bytes([c]), 0), 0) for c in range(33, 127)] + [((b"", 0), 0)]
+    lot = context_mixing.Lot([w for (w, _), _ in rows], np.zeros(len(rows), int), np.array([float(c) for _, c in rows]), [])
+    m = mixer_of(rows)
+    before = lot.costs(m)
+    weights, used, one, zero = lot.learn(m, np.arange(len(rows)))
+    m.weights = weights.astype(np.float32)
+    cost = dict(zip([w for (w, _), _ in rows], lot.costs(m), strict=True))
+    assert np.isfinite(list(cost.values())).all() and sum(10.0**x for x in cost.values()) <= 1.0 + 1e-6
+    times = np.array([c for _, c in rows])
+    assert (lot.costs(m) * times).sum() > (before * times).sum()  # what was learned codes better
+    assert used.sum() > 0 and one.shape == zero.shape == (context_mixing.GATES, 33)
+
+
+def test_turns_follow_the_words_before():
+    rng = np.random.default_rng(0)
+    texts = [None, "", *(" ".join(rng.choice(["der", "die", "the", "and", "la", "x"], rng.integers(0, 40))) for _ in range(30))]
+    evidence = rng.normal(size=((1 << context_mixing.EVIDENCE_BITS) + 1, context_mixing.TURNS)).astype(np.float32)
+    s, at = context_mixing.spoken(texts, evidence), 0
+    for i, t in enumerate(texts):
+        sums = evidence[-1].astype(float)
+        for w in [*(t or "").split(), None]:
+            assert s.turns[at] == sums.argmax() and s.owner[at] == i and (s.ids[at] == context_mixing.END) == (w is None)
+            sums = sums + (evidence[int(s.ids[at]) >> 48] if w else 0)
+            at += 1
+    assert at == len(s.ids)
+
+
+def test_promised_segments_raise_a_documents_score():
+    rng = np.random.default_rng(3)
+    text = " ".join(f"w{i}" for i in rng.integers(0, 500, 400))
+    s = context_mixing.spoken([text, "short one"], np.zeros(((1 << context_mixing.EVIDENCE_BITS) + 1, context_mixing.TURNS), np.float32))
+    cost, share, k = np.full(len(s.ids), -3.0), np.full(17, 0.5), len(s.first)
+    total, c = rng.integers(0, 4, k) * (s.before > 0), np.zeros(k, np.int64)
+    c = np.minimum(rng.integers(0, 3, k), total)
+    for learn in (0, 1):
+        got = context_mixing.documents_scored(s, np.full(2, learn), cost, total, c, share)
+        want, held, told = [0.0, 0.0], 0, 0
+        ends = [*s.first[1:], len(s.ids)]
+        for j in range(k):
+            points, n, m = -3.0 * (ends[j] - s.first[j]), total[j] - learn, c[j] - learn
+            if total[j] > 0 and n > 0:
+                p = (held + 2) / (told + 4)
+                points = np.log10((1 - p) * 10.0**points + (p * m / n if m > 0 else 0))
+                told, held = told + 1, held + (m > 0)
+            want[s.owner[s.first[j]]] += points
+        assert got == pytest.approx(want)
+    assert len(set(s.pairs.tolist())) == k and (s.before == 0).sum() == 2
 
 
 def test_toxic_words_are_found_through_disguise():
@@ -295,7 +409,8 @@ def test_discriminant_separates_classes_of_unequal_spread():
 
 @pytest.mark.parametrize("text", TEXTS)
 def test_tokens_are_words_with_small_letters(text):
-    assert context_mixing.tokens(text) == [w.encode() for w in WORD.findall((text or "").translate(LOW))]
+    s = context_mixing.spoken([text], np.zeros(((1 << context_mixing.EVIDENCE_BITS) + 1, context_mixing.TURNS), np.float32))
+    assert context_mixing.word_bytes(s, np.arange(len(s.ids))).to_pylist() == [w.encode() for w in [*WORD.findall((text or "").translate(LOW)), "\n"]]
 
 
 @pytest.mark.parametrize("text", TEXTS)
