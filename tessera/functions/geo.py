@@ -26,6 +26,15 @@ def pixel_to_world(gt: Column, col: Column, row: Column) -> tuple[Column, Column
     return gt[0] * col + gt[1] * row + gt[2], gt[3] * col + gt[4] * row + gt[5]
 
 
+def world_to_pixel(gt: Column, x: Column, y: Column) -> tuple[Column, Column]:
+    """(col, row) by the inverse of the geotransform; without rotation each axis by itself, as that rounds least."""
+    dx, dy, det = x - gt[2], y - gt[5], gt[0] * gt[4] - gt[1] * gt[3]
+    plain = (gt[1] == 0) & (gt[3] == 0)
+    col = F.when(plain, dx / gt[0]).otherwise((gt[4] * dx - gt[1] * dy) / det)
+    row = F.when(plain, dy / gt[4]).otherwise((gt[0] * dy - gt[3] * dx) / det)
+    return col, row
+
+
 def pixel_box_to_world(gt: Column, col: Column, row: Column, w: Column, h: Column) -> dict[str, Column]:
     """The box around the four corners of a pixel box, rotation included."""
     corners = [pixel_to_world(gt, c, r) for c in (col, col + w) for r in (row, row + h)]
@@ -65,10 +74,11 @@ def resolution_policy(res: Column, high_res: bool = False) -> dict[str, Column]:
 
 
 def snap_to_patch(xmin: Column, ymin: Column, xmax: Column, ymax: Column, gt: Column, patch: Column) -> dict[str, Column]:
-    """The pixel window of a world box, floored and ceiled, then extended right and down to whole patches."""
-    col0 = F.floor((xmin - gt[2]) / gt[0])
-    row0 = F.floor((ymax - gt[5]) / gt[4])
-    cols = F.ceil((xmax - gt[2]) / gt[0]) - col0
-    rows = F.ceil((ymin - gt[5]) / gt[4]) - row0
+    """The pixel window around the four corners of a world box, floored and ceiled, then extended right and down to whole
+    patches."""
+    corners = [world_to_pixel(gt, x, y) for x in (xmin, xmax) for y in (ymin, ymax)]
+    cs, rs = [c for c, _ in corners], [r for _, r in corners]
+    col0, row0 = F.floor(F.least(*cs)), F.floor(F.least(*rs))
+    cols, rows = F.ceil(F.greatest(*cs)) - col0, F.ceil(F.greatest(*rs)) - row0
     whole = lambda n: (F.ceil(n / patch) * patch).cast("bigint")
     return {"col0": col0.cast("bigint"), "row0": row0.cast("bigint"), "w_px": whole(cols), "h_px": whole(rows)}

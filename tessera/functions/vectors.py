@@ -19,8 +19,8 @@ def norm(v: Column) -> Column:
 
 
 def l2_normalise(v: Column, eps: float = 1e-8) -> Column:
-    """x / (|x| + eps)."""
-    return F.transform(doubles(v), lambda x: x / (norm(v) + eps))
+    """x / (|x| + eps); the norm is bound once, as an array of one, not found again for each x."""
+    return F.element_at(F.transform(F.array(norm(v) + eps), lambda n: F.transform(doubles(v), lambda x: x / n)), 1)
 
 
 def cosine(a: Column, b: Column, eps: float = 1e-8) -> Column:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType, StructField, StructType
 
 from tessera.functions.vectors import dot, doubles, l2_normalise, stretched
+from tessera.operators.percentiles import exact_percentiles
 
 Embedder = Callable[[np.ndarray], np.ndarray]
 
@@ -36,9 +37,33 @@ def embed(cells: DataFrame, pixels: str, make_embedder: Callable[[], Embedder],
 
 
 def mean_pool(vectors: DataFrame, by: list[str], vector: str) -> DataFrame:
-    """The mean vector of each group, by position; sums are added up where the rows are."""
-    long = vectors.select(*by, F.posexplode(doubles(F.col(vector))).alias("pos", "x"))
-    return long.groupBy(*by, "pos").agg(F.avg("x").alias("mean"))
+    """The mean vector of each group, by position: (by..., pos, mean); vectors of a group are of equal length.
+
+    Each task adds up whole vectors, so what is spread out by position is a row a task and group, not a row a vector.
+    """
+    schema = StructType([*[vectors.schema[c] for c in by], *StructType.fromDDL("n bigint, total array<double>").fields])
+
+    def add(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[tuple, list] = {}
+
+        def rows() -> pd.DataFrame:
+            out = pd.DataFrame([[*k, n, t] for k, (n, t) in sums.items()], columns=schema.names)
+            return out.astype({f.name: "Int64" for f in schema.fields[: len(by)] if f.dataType.typeName() in ("integer", "long", "short")})
+
+        for p in parts:
+            p = p[p["v"].notna()]
+            for k, g in p.groupby(by, dropna=False, sort=False)["v"]:
+                n, t = sums.get(k, (0, 0.0))
+                sums[tuple(None if pd.isna(x) else x for x in k)] = [n + len(g), t + np.stack(g.to_list()).sum(axis=0)]
+            if len(sums) > 10_000:
+                yield rows()
+                sums.clear()
+        if sums:
+            yield rows()
+
+    parts = vectors.select(*by, doubles(F.col(vector)).alias("v")).mapInPandas(add, schema)
+    long = parts.select(*by, "n", F.posexplode("total").alias("pos", "x"))
+    return long.groupBy(*by, "pos").agg((F.sum("x") / F.sum("n")).alias("mean"))
 
 
 def as_vectors(long: DataFrame, by: list[str], value: str = "mean") -> DataFrame:
@@ -91,19 +116,62 @@ def project(vector: Column, mean: list[float], components: list[list[float]], no
 
 def percentile_stretch(rows: DataFrame, columns: list[str], low: float = 0.02, high: float = 0.98) -> DataFrame:
     """Columns brought to 0..1 between two percentiles of the whole table."""
-    bounds = rows.agg(*[F.percentile(F.col(c).cast("double"), F.array(F.lit(low), F.lit(high))).alias(c) for c in columns])
-    joined = rows.crossJoin(F.broadcast(bounds.select(*[F.col(c).alias(f"_{c}") for c in columns])))
-    for c in columns:
-        joined = joined.withColumn(c, stretched(F.col(c).cast("double"), F.col(f"_{c}")[0], F.col(f"_{c}")[1])).drop(f"_{c}")
-    return joined
+    long = rows.select(F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("double").alias("v")) for c in columns])).alias("x")).select("x.c", "x.v")
+    bounds = exact_percentiles(long, ["c"], F.col("v"), [low, high])
+    for c in columns:  # one row a column; without any value there is nothing to stretch
+        one = bounds.where(F.col("c") == c).select(F.col("p0").alias("_low"), F.col("p1").alias("_high"))
+        rows = rows.join(F.broadcast(one), how="left").withColumn(c, stretched(F.col(c).cast("double"), F.col("_low"), F.col("_high"))).drop("_low", "_high")
+    return rows
+
+
+def pca_rgb(vectors: DataFrame, vector: str, low: float = 0.02, high: float = 0.98) -> DataFrame:
+    """Adds r, g, b, 0 to 1: the first three principal components of the vectors as they are, stretched."""
+    mean, parts = fit_pca(vectors, vector, 3, normalise=False)
+    p = vectors.withColumn("_p", project(F.col(vector), mean.tolist(), parts.tolist(), normalise=False))
+    return percentile_stretch(p.select("*", *[F.col("_p")[k].alias(c) for k, c in enumerate("rgb")]).drop("_p"), ["r", "g", "b"], low, high)
+
+
+def embed_boxes(boxes: DataFrame, pixels: str, make_embedder: Callable[[], Embedder], cell: int, key: str = "uuid") -> DataFrame:
+    """(key, prow, pcol, vec, n): patch vectors of boxes (key, row_px, col_px, h_px, w_px, pixels), the mean where boxes overlap.
+
+    The embedder gives a vector for each patch of ``cell`` pixels of a box, as (patches down, patches across, d).
+    """
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = make_embedder()
+        for part in parts:
+            for r in part.itertuples():
+                grid = np.asarray(model(np.asarray(r.x, np.float64).reshape(r.h_px, r.w_px, -1)), np.float64)
+                down, across, d = grid.shape
+                prow, pcol = np.divmod(np.arange(down * across), across)
+                yield pd.DataFrame({"k": [r.k] * (down * across), "prow": prow + r.row_px // cell, "pcol": pcol + r.col_px // cell, "v": list(grid.reshape(-1, d))})
+
+    kind = dict(boxes.dtypes)[key]
+    rows = boxes.select(F.col(key).alias("k"), "row_px", "col_px", "h_px", "w_px", F.col(pixels).alias("x")).mapInPandas(run, f"k {kind}, prow int, pcol int, v array<double>")
+    place = ["k", "prow", "pcol"]
+    long = rows.select(*place, F.posexplode("v").alias("pos", "x")).groupBy(*place, "pos").agg(F.avg("x").alias("mean"), F.count("*").alias("n"))
+    pairs = F.sort_array(F.collect_list(F.struct("pos", "mean")))
+    return long.groupBy(*place).agg(F.transform(pairs, lambda p: p["mean"]).alias("vec"), F.max("n").alias("n")).withColumnRenamed("k", key)
+
+
+def patch_rows(cells: DataFrame, tokens: str, by: list[str]) -> DataFrame:
+    """(by..., prow, pcol, vec) of cells whose ``tokens`` are channels x patches, the patches of a square grid."""
+    t = F.col(tokens)
+    flat = cells.select(*by, t.alias("t"), F.round(F.sqrt(F.size(t[0]))).cast("int").alias("g"))
+    each = flat.select(*by, "g", F.posexplode(F.transform(F.sequence(F.lit(0), F.size(F.col("t")[0]) - 1), lambda i: F.transform("t", lambda c: F.get(c, i)))).alias("at", "vec"))
+    return each.select(*by, F.floor(F.col("at") / F.col("g")).cast("int").alias("prow"), (F.col("at") % F.col("g")).cast("int").alias("pcol"), F.col("vec").cast("array<float>").alias("vec"))
 
 
 def kmeans(vectors: DataFrame, vector: str, k: int, seeds: int = 10, cosine: bool = False) -> DataFrame:
-    """Adds ``cluster`` by the best of ``seeds`` runs."""
-    ready = vectors.withColumn("_features", array_to_vector(doubles(F.col(vector)))).cache()
+    """Adds ``cluster`` by the best of ``seeds`` runs; ``cosine``: spherical, by angles."""
+    ready = vectors.withColumn("_features", array_to_vector(doubles(F.col(vector))))
+    kept = ready.select("_features").persist()
     measure = "cosine" if cosine else "euclidean"
-    fits = [KMeans(k=k, seed=s, featuresCol="_features", predictionCol="cluster", distanceMeasure=measure, maxIter=50).fit(ready) for s in range(seeds)]
-    best = min(fits, key=lambda f: f.summary.trainingCost)
+    try:
+        fits = [KMeans(k=k, seed=s, featuresCol="_features", predictionCol="cluster", distanceMeasure=measure, maxIter=50).fit(kept) for s in range(seeds)]
+        best = min(fits, key=lambda f: f.summary.trainingCost)
+    finally:
+        kept.unpersist()
     return best.transform(ready).drop("_features")
 
 

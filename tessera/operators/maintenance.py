@@ -49,29 +49,32 @@ def reconcile_links(tiles: DataFrame, links: DataFrame, key: str = "mask_path")
     return rest.join(links.select(key, "image_path", "image_exists"), key, "left").withColumn("image_exists", F.coalesce("image_exists", F.lit(False)))
 
 
-def duplicates(rows: DataFrame, group: Column, order: list[Column], content: Column | None = None) -> DataFrame:
-    """Adds ``copies``, ``place`` (1: the one to keep) and ``conflict`` (the group's contents differ).
+def duplicates(rows: DataFrame, group: Column, order: list[Column], content: Column | None = None, ranked: bool = False) -> DataFrame:
+    """Adds ``copies``, ``place`` (1: the one to keep, else 2; ``ranked``: all places) and ``conflict`` (the contents differ).
 
-    Contents are compared by hash of at most two values, so no group is collected.
+    ``order`` are values, the least first.  A group is an aggregate of one row that is joined back, so a group of any size is
+    spread; only of rows with the very same order values one is picked in a window.  ``ranked`` sorts whole groups.
     """
-    rank = W.partitionBy("_group").orderBy(*order)
-    whole = W.partitionBy("_group")
     content = F.lit(0) if content is None else content
-    return (
-        rows.withColumn("_group", group)
-        .withColumn("_content", content)
-        .withColumn("copies", F.count("*").over(whole))
-        .withColumn("place", F.row_number().over(rank))
-        .withColumn("conflict", ~F.min("_content").over(whole).eqNullSafe(F.max("_content").over(whole)))
-        .drop("_group", "_content")
+    told = rows.withColumn("_group", group).withColumn("_content", content).withColumn("_order", F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)]))
+    sums = told.groupBy("_group").agg(
+        F.count("*").alias("copies"), F.min("_order").alias("_first"), (~F.min("_content").eqNullSafe(F.max("_content"))).alias("conflict")
     )
+    s = sums.withColumnRenamed("_group", "_g")
+    joined = told.join(s, F.col("_group").eqNullSafe(F.col("_g")))
+    if ranked:
+        place = F.row_number().over(W.partitionBy("_group").orderBy("_order"))
+    else:
+        same = F.row_number().over(W.partitionBy("_group", "_order").orderBy("_content"))
+        place = F.when((F.col("_order") == F.col("_first")) & (same == 1), 1).otherwise(2)
+    return joined.withColumn("place", place).drop("_group", "_g", "_content", "_order", "_first")
 
 
 def deduplicated(tiles: DataFrame, verify: bool = False, content: Column | None = None) -> DataFrame:
     """One tile for each image that exists, ``mask_`` files first; with ``verify``, groups whose contents differ stay."""
     linked = tiles.where(F.col("image_exists"))
     first = F.substring_index("mask_path", "/", -1).startswith("mask_")
-    ranked = duplicates(linked, F.col("image_path"), [first.desc(), F.col("mask_path")], content)
+    ranked = duplicates(linked, F.col("image_path"), [~first, F.col("mask_path")], content)
     keep = (F.col("place") == 1) | (F.col("conflict") if verify else F.lit(False))
     rest = tiles.where(~F.coalesce("image_exists", F.lit(False)))
     return ranked.where(keep).drop("copies", "place", "conflict").unionByName(rest)

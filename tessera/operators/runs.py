@@ -70,6 +70,13 @@ def sampled(rows: DataFrame, n: int, key: str, seed: int = 0) -> DataFrame:
     return rows.orderBy(F.xxhash64(F.lit(seed), key), key).limit(n)
 
 
+def sampled_by_file(rows: DataFrame, n: int, file: str, key: str, seed: int = 0) -> DataFrame:
+    """About ``n`` rows in equal parts of every file, at least one of each, by a seeded hash of their key."""
+    files = max(1, rows.select(file).distinct().count())
+    turn = W.partitionBy(file).orderBy(F.xxhash64(F.lit(seed), key), key)
+    return rows.withColumn("_turn", F.row_number().over(turn)).where(F.col("_turn") <= max(1, n // files)).drop("_turn")
+
+
 def integrity(cells: DataFrame, meta: DataFrame, patches: DataFrame, site: str = "site_id") -> DataFrame:
     """One row a site of any of the three: ok and the problems found.
 

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from tessera.functions.classes import TARGETS, is_no_data, target
+from tessera.functions.classes import NO_DATA, TARGETS, is_no_data, target
+from tessera.operators.percentiles import exact_percentiles
 
 
 def class_histogram(pixels: DataFrame, tile: list[str], original: str = "original_class_id", count: str | None = None) -> DataFrame:
@@ -65,6 +71,33 @@ def annotation_box(pixels: DataFrame, tile: list[str], original: Column, row: Co
     )
 
 
+SUMMARY = "class_ids array<int>, class_counts array<bigint>, row0 int, row1 int, col0 int, col1 int, annotated bigint"
+
+
+def mask_summary(mask: np.ndarray) -> dict:
+    """What statistics need of a mask (rows x columns): its ids with their counts, and the box around what isn't no data."""
+    ids, counts = np.unique(mask, return_counts=True)
+    seen = ~np.isin(mask, NO_DATA)
+    rows, cols = np.flatnonzero(seen.any(axis=1)), np.flatnonzero(seen.any(axis=0))
+    box = [int(rows[0]), int(rows[-1]), int(cols[0]), int(cols[-1])] if len(rows) else [None] * 4
+    return {"class_ids": ids.astype(np.int32).tolist(), "class_counts": counts.tolist(), **dict(zip(("row0", "row1", "col0", "col1"), box, strict=True)), "annotated": int(seen.sum())}
+
+
+def summarised(masks: DataFrame) -> DataFrame:
+    """``masks`` with :func:`mask_summary` of their ``classify`` in its place: a narrow row a mask, not a row a pixel."""
+    keep = [f for f in masks.schema.fields if f.name not in ("classify", "problem")]
+    schema = StructType([*keep, *StructType.fromDDL(SUMMARY).fields])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            found = [mask_summary(np.asarray(m, np.int64).reshape(-1, w) if w else np.zeros((0, 0), np.int64)) for m, w in zip(b["classify"], b["width"], strict=True)]
+            told = pd.DataFrame(found, columns=[f.name for f in schema.fields[len(keep) :]])
+            whole = {c: told[c].astype("Int32") for c in ("row0", "row1", "col0", "col1")}
+            yield pd.concat([b[[f.name for f in keep]].reset_index(drop=True), told.assign(**whole)], axis=1)
+
+    return masks.where(F.col("classify").isNotNull()).select(*[f.name for f in keep], "classify").mapInPandas(run, schema)
+
+
 def mask_pixels(masks: DataFrame) -> DataFrame:
     """One row a pixel of (…, height, width, classify) mask rows: original_class_id, row and col."""
     keep = [c for c in masks.columns if c not in ("classify", "problem")]
@@ -73,14 +106,25 @@ def mask_pixels(masks: DataFrame) -> DataFrame:
 
 
 def tile_rows(masks: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The wide statistics row of each mask tile and its long class counts; tiles with an invalid id are in neither."""
+    """The wide statistics row of each mask tile and its long class counts; tiles with an invalid id are in neither.
+
+    ``masks`` have a ``classify`` array, or the columns of :func:`summarised` already.
+    """
     tile = ["tile_id", "site", "resolution", "dataset_version", "split", "mask_path", "height", "width"]
-    good = masks.where(F.col("classify").isNotNull())
-    pixels = mask_pixels(good)
-    histogram = class_histogram(pixels, tile)
-    wide = class_rollup(histogram, tile)
-    box = annotation_box(pixels, ["mask_path"], F.col("original_class_id"), F.col("row"), F.col("col"), F.count("*"))
-    rows = wide.join(box, "mask_path")
+    box = ["row0", "row1", "col0", "col1", "annotated"]
+    told = summarised(masks) if "classify" in masks.columns else masks.where(F.col("class_ids").isNotNull())
+    each = told.select(*tile, *box, F.explode(F.arrays_zip("class_ids", "class_counts")).alias("c"))
+    each = each.select(*tile, *box, F.col("c.class_ids").alias("original_class_id"), F.col("c.class_counts").alias("n"))
+    histogram = class_histogram(each, tile, count="n")
+    area = (F.col("row1") - F.col("row0") + 1) * (F.col("col1") - F.col("col0") + 1)
+    some = F.col("annotated") > 0
+    rows = (
+        class_rollup(class_histogram(each, [*tile, *box], count="n"), [*tile, *box])
+        .withColumn("annot_bbox_area_frac", F.when(some, area / F.col("total_pixels")).otherwise(F.lit(0.0)))
+        .withColumn("annot_in_bbox_density", F.when(some, F.col("annotated") / area).otherwise(F.lit(0.0)))
+        .drop(*box)
+    )
+    wide = rows
     long = histogram.join(wide.select("mask_path"), "mask_path", "left_semi").select("tile_id", "site", "resolution", "split", "original_class_id", "pixel_count")
     return rows, long
 
@@ -100,10 +144,9 @@ def site_rollup(tiles: DataFrame, classes: DataFrame) -> DataFrame:
         F.sum("total_pixels").cast("bigint").alias("total_pixels"),
         F.sum("pixels_no_data").cast("bigint").alias("total_no_data_pixels"),
         F.avg(frac).alias("mean_no_data_frac"),
-        F.median(frac).alias("median_no_data_frac"),
-        F.percentile(frac, F.lit(0.9)).alias("p90_no_data_frac"),
         F.avg(F.when(frac > 0.9, 1.0).otherwise(0.0)).alias("frac_tiles_mostly_no_data"),
         *[F.sum(f"pixels_class_{k}").cast("bigint").alias(f"pixels_class_{k}") for k in TARGETS if f"pixels_class_{k}" in tiles.columns],
     )
     union = classes.groupBy(*key).agg(F.countDistinct("original_class_id").cast("smallint").alias("n_unique_orig_classes_union"))
-    return base.join(union, key, "left").fillna(0, ["n_unique_orig_classes_union"])
+    shares = exact_percentiles(tiles, key, frac, [0.5, 0.9]).withColumnsRenamed({"p0": "median_no_data_frac", "p1": "p90_no_data_frac"})
+    return base.join(shares, key, "left").join(union, key, "left").fillna(0, ["n_unique_orig_classes_union"])

@@ -294,9 +294,9 @@ _RANKED = """(SELECT doc_id, count(*) OVER (PARTITION BY text) AS copies, row_nu
  min(source) OVER (PARTITION BY text) <> max(source) OVER (PARTITION BY text) AS conflict FROM documents WHERE text IS NOT NULL)"""
 
 
-def _duplicates(spark: SparkSession, sf: str) -> DataFrame:
+def _duplicates(spark: SparkSession, sf: str, ranked: bool = False) -> DataFrame:
     docs = read(spark, sf, "documents").where("text is not null").select("doc_id", "source", F.sha2("text", 256).alias("content"))
-    return maintenance.duplicates(docs, F.col("content"), [F.col("doc_id")], F.col("source"))
+    return maintenance.duplicates(docs, F.col("content"), [F.col("doc_id")], F.col("source"), ranked)
 
 
 @query(f"SELECT doc_id, copies FROM {_RANKED} WHERE place = 1")
@@ -306,7 +306,7 @@ def dedup_canonical(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"SELECT doc_id, CAST(place AS INTEGER) AS place FROM {_RANKED} WHERE conflict")
 def dedup_conflicts(spark: SparkSession, sf: str) -> DataFrame:
-    return _duplicates(spark, sf).where("conflict").select("doc_id", "place")
+    return _duplicates(spark, sf, True).where("conflict").select("doc_id", "place")
 
 
 @query(
@@ -395,7 +395,7 @@ def pca_fit(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def kmeans_fit(spark: SparkSession, sf: str) -> DataFrame:
-    return embedding.kmeans(read(spark, sf, "embeddings"), "embedding", 6, seeds=3).select("vec_id", "cluster")
+    return embedding.kmeans(read(spark, sf, "embeddings"), "embedding", 6).select("vec_id", "cluster")
 
 
 # --- grids and tiling ----------------------------------------------------------------------------
@@ -517,9 +517,9 @@ def run_status(spark: SparkSession, sf: str) -> DataFrame:
     return runs.status(rows, ["run"])
 
 
-@query("SELECT n_nationkey, n_name FROM nation WHERE contains(lower(n_name), 'an') ORDER BY n_name LIMIT 1")
+@query("SELECT n_nationkey, n_name FROM nation WHERE contains(lower(n_name), 'on_1') ORDER BY n_name LIMIT 1")
 def pick_site(spark: SparkSession, sf: str) -> DataFrame:
-    return runs.pick(read(spark, sf, "nation"), "n_name", "AN", "n_name").select("n_nationkey", "n_name")
+    return runs.pick(read(spark, sf, "nation"), "n_name", "ON_1", "n_name").select("n_nationkey", "n_name")
 
 
 _INTEGRITY = """WITH c AS (SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS cell_id FROM embeddings),
