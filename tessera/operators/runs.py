@@ -36,7 +36,7 @@ def resolved(sites: DataFrame, tiles: DataFrame, rasters: DataFrame) -> DataFram
         .when(F.col("_known").isNull(), F.concat(F.lit("no raster for "), "site_key"))
         .when(F.col("rgb_path").isNull(), F.concat(F.lit("no raster at "), "res", F.lit(" for "), "site_key"))
     )
-    return joined.drop("_known").withColumn("problem", F.substring(why, 1, 70))
+    return joined.withColumn("problem", F.substring(why, 1, 70)).drop("_known")
 
 
 def status(results: DataFrame, by: list[str] | None = None) -> DataFrame:

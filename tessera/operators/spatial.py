@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.functions.geo import BOX, clipped, intersects
+from tessera.functions.geo import BOX, clipped, intersects, pixel_box_to_world, snap_to_patch
 
 HULL_BUCKETS = 256
 
@@ -51,10 +51,20 @@ def box_join(left: DataFrame, right: DataFrame, size: float, on: list[str] | Non
     return a.join(b, same & intersects("a", "b") & lowest)
 
 
-def clip_to(tiles: DataFrame, extent: DataFrame) -> DataFrame:
-    """Tiles cut to the extent's box (one row); those outside are dropped, those that only touch it too."""
+def clip_to(tiles: DataFrame, extents: DataFrame, on: list[str] | None = None) -> DataFrame:
+    """Tiles cut to their extent's box; those outside are dropped, those that only touch it too.
+
+    ``extents`` has one row for each value of ``on``, or one in all where ``on`` isn't given; more raise.
+    """
+    on = on or []
+    if extents.groupBy(*on).agg(F.count("*").alias("n")).where("n > 1").limit(1).count():
+        raise ValueError("more than one extent")
     other = [c for c in tiles.columns if c not in BOX]
-    joined = tiles.alias("a").join(F.broadcast(extent.select(*BOX).limit(1)).alias("b"), intersects("a", "b"))
+    same = intersects("a", "b")
+    for c in on:
+        same &= F.col(f"a.{c}") == F.col(f"b.{c}")
+    b = extents.select(*on, *BOX)
+    joined = tiles.alias("a").join((b if on else F.broadcast(b)).alias("b"), same)
     cut = joined.select(*[f"a.{c}" for c in other], *[v.alias(k) for k, v in clipped("a", "b").items()])
     return cut.where("xmax > xmin and ymax > ymin")
 
@@ -182,9 +192,15 @@ def grid_cells(areas: DataFrame, cell: str, site: str = "site_id") -> DataFrame:
 
 
 def with_cell_ids(cells: DataFrame, site: str = "site_id") -> DataFrame:
-    """Adds ``cell_id``: 0, 1, ... within the site in row-major order, rows from the top."""
-    order = W.partitionBy(site).orderBy("row", "col")
-    return cells.withColumn("cell_id", (F.row_number().over(order) - 1).cast("bigint"))
+    """Adds ``cell_id``: 0, 1, ... within the site in row-major order, rows from the top.
+
+    Cells are numbered within a row of the grid and moved up by the counts of the rows before, so a site of any number of
+    cells isn't one task.
+    """
+    above = W.partitionBy(site).orderBy("row").rowsBetween(W.unboundedPreceding, -1)
+    rows = cells.groupBy(site, "row").agg(F.count("*").alias("_n")).select(site, "row", F.coalesce(F.sum("_n").over(above), F.lit(0)).alias("_above"))
+    within = F.row_number().over(W.partitionBy(site, "row").orderBy("col")) - 1
+    return cells.withColumn("_within", within).join(rows, [site, "row"]).withColumn("cell_id", (F.col("_above") + F.col("_within")).cast("bigint")).drop("_within", "_above")
 
 
 def without_void(cells: DataFrame, samples: DataFrame, key: list[str], least: float = 0.02) -> DataFrame:
@@ -194,14 +210,121 @@ def without_void(cells: DataFrame, samples: DataFrame, key: list[str], least: fl
     return cells.join(good.select(*key), key, "left_semi")
 
 
-def footprint(blocks: DataFrame, by: list[str], least_pixels: int = 64) -> DataFrame:
-    """Runs of decimated pixels with data as boxes: (by..., row, col0, col1); runs of rows whose group has fewer pixels than
-    ``least_pixels`` are speckle and dropped."""
-    lit = blocks.where("r != 0 or g != 0 or b != 0")
-    line = W.partitionBy(*by, "row").orderBy("col")
-    runs = lit.withColumn("run", F.col("col") - F.row_number().over(line)).groupBy(*by, "row", "run").agg(F.min("col").alias("col0"), F.max("col").alias("col1"))
-    size = runs.groupBy(*by).agg(F.sum(F.col("col1") - F.col("col0") + 1).alias("pixels")).where(F.col("pixels") >= least_pixels)
-    return runs.drop("run").join(size.select(*by), by, "left_semi")
+def footprint(blocks: DataFrame, rasters: DataFrame, site: str = "site_id", max_side: int = 2000, least_pixels: int = 64) -> DataFrame:
+    """Where rasters have data, as boxes: (site, region, xmin, ymin, xmax, ymax), a box a run of pixels in a row.
+
+    ``blocks`` are pixels (site, row, col, r, g, b), ``rasters`` have (site, width, height, geo_transform).  Pixels are thinned
+    until no side is over ``max_side``; regions that touch by sides and have fewer thinned pixels than ``least_pixels`` are
+    speckle and dropped; a raster without a region left gets its whole extent.  A site's thinned mask is what one task
+    holds, ``max_side`` squared at most.
+    """
+    scale = F.greatest(F.floor(F.greatest("width", "height") / max_side), F.lit(1)).cast("int")
+    sized = rasters.select(site, "geo_transform", "width", "height", scale.alias("_scale"))
+    lit = blocks.where("r != 0 or g != 0 or b != 0").join(sized.select(site, "_scale"), site)
+    thin = lit.where((F.col("row") % F.col("_scale") == 0) & (F.col("col") % F.col("_scale") == 0))
+    thin = thin.select(site, F.floor(F.col("row") / F.col("_scale")).cast("int").alias("row"), F.floor(F.col("col") / F.col("_scale")).cast("int").alias("col")).distinct()
+    line = W.partitionBy(site, "row").orderBy("col")
+    runs = thin.withColumn("run", F.col("col") - F.row_number().over(line)).groupBy(site, "row", "run").agg(F.min("col").alias("col0"), F.max("col").alias("col1")).drop("run")
+    kind = dict(blocks.dtypes)[site]
+
+    def regions(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(["row", "col0"]).reset_index(drop=True)
+        part["region"] = joined_runs(part["row"].to_numpy(), part["col0"].to_numpy(), part["col1"].to_numpy())
+        size = (part["col1"] - part["col0"] + 1).groupby(part["region"]).transform("sum")
+        return part[size >= least_pixels][[site, "region", "row", "col0", "col1"]]
+
+    found = runs.groupBy(site).applyInPandas(regions, f"`{site}` {kind}, region int, row int, col0 int, col1 int")
+    each = sized.join(found, site, "left")
+    or_whole = lambda extent, found: F.when(F.col("region").isNull(), extent).otherwise(found)
+    x, y = F.col("col0") * F.col("_scale"), F.col("row") * F.col("_scale")
+    box = pixel_box_to_world(
+        F.col("geo_transform"),
+        or_whole(F.lit(0), x),
+        or_whole(F.lit(0), y),
+        or_whole(F.col("width"), F.least((F.col("col1") - F.col("col0") + 1) * F.col("_scale"), F.col("width") - x)),
+        or_whole(F.col("height"), F.least(F.col("_scale"), F.col("height") - y)),
+    )
+    return each.select(site, "region", *[v.alias(k) for k, v in box.items()])
+
+
+def joined_runs(row: np.ndarray, col0: np.ndarray, col1: np.ndarray) -> np.ndarray:
+    """Region numbers of runs sorted by (row, col0): runs of neighbouring rows that share a column are joined."""
+    parent = np.arange(len(row))
+
+    def find(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    starts = {r: i for i, r in reversed(list(enumerate(row.tolist())))}
+    above = 0
+    for i in range(len(row)):
+        if i == 0 or row[i] != row[i - 1]:
+            above = starts.get(int(row[i]) - 1, len(row))
+        while above < len(row) and row[above] == row[i] - 1 and col1[above] < col0[i]:
+            above += 1
+        k = above
+        while k < len(row) and row[k] == row[i] - 1 and col0[k] <= col1[i]:
+            parent[find(i)] = find(k)
+            k += 1
+    return np.array([find(i) for i in range(len(row))], np.int32)
+
+
+def clip_to_footprint(tiles: DataFrame, foot: DataFrame, size: float, key: list[str], site: str = "site_id") -> DataFrame:
+    """Tiles cut to the box around what their site's footprint boxes leave of them; those that it leaves nothing are dropped.
+
+    ``key`` tells tiles apart; ``size`` is the side of the join's buckets.
+    """
+    pairs = box_join(tiles, foot.select(site, *BOX), size, [site])
+    cut = pairs.select("a.*", F.struct(*[v.alias(k) for k, v in clipped("a", "b").items()]).alias("_cut")).where("_cut.xmax > _cut.xmin and _cut.ymax > _cut.ymin")
+    other = [c for c in tiles.columns if c not in BOX and c not in key]
+    low = [F.min(f"_cut.{c}").alias(c) for c in ("xmin", "ymin")] + [F.max(f"_cut.{c}").alias(c) for c in ("xmax", "ymax")]
+    return cut.groupBy(*key).agg(*[F.first(c).alias(c) for c in other], *low).select(tiles.columns)
+
+
+def pixel_areas(areas: DataFrame, rasters: DataFrame, patch: int, site: str = "site_id") -> DataFrame:
+    """Each area's box snapped outward to its raster's pixels and to whole patches: (site, geo_transform, col0, row0, w_px, h_px)."""
+    joined = areas.join(rasters.select(site, "geo_transform"), site)
+    window = snap_to_patch(F.col("xmin"), F.col("ymin"), F.col("xmax"), F.col("ymax"), F.col("geo_transform"), F.lit(patch))
+    return joined.select(site, "geo_transform", *[v.alias(k) for k, v in window.items()])
+
+
+def pixel_grid(snapped: DataFrame, patch: int, site: str = "site_id") -> DataFrame:
+    """All cells of ``patch`` pixels over snapped areas, none cut: (site, row, col, col_px, row_px, w_px, h_px, box)."""
+    last = lambda n: (F.col(n) / patch - 1).cast("int")
+    cells = snapped.withColumn("row", F.explode(F.sequence(F.lit(0), last("h_px")))).withColumn("col", F.explode(F.sequence(F.lit(0), last("w_px"))))
+    x, y = F.col("col0") + F.col("col") * patch, F.col("row0") + F.col("row") * patch
+    box = pixel_box_to_world(F.col("geo_transform"), x, y, F.lit(patch), F.lit(patch))
+    return cells.select(site, "row", "col", x.alias("col_px"), y.alias("row_px"), F.lit(patch).alias("w_px"), F.lit(patch).alias("h_px"), *[v.alias(k) for k, v in box.items()])
+
+
+def window_pixels(windows: DataFrame, blocks: DataFrame, block: int, by: list[str], key: list[str]) -> DataFrame:
+    """(key..., row, col, r, g, b): the pixels that raster blocks have in each window, from its corner on.
+
+    ``blocks`` are pixels (by..., row, col, r, g, b), ``windows`` (by..., key..., col_px, row_px, w_px, h_px).  They meet by
+    squares of ``block`` pixels.  Pixels outside a raster have no row; they count as 0, 0, 0.
+    """
+    span = lambda at, n: F.sequence(F.floor(F.col(at) / block), F.floor((F.col(at) + F.col(n) - 1) / block))
+    told = list(dict.fromkeys([*by, *key]))
+    place = list(dict.fromkeys([*told, "col_px", "row_px", "w_px", "h_px"]))
+    w = windows.select(*place, F.explode(span("row_px", "h_px")).alias("_by")).withColumn("_bx", F.explode(span("col_px", "w_px")))
+    p = blocks.select(*by, "row", "col", "r", "g", "b", F.floor(F.col("row") / block).alias("_by"), F.floor(F.col("col") / block).alias("_bx"))
+    p = p.withColumnsRenamed({"row": "_row", "col": "_col"})
+    inside = (F.col("_row") >= F.col("row_px")) & (F.col("_row") < F.col("row_px") + F.col("h_px")) & (F.col("_col") >= F.col("col_px")) & (F.col("_col") < F.col("col_px") + F.col("w_px"))
+    return w.join(p, [*by, "_by", "_bx"]).where(inside).select(*[F.col(c).alias(f"cell_{c}" if c in ("row", "col") else c) for c in told], (F.col("_row") - F.col("row_px")).alias("row"), (F.col("_col") - F.col("col_px")).alias("col"), "r", "g", "b")
+
+
+def window_coverage(windows: DataFrame, blocks: DataFrame, block: int, by: list[str], key: list[str], n: int = 16) -> DataFrame:
+    """(key..., coverage): the share of n x n evenly spaced pixels of each window that isn't black; all windows have a row."""
+    told = list(dict.fromkeys([*by, *key]))
+    steps = F.sequence(F.lit(0), F.lit(n - 1))
+    at = lambda corner, side, i: F.col(corner) + F.floor((i + 0.5) * F.col(side) / n)
+    points = windows.select(*told, F.explode(F.transform(steps, lambda i: at("row_px", "h_px", i))).alias("_row"), F.transform(steps, lambda i: at("col_px", "w_px", i)).alias("_cols"))
+    points = points.select(*told, "_row", F.explode("_cols").alias("_col"))
+    seen = blocks.where("r != 0 or g != 0 or b != 0").select(*by, F.col("row").alias("_row"), F.col("col").alias("_col"))
+    hit = points.join(seen.distinct().withColumn("_seen", F.lit(1.0)), [*by, "_row", "_col"], "left")
+    return hit.groupBy(*told).agg(F.avg(F.coalesce("_seen", F.lit(0.0))).alias("coverage"))
 
 
 def build_tile_grid(tiles: DataFrame, cell_m: float, site: str = "site_id", samples: DataFrame | None = None, least: float = 0.02) -> DataFrame:
@@ -217,3 +340,13 @@ def grid_counters(full: DataFrame, near: DataFrame, kept: DataFrame, site: str =
     count = lambda df, name: df.groupBy(site).agg(F.count("*").alias(name))
     out = count(full, "n_cells_full").join(count(near, "after_tile_filter"), site, "left").join(count(kept, "n_cells"), site, "left")
     return out.fillna(0).withColumn("dropped_void", F.col("after_tile_filter") - F.col("n_cells"))
+
+
+def grid_info(cells: DataFrame, counters: DataFrame, rasters: DataFrame, patch: int, site: str = "site_id") -> DataFrame:
+    """What a run tells of its grid by site: resolution, patch and cell sizes (rounded half to even) and the counters."""
+    res = F.abs(F.col("geo_transform")[0])
+    side = F.bround((F.col("xmax") - F.col("xmin")) / F.col("_res")).cast("int")
+    sized = rasters.select(site, res.alias("_res"))
+    sizes = cells.join(sized, site).groupBy(site).agg(F.sort_array(F.collect_set(side)).alias("cell_sizes_px"))  # a few sizes a site
+    told = sized.select(site, F.bround("_res", 4).alias("native_res_m"), F.lit(patch).alias("patch_px"), F.bround(F.col("_res") * patch, 1).alias("cell_ground_m"))
+    return told.join(counters, site).join(sizes, site, "left")

@@ -82,6 +82,16 @@ def trimmed(windows: DataFrame, overlap: int, width: str = "width", height: str
     )
 
 
+def stitched(values: DataFrame, windows: DataFrame, overlap: int, key: str, place: tuple[str, str] = ("row", "col")) -> DataFrame:
+    """(key, row, col, value): of windows' values (key, row_px, col_px, row, col, value), places from the blob's corner, those
+    inside their window's trimmed part, and where several are left that of the first window from the top left."""
+    row, col = place
+    cut = trimmed(windows, overlap).select(key, "row_px", "col_px", "r0", "c0", "r1", "c1")
+    inside = (F.col(row) >= F.col("r0")) & (F.col(row) < F.col("r1")) & (F.col(col) >= F.col("c0")) & (F.col(col) < F.col("c1"))
+    kept = values.join(cut, [key, "row_px", "col_px"]).where(inside).select(key, row, col, "row_px", "col_px", "value")
+    return first_writer(kept, [key, row, col], ["row_px", "col_px"]).select(key, row, col, "value")
+
+
 def padded_size(height: Column, width: Column, multiple: int, square: bool = False) -> tuple[Column, Column]:
     """Sizes brought up to the next multiple; ``square``: both from the larger."""
     up = lambda n: (F.ceil(n / multiple) * multiple).cast("int")
@@ -130,5 +140,20 @@ def chunks(blobs: DataFrame, size: int) -> DataFrame:
     return rows.withColumn("w_px", F.least(F.lit(size), F.col("width") - F.col("col_px"))).withColumn("h_px", F.least(F.lit(size), F.col("height") - F.col("row_px")))
 
 
+def chunk_boxes(cells: DataFrame, granularity: str | int, by: list[str] | None = None) -> DataFrame:
+    """(by..., uuid, chunk_id, col_px, row_px, w_px, h_px) of blobs given by their tiles (by..., uuid, x, y, w, h).
+
+    ``granularity`` is ``blob`` (one box a blob), ``tile`` (one a tile) or a number of pixels (squares, cut at the edge).
+    """
+    key = [*(by or []), "uuid"]
+    if granularity == "tile":
+        found = cells.select(*key, F.col("x").alias("col_px"), F.col("y").alias("row_px"), F.col("w").alias("w_px"), F.col("h").alias("h_px"))
+    elif granularity == "blob":
+        found = blob_extents(cells, key).select(*key, F.lit(0).alias("col_px"), F.lit(0).alias("row_px"), F.col("width").alias("w_px"), F.col("height").alias("h_px"))
+    else:
+        found = chunks(blob_extents(cells, key), int(granularity)).select(*key, "col_px", "row_px", "w_px", "h_px")
+    return numbered(found, key, ["row_px", "col_px"]).select(*key, "chunk_id", "col_px", "row_px", "w_px", "h_px")
+
+
 def numbered(rows: DataFrame, by: list[str], order: list[str], name: str = "chunk_id") -> DataFrame:
     return rows.withColumn(name, F.row_number().over(W.partitionBy(*by).orderBy(*order)) - 1)

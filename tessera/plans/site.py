@@ -4,35 +4,82 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.geo import pixel_box_to_world
 from tessera.functions.names import patch_ref
 from tessera.operators.embedding import Embedder, embed
-from tessera.operators.runs import to_do
-from tessera.operators.spatial import build_tile_grid, clip_to
-from tessera.operators.stats import site_rollup, tile_rows
-from tessera.sources.npz import read_masks
-from tessera.sources.store import write_cells
+from tessera.operators.runs import FAILED, OK, SKIPPED, to_do
+from tessera.operators.spatial import box_semi_join, clip_to, clip_to_footprint, footprint, grid_counters, grid_info, pixel_areas, pixel_grid, total_bounds, window_coverage, with_cell_ids
+from tessera.sources.store import done_sites, read_cells, write_cells, write_site_meta
 
 
-def run_sites(tiles: DataFrame, out: str, cell_m: float, pixels: Callable[[DataFrame], DataFrame], make_embedder: Callable[[], Embedder], extent: DataFrame | None = None, done: DataFrame | None = None) -> DataFrame:
-    """Grid, embed and store the cells of all sites of ``tiles`` that aren't in ``done``; returns them.
+def site_grid(tiles: DataFrame, rasters: DataFrame, patch: int, pixels: DataFrame | None = None, least: float = 0.02, block: int = 256, keep_footprint: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(cells, info): the numbered cells of ``patch`` pixels that touch a tile and aren't void, and what is told of the grid.
 
-    ``pixels`` adds each cell's ``pixels``.  Sites are rows of one plan, spread over the cluster by cell.
+    ``tiles`` are boxes by site_id, ``rasters`` (site_id, width, height, geo_transform), ``pixels`` their pixels (site_id, row,
+    col, r, g, b).  Tiles are cut to the raster's data (``keep_footprint``) or extent first; the box around what is left is
+    snapped outward to the raster's pixels and whole patches.  Without pixels nothing is known of data, and all cells stay.
     """
-    if done is not None:
-        tiles = to_do(tiles, done)
-    if extent is not None:
-        tiles = clip_to(tiles, extent)
-    cells = build_tile_grid(tiles, cell_m)
-    ready = embed(pixels(cells), "pixels", make_embedder).drop("pixels")
+    site = ["site_id"]
+    span = float(patch) * F.greatest(F.abs(F.col("geo_transform")[0]), F.abs(F.col("geo_transform")[4]))
+    side = rasters.agg(F.max(span)).first()[0] or 1.0
+    if pixels is not None and keep_footprint:
+        cut = clip_to_footprint(tiles, footprint(pixels, rasters), side, ["site_id", "tile"])
+    else:
+        gt, zero = F.col("geo_transform"), F.lit(0)
+        extents = rasters.select("site_id", *[v.alias(k) for k, v in pixel_box_to_world(gt, zero, zero, F.col("width"), F.col("height")).items()])
+        cut = clip_to(tiles, extents, site)
+    full = pixel_grid(pixel_areas(total_bounds(cut, site), rasters, patch), patch)
+    near = box_semi_join(full, cut, side, site)
+    kept = near
+    if pixels is not None:
+        seen = window_coverage(near, pixels, block, site, ["row", "col"]).where(F.col("coverage") >= least)
+        kept = near.join(seen.select("site_id", "row", "col"), ["site_id", "row", "col"], "left_semi")
+    return with_cell_ids(kept), grid_info(kept, grid_counters(full, near, kept), rasters, patch)
+
+
+def run_sites(
+    tiles: DataFrame,
+    rasters: DataFrame,
+    out: str,
+    patch: int,
+    cell_pixels: Callable[[DataFrame], DataFrame],
+    make_embedder: Callable[[], Embedder],
+    pixels: DataFrame | None = None,
+    model: str = "",
+    resume: bool = True,
+    least: float = 0.02,
+) -> DataFrame:
+    """Grid, embed and store the cells of all sites of ``tiles``, with their metadata; one status row a site comes back.
+
+    ``cell_pixels`` adds each cell's ``pixels``.  Sites are rows of one plan, spread over the cluster by cell.  With
+    ``resume`` sites that have cells and metadata are skipped; a site without a raster, or of whose cells none is left, has
+    failed, and says why.  The embedder runs once: metadata and status are read from what was stored.
+    """
+    spark = tiles.sparkSession
+    cells_at, meta_at = f"{out}/cells", f"{out}/meta"
+    every = tiles.select("site_id").distinct()
+    done = done_sites(spark, cells_at, meta_at).where("has_cells and has_meta").select("site_id")
+    done = spark.createDataFrame(done.collect(), done.schema)  # a row a site; said before the store changes
+    mine = to_do(tiles, done.withColumn("has_cells", F.lit(True)).withColumn("has_meta", F.lit(True))) if resume else tiles
+    grid, info = site_grid(mine, rasters, patch, pixels, least)
+    ready = embed(cell_pixels(grid), "pixels", make_embedder).drop("pixels")
     ready = ready.withColumn("patch_ref", patch_ref(F.concat("site_id", F.lit("/patches")), F.col("cell_id")))
-    write_cells(ready, out)
-    return ready
+    write_cells(ready, cells_at)
+    stored = read_cells(spark, cells_at, ready.schema).join(mine.select("site_id").distinct(), "site_id", "left_semi")
+    told = stored.groupBy("site_id").agg(F.count("*").alias("stored"), F.max(F.size("cls")).alias("embed_dim"))
+    meta = info.join(told, "site_id").withColumn("model", F.lit(model)).withColumn("patch_grid", F.array(F.lit(1), F.lit(1)))
+    write_site_meta(meta, meta_at)
+    return site_status(every, done if resume else None, rasters, told)
 
 
-def refresh_statistics(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(tiles, tiles_orig_classes, site_resolution) from all masks under ``root``."""
-    tiles, classes = tile_rows(read_masks(spark, root))
-    return tiles, classes, site_rollup(tiles, classes)
+def site_status(every: DataFrame, done: DataFrame | None, rasters: DataFrame, told: DataFrame) -> DataFrame:
+    """(site_id, status, n_cells, problem), one row a site."""
+    skipped = (every.limit(0) if done is None else done).withColumn("_done", F.lit(True))
+    known = rasters.select("site_id").distinct().withColumn("_raster", F.lit(True))
+    joined = every.join(skipped, "site_id", "left").join(known, "site_id", "left").join(told.select("site_id", "stored"), "site_id", "left")
+    status = F.when(F.col("_done"), SKIPPED).when(F.col("stored") > 0, OK).otherwise(FAILED)
+    why = F.when(F.col("_raster").isNull(), "no raster").otherwise("no cell with data")
+    return joined.select("site_id", status.alias("status"), F.col("stored").alias("n_cells"), F.when(status == FAILED, why).alias("problem"))

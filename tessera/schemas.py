@@ -16,9 +16,3 @@ TILES = (
     "annot_bbox_area_frac float, annot_in_bbox_density float, n_unique_orig_classes smallint, scanned_at timestamp"
 )
 TILE_CLASSES = "tile_id string, site string, resolution string, split string, original_class_id int, pixel_count bigint"
-CELLS = "site_id string, cell_id bigint, patch_ref string, cls array<float>, xmin double, ymin double, xmax double, ymax double, srid int"
-PATCHES = "site_id string, cell_id bigint, prow int, pcol int, vec array<float>"
-BLOB_CELLS = "site string, uuid string, x int, y int, w int, h int, path string, geo_transform array<double>, srid int"
-BOXES = (
-    "site string, uuid string, chunk_id string, col_px int, row_px int, w_px int, h_px int, xmin double, ymin double, xmax double, ymax double"
-)

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.names import site_id
+from tessera.operators.stats import SUMMARY, mask_summary
 from tessera.schemas import IMAGE_TILES, MASK_TILES
 
 
@@ -31,7 +32,7 @@ def read_tiles(spark: SparkSession, root: str, splits: tuple[str, ...] = ("train
                 row = dict.fromkeys(fields) | {"site_id": site, "tile": name.removesuffix(".npz"), "split": split, "path": path}
                 try:
                     with np.load(io.BytesIO(content)) as z:
-                        h, w = z["RED"].shape
+                        h, w = stored_shape(z, "RED")
                         gt, srid = z["GEO_TRANSFORM"].ravel().astype(float), int(np.ravel(z["SRID"])[0])
                     row |= {"w": w, "h": h, "srid": srid, "geo_transform": gt.tolist()}
                     row |= {"xmin": gt[2], "ymax": gt[5], "xmax": gt[2] + w * gt[0], "ymin": gt[5] + h * gt[4]}
@@ -44,6 +45,60 @@ def read_tiles(spark: SparkSession, root: str, splits: tuple[str, ...] = ("train
     return files.mapInPandas(decode, IMAGE_TILES)
 
 
+def stored_shape(archive: np.lib.npyio.NpzFile, name: str) -> tuple[int, ...]:
+    """An array's shape by its header; its values aren't inflated."""
+    if name not in archive.files:
+        raise KeyError(name)
+    with archive.zip.open(f"{name}.npy") as f:
+        version = np.lib.format.read_magic(f)
+        return (np.lib.format.read_array_header_1_0 if version == (1, 0) else np.lib.format.read_array_header_2_0)(f)[0]
+
+
+def read_mask_counts(files: DataFrame) -> DataFrame:
+    """The rows of :func:`mask_files`, decoded, with the counts that statistics need in place of pixels."""
+    kinds = MASK_TILES.replace("classify array<int>", SUMMARY)
+    fields = [x.split()[0] for x in kinds.split(", ")]
+
+    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for r in b.to_dict("records"):
+                row = dict.fromkeys(fields) | {k: r[k] for k in r if k in fields}
+                try:
+                    mask = decoded_mask(r["content"])
+                    row |= {"height": mask.shape[0], "width": mask.shape[1], **mask_summary(mask)}
+                except (KeyError, ValueError, OSError) as e:
+                    row["problem"] = f"{type(e).__name__}: {e}"[:200]
+                rows.append(row)
+            yield pd.DataFrame(rows, columns=fields).astype({c: "Int32" for c in ("height", "width", "row0", "row1", "col0", "col1")} | {"annotated": "Int64"})
+
+    return files.mapInPandas(decode, kinds)
+
+
+def decoded_mask(content: bytes) -> np.ndarray:
+    with np.load(io.BytesIO(content)) as z:
+        mask = z["CLASSIFY"]
+    if mask.ndim != 2:
+        raise ValueError(f"mask has {mask.ndim} dimensions")
+    return mask.astype(np.int32)
+
+
+def mask_files(spark: SparkSession, root: str) -> DataFrame:
+    """Masks under ``<version>/<resolution>/<site>/{train,valannot}`` with their bytes, by their place alone.  The bytes are
+    only read where they are used: a listing doesn't touch them."""
+    parts, n = F.col("parts"), F.size("parts")
+    above = lambda k: F.try_element_at(parts, -F.lit(k))
+    return _files(spark, root, ("trainannot", "valannot")).select(
+        above(3).alias("site"), above(4).alias("resolution"), F.when(n >= 5, above(5)).alias("dataset_version"), F.regexp_replace("folder", "annot$", "").alias("split"),
+        F.regexp_replace("name", r"\.npz$", "").alias("tile_id"), F.col("path").alias("mask_path"), "content",
+    )
+
+
+def image_files(spark: SparkSession, root: str) -> DataFrame:
+    """(image_path) of the images beside the masks of :func:`mask_files`; none is read."""
+    return _files(spark, root, ("train", "val")).select(F.col("path").alias("image_path"))
+
+
 def read_masks(spark: SparkSession, root: str) -> DataFrame:
     """One row a mask under ``<version>/<resolution>/<site>/{train,val}annot``; class ids are cast to whole numbers."""
     fields = [x.split()[0] for x in MASK_TILES.split(", ")]
@@ -56,11 +111,8 @@ def read_masks(spark: SparkSession, root: str) -> DataFrame:
                 row = dict.fromkeys(fields) | {"site": site, "resolution": resolution, "dataset_version": version, "split": folder.removesuffix("annot")}
                 row |= {"tile_id": name.removesuffix(".npz"), "mask_path": path}
                 try:
-                    with np.load(io.BytesIO(content)) as z:
-                        mask = z["CLASSIFY"]
-                    if mask.ndim != 2:
-                        raise ValueError(f"mask has {mask.ndim} dimensions")
-                    row |= {"height": mask.shape[0], "width": mask.shape[1], "classify": mask.astype(np.int32).ravel().tolist()}
+                    mask = decoded_mask(content)
+                    row |= {"height": mask.shape[0], "width": mask.shape[1], "classify": mask.ravel().tolist()}
                 except (KeyError, ValueError, OSError) as e:
                     row["problem"] = f"{type(e).__name__}: {e}"[:200]
                 rows.append(row)

@@ -4,19 +4,24 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
+CELLS_A_FILE = 100_000
 CATALOG = "map<string, struct<resolutions: array<string>>>"
 
 
 def write_cells(cells: DataFrame, path: str) -> None:
-    """Hive-partitioned by site_id; a rewrite replaces only the sites it holds."""
-    ready = cells.repartition("site_id").sortWithinPartitions("site_id", "cell_id")
+    """Hive-partitioned by site_id, a file or more for each ``CELLS_A_FILE`` cells; a rewrite replaces only the sites it holds."""
+    part = F.floor(F.col("cell_id") / CELLS_A_FILE)
+    ready = cells.repartition(F.col("site_id"), part).sortWithinPartitions("site_id", "cell_id")
     ready.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy("site_id").parquet(path)
 
 
-def read_cells(spark: SparkSession, path: str) -> DataFrame:
-    """All sites' cells; ids stay text even if they look like numbers, and a filter on site_id reads only its folders."""
-    found = spark.read.option("mergeSchema", "false").parquet(path)
+def read_cells(spark: SparkSession, path: str, schema: StructType | None = None) -> DataFrame:
+    """All sites' cells; ids stay text even if they look like numbers, and a filter on site_id reads only its folders.  With
+    the ``schema`` given a store without any cell can be read."""
+    reader = spark.read.option("mergeSchema", "false")
+    found = (reader if schema is None else reader.schema(schema)).parquet(path)
     return found.withColumn("site_id", F.col("site_id").cast("string"))
 
 
@@ -48,6 +53,70 @@ def read_catalog(spark: SparkSession, path: str) -> DataFrame:
     return found.withColumn("default_res", F.try_element_at("resolutions", F.lit(1)))
 
 
+def write_tables(tables: dict[str, DataFrame], root: str, version: str) -> None:
+    """Writes tables of one state to new folders and then names their version as the current one: readers see all of it or
+    nothing, and a folder that is being read is never written to."""
+    for name, table in tables.items():
+        write_versioned(table, f"{root}/{name}", version)
+    spark = next(iter(tables.values())).sparkSession
+    spark.createDataFrame([(version,)], "version string").withColumn("written_at", F.current_timestamp()).coalesce(1).write.mode("append").json(f"{root}/_versions")
+
+
+def current_version(spark: SparkSession, root: str) -> str | None:
+    """The version that was named last, or None before the first."""
+    if not exists(spark, f"{root}/_versions"):
+        return None
+    last = spark.read.schema("version string, written_at timestamp").json(f"{root}/_versions").orderBy(F.desc("written_at"), F.desc("version")).first()
+    return last["version"] if last else None
+
+
+def read_table(spark: SparkSession, root: str, name: str) -> DataFrame | None:
+    """A table of the current version."""
+    version = current_version(spark, root)
+    return None if version is None else spark.read.parquet(f"{root}/{name}/version={version}")
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
+
+
+def write_patches(patches: DataFrame, path: str) -> None:
+    """(site_id, cell_id, prow, pcol, vec) rows, Hive-partitioned by site like the cells."""
+    part = F.floor(F.col("cell_id") / (CELLS_A_FILE // 100))
+    ready = patches.repartition(F.col("site_id"), part).sortWithinPartitions("site_id", "cell_id", "prow", "pcol")
+    ready.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy("site_id").parquet(path)
+
+
+def done_sites(spark: SparkSession, cells: str, meta: str) -> DataFrame:
+    """(site_id, has_cells, has_meta) of all sites that the store has anything of."""
+    found = [(path, flag) for path, flag in ((cells, "has_cells"), (meta, "has_meta")) if exists(spark, path)]
+    out = None
+    for path, flag in found:
+        read = read_cells(spark, path) if flag == "has_cells" else read_site_meta(spark, path)
+        one = read.select("site_id").distinct().withColumn(flag, F.lit(True))
+        out = one if out is None else out.join(one, "site_id", "full")
+    if out is None:
+        return spark.createDataFrame([], "site_id string, has_cells boolean, has_meta boolean")
+    return out.select("site_id", *[F.coalesce(F.col(f), F.lit(False)).alias(f) if f in out.columns else F.lit(False).alias(f) for f in ("has_cells", "has_meta")])
+
+
+def flattened(rows: DataFrame) -> DataFrame:
+    """Nested columns as columns of their own, named with dots; lists and maps are left out."""
+    out = []
+
+    def add(fields: list, path: str) -> None:
+        for f in fields:
+            name, kind = f"{path}{f.name}", f.dataType
+            if kind.typeName() == "struct":
+                add(kind.fields, f"{name}.")
+            elif kind.typeName() not in ("array", "map"):
+                out.append(F.col(".".join(f"`{x}`" for x in name.split("."))).alias(name))
+
+    add(rows.schema.fields, "")
+    return rows.select(*out)
+
+
 def write_versioned(table: DataFrame, root: str, version: str) -> str:
     """Writes a whole table to a new folder of ``root``, so what is being read is never overwritten; returns it."""
     path = f"{root}/version={version}"

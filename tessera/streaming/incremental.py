@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from tessera.operators.maintenance import new_rows
+from tessera.sources.store import exists
 
 
 def append_stream(rows: DataFrame, path: str, checkpoint: str, key: str, prepare: Callable[[DataFrame], DataFrame] = lambda x: x) -> StreamingQuery:
@@ -19,18 +20,13 @@ def append_stream(rows: DataFrame, path: str, checkpoint: str, key: str, prepare
     def add(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         new = prepare(batch).dropDuplicates([key])
-        if _exists(spark, path):
+        if exists(spark, path):
             new = new_rows(new, spark.read.parquet(path), key)
         new.write.mode("append").parquet(path)
 
     return rows.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
-
-
 def windowed_counts(events: DataFrame, time: str, by: str, width: str = "1 hour", late: str = "2 hours") -> DataFrame:
     """Counts and sums by event time window; rows later than ``late`` behind the newest are dropped in a stream."""
     from pyspark.sql import functions as F

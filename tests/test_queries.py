@@ -6,6 +6,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
+from tessera.plans import site_queries  # noqa: F401
 from tessera.plans.queries import ORACLE_SQL, QUERIES
 
 
