@@ -34,7 +34,7 @@ from .shared import read, written
 from .shingles import mix64, text_sets
 
 SIMILARITY = 75  # per cent
-SKETCH_BITS = 20
+SKETCH_BITS = 21
 FILTER_BITS = (20, 27)  # least and most of a filter of set identities; between, 16 an identity
 BLOCK = 2048  # members of a group that one task walks at once
 PIVOT_FROM = 8  # members of a group from which on it gets pivots first
@@ -92,9 +92,9 @@ def shingle_sketch(docs: DataFrame, bits: int = SKETCH_BITS) -> np.ndarray:
 
 
 def frequent_slots(sketch: np.ndarray) -> np.ndarray:
-    """The sketch where it is far above the mean, else 0."""
+    """The sketch where it is above what chance makes of shingles of one document each, else 0."""
     mean = float(sketch.mean())
-    return np.where(sketch > mean + 8 * mean**0.5 + 16, sketch, 0).astype(np.uint32)
+    return np.where(sketch > mean + 3 * mean**0.5 + 8, sketch, 0).astype(np.uint32)
 
 
 def set_id(s: np.ndarray) -> int:
@@ -120,7 +120,7 @@ def prefix(s: np.ndarray, frequent: np.ndarray, percent: int = SIMILARITY) -> tu
 def bitmap(s: np.ndarray) -> np.ndarray:
     """Two bits a shingle or more (four where that is few, to tell small sets apart), a power of two, as 64-bit words."""
     n = max(1, len(s))
-    bits = max(64, min(512, 1 << int(4 * n - 1).bit_length()), 1 << int(2 * n - 1).bit_length())
+    bits = max(64, min(4096, 1 << int(4 * n - 1).bit_length()), 1 << int(2 * n - 1).bit_length())
     at = (s & np.uint64(bits - 1)).astype(np.int64)
     flags = np.zeros(bits, np.uint8)
     flags[at] = 1
@@ -247,7 +247,7 @@ def _sides(g: np.ndarray, h: np.ndarray, side: np.ndarray) -> list[tuple[np.ndar
 def document_prefixes(docs: DataFrame, frequent: np.ndarray, percent: int = SIMILARITY) -> DataFrame:
     """(doc_id, h, n, keys, hot, bits): the set's identity and size, its prefix (the frequent shingles of it apart) and its
     bitmap; the last three only once for equal sets that a task sees."""
-    shared = docs.sparkSession.sparkContext.broadcast(frequent)  # 4 MB
+    shared = docs.sparkSession.sparkContext.broadcast(frequent)  # 8 MB
 
     def lists(parts: list[np.ndarray]) -> pa.Array:
         bounds = np.r_[0, np.cumsum([len(k) for k in parts])].astype(np.int32)
@@ -394,10 +394,9 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def tree_candidates(members: DataFrame, bitmaps: DataFrame, percent: int = SIMILARITY) -> DataFrame:
-    """Distinct (a, b) pairs of different components that may link, from (key, h, n, comp) rows of groups."""
-    sizes = members.groupBy("key").agg(F.count("*").alias("size"))
+    """Distinct (a, b) pairs of different components that may link, from (key, h, n, comp, size) rows of groups of ``size``."""
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    dealt = members.join(sizes, "key").withColumn("of", blocks).withColumn("block", F.pmod(F.xxhash64("h"), F.col("of")).cast("int"))
+    dealt = members.withColumn("of", blocks).withColumn("block", F.pmod(F.xxhash64("h"), F.col("of")).cast("int"))
     # a pair of blocks (i, j), i <= j, is a task; a member of block k goes to all pairs with k
     turn = F.transform(F.sequence(F.lit(0), F.col("of") - 1), lambda o: F.struct(F.least(o, F.col("block")).alias("i"), F.greatest(o, F.col("block")).alias("j")))
     dealt = dealt.withColumn("at", F.explode(turn)).select("key", "at.i", "at.j", "h", "n", "comp", "block")
@@ -453,7 +452,8 @@ def grouped(base: DataFrame, percent: int = SIMILARITY) -> DataFrame:
     banded = members.withColumn("band", band)
     bands = banded.groupBy("key", "band").agg(F.count("*").alias("size"), F.min("n").alias("low"), F.max("n").alias("high"))
     beside = W.partitionBy("key").orderBy("band")  # a row a band, some hundred at most
-    bands = bands.select("key", "band", "size", F.lag("high").over(beside).alias("less"), F.lead("low").over(beside).alias("more"))
+    # written, so that Spark can split a key's rows in the join, which it can't beside a groupBy of the same key
+    bands = written(bands.select("key", "band", "size", F.lag("high").over(beside).alias("less"), F.lead("low").over(beside).alias("more")), "bands")
     near = (F.col("size") > 1) | (100 * F.col("less") >= percent * F.col("n")) | (100 * F.col("n") >= percent * F.col("more"))
     return banded.join(bands, ["key", "band"]).where(F.coalesce(near, F.lit(False))).select("key", "h", "n")
 
@@ -478,8 +478,9 @@ def near_duplicates(docs: DataFrame, percent: int = SIMILARITY) -> DataFrame:
     starred = pivot_pairs(members, percent)
     links = _links(docs, plausible(starred, bitmaps, percent), percent)
     now = members.join(components(links), "h", "left").withColumn("comp", F.coalesce("comp", "h"))
-    mixed = now.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 != c1").select("key")
-    rest = written(now.join(mixed, "key", "left_semi").select("key", "h", "n", "comp"), "rest")
+    now = written(now, "components")
+    mixed = now.groupBy("key").agg(F.count("*").alias("size"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 != c1").select("key", "size")
+    rest = written(now.join(written(mixed, "mixed"), "key").select("key", "h", "n", "comp", "size"), "rest")
     labels = components(links.union(_links(docs, tree_candidates(rest, bitmaps, percent), percent)))
 
     classes = base.groupBy("h", "n").agg(F.min("doc_id").alias("first"))
@@ -500,7 +501,8 @@ def linked_classes(docs: DataFrame, percent: int = SIMILARITY) -> tuple[DataFram
     listed.  Odd rows are as in :func:`near_duplicates`.
     """
     base, members, bitmaps = candidates(docs, percent)
-    alone = members.select("key", "h", "n", F.col("h").alias("comp"))
+    sizes = written(members.groupBy("key").agg(F.count("*").alias("size")), "sizes")
+    alone = members.join(sizes, "key").select("key", "h", "n", F.col("h").alias("comp"), "size")
     links = _links(docs, tree_candidates(alone, bitmaps, percent), percent)
     sizes = written(base.where("n > 0").groupBy("h").agg(F.count("*").alias("rows")), "classes")
     ends = links.select("a", "b").union(links.select("b", "a")).toDF("h", "other")
@@ -517,7 +519,7 @@ def anchored(members: DataFrame) -> DataFrame:
     Near copies share many shingles, so they are in many groups of almost the same members; those mostly have one anchor.
     Members that were in a group together still are.
     """
-    anchors = members.groupBy("key").agg(F.min_by("h", F.xxhash64("h")).alias("anchor"))
+    anchors = written(members.groupBy("key").agg(F.min_by("h", F.xxhash64("h")).alias("anchor")), "anchors")
     named = members.join(anchors, "key").select(F.col("anchor").alias("key"), "h", "n").distinct()
     degrees = members.groupBy("h").agg(F.count("*").alias("degree"))
     return written(named.join(degrees, "h").select("key", "h", "n", "degree"), "groups")
@@ -526,11 +528,11 @@ def anchored(members: DataFrame) -> DataFrame:
 def pivot_pairs(members: DataFrame, percent: int = SIMILARITY, pivots: int = PIVOTS) -> DataFrame:
     """(a, b) pairs of members of large groups with their groups' pivots: the members that are in most groups, as those of
     near copies are that have the fewest edits."""
-    large = members.groupBy("key").agg(F.count("*").alias("size")).where(F.col("size") >= PIVOT_FROM).select("key")
+    large = written(members.groupBy("key").agg(F.count("*").alias("size")).where(F.col("size") >= PIVOT_FROM).select("key"), "large")
     first = lambda rows, *by: rows.withColumn("turn", F.row_number().over(W.partitionBy(*by).orderBy(F.desc("degree"), "h"))).where(F.col("turn") <= pivots)
     # the first of each part of a group, then of all parts of the large groups
     parts = first(members.withColumn("salt", F.pmod(F.xxhash64("h"), F.lit(SALTS)).cast("int")), "key", "salt")
-    chosen = first(parts.join(large, "key", "left_semi"), "key").select("key", F.col("h").alias("b"), F.col("n").alias("m"))
+    chosen = written(first(parts.join(large, "key", "left_semi"), "key").select("key", F.col("h").alias("b"), F.col("n").alias("m")), "pivots")
     near = members.join(chosen, "key").where((F.col("h") != F.col("b")) & (100 * F.least("n", "m") >= percent * F.greatest("n", "m")))
     return near.select(F.greatest("h", "b").alias("a"), F.least("h", "b").alias("b")).distinct()
 
