@@ -7,22 +7,26 @@ How it runs on Spark:
 2. Spark counts pieces by length.  A length is at most the capacity, so this histogram has
    at most ``capacity`` rows however large the corpus is; only it reaches the driver.
 3. The driver plans on the histogram (:func:`plan_bins`).  Large lengths are cut into groups of
-   equal cardinality and each group is rounded up to its largest length; the few sizes left are
-   packed by configurations, each repeated as often as the counts allow; the actual lengths take
-   the place of the rounded ones; and the small lengths go, best fit first, into what is left.
-   Bins that look alike are handled as one run, so the plan is bounded as the histogram is.
+   equal cardinality and each group is rounded up to its largest length; the linear program of all
+   configurations of the few sizes left is solved by column generation and each configuration is
+   used as often as its value rounded down says, what remains by one configuration after another;
+   the actual lengths take the place of the rounded ones, the last of a bin being the longest that
+   fits; and the small lengths go, best fit first, into what is left.  Bins that look alike are handled as one run, so the plan is bounded as the
+   histogram is.
 4. Spark numbers the pieces of each length, salted so that a length with a third of all rows is
    spread, and joins the plan by length and number: that is each piece's sequence and offset.
 """
 
 from __future__ import annotations
 
+import bisect
 import re
 import struct
 import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -31,6 +35,7 @@ from pyspark.sql import functions as F
 from .shared import held, read, written
 
 CAPACITY = 2048
+GROUPS = 64
 VOCABULARY = "byte_bpe_50k.json"
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -59,7 +64,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.model, self.letters = self.tokenizer.model, byte_letters()
         self.known: dict[str, bytes] = {}
 
@@ -70,6 +75,9 @@ class Encoder:
         return self.tokenizer.encode(chunk, add_special_tokens=False).ids
 
     def encode(self, text: str) -> bytes:
+        if any(s in text for s in self.special):  # chunks don't begin where special tokens do
+            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+            return struct.pack(f"<{len(ids)}I", *ids)
         chunks = _CHUNK.findall(text)
         known = self.known
         if len(known) > _CACHE_LIMIT:
@@ -131,6 +139,60 @@ def linear_groups(counts: dict[int, int], groups: int) -> dict[int, int]:
     return rounded
 
 
+def best_fill(sizes: np.ndarray, values: np.ndarray, capacity: int) -> tuple[np.ndarray, float]:
+    """How often to take each size for the most value within ``capacity``, and that value: a table row for each number of
+    items and column for each room."""
+    rooms = np.arange(capacity + 1)
+    before = rooms[None, :] - sizes[:, None]
+    fits, before = before >= 0, np.maximum(before, 0)
+    best, taken = np.zeros(capacity + 1), []
+    for _ in range(capacity // int(sizes.min())):
+        more = np.where(fits, best[before] + values[:, None], -1.0)
+        which = more.argmax(axis=0)
+        most = more[which, rooms]
+        better = most > best + 1e-12
+        if not better.any():
+            break
+        taken.append(np.where(better, which, -1))
+        best = np.where(better, most, best)
+    times, room = np.zeros(len(sizes), np.int64), capacity
+    for which in reversed(taken):
+        if which[room] >= 0:
+            times[which[room]] += 1
+            room -= sizes[which[room]]
+    return times, float(best[capacity])
+
+
+def configurations(demand: dict[int, int], capacity: int, slack: float = 1e-3, steps: int = 1000) -> list[tuple[dict[int, int], float]]:
+    """(size -> times, bins) for the configurations of the linear program that covers ``demand`` with the fewest bins.
+
+    Column generation: from the program's prices of sizes the most valuable filling of a bin is found; it enters by a simplex
+    step until none is worth more than a bin, the value is within ``slack`` of the bound that prices give, or ``steps`` end.
+    """
+    if not demand:
+        return []
+    sizes = np.array(sorted(demand, reverse=True))
+    wanted = np.array([demand[s] for s in sizes.tolist()], np.float64)
+    columns = np.diag(capacity // sizes)
+    inverse, x, bound = np.diag(1.0 / (capacity // sizes)), wanted / (capacity // sizes), 0.0
+    for _ in range(steps):
+        times, value = best_fill(sizes, inverse.sum(axis=0), capacity)
+        bound = max(bound, x.sum() / value)
+        if value <= 1 + 1e-9 or x.sum() <= bound * (1 + slack):
+            break
+        step = inverse @ times
+        ratio = np.where(step > 1e-12, x / np.where(step > 1e-12, step, 1.0), np.inf)
+        out = int(ratio.argmin())
+        x = np.maximum(x - ratio[out] * step, 0)
+        x[out] = ratio[out]
+        inverse[out] /= step[out]
+        rest = step.copy()
+        rest[out] = 0
+        inverse -= np.outer(rest, inverse[out])
+        columns[:, out] = times
+    return [({int(s): int(n) for s, n in zip(sizes, columns[:, k], strict=True) if n}, float(x[k])) for k in np.argsort(-x)]
+
+
 def fullest(sizes: dict[int, int], capacity: int) -> list[tuple[int, int]]:
     """The configuration that holds the longest size left and, with it, leaves the least room: [(size, times)]."""
     first = max(sizes)
@@ -160,7 +222,7 @@ def fullest(sizes: dict[int, int], capacity: int) -> list[tuple[int, int]]:
     return sorted(used.items(), reverse=True)
 
 
-def plan_bins(counts: dict[int, int], capacity: int = CAPACITY, groups: int = 256, small: int | None = None) -> tuple[list[tuple[int, int, int, int, int, int]], int]:
+def plan_bins(counts: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS, small: int | None = None) -> tuple[list[tuple[int, int, int, int, int, int]], int]:
     """Places for pieces counted by length: (length, first, count, times, bin, offset) and the number of bins.
 
     The pieces of ``length`` numbered ``first .. first + count - 1`` go ``times`` to a bin, into the bins from
@@ -169,48 +231,57 @@ def plan_bins(counts: dict[int, int], capacity: int = CAPACITY, groups: int = 25
     small = capacity // 8 if small is None else small
     large = {n: c for n, c in counts.items() if n > small}
     rounded = linear_groups(large, groups)
-    left: dict[int, int] = defaultdict(int)
-    stock: dict[int, list[list[int]]] = defaultdict(list)  # rounded size -> [length, next number, left], longest first
-    for n in sorted(large, reverse=True):
-        left[rounded[n]] += large[n]
-        stock[rounded[n]].append([n, 0, large[n]])
+    demand: Counter = Counter()
+    for n, c in large.items():
+        demand[rounded[n]] += c
+    alone = {size for size in demand if size + min(demand) > capacity}  # nothing goes beside these
+    shapes = [({size: 1}, float(demand[size])) for size in sorted(alone)]
+    shapes += configurations({size: n for size, n in demand.items() if size not in alone}, capacity)
+    left, lengths, number = dict(large), sorted(large), dict.fromkeys(large, 0)
     rows: list[tuple[int, int, int, int, int, int]] = []
     bins = 0
     room: dict[int, list[tuple[int, int]]] = defaultdict(list)  # room left -> runs of bins (first, count)
 
-    while left:
-        shape = fullest(left, capacity)
-        again = min(left[size] // times for size, times in shape)
+    def place(taken: Counter, run: int) -> None:
+        nonlocal bins
+        offset = 0
+        for n, times in taken.items():
+            rows.append((n, number[n], run * times, times, bins, offset))
+            number[n] += run * times
+            left[n] -= run * times
+            offset += n * times
+            if not left[n]:
+                del left[n]
+                del lengths[bisect.bisect_left(lengths, n)]
+        room[capacity - offset].append((bins, run))
+        bins += run
+
+    for shape, value in shapes:
+        again = int(value + 1e-6)
+        slots = [size for size, times in sorted(shape.items(), reverse=True) for _ in range(times)]
         while again:  # a run: as many bins as the actual lengths stay the same
-            taken, run = [], again
-            ahead = {size: [0, 0] for size, _ in shape}
-            for size, times in shape:
-                at, used = ahead[size]
-                for _ in range(times):
-                    n, first, have = stock[size][at]
-                    taken.append((size, at))
-                    used += 1
-                    if used == have:
-                        at, used = at + 1, 0
-            uses = Counter(taken)
-            for (size, at), times in uses.items():
-                run = min(run, stock[size][at][2] // times)
-            offset = 0
-            for (size, at), times in uses.items():
-                n, first, _ = stock[size][at]
-                rows.append((n, first, run * times, times, bins, offset))
-                stock[size][at][1] += run * times
-                stock[size][at][2] -= run * times
-                offset += n * times
-            for size, times in shape:
-                stock[size] = [x for x in stock[size] if x[2]]
-            room[capacity - offset].append((bins, run))
-            bins += run
+            taken: Counter = Counter()
+            rest = capacity
+            for k, size in enumerate(slots):
+                # a document of the slot's group; the last one is the longest that fits, of that group or a longer one
+                most = rest if k == len(slots) - 1 else min(size, rest)
+                at = bisect.bisect_right(lengths, most) - 1
+                while at >= 0 and left[lengths[at]] <= taken[lengths[at]]:
+                    at -= 1
+                if at < 0 or rounded[lengths[at]] < size:
+                    break
+                taken[lengths[at]] += 1
+                rest -= lengths[at]
+            else:
+                k += 1
+            if k < len(slots):  # other bins took its documents; what is left of its groups is filled at the end
+                break
+            run = min(again, *(left[n] // times for n, times in taken.items()))
+            place(taken, run)
             again -= run
-        for size, _ in shape:
-            left[size] = sum(x[2] for x in stock[size])
-            if not left[size]:
-                del left[size]
+    while left:
+        shape = fullest(left, capacity)
+        place(Counter(dict(shape)), min(left[n] // times for n, times in shape))
 
     # Small lengths, longest first, into the run with the least room that holds them.
     open_rooms = sorted(r for r in room if r)
@@ -268,12 +339,7 @@ def numbered(pieces: DataFrame, rows: int) -> DataFrame:
     )
 
 
-def best_plan(counts: dict[int, int], capacity: int, groups: tuple[int, ...]) -> list[tuple[int, int, int, int, int, int]]:
-    """The plan with the fewest bins over some numbers of groups; more groups round less, fewer repeat more."""
-    return min((plan_bins(counts, capacity, g) for g in groups), key=lambda x: x[1])[0]
-
-
-def pack(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACITY, groups: tuple[int, ...] = (64, 256, CAPACITY)) -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACITY, groups: int = GROUPS) -> DataFrame:
     """Every piece of every document with its ``sequence_id`` and ``offset``; no sequence is over ``capacity``.
 
     An empty table gives no rows; null texts are empty texts; repeated rows are packed once each; ties in length are
@@ -282,7 +348,7 @@ def pack(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACIT
     spark = docs.sparkSession
     pieces = written(token_pieces(docs, vocabulary, capacity), "pieces")
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
-    plan = best_plan(counts, capacity, groups)
+    plan, _ = plan_bins(counts, capacity, groups)
     # At most a few rows for each of the `capacity` lengths: the plan's size doesn't depend on the corpus.
     places = spark.createDataFrame(plan or [(0, 0, 0, 1, 0, 0)], "length long, first long, count long, times long, bin long, offset long")
     slots = places.groupBy("length").agg(F.sort_array(F.collect_list(F.struct("first", "count", "times", "bin", "offset"))).alias("slots"))

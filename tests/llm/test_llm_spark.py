@@ -69,19 +69,32 @@ def test_packing_of_odd_rows(odd, empty):
     assert packing.pack(empty).count() == 0
 
 
+def test_special_tokens_get_the_ids_of_the_plain_call(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["<|endoftext|>", "a<|endoftext|>b", "two  <|endoftext|>  more", "no <|endoftext", "x." * 3000 + "<|endoftext|>"]
+    got = packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).toPandas()
+    for i, text in enumerate(texts):
+        ids = np.array([*t.encode(text, add_special_tokens=False).ids, 0], "<u4")
+        for r in got[got["doc_id"] == i].itertuples():
+            assert r.ids_crc32 == zlib.crc32(ids[r.start : r.start + r.length].tobytes())
+        assert got[got["doc_id"] == i]["length"].sum() == len(ids)
+
+
 def test_packing_of_documents(spark, data, texts):
     import public_tokenizers
     from tokenizers import Tokenizer
 
     got = run("op1", spark, data)
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     ids = {i: np.array(e.ids + [0], "<u4") for i, e in zip(texts, t.encode_batch(list(texts.values()), add_special_tokens=False), strict=True)}
     check_packing(got, 2048)
     for r in got.itertuples():
         assert r.ids_crc32 == zlib.crc32(ids[r.doc_id][r.start : r.start + r.length].tobytes())
     assert got.groupby("doc_id")["length"].sum().to_dict() == {i: len(x) for i, x in ids.items()}
-    assert got["sequence_id"].nunique() <= -(-got["length"].sum() // 2048) + 2
+    assert got["sequence_id"].nunique() <= 1.005 * got["length"].sum() / 2048 + 2
 
 
 # --- 2 WARC

@@ -1,5 +1,6 @@
 """Parts of the llm operators that need no Spark, against brute force."""
 
+import itertools
 import random
 import re
 import string
@@ -48,7 +49,7 @@ def test_cut_leaves_whole_pieces_after_the_first(n):
 
 
 @pytest.mark.parametrize("seed", range(12))
-@pytest.mark.parametrize("groups", [3, 40, 2048])
+@pytest.mark.parametrize("groups", [3, 40, 128])
 def test_plan_places_every_piece_once_and_fills_bins_without_gaps(seed, groups):
     rng = random.Random(seed)
     capacity = rng.choice([10, 100, 2048])
@@ -83,8 +84,37 @@ def test_plan_places_every_piece_once_and_fills_bins_without_gaps(seed, groups):
 def test_plan_is_near_the_bound_with_small_lengths():
     rng = random.Random(1)
     counts = Counter(rng.randint(1, 2048) for _ in range(20_000))
-    _, bins = min((packing.plan_bins(counts, 2048, g) for g in (64, 256, 2048)), key=lambda x: x[1])
-    assert bins <= 1.01 * sum(n * c for n, c in counts.items()) / 2048 + 1
+    _, bins = packing.plan_bins(counts, 2048)
+    assert bins <= 1.005 * sum(n * c for n, c in counts.items()) / 2048 + 1
+
+
+def test_the_best_fill_is_the_best():
+    rng = np.random.default_rng(2)
+    for _ in range(20):
+        sizes, values = np.sort(rng.choice(np.arange(9, 60), 5, replace=False))[::-1], rng.random(5)
+        times, value = packing.best_fill(sizes, values, 60)
+        brute = max(sum(v * t for v, t in zip(values, ts, strict=True)) for ts in itertools.product(range(7), repeat=5) if sum(s * t for s, t in zip(sizes.tolist(), ts, strict=True)) <= 60)
+        assert (times * sizes).sum() <= 60 and (times * values).sum() == pytest.approx(value) == pytest.approx(brute)
+
+
+def test_configurations_cover_the_demand_with_few_bins():
+    for demand, capacity, want in (({6: 5, 4: 5, 5: 4}, 10, 7), ({34: 20, 33: 40, 50: 8}, 100, 24), ({7: 9}, 10, 9), ({3: 10}, 10, 10 / 3), ({}, 10, 0)):
+        found = packing.configurations(demand, capacity, slack=0.0)
+        assert sum(x for _, x in found) == pytest.approx(want)
+        for size, n in demand.items():
+            assert sum(c.get(size, 0) * x for c, x in found) >= n - 1e-6
+        assert all(sum(s * t for s, t in c.items()) <= capacity for c, _ in found)
+
+
+def test_lengths_are_rounded_up_within_groups_of_equal_number():
+    rng = random.Random(3)
+    counts = Counter(rng.randint(300, 2048) for _ in range(6400))
+    rounded = packing.linear_groups(counts, 64)
+    sizes = Counter()
+    for n, up in rounded.items():
+        assert n <= up
+        sizes[up] += counts[n]
+    assert len(sizes) <= 64 < len(counts) and max(sizes.values()) <= 100 + max(counts.values())
 
 
 def record(body, kind="response", extra=b""):
