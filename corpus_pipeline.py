@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import langid, mixing, ngram_join, packing, toxicity
-from tessera.llm.shared import read, written
+from tessera.llm.shared import read, unused, written
 
 TOXIC_FROM = 0.3
 
@@ -20,20 +20,25 @@ TOXIC_FROM = 0.3
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that language ID rejects: without a letter, or unlike every language learned from ``lang``.
 
-    Where ``lang`` is null throughout no language is learned, and only documents without a letter go.
+    Where ``lang`` is null throughout no language is learned, and only documents without a letter go: null, empty and
+    letterless texts.  Each row is judged by its text alone, so repeated rows stay or go together; an empty table stays
+    empty; other columns stay as they are, whatever their names.
     """
-    found = docs.withColumn("_language", langid.predict(spark, langid.train(docs), F.col("text")))
-    return found.where(~F.col("_language.rejected")).select(docs.columns)
+    name = unused(docs, "_language")
+    found = docs.withColumn(name, langid.predict(spark, langid.train(docs), F.col("text")))
+    return found.where(~F.col(f"{name}.rejected")).select(docs.columns)
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that score as toxic, by a lexicon learned from the labels of the documents that are left.
 
-    Where nothing can be learned, as without labels of both kinds, no document goes.
+    Where nothing can be learned, as without labels of both kinds, no document goes.  Null and empty texts have no toxic
+    word and stay; repeated rows stay or go together; an empty table stays empty; other columns stay as they are.
     """
     lexicon = toxicity.learn(docs, read(spark, sf_dir, "labels"), F.lit(True))
-    scored = docs.withColumn("_score", toxicity.score(spark, lexicon, F.col("text")))
-    return scored.where(F.col("_score") < TOXIC_FROM).select(docs.columns)
+    name = unused(docs, "_score")
+    scored = docs.withColumn(name, toxicity.score(spark, lexicon, F.col("text")))
+    return scored.where(F.col(name) < TOXIC_FROM).select(docs.columns)
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,18 +54,24 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the mix takes, as many times as it takes them; one taken in part is whole."""
+    """Documents that the mix takes, as many times as it takes them; one taken in part is whole.
+
+    Null, empty and wordless texts have no words to take and go; null sources are a source; rows of one id, text and source
+    are taken equally often; an empty table stays empty; other columns go with their row.
+    """
+    turn, times, copy = unused(docs, "_turn"), unused(docs, "_times"), unused(docs, "_copy")
     taken = mixing.mix(docs).where("taken > 0").groupBy("doc_id", "turn", "source")
-    taken = taken.agg(F.ceil(F.sum("taken") / F.sum("size")).cast("int").alias("_times"))
-    turned = docs.withColumn("_turn", mixing.turn_of(F.col("doc_id"), F.col("text"))).alias("d")
+    taken = taken.agg(F.ceil(F.sum("taken") / F.sum("size")).cast("int").alias(times))
+    turned = docs.withColumn(turn, mixing.turn_of(F.col("doc_id"), F.col("text"))).alias("d")
     t = taken.alias("t")
-    same = F.col("d.doc_id").eqNullSafe(F.col("t.doc_id")) & (F.col("d._turn") == F.col("t.turn")) & F.col("d.source").eqNullSafe(F.col("t.source"))
-    found = turned.join(t, same).select("d.*", F.col("t._times").alias("_times"))
-    return found.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(docs.columns)
+    same = F.col("d.doc_id").eqNullSafe(F.col("t.doc_id")) & (F.col(f"d.{turn}") == F.col("t.turn")) & F.col("d.source").eqNullSafe(F.col("t.source"))
+    found = turned.join(t, same).select("d.*", F.col(f"t.{times}").alias(times))
+    return found.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times)))).select(docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every piece of every document left, with its sequence and place."""
+    """Every piece of every document left, with its sequence and place; null and empty texts are one token, repeated rows are
+    packed each, an empty table gives no rows and other columns are left out."""
     return packing.pack(docs)
 
 

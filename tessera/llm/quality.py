@@ -1,7 +1,7 @@
 """Operator 9: quality by regularised quadratic discriminant analysis of document statistics.
 
-Executors turn each text into a few transformed statistics.  Class means and covariances come from sums and sums of
-products, collected as one small matrix a task; each class's covariance is shrunk towards the pooled one and that
+Executors turn each text into a few transformed statistics.  Those of the training rows, of which there is a bound, come to
+the driver, sixteen numbers each, for class means and covariances; each class's covariance is shrunk towards the pooled one and that
 towards a sphere; scores are Mahalanobis log-density differences by cached Cholesky factors, put on a 0 to 1 scale.
 """
 
@@ -141,6 +141,12 @@ def score(spark: SparkSession, model: Discriminant | float, text: Column) -> Col
 
 
 def learn(docs: DataFrame, labels: DataFrame, usable: Column, rows: int = TRAINING_ROWS) -> Discriminant | float:
+    """A discriminant from at most ``rows`` rows of ``docs`` (doc_id, text) that ``labels`` (doc_id, quality) tells of and
+    ``usable`` holds for, or a constant score where there are too few.
+
+    Null labels and ids teach nothing; null texts are empty; of several labels of an id the larger counts; repeated
+    documents count each; of equal ids' hashes the lower id is chosen first; other columns are ignored.
+    """
     return train(training_rows(docs, labels, "quality", usable, rows))
 
 

@@ -1,7 +1,8 @@
 """Operator 7: toxicity by a weighted lexicon, matched with Aho-Corasick over folded text.
 
 Folding: lower case, homoglyphs (Cyrillic, Greek, full width) to Latin letters, digit and sign substitutions to the
-letters they stand for; words are runs of letters and digits.  The lexicon's terms are whole words and word beginnings,
+letters they stand for, marks that join or have no width dropped, letters spaced out put together; words are runs of
+letters and digits.  The lexicon's terms are whole words and word beginnings,
 each weighted by a lower confidence bound of its log odds in toxic against other documents.  One automaton over
 " word " and " beginning" keys finds them all; a word counts once, by its heaviest term, and not inside an exception
 phrase.  The sum, alone and by the text's length, gives the score.
@@ -24,7 +25,6 @@ from pyspark.sql import functions as F
 from .labelled import TRAINING_ROWS, fit_logistic, logistic, training_rows
 from .shared import held, read, remainder
 
-LEXICON_TERMS = 20_000
 LEAST_WEIGHT = 2.0
 BEGINNINGS = range(4, 9)
 NOTHING_LEARNED = -2.0  # the logit of each text then: a score of 0.12
@@ -34,9 +34,13 @@ _CYRILLIC = dict(zip("авеіјкмнорстухѕԁԛԝһӏ", "abeijkmhopctyx
 _GREEK = dict(zip("αβεικνορτυχ", "abeiknoptux", strict=True))
 _SIGNS = dict(zip("0134578@$!|", "oieastbasil", strict=True))
 _WIDE = {chr(0xFF41 + i): chr(97 + i) for i in range(26)} | {chr(0xFF21 + i): chr(97 + i) for i in range(26)}
+# Characters without width.
+_NOTHING = dict.fromkeys([0x00AD, 0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF, *range(0x0300, 0x0370)])
 _FOLD = str.maketrans(_CYRILLIC | _GREEK | _WIDE | {k: v for k, v in _SIGNS.items() if k not in "!|"})
 _INSIDE = re.compile(r"(?<=\w)[!|](?=\w)")
 _WORD = re.compile(r"[^\W_]+")
+_SPACED = re.compile(r"(?<![^\W_])[^\W_](?:[ .*_-][^\W_]){2,}(?![^\W_])")
+_BETWEEN = re.compile(r"[ .*_-]")
 
 
 def folded_words(text: str | None) -> list[str]:
@@ -45,7 +49,9 @@ def folded_words(text: str | None) -> list[str]:
     text = text.lower()
     if "!" in text or "|" in text:
         text = _INSIDE.sub(lambda m: _SIGNS[m[0]], text)
-    return _WORD.findall(text.translate(_FOLD))
+    if not text.isascii():
+        text = text.translate(_NOTHING)
+    return _WORD.findall(_SPACED.sub(lambda m: _BETWEEN.sub("", m[0]), text.translate(_FOLD)))
 
 
 def terms(words: list[str]) -> set[str]:
@@ -117,10 +123,11 @@ def _counted(rows: DataFrame, of: Callable[[str], set[str]]) -> DataFrame:
     return rows.select("text").mapInArrow(count, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
 
 
-def train(rows: DataFrame, least_documents: int = 3, max_terms: int = LEXICON_TERMS) -> Lexicon:
+def train(rows: DataFrame, least_documents: int = 3) -> Lexicon:
     """A lexicon from the (text, label, fold) rows of folds 1 to 3 and its score's scale from those of fold 0.
 
-    Where no term is learned, as without rows of both labels, each text gets the same low score: nothing is toxic.
+    Counts of terms meet in Spark; what comes to the driver are the terms that weigh enough, each of which is in
+    ``least_documents`` or more toxic ones of the bounded training rows.  Where no term is learned, as without rows of both labels, each text gets the same low score: nothing is toxic.
     """
     spark = rows.sparkSession
     base = rows.where("fold > 0")
@@ -129,17 +136,11 @@ def train(rows: DataFrame, least_documents: int = 3, max_terms: int = LEXICON_TE
     if not n1 or not n0:
         return Lexicon({}, logit=[0.0, 0.0, 0.0, NOTHING_LEARNED])
     toxic = _counted(base.where("label = 1"), lambda t: terms(folded_words(t))).where(F.col("n") >= least_documents)
-    candidates = {r["term"]: r["n"] for r in toxic.orderBy(F.desc("n"), "term").limit(10 * max_terms).collect()}
-    held = spark.sparkContext.broadcast(frozenset(candidates))
-    others = {r["term"]: r["n"] for r in _counted(base.where("label = 0"), lambda t: terms(folded_words(t)) & held.value).collect()}
-    weights = {}
-    for term, a in candidates.items():
-        b = others.get(term, 0)
-        odds = np.log((a + 0.5) / (n1 + 1)) - np.log((b + 0.5) / (n0 + 1))
-        low = odds - 1.64 * np.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))
-        if low >= LEAST_WEIGHT:
-            weights[term] = float(low)
-    weights = dict(sorted(weights.items(), key=lambda x: (-x[1], x[0]))[:max_terms])
+    others = _counted(base.where("label = 0"), lambda t: terms(folded_words(t))).withColumnRenamed("n", "others")
+    a, b = F.col("n") + 0.5, F.coalesce("others", F.lit(0)) + 0.5
+    low = F.log(a / (n1 + 1)) - F.log(b / (n0 + 1)) - 1.64 * F.sqrt(1 / a + 1 / b)
+    weighed = toxic.join(others, "term", "left").select("term", low.alias("weight")).where(F.col("weight") >= LEAST_WEIGHT)
+    weights = {r["term"]: r["weight"] for r in weighed.collect()}
     if not weights:
         return Lexicon({}, logit=[0.0, 0.0, 0.0, NOTHING_LEARNED])
     lexicon = Lexicon(weights)
@@ -152,11 +153,8 @@ def train(rows: DataFrame, least_documents: int = 3, max_terms: int = LEXICON_TE
         return {f"{a} {b}" for a, b, x, y in zip(words, words[1:], bad, bad[1:], strict=False) if x or y}
 
     clean = _counted(base.where("label = 0"), phrases).where(F.col("n") >= least_documents)
-    said = {r["term"]: r["n"] for r in clean.orderBy(F.desc("n"), "term").limit(max_terms).collect()}
-    if said:
-        seen = spark.sparkContext.broadcast(frozenset(said))
-        both = {r["term"] for r in _counted(base.where("label = 1"), lambda t: phrases(t) & seen.value).collect()}
-        lexicon.exceptions = sorted(set(said) - both)
+    said = clean.join(_counted(base.where("label = 1"), phrases), "term", "left_anti")
+    lexicon.exceptions = sorted(r["term"] for r in said.select("term").collect())
     # The scale, on documents that the lexicon hasn't seen; three numbers for each of at most TRAINING_ROWS rows.
     ready = spark.sparkContext.broadcast(Lexicon(lexicon.weights, lexicon.exceptions))
 
@@ -179,7 +177,7 @@ def _automaton(lexicon: Lexicon):
 
 def score(spark: SparkSession, lexicon: Lexicon, text: Column) -> Column:
     """0 to 1 for each text; null and empty texts get the score of a text without a hit."""
-    shared = spark.sparkContext.broadcast(lexicon)  # at most LEXICON_TERMS terms
+    shared = spark.sparkContext.broadcast(lexicon)  # terms of the bounded training rows
 
     def scores(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         w = np.array(shared.value.logit)
@@ -192,6 +190,13 @@ def score(spark: SparkSession, lexicon: Lexicon, text: Column) -> Column:
 
 
 def learn(docs: DataFrame, labels: DataFrame, usable: Column, rows: int = TRAINING_ROWS) -> Lexicon:
+    """A lexicon from at most ``rows`` rows of ``docs`` (doc_id, text) that ``labels`` (doc_id, toxic) tells of and ``usable``
+    holds for.
+
+    Null labels and ids teach nothing; null texts are empty; of several labels of an id the larger counts; repeated
+    documents count each; of equal ids' hashes the lower id is chosen first; other columns are ignored.  Without labels,
+    documents or both labels nothing is learned, and each text gets the same low score.
+    """
     return train(training_rows(docs, labels, "toxic", usable, rows))
 
 
