@@ -4,10 +4,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.functions import geo, names
-from tessera.operators import embedding, maintenance, runs, spatial, stats, tiling
-from tessera.plans.site import refresh_statistics, run_sites
-from tessera.sources import npz, store
+from tessera.functions import geo, names, vectors
+from tessera.operators import embedding, maintenance, percentiles, runs, spatial, stats, tiling
+from tessera.sources import store
 from tessera.streaming.incremental import append_stream
 
 
@@ -136,6 +135,104 @@ def test_pca_equals_numpy(spark):
         assert abs(abs(parts[k] @ vectors[:, -1 - k]) - 1) < 1e-9
 
 
+def test_normalising_takes_time_in_proportion_to_the_dimension(spark):
+    plan = lambda d: spark.range(1).select(F.sequence(F.lit(1), F.lit(d)).alias("v")).select(vectors.l2_normalise(F.col("v")).alias("u"))
+    u = np.array(plan(3000).first()["u"])
+    x = np.arange(1, 3001)
+    assert np.allclose(u, x / (np.linalg.norm(x) + 1e-8))
+
+
+def test_snapping_takes_rotation_into_account(spark):
+    a = np.radians(30)
+    gt = list(map(float, (0.5 * np.cos(a), 0.5 * np.sin(a), 100.0, 0.5 * np.sin(a), -0.5 * np.cos(a), 200.0, 0.0, 0.0, 1.0)))
+    box = (103.0, 170.0, 120.0, 190.0)
+    m = np.linalg.inv(np.array(gt).reshape(3, 3))
+    corners = np.array([m @ [x, y, 1] for x in box[::2] for y in box[1::2]])[:, :2]
+    (c0, r0), (c1, r1) = np.floor(corners.min(axis=0)), np.ceil(corners.max(axis=0))
+    df = spark.createDataFrame([(gt,)], "gt array<double>")
+    got = one(df.select(*[v.alias(k) for k, v in geo.snap_to_patch(*map(F.lit, box), F.col("gt"), F.lit(16)).items()]))
+    assert got == {"col0": c0, "row0": r0, "w_px": -(-(c1 - c0) // 16) * 16, "h_px": -(-(r1 - r0) // 16) * 16}
+
+
+def test_percentiles_of_skewed_groups_equal_numpy(spark):
+    rng = np.random.default_rng(1)
+    groups = {"a": rng.normal(size=5000), "b": np.r_[np.zeros(3000), 1e9, -1e9, rng.random(10)], "c": np.array([3.0]), None: np.array([1.0, 2.0])}
+    rows = [(k, float(x)) for k, v in groups.items() for x in v] + [("a", None), ("d", None)]
+    df = spark.createDataFrame(rows, "k string, x double").repartition(6)
+    got = {r["k"]: (r["p0"], r["p1"], r["p2"]) for r in percentiles.exact_percentiles(df, ["k"], F.col("x"), [0.0, 0.37, 0.98]).collect()}
+    assert set(got) == set(groups)
+    for k, v in groups.items():
+        assert got[k] == pytest.approx(tuple(np.quantile(v, [0.0, 0.37, 0.98])))
+    assert percentiles.exact_percentiles(df.limit(0), [], F.col("x"), [0.5]).count() == 0
+
+
+def test_pooled_means_equal_numpy(spark):
+    rng = np.random.default_rng(2)
+    rows = [(int(i % 3), None if i % 7 == 0 else "x", rng.normal(size=4).tolist()) for i in range(300)] + [(9, "x", None)]
+    got = embedding.mean_pool(spark.createDataFrame(rows, "a int, b string, v array<float>").repartition(5), ["a", "b"], "v").collect()
+    want = {}
+    for a, b, v in rows:
+        if v:
+            want.setdefault((a, b), []).append(v)
+    assert {(r["a"], r["b"]) for r in got} == set(want)
+    for r in got:
+        assert r["mean"] == pytest.approx(np.mean(want[r["a"], r["b"]], axis=0)[r["pos"]], rel=1e-5)
+
+
+def test_duplicates_with_equal_places_leave_one(spark):
+    t = spark.createDataFrame([("i", "a", True, "x")] * 3 + [("i", "b", True, "x")], "image_path string, mask_path string, image_exists boolean, content string")
+    assert [r["mask_path"] for r in maintenance.deduplicated(t).collect()] == ["a"]
+    places = sorted(r["place"] for r in maintenance.duplicates(t, F.col("image_path"), [F.col("mask_path")], F.col("content"), ranked=True).collect())
+    assert places == [1, 2, 3, 4]
+
+
+def test_clusters_are_the_best_of_the_seeds(spark):
+    rng = np.random.default_rng(0)
+    centres = rng.normal(size=(5, 3)) * 10
+    x = np.concatenate([c + rng.normal(size=(30, 3)) * 0.1 for c in centres])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "i int, v array<double>")
+    got = embedding.kmeans(df, "v", 5).toPandas().sort_values("i")["cluster"].to_numpy()
+    cost = sum(((x[got == k] - x[got == k].mean(axis=0)) ** 2).sum() for k in range(5))
+    best = sum(((x[30 * k : 30 * k + 30] - x[30 * k : 30 * k + 30].mean(axis=0)) ** 2).sum() for k in range(5))
+    assert cost == pytest.approx(best)
+    angles = embedding.kmeans(df, "v", 2, seeds=2, cosine=True).select("cluster").distinct().count()
+    assert angles == 2 and not spark.sparkContext._jsc.getPersistentRDDs()
+
+
+def test_three_components_as_colours(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(200, 6)) * [6, 4, 3, 1, 1, 1] + 5
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "i int, v array<double>")
+    got = embedding.pca_rgb(df, "v").toPandas().sort_values("i")
+    _, basis = np.linalg.eigh(np.cov(x.T))
+    for k, c in enumerate("rgb"):
+        p = (x - x.mean(axis=0)) @ basis[:, -1 - k]
+        low, high = np.quantile(p, [0.02, 0.98])
+        want = np.clip((p - low) / (high - low + 1e-6), 0, 1)
+        assert np.allclose(got[c], want, atol=1e-5) or np.allclose(got[c], 1 - want, atol=1e-5)
+
+
+def test_boxes_are_embedded_and_blended(spark):
+    h, w, cell = 8, 12, 4
+    image = np.arange(h * w * 3, dtype=float).reshape(h, w, 3)
+    windows = [(0, 0, 8, 8), (0, 4, 8, 8)]
+    rows = [("u", r, c, hh, ww, image[r : r + hh, c : c + ww].ravel().tolist()) for r, c, hh, ww in windows]
+    boxes = spark.createDataFrame(rows, "uuid string, row_px int, col_px int, h_px int, w_px int, x array<double>")
+    means = lambda a: a.reshape(a.shape[0] // cell, cell, a.shape[1] // cell, cell, 3).mean(axis=(1, 3))
+    got = {(r["prow"], r["pcol"]): (r["vec"], r["n"]) for r in embedding.embed_boxes(boxes, "x", lambda: means, cell).collect()}
+    want = means(image)
+    assert len(got) == 6 and all(np.allclose(v, want[p]) for p, (v, _) in got.items())
+    assert {p for p, (_, n) in got.items() if n == 2} == {(0, 1), (1, 1)}
+
+
+def test_samples_take_each_file_in_equal_parts(spark):
+    rows = spark.createDataFrame([(f"f{i % 3}", i) for i in range(60)], "file string, id int")
+    got = runs.sampled_by_file(rows, 10, "file", "id", seed=3)
+    assert sorted(r["n"] for r in got.groupBy("file").agg(F.count("*").alias("n")).collect()) == [3, 3, 3]
+    again = runs.sampled_by_file(rows.repartition(5), 10, "file", "id", seed=3)
+    assert got.exceptAll(again).count() == 0 and runs.sampled(rows, 7, "id").count() == 7
+
+
 def test_status_and_shards(spark):
     sites = spark.createDataFrame([(c,) for c in "abcdefg"], "k string")
     assert [r["k"] for r in runs.shard(sites, "k", 1, 3).collect()] == ["b", "e"]
@@ -144,38 +241,6 @@ def test_status_and_shards(spark):
     assert sorted(r["k"] for r in runs.to_do(sites, done, "k").collect()) == list("bcdefg")
 
 
-def test_sites_from_tiles_to_stored_cells(spark, tmp_path):
-    for site, split, name in (("P/Site 1", "train", "a_0_0"), ("P/Site 1", "val", "a_384_0"), ("P/2024", "train", "b_0_0")):
-        folder = tmp_path / "tiles" / site / split
-        folder.mkdir(parents=True, exist_ok=True)
-        band = np.ones((40, 40), np.float32)
-        x = 500.0 + (4.0 if "384" in name else 0.0)
-        np.savez(folder / f"{name}.npz", RED=band, GREEN=band, BLUE=band, GEO_TRANSFORM=np.array([[0.1, 0, x], [0, -0.1, 1000.0], [0, 0, 1]]), SRID=np.array([28350]))
-    (tmp_path / "tiles" / "P/2024" / "train" / "broken.npz").write_bytes(b"no archive")
-    tiles = npz.read_tiles(spark, str(tmp_path / "tiles"))
-    assert tiles.where("problem is not null").count() == 1
-    good = tiles.where("problem is null")
-    out = str(tmp_path / "cells")
-    run_sites(good, out, 4.0, lambda c: c.withColumn("pixels", F.array(F.col("row").cast("float"), F.col("col").cast("float"))), lambda: lambda x: x * 2)
-    cells = store.read_cells(spark, out)
-    assert dict(cells.dtypes)["site_id"] == "string"
-    # a cell that only touches a tile counts, as touching boxes intersect
-    assert {r["site_id"]: r["n"] for r in cells.groupBy("site_id").agg(F.count("*").alias("n")).collect()} == {"Site_1": 2, "2024": 1}
-    assert store.cell(spark, out, "Site_1", 1).first()["cls"] == [0.0, 2.0]
-
-
-def test_masks_on_disk_to_statistics(spark, tmp_path):
-    folder = tmp_path / "v1" / "10cm" / "site" / "trainannot"
-    folder.mkdir(parents=True)
-    np.savez(folder / "mask_1.npz", CLASSIFY=np.array([[0, 2], [2, 7]]))
-    np.savez(folder / "mask_2.npz", OTHER=np.zeros(3))
-    np.savez(folder / "mask_3.npz", CLASSIFY=np.zeros(3))
-    tiles, classes, rollup = refresh_statistics(spark, str(tmp_path))
-    r = one(rollup)
-    assert (r["site"], r["resolution"], r["dataset_version"], r["n_tiles_train"], r["pixels_class_2"], r["pixels_class_301"]) == ("site", "10cm", "v1", 1, 2, 1)
-    assert classes.count() == 3
-
-
 def test_catalog(spark, tmp_path):
     (tmp_path / "c.json").write_text('{"P/b": {"resolutions": ["10cm", "3cm"]}, "P/a": {"resolutions": []}}')
     got = [(r["pos"], r["site_key"], r["default_res"]) for r in store.read_catalog(spark, str(tmp_path / "c.json")).collect()]
