@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import read
+from .shared import read, written
 
 UNIT = 576  # samples of a packet
 RATE = 8000
@@ -251,30 +251,43 @@ def digest(media: bytes) -> tuple:
     view = memoryview(media)
     payload = b"".join([view[f[2] : f[2] + f[3]] for f in table])
     clusters = {f[4]: f[7] for f in table}
-    step = -(-len(payload) // 8)
+    step = max(1, -(-len(payload) // 8))
     shape = [sum(payload[i : i + step]) // max(1, len(payload[i : i + step])) for i in range(0, len(payload), step)]
     times = array("q", [f[1] for f in table])
     stamp = zlib.crc32(times.tobytes())
-    duration = table[-1][1] // 1_000_000 + UNIT * 1000 // RATE
+    duration = table[-1][1] // 1_000_000 + UNIT * 1000 // RATE if table else 0
     text = f"packets={len(table)};clusters={len(clusters)};cues={sum(clusters.values())};ms={duration};times={stamp:08x};shape={','.join(map(str, shape))}"
     return payload, text, len(table), len(clusters), sum(clusters.values()), duration
 
 
-def media_digests(docs: DataFrame) -> DataFrame:
-    """Store each text as Matroska, read it back, and return sizes, hashes and features; one row a row of ``docs``."""
+def digests(media: DataFrame) -> DataFrame:
+    """Sizes, hashes and features of (doc_id, media) rows, from the stored bytes; one row a row of ``media``.
+
+    Null or empty media have an empty payload and no packets; a file that breaks off raises; other columns are ignored.
+    Padding bytes are no UTF-8, so the payload tells where its text ends.
+    """
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [x.split()[0] for x in DIGEST.split(", ")]
         for b in batches:
             out = []
-            for i, text in zip(b["doc_id"], b["text"], strict=True):
-                data, n = padded(text)
-                media = mux(data)
+            for i, media in zip(b["doc_id"], b["media"], strict=True):
+                media = bytes(media or b"")
                 payload, feature, *rest = digest(media)
+                n = len(payload.rstrip(b"\xff"))
                 out.append((i, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(media), hashlib.sha256(media).hexdigest(), feature, *rest))
             yield pd.DataFrame(out, columns=names).astype({"doc_id": "Int64"})
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(rows, DIGEST)
+    return media.select(F.col("doc_id").cast("long"), "media").mapInPandas(rows, DIGEST)
+
+
+def media_digests(docs: DataFrame) -> DataFrame:
+    """Store each text of ``docs`` as a Matroska file in a media column, read the column back and return its digests.
+
+    Null texts are empty; null doc_ids stay null; repeated rows are stored each; an empty table gives no rows; other columns
+    are ignored.
+    """
+    return digests(written(mux_documents(docs), "media"))
 
 
 def op4_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:

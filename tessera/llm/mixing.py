@@ -31,7 +31,7 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
     those not yet full is (budget - limits of the full ones) / (weights of the rest).
     """
     sums = sizes.groupBy("source").agg(F.coalesce(F.sum("size"), F.lit(0)).alias("source_size"))
-    turn = W.orderBy(F.col("source").asc_nulls_last())  # over sources, one row each
+    turn = W.orderBy(F.col("source").asc_nulls_last())  # over sources, a narrow row each: one task, whatever the documents
     rated = sums.withColumn(
         "weight", F.element_at(F.array(*map(F.lit, weights)), ((F.row_number().over(turn) - 1) % len(weights) + 1).cast("int"))
     ).withColumn("limit", F.lit(float(repeats)) * F.col("source_size"))
@@ -107,7 +107,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5,
         .agg(F.sum("size").alias("span_size"))
         .select("span", "span_size", F.coalesce(F.sum("span_size").over(W.orderBy("span").rowsBetween(*BEFORE)), F.lit(0)).alias("span_start"))
     )
-    # Ranges wholly inside the budget are taken as they are; only those that the cut may fall in are sorted within.
+    # Each range is sorted within; positions go on from the sizes of the ranges before, and the budget cuts them off.
     sorted_in = W.partitionBy("span").orderBy("finish", "turn", "doc_id", "copy", "size").rowsBetween(*BEFORE)
     placed = (
         ranged.withColumn("within", F.coalesce(F.sum("size").over(sorted_in), F.lit(0)))

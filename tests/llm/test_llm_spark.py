@@ -222,13 +222,17 @@ def test_mix_of_odd_rows(odd, empty):
 def test_media_of_odd_rows(odd, empty):
     got = matroska.media_digests(odd).toPandas()
     assert len(got) == len(odd_rows())
-    for r, (i, t, *_) in zip(got.itertuples(), odd_rows(), strict=True):
+    want = Counter()
+    for i, t, *_ in odd_rows():
         data = (t or "").encode()
         whole = data + b"\xff" * (max(1, -(-len(data) // 576)) * 576 - len(data))
-        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(data), len(whole), hashlib.sha256(whole).hexdigest(), zlib.crc32(whole[-32:]))
+        want[i, len(data), len(whole), hashlib.sha256(whole).hexdigest(), zlib.crc32(whole[-32:])] += 1
+    assert Counter((None if pd.isna(r.doc_id) else int(r.doc_id), r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) for r in got.itertuples()) == want
     table = matroska.packet_table(matroska.mux_documents(odd)).toPandas()
     assert len(table) == got["n_packets"].sum() and table["problem"].isna().all() and table["cue"].all()
     assert matroska.media_digests(empty).count() == 0
+    none = matroska.digests(odd.sparkSession.createDataFrame([(1, None), (2, b"")], "doc_id long, media binary")).toPandas()
+    assert (none["payload_bytes"] == 0).all() and (none["n_packets"] == 0).all()
     same = got[got["doc_id"] == 5]
     assert same["feature"].nunique() == same["media_sha256"].nunique() == 1
 
@@ -257,6 +261,30 @@ def test_merkle_of_documents(spark, data, texts):
     assert got["near_edited"].mean() > 0.3 > got["near_next"].mean()
 
 
+def brute_print(text):
+    """The tree by loops over the text's lines and sentences."""
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    cut = lambda pattern, t: re.split(pattern, t)
+    sections = []
+    for s in cut(r"(?<=\n\n)(?!\n)|(?<=\n)(?=#{1,6} )", text):
+        paragraphs = [[sha(x) for x in cut(r"(?<=[.!?;:,] )", p)] for p in cut(r"(?<=\n)(?!\n)", s)]
+        nodes = [(sha("p" + "".join(p)), p) for p in paragraphs]
+        sections.append((sha("s" + "".join(h for h, _ in nodes)), nodes))
+    below = ";".join(f"{h[:8]}:" + "|".join(f"{p[:8]}." + " ".join(x[:8] for x in xs) for p, xs in nodes) for h, nodes in sections)
+    return sha("d" + "".join(h for h, _ in sections)) + "/" + below, {x[:8] for _, nodes in sections for _, xs in nodes for x in xs}
+
+
+def test_fingerprints_equal_brute_force(spark, texts):
+    some = [t for t in list(texts.values())[:40] if not t.endswith((" ", "\n"))] + ["one. two, three\n\n\n# a\nb c! d\n## e", "x", "no end"]
+    rows = spark.createDataFrame(list(enumerate(some)), "i int, t string").select("i", merkle.fingerprint(F.col("t")).alias("f")).toPandas().sort_values("i")
+    prints = [brute_print(t) for t in some]
+    assert rows["f"].tolist() == [p for p, _ in prints]
+    pairs = spark.createDataFrame([(rows["f"][i], rows["f"][(i * 7 + 1) % len(some)], i, (i * 7 + 1) % len(some)) for i in range(len(some))], "a string, b string, i int, j int")
+    for r in pairs.select("i", "j", merkle.likeness(F.col("a"), F.col("b")).alias("n")).collect():
+        x, y = prints[r["i"]], prints[r["j"]]
+        assert r["n"] == pytest.approx(1.0 if x[0][:64] == y[0][:64] else 2 * len(x[1] & y[1]) / (len(x[1]) + len(y[1])))
+
+
 def test_merkle_of_odd_rows(spark, odd, empty):
     check_merkle(merkle.op5_rows(odd).toPandas(), [(r[0], r[1] or "") for r in odd_rows()])
     assert merkle.op5_rows(empty).count() == 0
@@ -346,14 +374,18 @@ def test_join_of_odd_rows(odd, empty):
 
 
 @pytest.mark.parametrize(("name", "label", "modulus", "out"), [("op7", "toxic", 4, 2), ("op9", "quality", 5, 0)])
-def test_classifiers_on_held_out_documents(spark, data, texts, name, label, modulus, out):
+def test_classifiers_on_held_out_documents(spark, data, name, label, modulus, out):
+    data = data.replace("sf0.001", "sf0.01")  # the smallest tables have too few labels of a kind to learn from
+    texts = [r["doc_id"] for r in spark.read.parquet(f"{data}/documents.parquet").select("doc_id").collect()]
     got = run(name, spark, data)
     assert sorted(got["doc_id"]) == sorted(texts) and got["score"].between(0, 1).all()
     assert ((got["score"] >= 0.3) == (got["predicted"] == 1)).all()
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % modulus == out) for r in got.itertuples())
     labels = spark.read.parquet(f"{data}/labels.parquet").toPandas()
     held = got.merge(labels, on="doc_id").query("held_out")
-    assert (held["predicted"] == held[label]).mean() >= 0.8
+    for value, least in ((0, 0.95), (1, 0.5 if name == "op7" else 0.95)):
+        own = held[held[label] == value]
+        assert len(own) > 3 and (own["predicted"] == value).mean() >= least, value
 
 
 @pytest.mark.parametrize("module", [toxicity, quality])
@@ -365,6 +397,62 @@ def test_classifiers_on_odd_rows(spark, odd, empty, module):
         assert len(got) == docs.count() and got.between(0, 1).all()
 
 
+def test_toxicity_equals_brute_force(spark):
+    rng = np.random.default_rng(6)
+    rows = []
+    for i in range(400):
+        words = [f"w{x}" for x in rng.integers(0, 60, rng.integers(5, 40))]
+        bad = i % 4 == 0
+        for at in rng.integers(0, len(words), 3) if bad else []:
+            words[at] = str(rng.choice(["scumbags", "1d10ts", "ｓｃｕｍ", "іdіоts"]))
+        if i % 7 == 1:
+            words += ["idiots", "guide"]  # said by clean documents too
+        rows.append((" ".join(words), int(bad), i % 4 if i % 8 else 1 + i % 3))
+    rows = [(t, y, int(rng.integers(0, 4))) for t, y, _ in rows]
+    lexicon = toxicity.train(spark.createDataFrame(rows, "text string, label int, fold int").repartition(4))
+    base = [(toxicity.folded_words(t), y) for t, y, f in rows if f > 0]
+    n1, n0 = sum(y for _, y in base), sum(1 - y for _, y in base)
+    a, b = (Counter(t for w, y in base if y == k for t in toxicity.terms(w)) for k in (1, 0))
+    want = {}
+    for term, n in a.items():
+        x, y = n + 0.5, b[term] + 0.5
+        low = np.log(x / (n1 + 1)) - np.log(y / (n0 + 1)) - 1.64 * np.sqrt(1 / x + 1 / y)
+        if n >= 3 and low >= toxicity.LEAST_WEIGHT:
+            want[term] = low
+    assert lexicon.weights == pytest.approx(want) and want
+
+    def score(text):  # without an automaton
+        words = toxicity.folded_words(text)
+        hits = [max([want.get(w + " ", 0.0), *(want.get(w[:n], 0.0) for n in toxicity.BEGINNINGS if len(w) > n)]) for w in words]
+        for phrase in lexicon.exceptions:
+            p = toxicity.folded_words(phrase)
+            for i in range(len(words) - len(p) + 1):
+                if words[i : i + len(p)] == p:
+                    hits[i : i + len(p)] = [0.0] * len(p)
+        total = sum(hits)
+        x = [max(hits, default=0.0), np.log1p(total), np.log1p(100 * total / max(1, len(words)))]
+        return 1 / (1 + np.exp(-(np.dot(x, lexicon.logit[:3]) + lexicon.logit[3])))
+
+    texts = [t for t, _, _ in rows[:80]] + [None, "", "w1 i d i o t s w2", "the idiots guide"]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select(toxicity.score(spark, lexicon, F.col("t")).alias("s")).toPandas()["s"]
+    assert got.to_numpy() == pytest.approx([score(t) for t in texts])
+
+
+def test_quality_equals_brute_force(spark, docs):
+    rows = docs.where("text is not null").select("text", (F.col("doc_id") % 3 == 0).cast("int").alias("label"), (F.col("doc_id") % 4).cast("int").alias("fold"))
+    model = quality.train(rows)
+    texts = [r["text"] for r in rows.limit(20).collect()]
+    got = rows.limit(20).select(quality.score(spark, model, F.col("text")).alias("s")).toPandas()["s"]
+    for t, s in zip(texts, got, strict=True):
+        z = np.clip((np.array(quality.statistics(t)) - model.centre) / model.spread, -8, 8)
+        logs = []
+        for m, f in zip(model.means, model.factors, strict=True):
+            c = np.linalg.inv(f.T @ f)
+            logs.append(-0.5 * (z - m) @ np.linalg.solve(c, z - m) - 0.5 * np.linalg.slogdet(c)[1])
+        want = 1 / (1 + np.exp(-(model.scale[0] * np.arcsinh(logs[1] - logs[0]) + model.scale[1])))
+        assert s == pytest.approx(want, rel=1e-4, abs=1e-6)
+
+
 # --- 8 scores
 
 
@@ -439,6 +527,47 @@ def test_language_of_held_out_documents(spark, data, docs):
     assert (got["lang_pred"] == got["lang"]).mean() > 0.95 and got["score"].between(0, 1).all()
 
 
+def test_language_equals_brute_force(spark):
+    """Entropies by a plain interpolated Kneser-Ney model over dictionaries."""
+    rows = [("the cat sat on the mat and the dog ran", "en"), ("then that thin hat", "en"), ("der hund und die katze sind da", "de"), ("das haus der stadt", "de"), ("le chat et le chien", "fr")]
+    model = langid.train(spark.createDataFrame(rows, "text string, lang string").repartition(3))
+    counts = {}
+    for text, lang in rows:
+        for w in text.split():
+            w = langid.START * 3 + w + langid.END
+            for i in range(len(w) - 3):
+                counts.setdefault(lang, Counter())[w[i : i + 4]] += 1
+
+    def probability(c, gram):
+        levels = [c]
+        for _ in range(3):
+            levels.append(Counter(g[1:] for g in levels[-1]))
+        levels.reverse()  # by order
+        p = 1 / (len(levels[0]) + 1)
+        for n, level in enumerate(levels, 1):
+            h = gram[4 - n : 3]
+            total = sum(k for g, k in level.items() if g[:-1] == h)
+            if total:
+                types = sum(1 for g in level if g[:-1] == h)
+                p = max(level[gram[4 - n :]] - langid.DISCOUNT, 0) / total + langid.DISCOUNT * types / total * p
+        return p
+
+    texts = ["the hat", "der katze", "le chien et", "zebra xyz", "mat chat hund"]
+    h, sizes = model.entropies(texts)
+    got = langid.classify(model, texts)
+    for i, t in enumerate(texts):
+        want, n = [], 0
+        for lang in model.languages:
+            total, n = 0.0, 0
+            for w in t.split():
+                w = langid.START * 3 + w + langid.END
+                for k in range(len(w) - 3):
+                    total, n = total + np.log(probability(counts[lang], w[k : k + 4])), n + 1
+            want.append(-total / n)
+        assert h[i] == pytest.approx(want) and sizes[i] == n
+        assert got["lang_pred"][i] == model.languages[int(np.argmin(want))] and got["rejected"][i] == (min(want) > model.limits[int(np.argmin(want))])
+
+
 def test_language_of_odd_rows(spark, odd, empty):
     got = langid.identify(odd, odd).select("doc_id", "text", "language.*").toPandas()
     assert len(got) == len(odd_rows())

@@ -1,6 +1,7 @@
 """The pipeline's stages, each against what its operator says of its input."""
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline as pipeline
 from tessera.llm import langid, mixing, ngram_join, packing
@@ -76,11 +77,36 @@ def test_run_equals_the_stages(spark, data, stages):
 @pytest.mark.parametrize("rows", [odd_rows(), []])
 def test_stages_take_odd_rows(spark, data, rows):
     docs = spark.createDataFrame(rows, KINDS)
+    plain = {(r[0], r[1]) for r in rows}
+    letters = {x for x in plain if any(c.isalpha() for c in x[1] or "")}
+    words = {x for x in plain if (x[1] or "").split()}
     for name, stage in pipeline.STAGES:
         got = stage(spark, docs, data)
-        assert got.count() >= 0
-        if name != "packing":
-            assert got.columns == docs.columns
+        if name == "packing":
+            assert got.where("piece = 0").count() == len(rows)
+            continue
+        assert got.columns == docs.columns
+        kept = [(r["doc_id"], r["text"]) for r in got.collect()]
+        if name == "language_id":
+            assert set(kept) == letters and len(kept) == sum((r[0], r[1]) in letters for r in rows)
+        elif name == "toxicity":
+            assert sorted(map(str, kept)) == sorted(str((r[0], r[1])) for r in rows)
+        elif name == "near_duplicates":
+            ids = [i for i, _ in kept if i is not None]
+            assert len(ids) == len(set(ids)) and (set(ids), len(kept) - len(ids)) == (({1, 2, 3, 4, 9, 10, 11, 12}, 2) if rows else (set(), 0))
+        else:
+            assert set(kept) <= words and (bool(kept) == bool(rows))
+
+
+def test_columns_of_any_name_stay_as_they_are(spark, data):
+    docs = spark.createDataFrame(odd_rows(), KINDS)
+    names = ["_language", "_score", "_turn", "_times", "_copy", "_group", "_content", "language", "taken", "bucket"]
+    for k, n in enumerate(names):
+        docs = docs.withColumn(n, F.lit(k))
+    for name, stage in pipeline.STAGES[:-1]:
+        got = stage(spark, docs, data)
+        assert got.columns == docs.columns, name
+        assert {tuple(r) for r in got.select(*names).distinct().collect()} == {tuple(range(len(names)))}, name
 
 
 @pytest.mark.parametrize("labels", [[], [(i, 1) for i in range(40)], [(i, i % 2) for i in range(40)]])
