@@ -72,9 +72,14 @@ def as_vectors(long: DataFrame, by: list[str], value: str = "mean") -> DataFrame
     return long.groupBy(*by).agg(F.transform(pairs, lambda p: p[value]).alias("vec"))
 
 
+def constant(v: list[float]) -> Column:
+    """A vector as one literal, not a literal a number."""
+    return F.lit(np.asarray(v, np.float64))
+
+
 def assign(vectors: DataFrame, centres: list[list[float]], vector: Column) -> Column:
     """The number of the centre with the largest dot product; ties go to the first."""
-    scores = F.array(*[dot(vector, F.array(*map(F.lit, c))) for c in centres])
+    scores = F.array(*[dot(vector, constant(c)) for c in centres])
     return F.array_position(scores, F.array_max(scores)).cast("int") - 1
 
 
@@ -109,9 +114,9 @@ def fit_pca(vectors: DataFrame, vector: str, k: int, normalise: bool = True) ->
 def project(vector: Column, mean: list[float], components: list[list[float]], normalise: bool = True) -> Column:
     """(x - mean) on each component, inside the JVM."""
     x = l2_normalise(vector, 1e-6) if normalise else doubles(vector)
-    m = F.array(*map(F.lit, map(float, mean)))
-    centred = F.zip_with(x, m, lambda a, b: a - b)
-    return F.array(*[dot(centred, F.array(*map(F.lit, map(float, c)))) for c in components])
+    centred = F.zip_with(x, constant(mean), lambda a, b: a - b)
+    # the array of one binds the centred vector once for all components
+    return F.element_at(F.transform(F.array(centred), lambda v: F.array(*[dot(v, constant(c)) for c in components])), 1)
 
 
 def percentile_stretch(rows: DataFrame, columns: list[str], low: float = 0.02, high: float = 0.98) -> DataFrame:
