@@ -36,6 +36,24 @@ def embed(cells: DataFrame, pixels: str, make_embedder: Callable[[], Embedder],
     return cells.mapInPandas(run, schema)
 
 
+def embed_tokens(cells: DataFrame, pixels: str, make_embedder: Callable[[], Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]], batch: int = 32) -> DataFrame:
+    """Adds ``cls`` and ``tokens`` (channels x patches, see :func:`patch_rows`) from one pass of the embedder, which gives for
+    some cells' pixels (n, d) class vectors and (n, d, patches) patch vectors."""
+    fields = StructType.fromDDL("cls array<float>, tokens array<array<float>>").fields
+    schema = StructType([*cells.schema.fields, *fields])
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = make_embedder()
+        for part in parts:
+            for i in range(0, len(part), batch):
+                some = part.iloc[i : i + batch].copy()
+                cls, tokens = (np.asarray(x, np.float32) for x in model(np.stack(some[pixels].to_list())))
+                some["cls"], some["tokens"] = list(cls), [list(t) for t in tokens]
+                yield some
+
+    return cells.mapInPandas(run, schema)
+
+
 def mean_pool(vectors: DataFrame, by: list[str], vector: str) -> DataFrame:
     """The mean vector of each group, by position: (by..., pos, mean); vectors of a group are of equal length.
 

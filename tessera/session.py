@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tomllib
+
 from pyspark.sql import SparkSession
 
 #: UTC timestamps; partition values stay text (a site may be called 2024); a rewrite replaces only its own sites.
@@ -14,6 +16,21 @@ SETTINGS = {
 }
 
 
+def read_settings(text: str) -> dict[str, object]:
+    """The settings of a run from TOML text: tables become dotted names, such as ``grid.patch``."""
+    out: dict[str, object] = {}
+
+    def add(table: dict, path: str) -> None:
+        for k, v in table.items():
+            if isinstance(v, dict):
+                add(v, f"{path}{k}.")
+            else:
+                out[f"{path}{k}"] = v
+
+    add(tomllib.loads(text), "")
+    return out
+
+
 def configure(spark: SparkSession) -> SparkSession:
     for key, value in SETTINGS.items():
         spark.conf.set(key, value)

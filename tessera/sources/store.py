@@ -29,6 +29,13 @@ def cell(spark: SparkSession, path: str, site: str, cell_id: int) -> DataFrame:
     return spark.read.parquet(path).where((F.col("site_id") == site) & (F.col("cell_id") == cell_id))
 
 
+def patch_shapes(patches: DataFrame) -> DataFrame:
+    """(site_id, n_cells, rows, cols, dim) of stored patches; of the vectors only one a site is looked at."""
+    grid = patches.groupBy("site_id").agg(F.countDistinct("cell_id").alias("n_cells"), (F.max("prow") + 1).alias("rows"), (F.max("pcol") + 1).alias("cols"))
+    one = patches.where("prow = 0 and pcol = 0").groupBy("site_id").agg(F.max(F.size("vec")).alias("dim"))
+    return grid.join(one, "site_id", "left")
+
+
 def write_site_meta(meta: DataFrame, path: str) -> None:
     """One JSON row a site; the ground size of a patch is the cell's by its patches across, null if unknown."""
     across = F.when(F.col("patch_grid")[1] > 0, F.col("patch_grid")[1])

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tessera import session
 from tessera.functions import geo, names, vectors
 from tessera.operators import embedding, maintenance, percentiles, runs, spatial, stats, tiling
 from tessera.sources import store
@@ -225,6 +226,19 @@ def test_boxes_are_embedded_and_blended(spark):
     assert {p for p, (_, n) in got.items() if n == 2} == {(0, 1), (1, 1)}
 
 
+def test_tokens_become_patch_rows(spark):
+    cells = spark.createDataFrame([(i, [float(i), 1.0, 2.0, 3.0]) for i in range(5)], "cell_id int, x array<float>")
+    model = lambda: lambda x: (x[:, :2] * 2, np.stack([x, x + 10], axis=1))
+    found = embedding.embed_tokens(cells, "x", model, batch=2)
+    rows = {(r["cell_id"], r["prow"], r["pcol"]): r["vec"] for r in embedding.patch_rows(found, "tokens", ["cell_id"]).collect()}
+    assert len(rows) == 20 and rows[3, 0, 0] == [3.0, 13.0] and rows[3, 1, 0] == [2.0, 12.0]
+    assert found.where("cell_id = 4").first()["cls"] == [8.0, 2.0]
+
+
+def test_settings_from_toml():
+    assert session.read_settings('name = "x"\n[grid]\npatch = 16\n[grid.void]\nleast = 0.02') == {"name": "x", "grid.patch": 16, "grid.void.least": 0.02}
+
+
 def test_samples_take_each_file_in_equal_parts(spark):
     rows = spark.createDataFrame([(f"f{i % 3}", i) for i in range(60)], "file string, id int")
     got = runs.sampled_by_file(rows, 10, "file", "id", seed=3)

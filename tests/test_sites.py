@@ -240,6 +240,7 @@ def test_patches_and_catalog_by_command(spark, tmp_path):
     path = str(tmp_path / "patches")
     store.write_patches(rows, path)
     assert store.read_cells(spark, path).where("cell_id = 1 and pcol = 1").first()["vec"] == [1.0, 1.0]
+    assert [tuple(r) for r in store.patch_shapes(store.read_cells(spark, path)).collect()] == [("s", 3, 1, 2, 2)]
     (tmp_path / "c.json").write_text('{"P/b": {"resolutions": ["10cm"]}, "P/a": {"resolutions": []}, "Q/c": {"resolutions": []}}')
     catalog = str(tmp_path / "c.json")
     run = lambda *a: [r["site_key"] for r in command.run(spark, command.parser().parse_args(["sites", catalog, *a])).collect()]
