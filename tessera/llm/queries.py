@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .context_mixing import op8_context_mixing
+from .filter_audit import op12_filter_audit
 from .langid import op10_language_id
 from .matroska import op4_matroska
 from .merkle import op5_merkle
@@ -10,10 +11,11 @@ from .mixing import op3_fair_queue_mix
 from .ngram_join import op6_ngram_join
 from .packing import op1_best_fit_packing
 from .quality import op9_quality
+from .token_counts import op13_token_counts
 from .toxicity import op7_toxicity
 from .warc import op2_warc_salvage
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_warc_salvage, op3_fair_queue_mix, op4_matroska, op5_merkle, op6_ngram_join, op7_toxicity, op8_context_mixing, op9_quality, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_warc_salvage, op3_fair_queue_mix, op4_matroska, op5_merkle, op6_ngram_join, op7_toxicity, op8_context_mixing, op9_quality, op10_language_id, op12_filter_audit, op13_token_counts)}
 
 _DIGITS = " || ".join(
     f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(({part} // {32**j}) % 32 AS INTEGER) + 1, 1)"
@@ -42,5 +44,28 @@ _JOIN = r"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coa
 SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(m.c, w.doc_id) AS component_id FROM w LEFT JOIN n ON n.doc_id = w.doc_id
  LEFT JOIN (SELECT doc_id, min(c) AS c FROM r GROUP BY 1) m ON m.doc_id = w.doc_id"""
 
+_AUDIT = r"""WITH m AS (SELECT doc_id, max(quality = 1) AS good, max(toxic = 1) AS toxic FROM labels WHERE doc_id IS NOT NULL GROUP BY 1),
+ d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents),
+ w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws, min(doc_id) OVER (PARTITION BY t) AS least FROM d),
+ f AS (SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+   (CASE WHEN len(ws) < 50 THEN 'A' ELSE '' END) || (CASE WHEN 100 * len(list_distinct(ws)) < 65 * len(ws) THEN 'B' ELSE '' END) ||
+   (CASE WHEN 100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 5 * length(t) THEN 'C' ELSE '' END) ||
+   (CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END) || (CASE WHEN coalesce(w.doc_id > least, false) THEN 'E' ELSE '' END) AS fails
+   FROM w LEFT JOIN m ON m.doc_id = w.doc_id),
+ n AS (SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM f GROUP BY 1, 2),
+ l AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+ o AS (SELECT a.x || b.x || c.x || d.x || e.x AS o FROM l a, l b, l c, l d, l e WHERE length(replace(replace(replace(replace(replace(a.x || b.x || c.x || d.x || e.x, 'A', ''), 'B', ''), 'C', ''), 'D', ''), 'E', '')) = 0
+   AND a.x NOT IN (b.x, c.x, d.x, e.x) AND b.x NOT IN (c.x, d.x, e.x) AND c.x NOT IN (d.x, e.x) AND d.x <> e.x),
+ s AS (SELECT o, unnest(range(1, 6)) AS step FROM o),
+ r AS (SELECT n.part, s.o, s.step, substr(s.o, s.step, 1) AS x,
+   CASE WHEN fails = '' OR len(list_filter(string_split(fails, ''), lambda c: contains(s.o[1:s.step], c))) = 0 THEN n.n ELSE 0 END AS kept,
+   contains(fails, substr(s.o, s.step, 1)) AS hit, len(list_filter(string_split(fails, ''), lambda c: contains(s.o[1:s.step - 1], c) AND c <> '')) > 0 AS gone,
+   fails, n.n, n.good, n.toxic FROM n, s),
+ q AS (SELECT part, o AS filter_order, CAST(step AS INTEGER) AS step, any_value(x) AS x, CAST(sum(kept) AS BIGINT) AS kept,
+   CAST(coalesce(sum(n) FILTER (hit AND NOT gone), 0) AS BIGINT) AS removed, CAST(coalesce(sum(n) FILTER (hit AND gone), 0) AS BIGINT) AS redundant,
+   CAST(coalesce(sum(n) FILTER (fails = x), 0) AS BIGINT) AS unique_fails, CAST(coalesce(sum(good) FILTER (hit AND NOT gone), 0) AS BIGINT) AS good_lost,
+   CAST(coalesce(sum(toxic) FILTER (hit AND NOT gone), 0) AS BIGINT) AS toxic_lost FROM r GROUP BY 1, 2, 3)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, x) AS BIGINT) AS shapley FROM q"""
+
 #: The others learn models, use hashes or stored forms that SQL has no words for; tests hold them against brute force.
-ORACLE_SQL: dict[str, str] = {"op2_warc_salvage": _WARC, "op6_ngram_join": _JOIN}
+ORACLE_SQL: dict[str, str] = {"op2_warc_salvage": _WARC, "op6_ngram_join": _JOIN, "op12_filter_audit": _AUDIT}
