@@ -10,12 +10,13 @@ from .merkle import op5_merkle
 from .mixing import op3_fair_queue_mix
 from .ngram_join import op6_ngram_join
 from .packing import op1_best_fit_packing
+from .product_codes import op11_heap_lloyd
 from .quality import op9_quality
 from .token_counts import op13_token_counts
 from .toxicity import op7_toxicity
 from .warc import op2_warc_salvage
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_warc_salvage, op3_fair_queue_mix, op4_matroska, op5_merkle, op6_ngram_join, op7_toxicity, op8_context_mixing, op9_quality, op10_language_id, op12_filter_audit, op13_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_warc_salvage, op3_fair_queue_mix, op4_matroska, op5_merkle, op6_ngram_join, op7_toxicity, op8_context_mixing, op9_quality, op10_language_id, op11_heap_lloyd, op12_filter_audit, op13_token_counts)}
 
 _DIGITS = " || ".join(
     f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(({part} // {32**j}) % 32 AS INTEGER) + 1, 1)"
