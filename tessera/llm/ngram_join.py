@@ -26,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -244,8 +244,8 @@ def _sides(g: np.ndarray, h: np.ndarray, side: np.ndarray) -> list[tuple[np.ndar
 # --- the join ------------------------------------------------------------------------------------
 
 
-def document_prefixes(docs: DataFrame, frequent: np.ndarray, percent: int = SIMILARITY) -> DataFrame:
-    """(doc_id, h, n, keys, hot, bits): the set's identity and size, its prefix (the frequent shingles of it apart) and its
+def document_prefixes(docs: DataFrame, frequent: np.ndarray, percent: int = SIMILARITY, row: Column | None = None) -> DataFrame:
+    """(doc_id, row, h, n, keys, hot, bits): ``row`` as given (a binary column, null if None), the set's identity and size, its prefix (the frequent shingles of it apart) and its
     bitmap; the last three only once for equal sets that a task sees."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent)  # 8 MB
 
@@ -257,7 +257,7 @@ def document_prefixes(docs: DataFrame, frequent: np.ndarray, percent: int = SIMI
         done: set[int] = set()
         for b in batches:
             ids, sizes, keys, hot, bits = [], [], [], [], []
-            for s in text_sets(b.column(1)):
+            for s in text_sets(b.column(2)):
                 h = set_id(s)
                 ids.append(h)
                 sizes.append(len(s))
@@ -269,12 +269,13 @@ def document_prefixes(docs: DataFrame, frequent: np.ndarray, percent: int = SIMI
                 if len(done) < REMEMBERED:
                     done.add(h)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), lists(keys), lists(hot), pa.array(bits, pa.binary())],
-                ["doc_id", "h", "n", "keys", "hot", "bits"],
+                [b.column(0), b.column(1), pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), lists(keys), lists(hot), pa.array(bits, pa.binary())],
+                ["doc_id", "row", "h", "n", "keys", "hot", "bits"],
             )
 
-    kinds = "doc_id long, h long, n long, keys array<long>, hot array<long>, bits binary"
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(rows, kinds)
+    kinds = "doc_id long, row binary, h long, n long, keys array<long>, hot array<long>, bits binary"
+    named = F.lit(None).cast("binary") if row is None else row
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), named.alias("row"), F.col("text").cast("string").alias("text")).mapInArrow(rows, kinds)
 
 
 def marked(bits: int, keys: np.ndarray) -> np.ndarray:
@@ -458,9 +459,9 @@ def grouped(base: DataFrame, percent: int = SIMILARITY) -> DataFrame:
     return banded.join(bands, ["key", "band"]).where(F.coalesce(near, F.lit(False))).select("key", "h", "n")
 
 
-def candidates(docs: DataFrame, percent: int = SIMILARITY) -> tuple[DataFrame, DataFrame, DataFrame]:
+def candidates(docs: DataFrame, percent: int = SIMILARITY, row: Column | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The document_prefixes, the groups (key, h, n, degree) and the bitmaps (h, n, bits) of classes that share something."""
-    base = written(document_prefixes(docs, frequent_slots(shingle_sketch(docs)), percent), "prefixes")
+    base = written(document_prefixes(docs, frequent_slots(shingle_sketch(docs)), percent, row), "prefixes")
     members = anchored(written(grouped(base, percent), "near"))
     ends = members.select("h").distinct()
     bitmaps = written(base.where("bits is not null").select("h", "n", "bits").join(ends, "h", "left_semi").dropDuplicates(["h"]), "bitmaps")
@@ -474,7 +475,13 @@ def near_duplicates(docs: DataFrame, percent: int = SIMILARITY) -> DataFrame:
     such rows has a null component_id); repeated rows are in one component; an empty table gives no rows; other columns
     are ignored.
     """
-    base, members, bitmaps = candidates(docs, percent)
+    return near_classes(docs, percent).select("doc_id", "n_shingles", "component_id")
+
+
+def near_classes(docs: DataFrame, percent: int = SIMILARITY, row: Column | None = None) -> DataFrame:
+    """(doc_id, row, n_shingles, component, component_id) of every row, as :func:`near_duplicates`; ``row`` is what the caller
+    names rows by, ``component`` tells the components apart (also those of null ids) and is null without a shingle."""
+    base, members, bitmaps = candidates(docs, percent, row)
     starred = pivot_pairs(members, percent)
     links = _links(docs, plausible(starred, bitmaps, percent), percent)
     now = members.join(components(links), "h", "left").withColumn("comp", F.coalesce("comp", "h"))
@@ -486,10 +493,14 @@ def near_duplicates(docs: DataFrame, percent: int = SIMILARITY) -> DataFrame:
     classes = base.groupBy("h", "n").agg(F.min("doc_id").alias("first"))
     heads = classes.join(labels, "h", "left").withColumn("comp", F.coalesce("comp", "h"))
     least = heads.where("n > 0").groupBy("comp").agg(F.min("first").alias("component"))
-    named = heads.where("n > 0").join(least, "comp").select("h", "n", "component")
-    rows = base.select("doc_id", "h", "n")
+    named = heads.where("n > 0").join(least, "comp").select("h", "n", F.col("comp").alias("linked"), "component")
+    rows = base.select("doc_id", "row", "h", "n")
     return rows.join(named, ["h", "n"], "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id")
+        "doc_id",
+        "row",
+        F.col("n").alias("n_shingles"),
+        F.when(F.col("n") > 0, F.col("linked")).alias("component"),
+        F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"),
     )
 
 

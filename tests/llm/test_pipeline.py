@@ -7,6 +7,7 @@ import corpus_pipeline as pipeline
 from tessera.llm import langid, mixing, ngram_join, packing
 from tessera.llm.shared import read, written
 from tests.llm.test_llm_spark import KINDS, check_packing, odd_rows
+from tests.llm.test_llm_units import brute_set
 
 
 def ids(df):
@@ -53,6 +54,27 @@ def test_one_of_each_group_stays(stages):
     assert ids(got) == sorted({r["component_id"] for r in found})
 
 
+def test_rows_are_told_apart_by_id_and_text(spark, data):
+    """Against brute force: components by the similarity of all pairs; the smallest id of each stays."""
+    t, u = " ".join(f"w{i}" for i in range(60)), " ".join(f"v{i}" for i in range(60))
+    rows = [(1, t), (2, t), (2, "another text of the same id"), (3, "text a of three"), (3, "text b of three"), (3, "text b of three"), (None, t), (None, u + " end"), (4, u), (5, None), (5, None), (6, " ")]
+    docs = spark.createDataFrame([(i, x, k % 2) for k, (i, x) in enumerate(rows)], "doc_id long, text string, k int")
+    sets = [brute_set(x) for _, x in rows]
+    near = [[bool(a) and bool(b) and 100 * len(a & b) >= 75 * len(a | b) for b in sets] for a in sets]
+    group = list(range(len(rows)))
+    for _ in rows:
+        group = [min(group[j] for j in range(len(rows)) if near[i][j] or i == j) for i in range(len(rows))]
+    want = []
+    for g in set(group):
+        mine = [rows[i] for i in range(len(rows)) if group[i] == g]
+        want.append(min(mine, key=lambda r: (r[0] is None, r[0] or 0)))
+    got = [(r["doc_id"], r["text"], r["k"]) for r in pipeline.one_of_each(spark, docs, data).collect()]
+    assert sorted(map(str, [g[:2] for g in got])) == sorted(map(str, want))
+    assert (3, "text b of three", 0) in got  # of equal rows the least by the other columns
+    again = docs.repartition(7, "k")
+    assert sorted(map(str, got)) == sorted(map(str, [tuple(r) for r in pipeline.one_of_each(spark, again, data).collect()]))
+
+
 def test_mix_repeats_documents(stages):
     docs, got = stages[3]
     want = []
