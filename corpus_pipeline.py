@@ -42,15 +42,24 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near duplicates, the one with the smallest doc_id; repeated rows are one.
+    """Keeps one document of each group of near duplicates: of those with the smallest doc_id (nulls last) the one whose text
+    has the least digest.
 
-    Rows with a null doc_id can't be told apart by it and stay.
+    Rows are told apart by id and text, so another text of the same id stays if it is no near duplicate; of rows with the same
+    id and text the least by the other columns stays.  Rows without a word are near to nothing and all stay; an empty table
+    stays empty.
     """
-    found = ngram_join.near_duplicates(docs)
-    gone = found.where("doc_id != component_id").select("doc_id").distinct()
-    left = docs.join(gone, "doc_id", "left_anti")
-    named = left.where("doc_id is not null").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where("doc_id is null")).select(docs.columns)
+    row, whole = unused(docs, "_row"), unused(docs, "_whole")
+    text = F.col("text").cast("string")
+    name = F.unhex(F.sha2(F.concat_ws("\n", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), text), 256))
+    found = ngram_join.near_classes(docs, row=name).where("component is not null")
+    first = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first"))
+    stay = first.select(F.col("first.row").alias(row))
+    worded = F.coalesce(text.rlike(mixing.WORD), F.lit(False))
+    ordered = [F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
+    kept = docs.where(worded).withColumn(row, name).join(stay, row)
+    kept = kept.groupBy(row).agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), F.struct(*ordered)).alias(whole))
+    return docs.where(~worded).unionByName(kept.select(*[F.col(f"{whole}.`{c}`") for c in docs.columns]))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
