@@ -15,6 +15,7 @@ import json
 import re
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
+from itertools import pairwise
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -24,7 +25,8 @@ from .shared import held, read
 
 VOCABULARY = "word_bpe_49k.json"
 LIMIT = 2048
-REMEMBERED = 300_000
+REMEMBERED = 1_000_000
+PLACE = (1 << 32) - 1
 WORD = re.compile(r"[^ \t-\r]+")
 #: The vocabulary's own pieces where all characters of a word are visible ASCII (lower-cased), each its own byte symbol.
 PLAIN = re.compile(r"[!-~]+")
@@ -42,8 +44,8 @@ class WordCounts(dict):
         vocab = model["model"]["vocab"]
         pairs = [m if isinstance(m, list) else m.split(" ") for m in model["model"]["merges"]]
         self.vocab, self.suffix = vocab, model["model"]["end_of_word_suffix"] or ""
-        #: (left, right) as one number: the rank; and by rank the symbol that the pair becomes
-        self.rank = {vocab[a] << 32 | vocab[b]: r for r, (a, b) in reversed(list(enumerate(pairs)))}
+        #: (left, right) as one number: the rank, above 32 bits for a place; and by rank the symbol that the pair becomes
+        self.rank = {vocab[a] << 17 | vocab[b]: r << 32 for r, (a, b) in reversed(list(enumerate(pairs)))}
         self.whole = [vocab[a + b] for a, b in pairs]
         special = [t["content"] for t in model["added_tokens"]]
         self.special = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
@@ -56,7 +58,8 @@ class WordCounts(dict):
         for part in parts[::2]:
             if part:
                 pieces = PLAIN_PIECES.findall(part.lower()) if PLAIN.fullmatch(part) else [p for p, _ in self.pieces(self.normal(part))]
-                n += sum(self.merged(self.symbols(p)) for p in pieces)
+                for p in pieces:
+                    n += self.merged(self.symbols(p))
         if len(word) <= 64:
             self[word] = n
         return n
@@ -70,24 +73,27 @@ class WordCounts(dict):
         """How many symbols are left when no adjacent pair can merge any more; ``symbols`` is used up."""
         n = len(symbols)
         rank, whole = self.rank, self.whole
-        heap = [(r, i) for i in range(n - 1) if (r := rank.get(symbols[i] << 32 | symbols[i + 1])) is not None]
+        pairs = [a << 17 | b for a, b in pairwise(symbols)]
+        heap = [rank[p] + i for i, p in enumerate(pairs) if p in rank]  # a rank and a place in one number
         heapify(heap)
         after, before, merges = list(range(1, n + 1)), list(range(-1, n - 1)), 0
         while heap:
-            r, i = heappop(heap)
+            least = heappop(heap)
+            i = least & PLACE
             j = after[i]
-            if symbols[i] < 0 or j >= n or rank.get(symbols[i] << 32 | symbols[j]) != r:
+            if symbols[i] < 0 or j >= n or rank.get(symbols[i] << 17 | symbols[j], -1) + i != least:
                 continue  # a symbol of the pair has gone into another since
-            symbols[i], symbols[j] = whole[r], -1
+            symbols[i] = one = whole[least >> 32]
+            symbols[j] = -1
             after[i] = k = after[j]
             merges += 1
             if k < n:
                 before[k] = i
-                if (new := rank.get(symbols[i] << 32 | symbols[k])) is not None:
-                    heappush(heap, (new, i))
+                if (new := one << 17 | symbols[k]) in rank:
+                    heappush(heap, rank[new] + i)
             h = before[i]
-            if h >= 0 and (new := rank.get(symbols[h] << 32 | symbols[i])) is not None:
-                heappush(heap, (new, h))
+            if h >= 0 and (new := symbols[h] << 17 | one) in rank:
+                heappush(heap, rank[new] + h)
         return n - merges
 
     def of(self, text: str) -> int:
