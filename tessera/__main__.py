@@ -41,7 +41,7 @@ def run(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
     if args.command == "validate":
         return validate_store(spark, args.root, args.store, args.sample)
     if args.command == "status":
-        return done_sites(spark, f"{args.out}/cells", f"{args.out}/meta").orderBy("site_id")
+        return done_sites(spark, args.out).orderBy("site_id")
     sites = read_catalog(spark, args.catalog)
     sites = with_prefix(sites, "site_key", args.prefix) if args.prefix else sites
     if args.pick:

@@ -16,6 +16,7 @@ from tessera.functions.vectors import dot, doubles, l2_normalise, stretched
 from tessera.operators.percentiles import exact_percentiles
 
 Embedder = Callable[[np.ndarray], np.ndarray]
+TokenEmbedder = Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]
 
 
 def embed(cells: DataFrame, pixels: str, make_embedder: Callable[[], Embedder], batch: int = 32) -> DataFrame:
@@ -36,7 +37,7 @@ def embed(cells: DataFrame, pixels: str, make_embedder: Callable[[], Embedder],
     return cells.mapInPandas(run, schema)
 
 
-def embed_tokens(cells: DataFrame, pixels: str, make_embedder: Callable[[], Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]], batch: int = 32) -> DataFrame:
+def embed_tokens(cells: DataFrame, pixels: str, make_embedder: Callable[[], TokenEmbedder], batch: int = 32) -> DataFrame:
     """Adds ``cls`` and ``tokens`` (channels x patches, see :func:`patch_rows`) from one pass of the embedder, which gives for
     some cells' pixels (n, d) class vectors and (n, d, patches) patch vectors."""
     fields = StructType.fromDDL("cls array<float>, tokens array<array<float>>").fields
@@ -84,12 +85,6 @@ def mean_pool(vectors: DataFrame, by: list[str], vector: str) -> DataFrame:
     return long.groupBy(*by, "pos").agg((F.sum("x") / F.sum("n")).alias("mean"))
 
 
-def as_vectors(long: DataFrame, by: list[str], value: str = "mean") -> DataFrame:
-    """(by..., vec) from (by..., pos, value)."""
-    pairs = F.sort_array(F.collect_list(F.struct("pos", value)))
-    return long.groupBy(*by).agg(F.transform(pairs, lambda p: p[value]).alias("vec"))
-
-
 def constant(v: list[float]) -> Column:
     """A vector as one literal, not a literal a number."""
     return F.lit(np.asarray(v, np.float64))
@@ -154,27 +149,32 @@ def pca_rgb(vectors: DataFrame, vector: str, low: float = 0.02, high: float = 0.
     return percentile_stretch(p.select("*", *[F.col("_p")[k].alias(c) for k, c in enumerate("rgb")]).drop("_p"), ["r", "g", "b"], low, high)
 
 
-def embed_boxes(boxes: DataFrame, pixels: str, make_embedder: Callable[[], Embedder], cell: int, key: str = "uuid") -> DataFrame:
-    """(key, prow, pcol, vec, n): patch vectors of boxes (key, row_px, col_px, h_px, w_px, pixels), the mean where boxes overlap.
+def embed_boxes(boxes: DataFrame, make_embedder: Callable[[], Embedder], cell: int, key: str = "uuid", bands: tuple[str, ...] = ("r", "g", "b")) -> DataFrame:
+    """(key, prow, pcol, vec, n): patch vectors of boxes (key, row_px, col_px, h_px, w_px, at, bands...), the mean where boxes
+    overlap, and of how many.
 
-    The embedder gives a vector for each patch of ``cell`` pixels of a box, as (patches down, patches across, d).
+    ``at`` lists the places of a box's pixels, row by row from 0, the bands their values; pixels not listed are 0.  The
+    embedder gives a vector for each patch of ``cell`` pixels of a box, as (patches down, patches across, d).
     """
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = make_embedder()
         for part in parts:
-            for r in part.itertuples():
-                grid = np.asarray(model(np.asarray(r.x, np.float64).reshape(r.h_px, r.w_px, -1)), np.float64)
+            for r in part.to_dict("records"):
+                image = np.zeros((r["h_px"] * r["w_px"], len(bands)))
+                for i, band in enumerate(bands):
+                    image[r["at"], i] = r[band]
+                grid = np.asarray(model(image.reshape(r["h_px"], r["w_px"], -1)), np.float64)
                 down, across, d = grid.shape
                 prow, pcol = np.divmod(np.arange(down * across), across)
-                yield pd.DataFrame({"k": [r.k] * (down * across), "prow": prow + r.row_px // cell, "pcol": pcol + r.col_px // cell, "v": list(grid.reshape(-1, d))})
+                yield pd.DataFrame({"k": [r["k"]] * (down * across), "prow": prow + r["row_px"] // cell, "pcol": pcol + r["col_px"] // cell, "v": list(grid.reshape(-1, d))})
 
     kind = dict(boxes.dtypes)[key]
-    rows = boxes.select(F.col(key).alias("k"), "row_px", "col_px", "h_px", "w_px", F.col(pixels).alias("x")).mapInPandas(run, f"k {kind}, prow int, pcol int, v array<double>")
-    place = ["k", "prow", "pcol"]
-    long = rows.select(*place, F.posexplode("v").alias("pos", "x")).groupBy(*place, "pos").agg(F.avg("x").alias("mean"), F.count("*").alias("n"))
-    pairs = F.sort_array(F.collect_list(F.struct("pos", "mean")))
-    return long.groupBy(*place).agg(F.transform(pairs, lambda p: p["mean"]).alias("vec"), F.max("n").alias("n")).withColumnRenamed("k", key)
+    rows = boxes.select(F.col(key).alias("k"), "row_px", "col_px", "h_px", "w_px", "at", *bands).mapInPandas(run, f"k {kind}, prow int, pcol int, v array<double>")
+    # a place is in a few boxes at most; their vectors are added up whole
+    met = rows.groupBy("k", "prow", "pcol").agg(F.collect_list("v").alias("vs"))
+    total = F.aggregate(F.slice("vs", F.lit(2), F.size("vs")), F.col("vs")[0], lambda t, v: F.zip_with(t, v, lambda a, b: a + b))
+    return met.select(F.col("k").alias(key), "prow", "pcol", F.transform(total, lambda x: x / F.size("vs")).alias("vec"), F.size("vs").alias("n"))
 
 
 def patch_rows(cells: DataFrame, tokens: str, by: list[str]) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -20,9 +22,9 @@ def shard(sites: DataFrame, order: str, index: int, shards: int, limit: int = 0)
     return mine.drop("_n")
 
 
-def to_do(sites: DataFrame, done: DataFrame, key: str = "site_id") -> DataFrame:
-    """Sites without both a manifest and its metadata; one of the two isn't done."""
-    whole = done.where(F.col("has_cells") & F.col("has_meta"))
+def to_do(sites: DataFrame, done: DataFrame, key: str = "site_id", parts: tuple[str, ...] = ("has_cells", "has_meta")) -> DataFrame:
+    """Sites without all of the ``parts``: a manifest without its metadata, or metadata without a manifest, isn't done."""
+    whole = done.where(reduce(Column.__and__, map(F.col, parts)))
     return sites.join(whole.select(key), key, "left_anti")
 
 

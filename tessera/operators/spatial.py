@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -17,27 +17,39 @@ from tessera.functions.geo import BOX, clipped, intersects, pixel_box_to_world,
 HULL_BUCKETS = 256
 
 
-def bucketed(boxes: DataFrame, size: float) -> DataFrame:
+Size = float | str
+
+
+def _side(size: Size, alias: str = "") -> Column:
+    """The buckets' side: a number, or a column's value (of an aliased table)."""
+    return F.col(f"{alias}.{size}" if alias else size) if isinstance(size, str) else F.lit(float(size))
+
+
+def bucketed(boxes: DataFrame, size: Size) -> DataFrame:
     """One row for each bucket of ``size`` that a box touches: adds ``bx`` and ``by``."""
-    span = lambda low, high: F.sequence(F.floor(F.col(low) / size), F.floor(F.col(high) / size))
+    side = _side(size)
+    span = lambda low, high: F.sequence(F.floor(F.col(low) / side), F.floor(F.col(high) / side))
     return boxes.withColumn("bx", F.explode(span("xmin", "xmax"))).withColumn("by", F.explode(span("ymin", "ymax")))
 
 
-def box_semi_join(left: DataFrame, right: DataFrame, size: float, on: list[str] | None = None) -> DataFrame:
+def box_semi_join(left: DataFrame, right: DataFrame, size: Size, on: list[str] | None = None, key: list[str] | None = None) -> DataFrame:
     """Rows of ``left`` whose box touches or overlaps any of ``right`` (with equal ``on`` columns), once each.
 
-    ``size`` is the buckets' side: about the larger side of a usual box.  ``left`` needs a row id of its own only if it
-    repeats rows.
+    ``size`` is the buckets' side, about the larger side of a usual box: a number, or the name of a column of both tables that
+    holds it (one value for equal ``on`` columns).  ``key`` tells rows of ``left`` apart; without it whole rows do, and all
+    their columns are shuffled for it.
     """
     on = on or []
-    a, b = bucketed(left, size).alias("a"), bucketed(right.select(*on, *BOX), size).alias("b")
+    sized = [size] if isinstance(size, str) else []
+    a, b = bucketed(left, size).alias("a"), bucketed(right.select(*on, *BOX, *sized), size).alias("b")
     same = (F.col("a.bx") == F.col("b.bx")) & (F.col("a.by") == F.col("b.by"))
     for c in on:
         same &= F.col(f"a.{c}") == F.col(f"b.{c}")
-    return a.join(b, same & intersects("a", "b"), "left_semi").drop("bx", "by").distinct()
+    found = a.join(b, same & intersects("a", "b"), "left_semi").drop("bx", "by")
+    return found.dropDuplicates(key) if key else found.distinct()
 
 
-def box_join(left: DataFrame, right: DataFrame, size: float, on: list[str] | None = None) -> DataFrame:
+def box_join(left: DataFrame, right: DataFrame, size: Size, on: list[str] | None = None) -> DataFrame:
     """Each touching pair once, as aliases ``a`` and ``b`` with bucket columns dropped from neither side's names.
 
     A pair meets in every bucket both touch and is kept in the lowest of them.
@@ -47,7 +59,8 @@ def box_join(left: DataFrame, right: DataFrame, size: float, on: list[str] | Non
     same = (F.col("a.bx") == F.col("b.bx")) & (F.col("a.by") == F.col("b.by"))
     for c in on:
         same &= F.col(f"a.{c}") == F.col(f"b.{c}")
-    lowest = (F.col("a.bx") == F.floor(F.greatest("a.xmin", "b.xmin") / size)) & (F.col("a.by") == F.floor(F.greatest("a.ymin", "b.ymin") / size))
+    side = _side(size, "a")
+    lowest = (F.col("a.bx") == F.floor(F.greatest("a.xmin", "b.xmin") / side)) & (F.col("a.by") == F.floor(F.greatest("a.ymin", "b.ymin") / side))
     return a.join(b, same & intersects("a", "b") & lowest)
 
 
@@ -210,6 +223,19 @@ def without_void(cells: DataFrame, samples: DataFrame, key: list[str], least: fl
     return cells.join(good.select(*key), key, "left_semi")
 
 
+def data_runs(blocks: DataFrame, rasters: DataFrame, site: str, max_side: int) -> tuple[DataFrame, DataFrame]:
+    """(rasters with ``_scale``, runs): pixels with data, thinned until no side is over ``max_side``, as (site, row, col0, col1)
+    runs of thinned pixels."""
+    scale = F.greatest(F.floor(F.greatest("width", "height") / max_side), F.lit(1)).cast("int")
+    sized = rasters.select(site, "geo_transform", "width", "height", scale.alias("_scale"))
+    lit = blocks.where("r != 0 or g != 0 or b != 0").join(sized.select(site, "_scale"), site)
+    thin = lit.where((F.col("row") % F.col("_scale") == 0) & (F.col("col") % F.col("_scale") == 0))
+    thin = thin.select(site, F.floor(F.col("row") / F.col("_scale")).cast("int").alias("row"), F.floor(F.col("col") / F.col("_scale")).cast("int").alias("col")).distinct()
+    line = W.partitionBy(site, "row").orderBy("col")
+    runs = thin.withColumn("run", F.col("col") - F.row_number().over(line)).groupBy(site, "row", "run").agg(F.min("col").alias("col0"), F.max("col").alias("col1")).drop("run")
+    return sized, runs
+
+
 def footprint(blocks: DataFrame, rasters: DataFrame, site: str = "site_id", max_side: int = 2000, least_pixels: int = 64) -> DataFrame:
     """Where rasters have data, as boxes: (site, region, xmin, ymin, xmax, ymax), a box a run of pixels in a row.
 
@@ -218,13 +244,7 @@ def footprint(blocks: DataFrame, rasters: DataFrame, site: str = "site_id", max_
     speckle and dropped; a raster without a region left gets its whole extent.  A site's thinned mask is what one task
     holds, ``max_side`` squared at most.
     """
-    scale = F.greatest(F.floor(F.greatest("width", "height") / max_side), F.lit(1)).cast("int")
-    sized = rasters.select(site, "geo_transform", "width", "height", scale.alias("_scale"))
-    lit = blocks.where("r != 0 or g != 0 or b != 0").join(sized.select(site, "_scale"), site)
-    thin = lit.where((F.col("row") % F.col("_scale") == 0) & (F.col("col") % F.col("_scale") == 0))
-    thin = thin.select(site, F.floor(F.col("row") / F.col("_scale")).cast("int").alias("row"), F.floor(F.col("col") / F.col("_scale")).cast("int").alias("col")).distinct()
-    line = W.partitionBy(site, "row").orderBy("col")
-    runs = thin.withColumn("run", F.col("col") - F.row_number().over(line)).groupBy(site, "row", "run").agg(F.min("col").alias("col0"), F.max("col").alias("col1")).drop("run")
+    sized, runs = data_runs(blocks, rasters, site, max_side)
     kind = dict(blocks.dtypes)[site]
 
     def regions(part: pd.DataFrame) -> pd.DataFrame:
@@ -271,7 +291,7 @@ def joined_runs(row: np.ndarray, col0: np.ndarray, col1: np.ndarray) -> np.ndarr
     return np.array([find(i) for i in range(len(row))], np.int32)
 
 
-def clip_to_footprint(tiles: DataFrame, foot: DataFrame, size: float, key: list[str], site: str = "site_id") -> DataFrame:
+def clip_to_footprint(tiles: DataFrame, foot: DataFrame, size: Size, key: list[str], site: str = "site_id") -> DataFrame:
     """Tiles cut to the box around what their site's footprint boxes leave of them; those that it leaves nothing are dropped.
 
     ``key`` tells tiles apart; ``size`` is the side of the join's buckets.

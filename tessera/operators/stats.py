@@ -98,13 +98,6 @@ def summarised(masks: DataFrame) -> DataFrame:
     return masks.where(F.col("classify").isNotNull()).select(*[f.name for f in keep], "classify").mapInPandas(run, schema)
 
 
-def mask_pixels(masks: DataFrame) -> DataFrame:
-    """One row a pixel of (…, height, width, classify) mask rows: original_class_id, row and col."""
-    keep = [c for c in masks.columns if c not in ("classify", "problem")]
-    flat = masks.select(*keep, F.posexplode("classify").alias("at", "original_class_id"))
-    return flat.withColumn("row", F.floor(F.col("at") / F.col("width")).cast("int")).withColumn("col", (F.col("at") % F.col("width")).cast("int")).drop("at")
-
-
 def tile_rows(masks: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The wide statistics row of each mask tile and its long class counts; tiles with an invalid id are in neither.
 

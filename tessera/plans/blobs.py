@@ -36,7 +36,8 @@ def prepared(pixels: DataFrame, cells: DataFrame, tile: int = 512, overlap: int
 def run_blobs(pixels: DataFrame, cells: DataFrame, make_embedder: Callable[[], Embedder], tile: int = 512, overlap: int = 128, cell: int = 8, most_black: float = 0.98) -> tuple[DataFrame, DataFrame]:
     """(patches, metadata): blended patch vectors of all blobs and one row of metadata a blob.
 
-    Windows that are black are not embedded.  A window's pixels are one row of ``tile`` x ``tile`` at most.
+    Windows that are black are not embedded.  A window's pixels are one row of ``tile`` x ``tile`` at most: their places and
+    values as lists, which the embedding task lays out, so the work goes with the pixels.
     """
     mosaic, windows = prepared(pixels, cells, tile, overlap, cell)
     place = ["uuid", "row_px", "col_px"]
@@ -44,11 +45,10 @@ def run_blobs(pixels: DataFrame, cells: DataFrame, make_embedder: Callable[[], E
     lit = nodata_boxes(seen, place, most_black).select(*place)
     kept = windows.join(lit, place, "left_semi")
     at = F.col("row").cast("int") * F.col("w_px") + F.col("col").cast("int")
-    rows = seen.join(kept, place).select(*place, "w_px", "h_px", F.struct(at.alias("at"), F.array(*[F.col(c).cast("double") for c in "rgb"]).alias("v")).alias("p"))
-    packed = rows.groupBy(*place, "w_px", "h_px").agg(F.map_from_entries(F.collect_list("p")).alias("m"))  # a window's pixels
-    black = F.array(F.lit(0.0), F.lit(0.0), F.lit(0.0))
-    whole = packed.withColumn("x", F.flatten(F.transform(F.sequence(F.lit(0), F.col("w_px") * F.col("h_px") - 1), lambda i: F.coalesce(F.try_element_at("m", i), black))))
-    patches = embed_boxes(whole.drop("m"), "x", make_embedder, cell)
+    value = lambda c: F.coalesce(F.col(c).cast("float"), F.lit(0.0).cast("float")).alias(c)
+    rows = seen.join(kept, place).select(*place, "w_px", "h_px", at.alias("at"), *map(value, "rgb"))
+    packed = rows.groupBy(*place, "w_px", "h_px").agg(*[F.collect_list(c).alias(c) for c in ("at", *"rgb")])  # a window's pixels
+    patches = embed_boxes(packed, make_embedder, cell)
     return patches, blob_metadata(cells, windows, patches, kept)
 
 

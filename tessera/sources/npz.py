@@ -99,28 +99,6 @@ def image_files(spark: SparkSession, root: str) -> DataFrame:
     return _files(spark, root, ("train", "val")).select(F.col("path").alias("image_path"))
 
 
-def read_masks(spark: SparkSession, root: str) -> DataFrame:
-    """One row a mask under ``<version>/<resolution>/<site>/{train,val}annot``; class ids are cast to whole numbers."""
-    fields = [x.split()[0] for x in MASK_TILES.split(", ")]
-
-    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = []
-            for path, content, folder, name, parts in zip(b["path"], b["content"], b["folder"], b["name"], b["parts"], strict=True):
-                version, resolution, site = [None, None, None, *parts[:-2]][-3:]
-                row = dict.fromkeys(fields) | {"site": site, "resolution": resolution, "dataset_version": version, "split": folder.removesuffix("annot")}
-                row |= {"tile_id": name.removesuffix(".npz"), "mask_path": path}
-                try:
-                    mask = decoded_mask(content)
-                    row |= {"height": mask.shape[0], "width": mask.shape[1], "classify": mask.ravel().tolist()}
-                except (KeyError, ValueError, OSError) as e:
-                    row["problem"] = f"{type(e).__name__}: {e}"[:200]
-                rows.append(row)
-            yield pd.DataFrame(rows, columns=fields).astype({"height": "Int32", "width": "Int32"})
-
-    return _files(spark, root, ("trainannot", "valannot")).mapInPandas(decode, MASK_TILES)
-
-
 def pixel_rows(tiles: DataFrame, files: DataFrame) -> DataFrame:
     """(path, row, col, r, g, b) of image tiles: ``files`` are their ``binaryFile`` rows."""
 

@@ -26,7 +26,14 @@ def read_cells(spark: SparkSession, path: str, schema: StructType | None = None)
 
 
 def cell(spark: SparkSession, path: str, site: str, cell_id: int) -> DataFrame:
-    return spark.read.parquet(path).where((F.col("site_id") == site) & (F.col("cell_id") == cell_id))
+    """The rows of one cell, of cells or patches; only its site's folder is listed and, in it, row groups that may hold it."""
+    return read_cells(spark, path).where((F.col("site_id") == site) & (F.col("cell_id") == cell_id))
+
+
+def patch_of(spark: SparkSession, out: str, ref: str) -> DataFrame:
+    """The patches that a cell's ``patch_ref`` (``<site>/patches#<cell>``) stands for."""
+    path, _, index = ref.rpartition("#")
+    return cell(spark, f"{out}/patches", path.removesuffix("/patches"), int(index))
 
 
 def patch_shapes(patches: DataFrame) -> DataFrame:
@@ -40,11 +47,12 @@ def write_site_meta(meta: DataFrame, path: str) -> None:
     """One JSON row a site; the ground size of a patch is the cell's by its patches across, null if unknown."""
     across = F.when(F.col("patch_grid")[1] > 0, F.col("patch_grid")[1])
     rows = meta.withColumn("patch_ground_m", F.col("cell_ground_m") / across)
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("site_id").json(path)
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("ignoreNullFields", "false").partitionBy("site_id").json(path)
 
 
-def read_site_meta(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.json(path).withColumn("site_id", F.col("site_id").cast("string"))
+def read_site_meta(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+    found = spark.read.json(path) if schema is None else spark.read.schema(schema).json(path)
+    return found.withColumn("site_id", F.col("site_id").cast("string"))
 
 
 def append_run(run: DataFrame, path: str) -> None:
@@ -52,6 +60,24 @@ def append_run(run: DataFrame, path: str) -> None:
     run.write.mode("append").json(path)
 
 
+def record_run(sites: DataFrame, settings: dict[str, object], path: str, run_id: str) -> None:
+    """Says before the work what a run is going to do: its settings, the time and its sites (a name each)."""
+    named = F.create_map(*[F.lit(x) for k, v in settings.items() for x in (k, str(v))]) if settings else F.lit(None).cast("map<string, string>")
+    row = sites.select("site_id").distinct().agg(F.sort_array(F.collect_list("site_id")).alias("sites"))
+    append_run(row.select(F.lit(run_id).alias("run_id"), F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss").alias("started_at"), F.size("sites").alias("n_sites"), "sites", named.alias("settings")), path)
+
+
+def staged(df: DataFrame, path: str) -> DataFrame:
+    """Writes a step of a run to a folder of the store and reads it back, so that what comes after doesn't repeat it."""
+    df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
 def read_catalog(spark: SparkSession, path: str) -> DataFrame:
     """(pos, site_key, resolutions, default_res) from a JSON object of {key: {"resolutions": [...]}}; the first is the default."""
     text = spark.read.text(path, wholetext=True)
@@ -95,17 +121,42 @@ def write_patches(patches: DataFrame, path: str) -> None:
     ready.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy("site_id").parquet(path)
 
 
-def done_sites(spark: SparkSession, cells: str, meta: str) -> DataFrame:
-    """(site_id, has_cells, has_meta) of all sites that the store has anything of."""
-    found = [(path, flag) for path, flag in ((cells, "has_cells"), (meta, "has_meta")) if exists(spark, path)]
-    out = None
-    for path, flag in found:
-        read = read_cells(spark, path) if flag == "has_cells" else read_site_meta(spark, path)
-        one = read.select("site_id").distinct().withColumn(flag, F.lit(True))
-        out = one if out is None else out.join(one, "site_id", "full")
-    if out is None:
-        return spark.createDataFrame([], "site_id string, has_cells boolean, has_meta boolean")
-    return out.select("site_id", *[F.coalesce(F.col(f), F.lit(False)).alias(f) if f in out.columns else F.lit(False).alias(f) for f in ("has_cells", "has_meta")])
+PARTS = ("cells", "patches", "meta")
+
+
+def done_sites(spark: SparkSession, out: str) -> DataFrame:
+    """(site_id, has_cells, has_patches, has_meta) of all sites that the store has anything of.
+
+    Metadata is written last, when a site's cells and patches are whole.
+    """
+    told = None
+    for part in PARTS:
+        path = f"{out}/{part}"
+        if not exists(spark, path):
+            continue
+        read = read_site_meta(spark, path, "site_id string") if part == "meta" else read_cells(spark, path, StructType.fromDDL("cell_id bigint, site_id string"))
+        one = read.select("site_id", F.lit(part).alias("part")).distinct()
+        told = one if told is None else told.unionByName(one)
+    if told is None:
+        told = spark.createDataFrame([], "site_id string, part string")
+    return told.groupBy("site_id").agg(*[F.coalesce(F.bool_or(F.col("part") == p), F.lit(False)).alias(f"has_{p}") for p in PARTS])
+
+
+def site_state(spark: SparkSession, out: str, site: str) -> DataFrame:
+    """One row for a site: what the store has of it, the numbers it holds and those its metadata claims; each part is read from
+    the site's folder alone."""
+    mine = F.col("site_id") == site
+    one = spark.createDataFrame([(site,)], "site_id string")
+    if exists(spark, f"{out}/cells"):
+        cells = read_cells(spark, f"{out}/cells", StructType.fromDDL("cell_id bigint, cls array<float>, site_id string")).where(mine)
+        one = one.join(cells.groupBy("site_id").agg(F.count("*").alias("stored_cells"), F.max(F.size("cls")).alias("stored_dim")), "site_id", "left")
+    if exists(spark, f"{out}/patches"):
+        patches = read_cells(spark, f"{out}/patches", StructType.fromDDL("cell_id bigint, prow int, pcol int, vec array<float>, site_id string")).where(mine)
+        shapes = patch_shapes(patches).select("site_id", F.col("n_cells").alias("cells_with_patches"), F.array("rows", "cols").alias("stored_grid"))
+        one = one.join(shapes, "site_id", "left")
+    if exists(spark, f"{out}/meta"):
+        one = one.join(read_site_meta(spark, f"{out}/meta").where(mine).select("site_id", F.col("n_cells"), "embed_dim", "patch_grid", "model"), "site_id", "left")
+    return one
 
 
 def flattened(rows: DataFrame) -> DataFrame:

@@ -217,10 +217,11 @@ def test_boxes_are_embedded_and_blended(spark):
     h, w, cell = 8, 12, 4
     image = np.arange(h * w * 3, dtype=float).reshape(h, w, 3)
     windows = [(0, 0, 8, 8), (0, 4, 8, 8)]
-    rows = [("u", r, c, hh, ww, image[r : r + hh, c : c + ww].ravel().tolist()) for r, c, hh, ww in windows]
-    boxes = spark.createDataFrame(rows, "uuid string, row_px int, col_px int, h_px int, w_px int, x array<double>")
+    bands = lambda r, c, hh, ww: [image[r : r + hh, c : c + ww, b].ravel()[::-1].tolist() for b in range(3)]
+    rows = [("u", r, c, hh, ww, list(range(hh * ww))[::-1], *bands(r, c, hh, ww)) for r, c, hh, ww in windows]
+    boxes = spark.createDataFrame(rows, "uuid string, row_px int, col_px int, h_px int, w_px int, at array<int>, r array<double>, g array<double>, b array<double>")
     means = lambda a: a.reshape(a.shape[0] // cell, cell, a.shape[1] // cell, cell, 3).mean(axis=(1, 3))
-    got = {(r["prow"], r["pcol"]): (r["vec"], r["n"]) for r in embedding.embed_boxes(boxes, "x", lambda: means, cell).collect()}
+    got = {(r["prow"], r["pcol"]): (r["vec"], r["n"]) for r in embedding.embed_boxes(boxes, lambda: means, cell).collect()}
     want = means(image)
     assert len(got) == 6 and all(np.allclose(v, want[p]) for p, (v, _) in got.items())
     assert {p for p, (_, n) in got.items() if n == 2} == {(0, 1), (1, 1)}

@@ -1,10 +1,13 @@
 """Whole runs on small sites: footprints, grids, stored cells, statistics tables, blobs, the command line."""
 
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tessera import __main__ as command
+from tessera.functions.projections import reprojected_boxes
 from tessera.operators import runs, spatial
 from tessera.plans import blobs, site, statistics
 from tessera.sources import npz, store
@@ -113,31 +116,107 @@ def test_grid_is_snapped_to_pixels_and_void_cells_go(spark, two_sites):
     assert strict.where("site_id = 's'").count() == 4 and counted.where("site_id = 's'").first()["dropped_void"] == 2
 
 
-def test_sites_are_stored_once_and_resumed(spark, two_sites, tmp_path):
-    tiles, rasters, pixels = two_sites
+def pixels_of(cells):
+    return cells.withColumn("pixels", F.array(F.col("row").cast("float"), F.col("col").cast("float")))
+
+
+def counting(spark):
+    """(calls, embedder): the class vector is twice the pixels, the patches are 3 across and 3 down of two channels."""
     calls = spark.sparkContext.accumulator(0)
 
     def embedder():
         def run(x):
             calls.add(len(x))
-            return x * 2
+            return x * 2, x[:, :, None] + np.arange(9)
 
         return run
 
+    return calls, embedder
+
+
+def test_sites_are_stored_once_and_resumed(spark, two_sites, tmp_path):
+    tiles, rasters, pixels = two_sites
+    calls, embedder = counting(spark)
     out = str(tmp_path / "out")
-    pix = lambda c: c.withColumn("pixels", F.array(F.col("row").cast("float"), F.col("col").cast("float")))
-    told = {r["site_id"]: r for r in site.run_sites(tiles, rasters, out, 16, pix, embedder, pixels, model="twice").collect()}
+    told = {r["site_id"]: r for r in site.run_sites(tiles, rasters, out, 16, pixels_of, embedder, pixels, model="twice", with_patches=True, settings={"weights": "w1"}).collect()}
     assert {k: r["status"] for k, r in told.items()} == {"s": runs.OK, "t": runs.OK, "none": runs.FAILED} and told["none"]["problem"] == "no raster"
     cells = store.read_cells(spark, f"{out}/cells")
     assert calls.value == cells.count() == told["s"]["n_cells"] + told["t"]["n_cells"]
     first = store.cell(spark, f"{out}/cells", "s", 4).first()
     assert first["cls"] == [2.0, 2.0] and first["patch_ref"] == "s/patches#4"
+    # every reference resolves to the patches of its own cell
+    patches = store.read_cells(spark, f"{out}/patches")
+    assert patches.groupBy("site_id", "cell_id").count().where("count = 9").join(cells, ["site_id", "cell_id"]).count() == cells.count()
+    got = {(r["prow"], r["pcol"]): r["vec"] for r in store.patch_of(spark, out, first["patch_ref"]).collect()}
+    assert got == {(i // 3, i % 3): [first["row"] + i, first["col"] + i] for i in range(9)}
     meta = {r["site_id"]: r for r in store.read_site_meta(spark, f"{out}/meta").collect()}
-    assert (meta["s"]["n_cells"], meta["s"]["embed_dim"], meta["s"]["model"], meta["s"]["patch_px"], meta["s"]["patch_ground_m"]) == (6, 2, "twice", 16, 8.0)
-    again = {r["site_id"]: r["status"] for r in site.run_sites(tiles, rasters, out, 16, pix, embedder, pixels).collect()}
+    assert (meta["s"]["n_cells"], meta["s"]["embed_dim"], meta["s"]["model"], meta["s"]["patch_px"], meta["s"]["patch_grid"], meta["s"]["patch_ground_m"]) == (6, 2, "twice", 16, [3, 3], 8 / 3)
+    again = {r["site_id"]: r["status"] for r in site.run_sites(tiles, rasters, out, 16, pixels_of, embedder, pixels, with_patches=True).collect()}
     assert again == {"s": runs.SKIPPED, "t": runs.SKIPPED, "none": runs.FAILED} and calls.value == cells.count()
+    record = {r["run_id"]: r for r in spark.read.json(f"{out}/runs").collect()}
+    assert len(record) == 2 and record[meta["s"]["run_id"]]["sites"] == ["none", "s", "t"] and record[meta["s"]["run_id"]]["settings"]["weights"] == "w1"
     args = command.parser().parse_args(["status", out])
-    assert [(r["site_id"], r["has_cells"], r["has_meta"]) for r in command.run(spark, args).collect()] == [("s", True, True), ("t", True, True)]
+    assert [tuple(r) for r in command.run(spark, args).collect()] == [("s", True, True, True), ("t", True, True, True)]
+    state = store.site_state(spark, out, "t")
+    row = state.first()
+    assert (row["stored_cells"], row["stored_dim"], row["cells_with_patches"], row["stored_grid"], row["n_cells"]) == (told["t"]["n_cells"], 2, row["n_cells"], [3, 3], row["n_cells"])
+    scans = [x for x in state._jdf.queryExecution().executedPlan().toString().split("\n") if "PartitionFilters" in x]
+    assert scans and all("site_id" in x.split("PartitionFilters")[1].split("PushedFilters")[0] for x in scans)
+
+
+@pytest.mark.parametrize("fails", ["write_patches", "write_site_meta"])
+def test_a_run_stopped_between_the_sinks_is_made_anew(spark, two_sites, tmp_path, monkeypatch, fails):
+    tiles, rasters, pixels = two_sites
+    calls, embedder = counting(spark)
+    out = str(tmp_path / "out")
+
+    def stop(*args):
+        raise KeyboardInterrupt
+
+    with monkeypatch.context() as m:
+        m.setattr(site, fails, stop)
+        with pytest.raises(KeyboardInterrupt):
+            site.run_sites(tiles, rasters, out, 16, pixels_of, embedder, pixels, with_patches=True)
+    assert store.done_sites(spark, out).where("has_cells and not has_meta").count() == 2
+    assert spark.read.json(f"{out}/runs").count() == 1
+    told = {r["site_id"]: r["status"] for r in site.run_sites(tiles, rasters, out, 16, pixels_of, embedder, pixels, with_patches=True).collect()}
+    assert told == {"s": runs.OK, "t": runs.OK, "none": runs.FAILED}
+    n = store.read_cells(spark, f"{out}/cells").count()
+    assert calls.value == 2 * n and store.read_cells(spark, f"{out}/patches").count() == 9 * n
+    assert store.done_sites(spark, out).where("has_cells and has_patches and has_meta").count() == 2
+
+
+def test_tiles_of_one_name_and_other_systems(spark, two_sites):
+    _, rasters, pixels = two_sites
+    row = lambda path, c0, c1: ("t", "a", path, 1000 + 0.5 * c0, 2000 - 0.5 * 10, 1000 + 0.5 * c1, 2000.0)
+    kinds = "site_id string, tile string, path string, xmin double, ymin double, xmax double, ymax double"
+    tiles = spark.createDataFrame([row("train/a", 0, 9), row("val/a", 50, 60)], kinds)
+    cells, _ = site.site_grid(tiles, rasters, 16, pixels)
+    assert sorted(r["col"] for r in cells.collect()) == [0, 3]  # one box around both would take in the cells between them
+    raster = spark.createDataFrame([("w", 64, 64, [10.0, 0.0, 390_000.0, 0.0, -10.0, 6_460_000.0, 0.0, 0.0, 1.0], 32750)], "site_id string, width int, height int, geo_transform array<double>, srid int")
+    here = spark.createDataFrame([("w", "a", "p", 390_100.0, 6_459_700.0, 390_200.0, 6_459_900.0, 32750)], f"{kinds}, srid int")
+    there = reprojected_boxes(here, F.col("srid"), F.lit(4326)).withColumn("srid", F.lit(4326))
+    boxes = [site.in_raster_systems(x, raster).first() for x in (here, there)]
+    assert boxes[0]["xmin"] == 390_100.0 and boxes[1]["srid"] == 32750
+    assert all(abs(boxes[0][c] - boxes[1][c]) < 5 for c in ("xmin", "ymin", "xmax", "ymax"))
+    assert site.site_grid(there, raster, 16)[0].count() >= site.site_grid(here, raster, 16)[0].count() > 0
+
+
+def test_a_window_of_512_pixels_is_packed_in_seconds(spark):
+    side = 512
+    pixels = spark.range(side * side).select(
+        F.lit("b").alias("uuid"), F.lit(0).alias("x"), F.lit(0).alias("y"), F.lit(1).alias("seq"), F.floor(F.col("id") / side).cast("int").alias("row"),
+        (F.col("id") % side).cast("int").alias("col"), (F.col("id") % 251 + 1).cast("int").alias("r"), (F.col("id") % 7).cast("int").alias("g"), F.lit(0).alias("b"),
+    )
+    cells = spark.createDataFrame([("b", 0, 0, side, side)], "uuid string, x int, y int, w int, h int")
+    means = lambda a: a.reshape(a.shape[0] // 64, 64, a.shape[1] // 64, 64, 3).mean(axis=(1, 3))
+    began = time.time()
+    patches, _ = blobs.run_blobs(pixels, cells, lambda: means, tile=side, overlap=128, cell=64)
+    got = {(r["prow"], r["pcol"]): r["vec"] for r in patches.collect()}
+    assert time.time() - began < 60
+    i = np.arange(side * side)
+    want = means(np.stack([i % 251 + 1, i % 7, 0 * i], axis=1).reshape(side, side, 3).astype(float))
+    assert len(got) == 64 and all(np.allclose(v, want[p]) for p, v in got.items())
 
 
 def save_mask(root, name, mask, image=None, **more):
