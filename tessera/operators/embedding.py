@@ -96,30 +96,79 @@ def assign(vectors: DataFrame, centres: list[list[float]], vector: Column) -> Co
     return F.array_position(scores, F.array_max(scores)).cast("int") - 1
 
 
-def fit_pca(vectors: DataFrame, vector: str, k: int, normalise: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """(mean, components) from all rows: each task adds up sums and products, only those d x d matrices are collected.
+def added_up(parts: DataFrame, fan: int = 64) -> np.ndarray | None:
+    """The sum of the arrays of all rows (``part``, doubles as bytes), by ``fan`` tasks and then by the driver, which never hold
+    more than two of them."""
 
-    A component's sign is set so that its largest loading is positive.
-    """
-    col = l2_normalise(F.col(vector), 1e-6) if normalise else doubles(F.col(vector))
+    def add(key: tuple, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = None
+        for b in batches:
+            for x in b["part"]:
+                x = np.frombuffer(x)
+                total = x.copy() if total is None else total + x
+        yield pd.DataFrame({"part": [total.tobytes()]})
 
-    def add(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        n, total, square = 0, 0.0, 0.0
+    total = None
+    for r in parts.withColumn("fan", F.spark_partition_id() % fan).groupBy("fan").applyInPandas(add, "part binary").toLocalIterator():
+        x = np.frombuffer(r["part"])
+        total = x.copy() if total is None else total + x
+    return total
+
+
+def per_task(vectors: DataFrame, make: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """(part): the sum over a task's vectors (``v``, rows of an array) of what ``make`` gives for some of them."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = None
         for p in parts:
-            if len(p):
-                x = np.stack(p["v"].to_list())
-                n, total, square = n + len(x), total + x.sum(axis=0), square + x.T @ x
-        if n:
-            yield pd.DataFrame({"n": [n], "total": [total.tolist()], "square": [square.ravel().tolist()]})
-
-    sums = vectors.select(col.alias("v")).mapInPandas(add, "n long, total array<double>, square array<double>")
-    n, total, square = 0, 0.0, 0.0
-    for r in sums.toLocalIterator():
-        d = len(r["total"])
-        n, total, square = n + r["n"], total + np.array(r["total"]), square + np.array(r["square"]).reshape(d, d)
-    mean = total / n
-    _, basis = np.linalg.eigh(square - n * np.outer(mean, mean))
-    components = basis[:, ::-1][:, :k].T
+            for i in range(0, len(p), 1024):
+                x = make(np.stack(p["v"].iloc[i : i + 1024].to_list()).astype(np.float64))
+                total = x if total is None else total + x
+        if total is not None:
+            yield pd.DataFrame({"part": [np.ascontiguousarray(total, np.float64).tobytes()]})
+
+    return vectors.mapInPandas(run, "part binary")
+
+
+def fit_pca(vectors: DataFrame, vector: str, k: int, normalise: bool = True, wide_from: int = 512, passes: int = 12, close: float = 1e-9) -> tuple[np.ndarray, np.ndarray]:
+    """(mean, components) from all rows; a component's sign is set so that its largest loading is positive.
+
+    Vectors up to ``wide_from`` long: each task adds up products, and those d x d matrices are added up.  Longer ones: by a
+    growing basis.  A pass takes k + 8 directions through all vectors, which gives as many new ones; the components are the best
+    within all directions so far, and passes end when those hold (``close``, as a share of the largest variance) or after
+    ``passes``.  Tasks hold d x (k + 8) numbers then, the driver ``passes`` times as many.
+    """
+    col = l2_normalise(F.col(vector), 1e-6) if normalise else doubles(F.col(vector))
+    rows = vectors.select(col.alias("v")).where("v is not null")
+    sums = added_up(per_task(rows, lambda x: np.r_[len(x), x.sum(axis=0)]))
+    if sums is None:
+        raise ValueError("there is no vector")
+    n, mean = sums[0], sums[1:] / sums[0]
+    d = len(mean)
+    if d <= wide_from:
+        square = added_up(per_task(rows, lambda x: (x - mean).T @ (x - mean))).reshape(d, d)
+        _, basis = np.linalg.eigh(square)
+        components = basis[:, ::-1][:, :k].T
+    else:
+        width = min(k + 8, d)
+        basis, onto = np.zeros((d, 0)), np.zeros((d, 0))
+        fresh = np.linalg.qr(np.random.default_rng(0).normal(size=(d, width)))[0]
+        for _ in range(passes):
+            some = fresh
+            image = added_up(per_task(rows, lambda x: (x - mean).T @ ((x - mean) @ some))).reshape(d, -1)
+            basis, onto = np.hstack([basis, fresh]), np.hstack([onto, image])
+            value, turn = np.linalg.eigh((basis.T @ onto + onto.T @ basis) / 2)
+            turn = turn[:, ::-1][:, :k]
+            components = (basis @ turn).T
+            off = np.linalg.norm(onto @ turn - (basis @ turn) * value[::-1][:k], axis=0)
+            if off.max() <= close * max(value[-1], 1e-300):
+                break
+            for _ in range(2):  # what is new in it, twice for rounding
+                image = image - basis @ (basis.T @ image)
+            q, r = np.linalg.qr(image)
+            fresh = q[:, np.abs(np.diag(r)) > 1e-10 * max(value[-1], 1e-300)][:, : d - basis.shape[1]]
+            if not fresh.shape[1]:
+                break
     at = np.abs(components).argmax(axis=1)
     return mean, components * np.sign(components[np.arange(len(components)), at])[:, None]
 
