@@ -72,11 +72,20 @@ def sampled(rows: DataFrame, n: int, key: str, seed: int = 0) -> DataFrame:
     return rows.orderBy(F.xxhash64(F.lit(seed), key), key).limit(n)
 
 
-def sampled_by_file(rows: DataFrame, n: int, file: str, key: str, seed: int = 0) -> DataFrame:
-    """About ``n`` rows in equal parts of every file, at least one of each, by a seeded hash of their key."""
+SALTS = 64
+
+
+def sampled_by_file(rows: DataFrame, n: int, file: str, key: str, seed: int = 0, turn: Column | None = None) -> DataFrame:
+    """About ``n`` rows in equal parts of every file, at least one of each, by a seeded hash of their key (or by ``turn``).
+
+    The first of each of ``SALTS`` shares of a file are found before the first of the file, so no task sorts a whole file.
+    """
     files = max(1, rows.select(file).distinct().count())
-    turn = W.partitionBy(file).orderBy(F.xxhash64(F.lit(seed), key), key)
-    return rows.withColumn("_turn", F.row_number().over(turn)).where(F.col("_turn") <= max(1, n // files)).drop("_turn")
+    each = max(1, n // files)
+    order = [F.xxhash64(F.lit(seed), key) if turn is None else turn, F.col(key)]
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(F.lit(seed + 1), key), F.lit(SALTS)))
+    first = lambda df, *by: df.withColumn("_turn", F.row_number().over(W.partitionBy(*by).orderBy(*order))).where(F.col("_turn") <= each).drop("_turn")
+    return first(first(salted, file, "_salt"), file).drop("_salt")
 
 
 def integrity(cells: DataFrame, meta: DataFrame, patches: DataFrame, site: str = "site_id") -> DataFrame:

@@ -37,10 +37,18 @@ def overlap_windows(blobs: DataFrame, tile: int, overlap: int, cell: int = 8, co
 
 
 def overlap_coverage(windows: DataFrame, step: int, key: str = "uuid") -> DataFrame:
-    """How many windows cover each block of ``step`` pixels: (key, brow, bcol, n)."""
-    span = lambda start, size: F.sequence(F.floor(F.col(start) / step), F.floor((F.col(start) + F.col(size) - 1) / step))
-    cells = windows.withColumn("brow", F.explode(span("row_px", "h_px"))).withColumn("bcol", F.explode(span("col_px", "w_px")))
-    return cells.groupBy(key, "brow", "bcol").agg(F.count("*").alias("n"))
+    """How many windows cover each block of ``step`` pixels: (key, brow, bcol, n).
+
+    A sweep along each row of blocks: a window adds one where it begins and takes it away after its end, equal places are added
+    up before they are shuffled, and only the stretches between places are spread out to blocks.
+    """
+    first, last = lambda at: F.floor(F.col(at) / step), lambda at, n: F.floor((F.col(at) + F.col(n) - 1) / step)
+    ends = F.array(F.struct(first("col_px").alias("bcol"), F.lit(1).alias("d")), F.struct((last("col_px", "w_px") + 1).alias("bcol"), F.lit(-1).alias("d")))
+    rows = windows.where("w_px > 0 and h_px > 0").select(key, F.explode(F.sequence(first("row_px"), last("row_px", "h_px"))).alias("brow"), ends.alias("e"))
+    places = rows.select(key, "brow", F.explode("e").alias("e")).groupBy(key, "brow", "e.bcol").agg(F.sum("e.d").alias("d"))
+    line = W.partitionBy(key, "brow").orderBy("bcol")
+    runs = places.withColumn("n", F.sum("d").over(line.rowsBetween(W.unboundedPreceding, 0))).withColumn("next", F.lead("bcol").over(line))
+    return runs.where("n > 0").select(key, "brow", F.explode(F.sequence("bcol", F.col("next") - 1)).alias("bcol"), "n")
 
 
 def mean_blend(values: DataFrame, place: list[str], value: str = "value") -> DataFrame:

@@ -11,7 +11,8 @@ from tessera.functions import names
 from tessera.operators.embedding import Embedder, embed_boxes
 from tessera.operators.spatial import window_pixels
 from tessera.operators.tiling import blob_extents, canvas, nodata_boxes, overlap_windows
-from tessera.sources.store import flattened
+from tessera.session import work_path
+from tessera.sources.store import flattened, staged
 
 
 def discovered(files: DataFrame) -> DataFrame:
@@ -48,7 +49,7 @@ def run_blobs(pixels: DataFrame, cells: DataFrame, make_embedder: Callable[[], E
     value = lambda c: F.coalesce(F.col(c).cast("float"), F.lit(0.0).cast("float")).alias(c)
     rows = seen.join(kept, place).select(*place, "w_px", "h_px", at.alias("at"), *map(value, "rgb"))
     packed = rows.groupBy(*place, "w_px", "h_px").agg(*[F.collect_list(c).alias(c) for c in ("at", *"rgb")])  # a window's pixels
-    patches = embed_boxes(packed, make_embedder, cell)
+    patches = staged(embed_boxes(packed, make_embedder, cell), work_path(pixels.sparkSession, "patches"))  # embedded once
     return patches, blob_metadata(cells, windows, patches, kept)
 
 

@@ -138,13 +138,13 @@ def nodata_boxes(spark: SparkSession, sf: str) -> DataFrame:
 
 # --- chunks and stitching ------------------------------------------------------------------------
 
-_TILES = "(SELECT p_partkey % 40 AS uuid, CAST(p_partkey // 40 % 7 * 384 AS INTEGER) AS x, CAST(p_partkey // 280 % 5 * 384 AS INTEGER) AS y, CAST(40 + p_size AS INTEGER) AS w, CAST(50 + p_size AS INTEGER) AS h FROM part WHERE p_partkey < 1400)"
+_TILES = "(SELECT p_partkey % 40 AS uuid, CAST(p_partkey // 40 % 7 * 384 AS INTEGER) AS x, CAST(p_partkey // 280 * 384 AS INTEGER) AS y, CAST(40 + p_size AS INTEGER) AS w, CAST(50 + p_size AS INTEGER) AS h FROM part)"
 
 
 def blob_tiles(spark: SparkSession, sf: str) -> DataFrame:
     k = F.col("p_partkey")
-    return read(spark, sf, "part").where(k < 1400).select(
-        (k % 40).alias("uuid"), (F.floor(k / 40) % 7 * 384).cast("int").alias("x"), (F.floor(k / 280) % 5 * 384).cast("int").alias("y"), (40 + F.col("p_size")).cast("int").alias("w"), (50 + F.col("p_size")).cast("int").alias("h")
+    return read(spark, sf, "part").select(
+        (k % 40).alias("uuid"), (F.floor(k / 40) % 7 * 384).cast("int").alias("x"), (F.floor(k / 280) * 384).cast("int").alias("y"), (40 + F.col("p_size")).cast("int").alias("w"), (50 + F.col("p_size")).cast("int").alias("h")
     )
 
 
@@ -169,22 +169,44 @@ def blob_chunks(spark: SparkSession, sf: str) -> DataFrame:
     return whole.select("kind", "uuid", "chunk_id", *[F.col(c).cast("bigint").alias(c) for c in ("col_px", "row_px", "w_px", "h_px")])
 
 
-_WIN = "(SELECT b.uuid, c.x AS col_px, r.y AS row_px, least(40, 90 + b.uuid - c.x) AS w_px, least(40, 80 + b.uuid - r.y) AS h_px, 90 + b.uuid AS width, 80 + b.uuid AS height FROM range(8) b(uuid), (VALUES (0), (24), (48), (72)) c(x), (VALUES (0), (24), (48)) r(y))"
+_WIN = "(SELECT s_suppkey AS uuid, c.x AS col_px, r.y AS row_px, least(10, 22 + s_suppkey % 8 - c.x) AS w_px, least(10, 20 + s_suppkey % 8 - r.y) AS h_px, 22 + s_suppkey % 8 AS width, 20 + s_suppkey % 8 AS height FROM supplier, (VALUES (0), (6), (12), (18)) c(x), (VALUES (0), (6), (12), (18)) r(y))"
 
 
 @query(
     f"""SELECT uuid, y AS "row", x AS col, arg_min(row_px * 1000 + col_px, row_px * 1000 + col_px) AS value FROM (SELECT *, unnest(range(r0, r1)) AS y FROM (SELECT *, unnest(range(c0, c1)) AS x FROM (SELECT *,
- col_px + CASE WHEN col_px > 0 THEN 8 ELSE 0 END AS c0, row_px + CASE WHEN row_px > 0 THEN 8 ELSE 0 END AS r0, col_px + w_px - CASE WHEN col_px + w_px < width THEN 8 ELSE 0 END AS c1,
- row_px + h_px - CASE WHEN row_px + h_px < height THEN 8 ELSE 0 END AS r1 FROM {_WIN}))) GROUP BY 1, 2, 3"""
+ col_px + CASE WHEN col_px > 0 THEN 2 ELSE 0 END AS c0, row_px + CASE WHEN row_px > 0 THEN 2 ELSE 0 END AS r0, col_px + w_px - CASE WHEN col_px + w_px < width THEN 2 ELSE 0 END AS c1,
+ row_px + h_px - CASE WHEN row_px + h_px < height THEN 2 ELSE 0 END AS r1 FROM {_WIN}))) GROUP BY 1, 2, 3"""
 )
 def trimmed_stitch(spark: SparkSession, sf: str) -> DataFrame:
-    starts = spark.range(8).withColumnRenamed("id", "uuid").withColumn("col_px", F.explode(F.array(*map(F.lit, (0, 24, 48, 72))))).withColumn("row_px", F.explode(F.array(*map(F.lit, (0, 24, 48)))))
-    w = starts.withColumn("width", 90 + F.col("uuid")).withColumn("height", 80 + F.col("uuid"))
-    w = w.withColumn("w_px", F.least(F.lit(40), F.col("width") - F.col("col_px"))).withColumn("h_px", F.least(F.lit(40), F.col("height") - F.col("row_px")))
+    """A blob for each supplier, in windows of ten pixels that overlap by four."""
+    k, four = F.col("s_suppkey"), F.array(*map(F.lit, (0, 6, 12, 18)))
+    starts = read(spark, sf, "supplier").select(k.alias("uuid"), (22 + k % 8).alias("width"), (20 + k % 8).alias("height"), F.explode(four).alias("col_px"))
+    w = starts.withColumn("row_px", F.explode(four))
+    w = w.withColumn("w_px", F.least(F.lit(10), F.col("width") - F.col("col_px"))).withColumn("h_px", F.least(F.lit(10), F.col("height") - F.col("row_px")))
     span = lambda at, n: F.explode(F.sequence(F.col(at).cast("long"), F.col(at) + F.col(n) - 1))
-    values = w.select("uuid", "row_px", "col_px", "h_px", span("col_px", "w_px").alias("col")).join(w.select("uuid", "row_px", "col_px", span("row_px", "h_px").alias("row")), ["uuid", "row_px", "col_px"])
+    values = w.withColumn("col", span("col_px", "w_px")).withColumn("row", span("row_px", "h_px"))
     values = values.select("uuid", "row_px", "col_px", "row", "col", (F.col("row_px") * 1000 + F.col("col_px")).alias("value"))
-    return tiling.stitched(values, w, 16, "uuid")
+    return tiling.stitched(values, w, 4, "uuid")
+
+
+_UP = "CAST(ceil({} / 16.0) AS INTEGER) * 16"
+_PADDED = f"(SELECT p_partkey, p_size AS h, p_partkey % 23 + 1 AS w, {_UP.format('p_size')} AS new_h, {_UP.format('(p_partkey % 23 + 1)')} AS new_w FROM part)"
+
+
+@query(
+    f"""SELECT p_partkey, count(*) AS n, CAST(sum(least(y, h - 1) * 100 + least(x, w - 1)) AS BIGINT) AS total, greatest(max(new_h), max(new_w)) AS side FROM {_PADDED}, LATERAL (SELECT unnest(range(0, new_h)) AS y), LATERAL (SELECT unnest(range(0, new_w)) AS x) GROUP BY 1"""
+)
+def edge_padding(spark: SparkSession, sf: str) -> DataFrame:
+    """An image of each part's size, its edge repeated up to whole sixteens."""
+    k, h, w = F.col("p_partkey"), F.col("p_size").cast("int"), (F.col("p_partkey") % 23 + 1).cast("int")
+    sizes = read(spark, sf, "part").select(k, h.alias("h"), w.alias("w"))
+    new_h, new_w = tiling.padded_size(F.col("h"), F.col("w"), 16)
+    side, _ = tiling.padded_size(F.col("h"), F.col("w"), 16, square=True)
+    sizes = sizes.select("*", new_h.alias("new_h"), new_w.alias("new_w"), side.alias("side"))
+    span = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    pixels = sizes.select(k, "w", span("h").alias("row")).select(k, "row", span("w").alias("col")).withColumn("value", F.col("row") * 100 + F.col("col"))
+    padded = tiling.pad_by_edge(pixels, sizes, "p_partkey").groupBy("p_partkey").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+    return padded.join(sizes.select(k, "side"), "p_partkey")
 
 
 @query(
@@ -239,10 +261,10 @@ def resolvability(spark: SparkSession, sf: str) -> DataFrame:
     return runs.resolved(sites.drop("c_custkey"), tiles, found).select("site_key", "problem")
 
 
-@query("SELECT p_brand, count(*) AS n FROM (SELECT p_brand, row_number() OVER (PARTITION BY p_brand) AS i FROM part) WHERE i <= greatest(1, 200 // (SELECT count(DISTINCT p_brand) FROM part)) GROUP BY 1")
+@query("SELECT p_brand, p_partkey FROM (SELECT p_brand, p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY md5(CAST(p_partkey AS VARCHAR)), p_partkey) AS i FROM part) WHERE i <= greatest(1, 200 // (SELECT count(DISTINCT p_brand) FROM part))")
 def sample_by_file(spark: SparkSession, sf: str) -> DataFrame:
-    """How many rows of each brand a sample with equal parts takes."""
-    return runs.sampled_by_file(read(spark, sf, "part"), 200, "p_brand", "p_partkey").groupBy("p_brand").agg(F.count("*").alias("n"))
+    """Which rows of each brand a sample with equal parts takes."""
+    return runs.sampled_by_file(read(spark, sf, "part"), 200, "p_brand", "p_partkey", turn=F.md5(F.col("p_partkey").cast("string"))).select("p_brand", "p_partkey")
 
 
 # --- blobs' metadata -----------------------------------------------------------------------------

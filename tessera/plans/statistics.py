@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,7 +12,7 @@ from tessera.operators.runs import sampled
 from tessera.operators.stats import site_rollup, tile_rows
 from tessera.schemas import TILE_CLASSES, TILES
 from tessera.sources.npz import image_files, mask_files, read_mask_counts
-from tessera.sources.store import current_version, read_table, write_tables
+from tessera.sources.store import current_version, read_table, remove, staged, write_tables
 
 TABLES = ("tiles", "tiles_orig_classes", "site_resolution")
 EXACT = ["height", "width", "total_pixels", "pixels_no_data", "pixels_unmapped", "n_unique_orig_classes"]
@@ -35,8 +37,10 @@ def update(spark: SparkSession, root: str, store: str, version: str, full: bool
 
     Only masks that the tiles table doesn't have are decoded (``full``: all).  Links of all tiles are found anew; with
     ``pruned`` tiles whose mask is gone are dropped, by the whole tile key in the class counts too.  The rollup is that of
-    the new tables.  Returns the tables as stored.
+    the new tables.  Returns the tables as stored.  Of two updates at once that build on the same version one raises; a failed
+    one can be tried again under the same name.
     """
+    base = current_version(spark, store)
     files, images = mask_files(spark, root), image_files(spark, root)
     on_disk = files.select("mask_path")
     old = None if full else read_table(spark, store, "tiles")
@@ -49,9 +53,10 @@ def update(spark: SparkSession, root: str, store: str, version: str, full: bool
         classes = append(known, counts)
         if pruned:
             tiles, classes = prune(tiles, classes, on_disk)
-    write_tables({"tiles": coerced(tiles, TILES), "tiles_orig_classes": coerced(classes, TILE_CLASSES)}, f"{store}/_parts", version)
-    parts = {name: spark.read.parquet(f"{store}/_parts/{name}/version={version}") for name in TABLES[:2]}
-    write_tables({**parts, "site_resolution": site_rollup(*parts.values())}, store, version)
+    work = f"{store}/_parts/{uuid.uuid4().hex}"  # tiles and counts once, for the tables and for the rollup
+    parts = {name: staged(coerced(t, kinds), f"{work}/{name}") for name, t, kinds in (("tiles", tiles, TILES), ("tiles_orig_classes", classes, TILE_CLASSES))}
+    write_tables({**parts, "site_resolution": site_rollup(*parts.values())}, store, version, base)
+    remove(spark, work)
     return {name: read_table(spark, store, name) for name in TABLES}
 
 

@@ -1,8 +1,9 @@
-"""Image and mask tiles in ``.npz`` archives, decoded inside tasks from ``binaryFile`` rows."""
+"""Image and mask tiles in ``.npz`` archives, decoded inside tasks."""
 
 from __future__ import annotations
 
 import io
+import zipfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 from tessera.functions.names import site_id
 from tessera.operators.stats import SUMMARY, mask_summary
 from tessera.schemas import IMAGE_TILES, MASK_TILES
+from tessera.sources import archives
 
 
 def _files(spark: SparkSession, root: str, folders: tuple[str, ...]) -> DataFrame:
@@ -22,8 +24,15 @@ def _files(spark: SparkSession, root: str, folders: tuple[str, ...]) -> DataFram
 
 
 def read_tiles(spark: SparkSession, root: str, splits: tuple[str, ...] = ("train", "val")) -> DataFrame:
-    """One row an image tile under ``root/<site>/<split>``; ``problem`` tells why a file couldn't be read."""
-    fields = [x.split()[0] for x in IMAGE_TILES.split(", ")]
+    """One row an image tile under ``root/<site>/<split>``; ``problem`` tells why a file couldn't be read.
+
+    Only headers and small arrays are read, by seeks, where Python workers can open the files; elsewhere whole files are.
+    """
+    uri = qualified(spark, root)
+    if archives.seekable(uri):
+        archives.register(spark)
+        return spark.read.format("npz_tiles").option("splits", ",".join(splits)).load(uri).drop("bytes_read")
+    fields = archives.FIELDS
 
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -31,13 +40,9 @@ def read_tiles(spark: SparkSession, root: str, splits: tuple[str, ...] = ("train
             for path, content, split, name, site in zip(b["path"], b["content"], b["folder"], b["name"], b["site_id"], strict=True):
                 row = dict.fromkeys(fields) | {"site_id": site, "tile": name.removesuffix(".npz"), "split": split, "path": path}
                 try:
-                    with np.load(io.BytesIO(content)) as z:
-                        h, w = stored_shape(z, "RED")
-                        gt, srid = z["GEO_TRANSFORM"].ravel().astype(float), int(np.ravel(z["SRID"])[0])
-                    row |= {"w": w, "h": h, "srid": srid, "geo_transform": gt.tolist()}
-                    row |= {"xmin": gt[2], "ymax": gt[5], "xmax": gt[2] + w * gt[0], "ymin": gt[5] + h * gt[4]}
-                except (KeyError, ValueError, OSError, IndexError) as e:
-                    row["problem"] = f"{type(e).__name__}: {e}"[:200]
+                    row |= archives.tile_header(io.BytesIO(content))
+                except archives.FAULTS as e:
+                    row["problem"] = archives.told(e)
                 rows.append(row)
             yield pd.DataFrame(rows, columns=fields).astype({"w": "Int32", "h": "Int32", "srid": "Int32"})
 
@@ -45,13 +50,10 @@ def read_tiles(spark: SparkSession, root: str, splits: tuple[str, ...] = ("train
     return files.mapInPandas(decode, IMAGE_TILES)
 
 
-def stored_shape(archive: np.lib.npyio.NpzFile, name: str) -> tuple[int, ...]:
-    """An array's shape by its header; its values aren't inflated."""
-    if name not in archive.files:
-        raise KeyError(name)
-    with archive.zip.open(f"{name}.npy") as f:
-        version = np.lib.format.read_magic(f)
-        return (np.lib.format.read_array_header_1_0 if version == (1, 0) else np.lib.format.read_array_header_2_0)(f)[0]
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with its scheme, by the session's default file system."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(hadoop).toString()
 
 
 def read_mask_counts(files: DataFrame) -> DataFrame:
@@ -65,19 +67,20 @@ def read_mask_counts(files: DataFrame) -> DataFrame:
             for r in b.to_dict("records"):
                 row = dict.fromkeys(fields) | {k: r[k] for k in r if k in fields}
                 try:
-                    mask = decoded_mask(r["content"])
+                    mask = decoded_mask(archives.opened(r["mask_path"]) if r["content"] is None else io.BytesIO(r["content"]))
                     row |= {"height": mask.shape[0], "width": mask.shape[1], **mask_summary(mask)}
-                except (KeyError, ValueError, OSError) as e:
-                    row["problem"] = f"{type(e).__name__}: {e}"[:200]
+                except archives.FAULTS as e:
+                    row["problem"] = archives.told(e)
                 rows.append(row)
             yield pd.DataFrame(rows, columns=fields).astype({c: "Int32" for c in ("height", "width", "row0", "row1", "col0", "col1")} | {"annotated": "Int64"})
 
     return files.mapInPandas(decode, kinds)
 
 
-def decoded_mask(content: bytes) -> np.ndarray:
-    with np.load(io.BytesIO(content)) as z:
-        mask = z["CLASSIFY"]
+def decoded_mask(file) -> np.ndarray:
+    """The mask of an archive; its other arrays aren't read."""
+    with zipfile.ZipFile(file) as z:
+        mask = archives.stored_array(z, "CLASSIFY")
     if mask.ndim != 2:
         raise ValueError(f"mask has {mask.ndim} dimensions")
     return mask.astype(np.int32)
@@ -85,12 +88,14 @@ def decoded_mask(content: bytes) -> np.ndarray:
 
 def mask_files(spark: SparkSession, root: str) -> DataFrame:
     """Masks under ``<version>/<resolution>/<site>/{train,valannot}`` with their bytes, by their place alone.  The bytes are
-    only read where they are used: a listing doesn't touch them."""
+    only read where they are used: a listing doesn't touch them, and where Python workers can open the files ``content`` is null
+    and they read the mask alone."""
     parts, n = F.col("parts"), F.size("parts")
     above = lambda k: F.try_element_at(parts, -F.lit(k))
+    content = F.lit(None).cast("binary") if archives.seekable(qualified(spark, root)) else F.col("content")
     return _files(spark, root, ("trainannot", "valannot")).select(
         above(3).alias("site"), above(4).alias("resolution"), F.when(n >= 5, above(5)).alias("dataset_version"), F.regexp_replace("folder", "annot$", "").alias("split"),
-        F.regexp_replace("name", r"\.npz$", "").alias("tile_id"), F.col("path").alias("mask_path"), "content",
+        F.regexp_replace("name", r"\.npz$", "").alias("tile_id"), F.col("path").alias("mask_path"), content.alias("content"),
     )
 
 

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+import uuid
+
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -86,27 +90,80 @@ def read_catalog(spark: SparkSession, path: str) -> DataFrame:
     return found.withColumn("default_res", F.try_element_at("resolutions", F.lit(1)))
 
 
-def write_tables(tables: dict[str, DataFrame], root: str, version: str) -> None:
+class Conflict(ValueError):
+    """Another writer has committed since the version was read that a change builds on."""
+
+
+def write_tables(tables: dict[str, DataFrame], root: str, version: str, after: str | None | bool = True) -> None:
     """Writes tables of one state to new folders and then names their version as the current one: readers see all of it or
-    nothing, and a folder that is being read is never written to."""
-    for name, table in tables.items():
-        write_versioned(table, f"{root}/{name}", version)
+    nothing, and a folder that is being read is never written to.
+
+    ``after`` is the version that the change builds on (None: there was none yet; True: whichever is current now).  The log has
+    a numbered entry a commit, made by creating its file, which only one writer can: the other gets a :class:`Conflict`.  Until
+    then nothing of the tables counts, so what a failed try has left is written over under the same name; a version that is in
+    the log can't be written again.
+    """
     spark = next(iter(tables.values())).sparkSession
-    spark.createDataFrame([(version,)], "version string").withColumn("written_at", F.current_timestamp()).coalesce(1).write.mode("append").json(f"{root}/_versions")
+    log = version_log(spark, root)
+    if version in log:
+        raise ValueError(f"version {version} is committed")
+    if after is not True and (log[-1] if log else None) != after:
+        raise Conflict(f"{root} is at version {log[-1] if log else None}, not {after}")
+    # folders are named by the entry that the writer tries for and by the writer, so two writers never share one
+    attempt = f"{len(log):06d}-{uuid.uuid4().hex[:8]}"
+    for name, table in tables.items():
+        table.write.mode("overwrite").parquet(f"{root}/{name}/version={version}/{attempt}")
+    if not create(spark, f"{root}/_versions/{len(log):06d}.json", json.dumps({"version": version, "attempt": attempt})):
+        raise Conflict(f"another writer has committed entry {len(log)} of {root}")
 
 
-def current_version(spark: SparkSession, root: str) -> str | None:
-    """The version that was named last, or None before the first."""
+def create(spark: SparkSession, path: str, text: str) -> bool:
+    """Makes a file that doesn't exist yet, whole or not at all; False if there is one.
+
+    The text is written beside it and renamed, which fails where the name is taken.
+    """
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    target, beside = (jvm.org.apache.hadoop.fs.Path(x) for x in (path, f"{path}.{uuid.uuid4().hex}"))
+    files = target.getFileSystem(conf)
+    if files.exists(target):
+        return False
+    out = files.create(beside, False)
+    out.write(bytearray(text.encode()))
+    out.close()
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), conf)
+    try:
+        context.rename(context.makeQualified(beside), context.makeQualified(target), spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0))
+    except Py4JJavaError as e:
+        files.delete(beside, False)
+        if "FileAlreadyExists" in str(e.java_exception):
+            return False
+        raise
+    return True
+
+
+def _entries(spark: SparkSession, root: str) -> list[dict]:
+    """The log's entries, in order; one small file a commit."""
     if not exists(spark, f"{root}/_versions"):
-        return None
-    last = spark.read.schema("version string, written_at timestamp").json(f"{root}/_versions").orderBy(F.desc("written_at"), F.desc("version")).first()
-    return last["version"] if last else None
+        return []
+    rows = spark.read.schema("version string, attempt string").option("pathGlobFilter", "[0-9]*.json").json(f"{root}/_versions").withColumn("file", F.col("_metadata.file_name"))
+    return [r.asDict() for r in rows.orderBy("file").collect()]
+
+
+def version_log(spark: SparkSession, root: str) -> list[str]:
+    """All committed versions, the first first."""
+    return [e["version"] for e in _entries(spark, root)]
+
+
+def current_version(spark: SparkSession, root: str) -> str | None:
+    """The version that was committed last, or None before the first."""
+    log = version_log(spark, root)
+    return log[-1] if log else None
 
 
-def read_table(spark: SparkSession, root: str, name: str) -> DataFrame | None:
-    """A table of the current version."""
-    version = current_version(spark, root)
-    return None if version is None else spark.read.parquet(f"{root}/{name}/version={version}")
+def read_table(spark: SparkSession, root: str, name: str, version: str | None = None) -> DataFrame | None:
+    """A table of a committed version, the current one if None; None where there is no such version."""
+    found = [e for e in _entries(spark, root) if version in (None, e["version"])]
+    return spark.read.parquet(f"{root}/{name}/version={found[-1]['version']}/{found[-1]['attempt']}") if found else None
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -173,10 +230,3 @@ def flattened(rows: DataFrame) -> DataFrame:
 
     add(rows.schema.fields, "")
     return rows.select(*out)
-
-
-def write_versioned(table: DataFrame, root: str, version: str) -> str:
-    """Writes a whole table to a new folder of ``root``, so what is being read is never overwritten; returns it."""
-    path = f"{root}/version={version}"
-    table.write.mode("errorifexists").parquet(path)
-    return path

@@ -5,12 +5,13 @@ import time
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import EqualTo, In
 
 from tessera import __main__ as command
 from tessera.functions.projections import reprojected_boxes
 from tessera.operators import runs, spatial
 from tessera.plans import blobs, site, statistics
-from tessera.sources import npz, store
+from tessera.sources import archives, npz, store
 
 GT = [0.5, 0.0, 1000.0, 0.0, -0.5, 2000.0, 0.0, 0.0, 1.0]
 
@@ -292,6 +293,27 @@ def test_tiles_are_read_by_their_headers(spark, tmp_path):
     assert len(pixels) == 12 and {(r["row"], r["col"]): r["g"] for r in pixels}[2, 1] == 9.0
 
 
+def test_little_is_read_of_a_tile_and_other_folders_arent_listed(spark, tmp_path):
+    gt, big = np.array([[0.1, 0, 500.0], [0, -0.1, 1000.0], [0, 0, 1]]), np.random.default_rng(0).random((600, 500)).astype(np.float32)
+    for site_name in ("A", "B"):
+        for split in ("train", "val"):
+            folder = tmp_path / "p" / site_name / split
+            folder.mkdir(parents=True)
+            for i in range(3):
+                np.savez(folder / f"t{i}.npz", RED=big, GREEN=big, BLUE=big, GEO_TRANSFORM=gt, SRID=np.array([28350]))
+    (tmp_path / "p/A/val/t0.npz").write_bytes(b"PK broken")
+    archives.register(spark)
+    rows = spark.read.format("npz_tiles").load(f"file:{tmp_path}").collect()
+    size = (tmp_path / "p/A/train/t0.npz").stat().st_size
+    assert len(rows) == 12 and {r["tile"] for r in rows if r["problem"]} == {"t0"}
+    assert all((r["w"], r["h"], r["srid"]) == (500, 600, 28350) and r["bytes_read"] < 30_000 < size for r in rows if not r["problem"])
+    reader = archives.TileReader({"path": f"file:{tmp_path}"})
+    kept = list(reader.pushFilters([EqualTo(("split",), "val"), In(("site_id",), ("B", "C"))]))
+    assert len(kept) == 2 and reader.folders() == [f"{tmp_path}/p/B/val"]
+    assert npz.read_tiles(spark, str(tmp_path)).where("split = 'val' and site_id = 'B'").count() == 3
+    assert npz.read_tiles(spark, str(tmp_path / "p/A/train")).count() == 0  # no folder of a split below
+
+
 def test_blobs_from_tiles_to_metadata(spark):
     files = spark.createDataFrame(
         [("s", "d/train/b_0_0.npz", [1.0]), ("s", "d/val/b_0_0.npz", [2.0]), ("s", "d/train/b_16_0.npz", [3.0]), ("s", "d/train/readme.npz", [4.0])], "site string, path string, geo_transform array<double>"
@@ -314,6 +336,38 @@ def test_blobs_from_tiles_to_metadata(spark):
     assert store.flattened(meta).columns[:3] == ["uuid", "size.width", "size.height"]
 
 
+def made_embedder():
+    return lambda x: (x * 2, x[:, :, None] + np.arange(4))
+
+
+def made_means():
+    return lambda a: a.reshape(a.shape[0] // 8, 8, a.shape[1] // 8, 8, 3).mean(axis=(1, 3))
+
+
+def test_sites_and_blobs_by_command(spark, tmp_path):
+    gt = np.array([[0.5, 0, 1000.0], [0, -0.5, 2000.0], [0, 0, 1]])
+    for name in ("a", "b", "c"):
+        folder = tmp_path / "tiles" / name / "train"
+        folder.mkdir(parents=True)
+        np.savez(folder / "t.npz", RED=np.ones((20, 40), np.float32), GEO_TRANSFORM=gt, SRID=np.array([32750]))
+    rasters = spark.createDataFrame([(x, 64, 64, GT, 32750) for x in "abc"], "site_id string, width int, height int, geo_transform array<double>, srid int")
+    rasters.write.parquet(str(tmp_path / "rasters"))
+    (tmp_path / "c.toml").write_text("[grid]\npatch = 16\n")
+    out = str(tmp_path / "out")
+    run = lambda *a: command.run(spark, command.parser().parse_args([*map(str, a)])).collect()
+    here = "tests.test_sites"
+    told = run("run-sites", tmp_path / "tiles", tmp_path / "rasters", out, "--patch", 16, "--embedder", f"{here}:made_embedder", "--cells", f"{here}:pixels_of", "--patches", "--shard", "0/2", "--config", tmp_path / "c.toml")
+    assert sorted((r["site_id"], r["status"], r["n_cells"]) for r in told) == [("a", "ok", 6), ("c", "ok", 6)]
+    assert [(r["n_sites"], r["sites"], r["settings"]["grid.patch"]) for r in spark.read.json(f"{out}/runs").collect()] == [(2, ["a", "c"], "16")]
+    assert [(r["site_id"], r["ok"], r["problems"]) for r in run("audit", out)] == [("a", True, []), ("c", True, [])] and run("audit", out, "--unowned") == []
+    assert run("status", out, "--site", "c")[0]["stored_grid"] == [2, 2]
+    rows = [("b", 0, 0, 1, r, c, 1 + c, r, 0) for r in range(16) for c in range(16)]
+    spark.createDataFrame(rows, "uuid string, x int, y int, seq int, row int, col int, r int, g int, b int").write.parquet(str(tmp_path / "p"))
+    spark.createDataFrame([("b", 0, 0, 16, 16)], "uuid string, x int, y int, w int, h int").write.parquet(str(tmp_path / "k"))
+    sums = run("run-blobs", tmp_path / "p", tmp_path / "k", tmp_path / "blobs", "--embedder", f"{here}:made_means", "--tile", 16, "--overlap", 8)
+    assert sums[0].asDict() == {"n_blobs": 1, "n_patches": 4, "n_boxes": 1, "n_embedded": 1}
+
+
 def test_patches_and_catalog_by_command(spark, tmp_path):
     rows = spark.createDataFrame([("s", i, 0, j, [float(i), float(j)]) for i in range(3) for j in range(2)], "site_id string, cell_id bigint, prow int, pcol int, vec array<float>")
     path = str(tmp_path / "patches")
