@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from tessera.functions import classes as C
 from tessera.functions import geo, names, vectors
 from tessera.operators import embedding, maintenance, runs, spatial, stats, tiling
+from tessera.session import work_path
+from tessera.sources.store import staged
 from tessera.streaming.incremental import windowed_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -243,7 +245,7 @@ def tile_annotation_bbox(spark: SparkSession, sf: str) -> DataFrame:
  FROM {_TILES} GROUP BY site, resolution"""
 )
 def site_resolution_rollup(spark: SparkSession, sf: str) -> DataFrame:
-    t = tiles(spark, sf)
+    t = staged(tiles(spark, sf), work_path(spark, "tiles"))
     rows = stats.site_rollup(t.drop("original_class_id"), t.select("site", "resolution", "original_class_id"))
     for c in ("mean_no_data_frac", "median_no_data_frac", "p90_no_data_frac", "frac_tiles_mostly_no_data"):
         rows = rows.withColumn(c, r6(F.col(c)))

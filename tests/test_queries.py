@@ -6,7 +6,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from tessera.plans import geometry_queries, site_queries  # noqa: F401
+from tessera.plans import geometry_queries, site_queries, store_queries  # noqa: F401
 from tessera.plans.queries import ORACLE_SQL, QUERIES
 
 
