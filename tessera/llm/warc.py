@@ -48,17 +48,18 @@ def base32_sha1(payload: Column) -> Column:
 
 
 def revisits(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
-    """(page_id, others): for pages whose payload others share, (digest, response) of their payloads.
+    """(page_id, payload_digest, response), once each, of the payloads that others share and whose page isn't the response.
 
-    Of equal payloads of at least ``least_bytes`` bytes the largest page_id is the response.  Only ids and digests are
-    shuffled; a digest's pages are summed up where they are read, and the join back has one row a digest on one side, so
-    Spark can split a digest with very many pages.
+    Of equal payloads of at least ``least_bytes`` bytes the largest page_id is the response; null ids are never one, nor do
+    their pages revisit another; repeated rows count once; an empty table gives no rows.  Only ids and digests are shuffled; a
+    digest's pages are summed up where they are read, and the join back has one row a digest on one side, so Spark can split a
+    digest with very many pages.
     """
     payload = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
-    narrow = written(pages.select(F.col("page_id").cast("long").alias("page_id"), base32_sha1(payload).alias("digest"), F.octet_length(payload).alias("bytes")), "digests")
-    first = narrow.where(F.col("bytes") >= least_bytes).groupBy("digest").agg(F.max("page_id").alias("response"), F.count("*").alias("n"))
-    shared = narrow.join(first.where("n > 1").select("digest", "response"), "digest")
-    return shared.groupBy("page_id").agg(F.collect_set(F.struct("digest", "response")).alias("others"))
+    narrow = written(pages.select(F.col("page_id").cast("long").alias("page_id"), base32_sha1(payload).alias("payload_digest"), F.octet_length(payload).alias("bytes")), "digests")
+    first = narrow.where(F.col("bytes") >= least_bytes).groupBy("payload_digest").agg(F.max("page_id").alias("response"), F.count("*").alias("n"))
+    shared = narrow.join(first.where("n > 1").select("payload_digest", "response"), "payload_digest")
+    return shared.where("page_id != response").select("page_id", "payload_digest", "response").distinct()
 
 
 def record(date: str) -> Column:
@@ -104,13 +105,14 @@ def write_archives(pages: DataFrame, path: str, least_bytes: int = 0, archive_by
     archives = int(max(1, -(-total // archive_bytes)))
     payload = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"))
-    # Pages are dealt out to archives by id and url, once; the ids of their revisits come to them there.
-    mine = revisits(pages, least_bytes).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).repartition(archives, "page_id", "salt")
-    dealt = rows.withColumn("salt", F.pmod(F.xxhash64("url"), F.lit(SALTS)).cast("int")).repartition(archives, "page_id", "salt")
-    found = dealt.join(mine, ["page_id", "salt"], "left")
-    known = found.withColumn("payload_bytes", F.octet_length("payload").cast("long")).withColumn("payload_digest", base32_sha1(F.col("payload")))
-    response = F.get(F.filter("others", lambda o: o["digest"] == F.col("payload_digest")), F.lit(0))["response"]
-    told = known.withColumn("refers_to", F.when(F.col("page_id") != response, response))
+    # Pages are dealt out to archives once, and their revisits come to them there.  Rows of one id and payload are told apart by
+    # url and by where they were read, so no archive gets all of them.
+    salts = F.sequence(F.lit(0), F.lit(SALTS - 1))
+    key = ["page_id", "payload_digest", "salt"]
+    mine = revisits(pages, least_bytes).withColumn("salt", F.explode(salts)).repartition(archives, *key)
+    known = rows.withColumn("payload_bytes", F.octet_length("payload").cast("long")).withColumn("payload_digest", base32_sha1(F.col("payload")))
+    dealt = known.withColumn("salt", F.pmod(F.xxhash64("url", F.spark_partition_id()), F.lit(SALTS)).cast("int")).repartition(archives, *key)
+    told = dealt.join(mine, key, "left").withColumnRenamed("response", "refers_to")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
