@@ -99,7 +99,7 @@ def committed_version(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    f"""SELECT site_id, round(count(*) * 0.25, 4) AS union_m2 FROM (SELECT DISTINCT site_id, x, y FROM {_BOXES}, LATERAL (SELECT unnest(range(CAST(xmin * 2 AS BIGINT), CAST(xmax * 2 AS BIGINT))) AS x),
+    f"""SELECT site_id, count(*) * 0.25::DOUBLE AS union_m2 FROM (SELECT DISTINCT site_id, x, y FROM {_BOXES}, LATERAL (SELECT unnest(range(CAST(xmin * 2 AS BIGINT), CAST(xmax * 2 AS BIGINT))) AS x),
  LATERAL (SELECT unnest(range(CAST(ymin * 2 AS BIGINT), CAST(ymax * 2 AS BIGINT))) AS y)) GROUP BY 1"""
 )
 def union_areas(spark: SparkSession, sf: str) -> DataFrame:
@@ -110,7 +110,7 @@ _BLOCK = "(SELECT p_partkey, p_brand AS site_id, p_partkey % 97 * 20 AS c0, p_pa
 
 
 @query(
-    f"""SELECT site_id, count(*) AS n, round(sum(w * h) * 0.25, 4) AS area, round(min(c0) * 0.5 - 3.25, 4) AS xmin, round(900.75 - min(r0) * 0.5, 4) AS ymax FROM {_BLOCK} WHERE w * h >= 64 GROUP BY 1"""
+    f"""SELECT site_id, count(*) AS n, sum(w * h) * 0.25::DOUBLE AS area, min(c0) * 0.5::DOUBLE - 3.25 AS xmin, 900.75 - min(r0) * 0.5::DOUBLE AS ymax FROM {_BLOCK} WHERE w * h >= 64 GROUP BY 1"""
 )
 def footprint_regions(spark: SparkSession, sf: str) -> DataFrame:
     """Rasters with a block of data for each part, apart from each other: small ones are speckle, the others polygons."""
@@ -177,7 +177,7 @@ def scatter_matrix(spark: SparkSession, sf: str) -> DataFrame:
     return found.withColumn("s", F.round("s", 4) + 0.0)
 
 
-@query("SELECT site_id, round(xmin, 6) AS xmin, round(ymin, 6) AS ymin, round(xmax, 6) AS xmax, round(ymax, 6) AS ymax FROM (SELECT DISTINCT p_brand AS site_id FROM part), (SELECT -3.25 AS xmin, 900.75 - 1900 * 0.5 AS ymin, -3.25 + 2000 * 0.5 AS xmax, 900.75 AS ymax)")
+@query("SELECT site_id, xmin::DOUBLE AS xmin, ymin::DOUBLE AS ymin, xmax::DOUBLE AS xmax, ymax::DOUBLE AS ymax FROM (SELECT DISTINCT p_brand AS site_id FROM part), (SELECT -3.25 AS xmin, 900.75 - 1900 * 0.5 AS ymin, -3.25 + 2000 * 0.5 AS xmax, 900.75 AS ymax)")
 def raster_extents(spark: SparkSession, sf: str) -> DataFrame:
     zero = F.lit(0)
     box = geo.pixel_box_to_world(F.col("geo_transform"), zero, zero, F.col("width"), F.col("height"))
