@@ -339,6 +339,9 @@ def own_entropies(rows: DataFrame, model: Model) -> DataFrame:
 def train(docs: DataFrame) -> Model:
     """Models of all non-null langs of ``docs`` that have a letter; rows with null text or lang teach nothing.
 
+    Repeated rows teach as often as they stand there; an empty table gives a model of no language, under which all texts are
+    ``und``; other columns are ignored.
+
     The temperature of the scores and each language's limit of entropy, over which a text is rejected, are set on all of
     these rows; one row a language comes to the driver.
     """

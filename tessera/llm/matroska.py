@@ -229,7 +229,11 @@ def padded(text: str | None, unit: int = UNIT) -> tuple[bytes, int]:
 
 
 def mux_documents(docs: DataFrame) -> DataFrame:
-    """(doc_id, media) with each whole text, null as empty, as the samples of a Matroska file."""
+    """(doc_id, media) with each whole text, null as empty, as the samples of a Matroska file.
+
+    Equal texts give equal files, so repeated rows are alike; an empty table gives no rows; null ids stay null; other columns are
+    left out.
+    """
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

@@ -83,8 +83,10 @@ def likeness(a: Column, b: Column) -> Column:
 def edits(a: Column, b: Column) -> Column:
     """Numbers (from 0) of the sections of ``b`` that no section of ``a`` equals: where the texts differ."""
     nodes = lambda x: F.transform(F.split(F.substring_index(x, "/", -1), ";"), lambda s: F.substring_index(s, ":", 1))
-    told = F.transform(nodes(b), lambda s, i: F.when(~F.array_contains(nodes(a), s), i))
-    return F.filter(told, lambda i: i.isNotNull())
+    # a one-element array binds the nodes once, and what only ``b`` has is found by hashing
+    both = F.transform(F.array(F.struct(nodes(a).alias("a"), nodes(b).alias("b"))), lambda n: F.struct(F.array_except(n["b"], n["a"]).alias("new"), n["b"].alias("b")))
+    told = F.transform(both, lambda n: F.filter(F.transform(n["b"], lambda s, i: F.when(F.array_contains(n["new"], s), i)), lambda i: i.isNotNull()))
+    return F.element_at(told, 1)
 
 
 def with_next(docs: DataFrame, rows_a_range: int = 20_000) -> DataFrame:
@@ -128,7 +130,13 @@ def with_next(docs: DataFrame, rows_a_range: int = 20_000) -> DataFrame:
 
 
 def op5_rows(docs: DataFrame) -> DataFrame:
-    """Fingerprints of each document, of its edited text, and their likeness; see the query's contract."""
+    """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, edited_sections) of each document.
+
+    The edited text ends in the beginning of the next one; ``edited_sections`` are its sections (numbers from 0) whose branches
+    differ from all of the document's.  Null texts are empty and have no characters; a text is its own next one where it is
+    alone; repeated rows have a row each, and next to each other change nothing; null ids come last; an empty table gives no
+    rows; other columns are ignored.
+    """
     n = F.char_length("text").cast("long")
     half = F.floor(n / 2)
     edited = F.concat(F.expr("substring(text, 1, int(char_length(text) - floor(char_length(text) / 2)))"), F.expr("substring(next_text, 1, int(floor(char_length(text) / 2)))"))
@@ -142,6 +150,7 @@ def op5_rows(docs: DataFrame) -> DataFrame:
         "edited_fingerprint",
         likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
         likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"),
+        edits(F.col("fingerprint"), F.col("edited_fingerprint")).alias("edited_sections"),
     )
 
 

@@ -103,7 +103,7 @@ def token_pieces(docs: DataFrame, vocabulary: str | None = None, capacity: int =
     """One row a piece: its place in the document, length in tokens and the CRC-32 of its ids.
 
     Null texts count as empty and give one piece that is the end token alone; a null doc_id stays null;
-    repeated rows give repeated pieces.
+    repeated rows give repeated pieces; an empty table gives no rows; other columns are left out.
     """
     if vocabulary is None:
         import public_tokenizers
