@@ -209,3 +209,45 @@ def test_token_counts_of_odd_rows(odd):
     assert sorted(((r["doc_id"], r["n_bytes"], r["n_tokens"]) for r in got), key=key) == sorted(want, key=key)
     assert [r["over_limit"] for r in got if r["doc_id"] == 4] == [True]
     assert token_counts.count_tokens(odd.limit(0)).count() == 0
+
+
+# --- 9 the fit of the discriminant
+
+
+def test_discriminant_is_fitted_as_numpy_fits_it():
+    """Means, shrunk covariances and the choice of shrinkage, all worked out anew from the rows."""
+    from tessera.llm import quality
+
+    rng = np.random.default_rng(8)
+    y = rng.integers(0, 2, 600)
+    x = rng.normal(size=(600, 5)) @ np.diag([1, 2, 3, 1, 1]) + y[:, None] * np.array([0.5, -1, 0, 0.7, 0])
+    x[y == 1] *= 1.3
+    fold = rng.integers(0, 4, 600)
+    got = quality.fit(x, y, fold)
+    z = np.clip((x - x.mean(0)) / (x.std(0) + 1e-6), -8, 8)
+
+    def log_ratio(shrink, sphere, rows):
+        out = []
+        covs = [np.cov(z[(fold > 0) & (y == k)].T, bias=True) for k in (0, 1)]
+        n = [((fold > 0) & (y == k)).sum() for k in (0, 1)]
+        pooled = (covs[0] * n[0] + covs[1] * n[1]) / sum(n)
+        for k in (0, 1):
+            c = (1 - shrink) * covs[k] + shrink * pooled
+            c = (1 - sphere) * c + sphere * np.trace(c) / 5 * np.eye(5) + 1e-6 * np.eye(5)
+            d = rows - z[(fold > 0) & (y == k)].mean(0)
+            out.append(-0.5 * (d * np.linalg.solve(c, d.T).T).sum(1) - 0.5 * np.linalg.slogdet(c)[1])
+        return out[1] - out[0]
+
+    def loss(shrink, sphere):
+        t, truth = np.arcsinh(log_ratio(shrink, sphere, z[fold == 0])), y[fold == 0]
+        a, b = 0.0, 0.0
+        for _ in range(4000):  # plain descent on the same ridge
+            p = 1 / (1 + np.exp(-(a * t + b)))
+            a, b = a - 0.5 * (((p - truth) * t).mean() + 1e-2 * a), b - 0.5 * (p - truth).mean()
+        p = 1 / (1 + np.exp(-(a * t + b)))
+        return -np.mean(truth * np.log(p) + (1 - truth) * np.log(1 - p)), a, b
+
+    tried = {(s, r): loss(s, r) for s in (0.02, 0.1, 0.3, 0.6, 1.0) for r in (0.01, 0.05, 0.2)}
+    best = min(tried, key=lambda k: tried[k][0])
+    assert np.allclose(got.difference(x), log_ratio(*best, z), atol=1e-6)
+    assert np.allclose(got.scale, tried[best][1:], atol=1e-3)
