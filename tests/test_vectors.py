@@ -77,3 +77,23 @@ def test_narrow_and_wide_ways_agree(spark):
     narrow = embedding.fit_pca(df, "v", 3, normalise=False)
     wide = embedding.fit_pca(df, "v", 3, normalise=False, wide_from=10)
     assert np.allclose(narrow[0], wide[0]) and np.allclose(narrow[1], wide[1], atol=1e-6)
+
+
+def test_the_queries_of_components_and_clusters_equal_numpy(spark, data):
+    from tessera.plans.queries import kmeans_fit, pca_fit
+
+    x = np.array([r["embedding"] for r in spark.read.parquet(f"{data}/embeddings.parquet").orderBy("vec_id").collect()], float)
+    u = x / (np.linalg.norm(x, axis=1, keepdims=True) + 1e-6)
+    _, _, basis = np.linalg.svd(u - u.mean(0), full_matrices=False)
+    got = np.array([r["pc"] for r in pca_fit(spark, data).orderBy("vec_id").collect()])
+    assert np.allclose(np.abs(got), np.abs((u - u.mean(0)) @ basis[:3].T), atol=1e-6)
+    labels = kmeans_fit(spark, data).orderBy("vec_id").toPandas()["cluster"].to_numpy()
+    error = lambda at: sum(((x[at == j] - x[at == j].mean(0)) ** 2).sum() for j in range(6) if (at == j).any())
+    tries = []
+    for s in range(10):
+        c = x[np.random.default_rng(s).choice(len(x), 6, replace=False)]
+        for _ in range(50):
+            at = ((x[:, None] - c[None]) ** 2).sum(2).argmin(1)
+            c = np.stack([x[at == j].mean(0) if (at == j).any() else c[j] for j in range(6)])
+        tries.append(error(at))
+    assert error(labels) <= 1.02 * min(tries)
