@@ -68,5 +68,30 @@ _AUDIT = r"""WITH m AS (SELECT doc_id, max(quality = 1) AS good, max(toxic = 1)
    CAST(coalesce(sum(toxic) FILTER (hit AND NOT gone), 0) AS BIGINT) AS toxic_lost FROM r GROUP BY 1, 2, 3)
 SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, x) AS BIGINT) AS shapley FROM q"""
 
+
+
+def _lloyd(rounds: int = 4, parts: int = 4, entries: int = 256) -> str:
+    """Each round written out: all distances, the nearest entry, and the floors of the clusters' means."""
+    near = "(SELECT v.vec_id, v.p, arg_min(c.e, {d} * 256 + c.e) AS e, min({d}) AS d FROM v JOIN c{r} c ON c.p = v.p GROUP BY 1, 2)"
+    distance = "CAST(list_sum(list_transform(range(1, len(v.x) + 1), lambda i: (v.x[i] - c.x[i]) * (v.x[i] - c.x[i]))) AS BIGINT)"
+    steps = [
+        """k AS MATERIALIZED (SELECT vec_id, label, list_transform(embedding, lambda y: CAST(floor(y::DOUBLE * 1024) AS BIGINT)) AS x FROM embeddings
+ WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda y: y IS NULL OR NOT isfinite(y))) = 0)""",
+        f"v AS MATERIALIZED (SELECT vec_id, p, x[p * len(x) // {parts} + 1:(p + 1) * len(x) // {parts}] AS x FROM k, range({parts}) r(p))",
+        f"c0 AS MATERIALIZED (SELECT p, n AS e, x FROM (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS n FROM k) JOIN v USING (vec_id) WHERE n < {entries})",
+    ]
+    for r in range(rounds):
+        steps.append(f"a{r} AS MATERIALIZED {near.format(d=distance, r=r)}")
+        steps.append(
+            f"""m{r} AS MATERIALIZED (SELECT p, e, list(m ORDER BY i) AS x FROM (SELECT p, e, i, CAST(floor(sum(y)::DOUBLE / count(*)) AS BIGINT) AS m
+ FROM (SELECT a.p, a.e, unnest(v.x) AS y, generate_subscripts(v.x, 1) AS i FROM a{r} a JOIN v ON v.vec_id = a.vec_id AND v.p = a.p) GROUP BY 1, 2, 3) GROUP BY 1, 2)"""
+        )
+        steps.append(f"c{r + 1} AS MATERIALIZED (SELECT c.p, c.e, coalesce(m.x, c.x) AS x FROM c{r} c LEFT JOIN m{r} m ON m.p = c.p AND m.e = c.e)")
+    steps.append(f"z AS MATERIALIZED {near.format(d=distance, r=rounds)}")
+    steps.append("t AS (SELECT vec_id, string_agg(printf('%02x', e), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error FROM z GROUP BY 1)")
+    digest = f"(SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY p, e)) FROM c{rounds})"
+    return f"WITH {', '.join(steps)} SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, {digest} AS codebooks_sha256 FROM t JOIN k USING (vec_id)"
+
+
 #: The others learn models, use hashes or stored forms that SQL has no words for; tests hold them against brute force.
-ORACLE_SQL: dict[str, str] = {"op2_warc_salvage": _WARC, "op6_ngram_join": _JOIN, "op12_filter_audit": _AUDIT}
+ORACLE_SQL: dict[str, str] = {"op2_warc_salvage": _WARC, "op6_ngram_join": _JOIN, "op11_heap_lloyd": _lloyd(), "op12_filter_audit": _AUDIT}
