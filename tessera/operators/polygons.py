@@ -176,7 +176,7 @@ def trapezoids(polygons: DataFrame, by: list[str], rings: str = "rings") -> Data
                 yield pd.DataFrame(found, columns=EDGES).assign(**{c: r[c] for c in by})[[*by, *EDGES]]
 
     rows = polygons.select(*by, rings).mapInPandas(cut, ", ".join([*[f"`{c}` {kinds[c]}" for c in by], *[f"{c} double" for c in EDGES]]))
-    return rows.select("*", F.least("xl0", "xl1").alias("xmin"), F.col("y0").alias("ymin"), F.greatest("xr0", "xr1").alias("xmax"), F.col("y1").alias("ymax"))
+    return with_boxes(rows)
 
 
 def areas(pieces: DataFrame, by: list[str]) -> DataFrame:
@@ -228,11 +228,10 @@ def footprint_polygons(blocks: DataFrame, rasters: DataFrame, site: str = "site_
 # --- boxes and polygons --------------------------------------------------------------------------
 
 
-def shared_part(box: str, piece: str) -> Column:
-    """What a box and a trapezoid of two aliased tables share: (area, xmin, ymin, xmax, ymax), the bounds null without area.
-
-    Between the heights where an edge meets a side of the box, widths change evenly, so each slice is a trapezoid again.
-    """
+def _cuts(box: str, piece: str) -> Column:
+    """(y, l, r) at the heights where an edge of a trapezoid meets a side of a box (two aliased tables) and at the ends of what
+    both reach: the left and right end of what they share there, r under l where that is nothing.  Between the heights both ends
+    change evenly.  Null where the heights of the two don't meet."""
     c = lambda t, n: F.col(f"{t}.{n}")
     y0, y1, low, high = c(piece, "y0"), c(piece, "y1"), F.greatest(c(box, "ymin"), c(piece, "y0")), F.least(c(box, "ymax"), c(piece, "y1"))
 
@@ -243,45 +242,63 @@ def shared_part(box: str, piece: str) -> Column:
     heights = F.array_sort(F.array_distinct(F.array(low, high, *[met(s, e) for s in ("xmin", "xmax") for e in ("xl", "xr")])))
     on = lambda edge, y: c(piece, f"{edge}0") + (c(piece, f"{edge}1") - c(piece, f"{edge}0")) * ((y - y0) / (y1 - y0))
     left, right = lambda y: F.greatest(on("xl", y), c(box, "xmin")), lambda y: F.least(on("xr", y), c(box, "xmax"))
-    cuts = F.transform(heights, lambda y: F.struct(y.alias("y"), left(y).alias("l"), right(y).alias("r")))
-    slices = F.arrays_zip(F.slice(cuts, F.lit(1), F.size(cuts) - 1).alias("a"), F.slice(cuts, F.lit(2), F.size(cuts) - 1).alias("b"))
-    width = lambda p: F.greatest(p["r"] - p["l"], F.lit(0.0))
+    return F.when(low <= high, F.transform(heights, lambda y: F.struct(y.alias("y"), left(y).alias("l"), right(y).alias("r"))))
+
+
+def touching(box: str, piece: str) -> Column:
+    """Whether a box and a trapezoid of two aliased tables share a point at least."""
+    return F.coalesce(F.exists(_cuts(box, piece), lambda p: p["r"] >= p["l"]), F.lit(False))
+
+
+def shared_slices(box: str, piece: str) -> Column:
+    """What a box and a trapezoid of two aliased tables share, as trapezoids again (see ``EDGES``) with their areas."""
+    cuts = _cuts(box, piece)
+    pairs = F.arrays_zip(F.slice(cuts, F.lit(1), F.size(cuts) - 1).alias("a"), F.slice(cuts, F.lit(2), F.size(cuts) - 1).alias("b"))
+    end = lambda p: F.greatest(p["r"], p["l"])
     parts = F.transform(
-        slices,
+        pairs,
         lambda s: F.struct(
-            ((width(s["a"]) + width(s["b"])) / 2 * (s["b"]["y"] - s["a"]["y"])).alias("area"),
-            F.least(s["a"]["l"], s["b"]["l"]).alias("xmin"),
-            s["a"]["y"].alias("ymin"),
-            F.greatest(s["a"]["r"], s["b"]["r"]).alias("xmax"),
-            s["b"]["y"].alias("ymax"),
+            ((end(s["a"]) - s["a"]["l"] + end(s["b"]) - s["b"]["l"]) / 2 * (s["b"]["y"] - s["a"]["y"])).alias("area"),
+            *[v.alias(n) for n, v in zip(EDGES, (s["a"]["y"], s["b"]["y"], s["a"]["l"], s["b"]["l"], end(s["a"]), end(s["b"])), strict=True)],
         ),
     )
-    least = 1e-12 * (c(box, "xmax") - c(box, "xmin")) * (c(box, "ymax") - c(box, "ymin"))  # what rounding may leave of a touch
-    some = F.filter(F.when(low < high, parts), lambda p: p["area"] > least)
-    each = lambda n: F.transform(some, lambda p: p[n])
-    total = F.aggregate(some, F.lit(0.0), lambda t, p: t + p["area"])
-    return F.struct(total.alias("area"), *[F.array_min(each(n)).alias(n) for n in BOX[:2]], *[F.array_max(each(n)).alias(n) for n in BOX[2:]])
+    least = 1e-12 * (F.col(f"{box}.xmax") - F.col(f"{box}.xmin")) * (F.col(f"{box}.ymax") - F.col(f"{box}.ymin"))  # what rounding may leave of a touch
+    return F.filter(F.when(F.size(cuts) > 1, parts), lambda p: p["area"] > least)
+
+
+def with_boxes(pieces: DataFrame) -> DataFrame:
+    """Trapezoids with the bounds that joins look at."""
+    return pieces.withColumns({"xmin": F.least("xl0", "xl1"), "ymin": F.col("y0"), "xmax": F.greatest("xr0", "xr1"), "ymax": F.col("y1")})
 
 
 def _sized(pieces: DataFrame, size: Size, on: list[str]) -> DataFrame:
     return pieces.select(*on, *EDGES, *BOX, *([size] if isinstance(size, str) else []))
 
 
+def cut_pieces(tiles: DataFrame, pieces: DataFrame, size: Size, on: list[str]) -> DataFrame:
+    """What polygons (equal ``on`` columns), given as trapezoids, leave of tiles: the tiles' columns, with a trapezoid a row (see
+    ``EDGES``), its box and its area.  Tiles that share no area with a polygon, also where only its box touches them, have none."""
+    joined = box_join(tiles, _sized(pieces, size, on), size, on)
+    other = [c for c in tiles.columns if c not in BOX]
+    each = joined.select(*[f"a.{c}" for c in other], F.explode(shared_slices("a", "b")).alias("_cut"))
+    return with_boxes(each.select(*other, *[F.col(f"_cut.{c}").alias(c) for c in (*EDGES, "area")]))
+
+
 def clip_to_polygons(tiles: DataFrame, pieces: DataFrame, size: Size, key: list[str], on: list[str]) -> DataFrame:
-    """Tiles cut to their polygons (equal ``on`` columns), given as trapezoids: each with the bounds and the ``area`` of what
-    is left; those that share no area, also where only the polygon's box touches them, are dropped.
+    """Tiles cut to their polygons: each with the bounds and the ``area`` of what :func:`cut_pieces` leaves.
 
     ``key`` tells tiles apart; ``size`` is the side of the join's buckets.
     """
-    joined = box_join(tiles, _sized(pieces, size, on), size, on)
-    cut = joined.select("a.*", shared_part("a", "b").alias("_cut")).where("_cut.area > 0")
+    cut = cut_pieces(tiles, pieces, size, on)
     other = [c for c in tiles.columns if c not in BOX and c not in key]
-    bounds = [F.min(f"_cut.{c}").alias(c) for c in BOX[:2]] + [F.max(f"_cut.{c}").alias(c) for c in BOX[2:]]
-    found = cut.groupBy(*key).agg(*[F.first(c).alias(c) for c in other], *bounds, F.sum("_cut.area").alias("area"))
+    bounds = [F.min(c).alias(c) for c in BOX[:2]] + [F.max(c).alias(c) for c in BOX[2:]]
+    found = cut.groupBy(*key).agg(*[F.first(c).alias(c) for c in other], *bounds, F.sum("area").alias("area"))
     return found.select(*tiles.columns, "area")
 
 
-def polygon_semi_join(boxes: DataFrame, pieces: DataFrame, size: Size, key: list[str], on: list[str]) -> DataFrame:
-    """Boxes that share area with a polygon (equal ``on`` columns), once each; ``key`` tells boxes apart."""
+def polygon_semi_join(boxes: DataFrame, pieces: DataFrame, size: Size, key: list[str], on: list[str], touch: bool = False) -> DataFrame:
+    """Boxes that share area with a polygon (equal ``on`` columns), or with ``touch`` a point at least, once each; ``key`` tells
+    boxes apart."""
     joined = box_join(boxes, _sized(pieces, size, on), size, on)
-    return joined.where(shared_part("a", "b")["area"] > 0).select("a.*").drop("bx", "by").dropDuplicates(key)
+    met = touching("a", "b") if touch else F.coalesce(F.size(shared_slices("a", "b")) > 0, F.lit(False))
+    return joined.where(met).select("a.*").drop("bx", "by").dropDuplicates(key)

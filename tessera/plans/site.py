@@ -8,11 +8,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.geo import BOX, native_resolution, pixel_box_to_world
+from tessera.functions.geo import native_resolution, pixel_box_to_world
 from tessera.functions.names import patch_ref
 from tessera.functions.projections import reprojected_boxes
 from tessera.operators.embedding import Embedder, TokenEmbedder, embed, embed_tokens, patch_rows
-from tessera.operators.polygons import clip_to_polygons, footprint_polygons, trapezoids
+from tessera.operators.polygons import cut_pieces, footprint_polygons, polygon_semi_join, trapezoids
 from tessera.operators.runs import FAILED, OK, SKIPPED
 from tessera.operators.spatial import box_semi_join, clip_to, grid_counters, grid_info, pixel_areas, pixel_grid, total_bounds, window_coverage, with_cell_ids
 from tessera.sources.store import done_sites, patch_shapes, read_cells, record_run, remove, staged, write_cells, write_patches, write_site_meta
@@ -30,25 +30,27 @@ def in_raster_systems(tiles: DataFrame, rasters: DataFrame) -> DataFrame:
 def site_grid(tiles: DataFrame, rasters: DataFrame, patch: int, pixels: DataFrame | None = None, least: float = 0.02, block: int = 256, keep_footprint: bool = True) -> tuple[DataFrame, DataFrame]:
     """(cells, info): the numbered cells of ``patch`` pixels that touch a tile and aren't void, and what is told of the grid.
 
-    ``tiles`` are boxes by site_id, told apart by ``path`` (or ``tile``, without paths), ``rasters`` (site_id, width, height,
+    ``tiles`` are boxes by site_id, ``rasters`` (site_id, width, height,
     geo_transform), ``pixels`` their pixels (site_id, row, col, r, g, b).  Tiles are brought to the raster's reference system
-    (``srid``, if both say it), then cut to the polygons of its data (``keep_footprint``) or to its extent; the box around what
-    is left is snapped outward to the raster's pixels and whole patches.  Without pixels nothing is known of data, and all cells
+    (``srid``, if both say it), then cut to the polygons of its data (``keep_footprint``) or to its extent, each tile by itself, and
+    cells are those that touch what is left of one; the box around all of it is snapped outward to the raster's pixels and whole patches.  Without pixels nothing is known of data, and all cells
     stay.  Boxes meet in buckets of a cell's side, which each site has by its own resolution.
     """
     site, place = ["site_id"], ["site_id", "row", "col"]
     side = rasters.select("site_id", (native_resolution(F.col("geo_transform")) * patch).alias("_side"))
     tiles = in_raster_systems(tiles, rasters)
-    if pixels is not None and keep_footprint:
+    polygon = pixels is not None and keep_footprint
+    if polygon:
         pieces = trapezoids(footprint_polygons(pixels, rasters), ["site_id", "region"])
-        key = ["site_id", "path" if "path" in tiles.columns else "tile"]
-        cut = clip_to_polygons(tiles.join(side, site), pieces.join(side, site), "_side", key, site).drop("_side", "area")
+        cut = cut_pieces(tiles.join(side, site), pieces.join(side, site), "_side", site)
     else:
         gt, zero = F.col("geo_transform"), F.lit(0)
         extents = rasters.select("site_id", *[v.alias(k) for k, v in pixel_box_to_world(gt, zero, zero, F.col("width"), F.col("height")).items()])
-        cut = clip_to(tiles, extents, site)
+        cut = clip_to(tiles, extents, site).join(side, site)
     full = pixel_grid(pixel_areas(total_bounds(cut, site), rasters, patch), patch)
-    near = box_semi_join(full.join(side, site), cut.select("site_id", *BOX).join(side, site), "_side", site, place).drop("_side")
+    sized = full.join(side, site)
+    near = polygon_semi_join(sized, cut, "_side", place, site, touch=True) if polygon else box_semi_join(sized, cut, "_side", site, place)
+    near = near.select(full.columns)
     kept = near
     if pixels is not None:
         seen = window_coverage(near, pixels, block, site, ["row", "col"]).where(F.col("coverage") >= least)

@@ -203,6 +203,19 @@ def test_tiles_of_one_name_and_other_systems(spark, two_sites):
     assert site.site_grid(there, raster, 16)[0].count() >= site.site_grid(here, raster, 16)[0].count() > 0
 
 
+def test_cells_where_only_the_box_around_the_data_reaches_go(spark):
+    """Data along a diagonal and below: what is left of the tile has the whole tile's box, but no cell above touches it."""
+    mask = np.tri(64, dtype=int)
+    pixels, rasters = raster_rows(spark, mask)
+    tiles = spark.createDataFrame([("s", "a", 1000.0, 1968.0, 1032.0, 2000.0)], "site_id string, tile string, xmin double, ymin double, xmax double, ymax double")
+    cells, info = site.site_grid(tiles, rasters, 16, pixels, least=0.0)
+    got = {(r["row"], r["col"]) for r in cells.collect()}
+    assert {(r, c) for r in range(4) for c in range(r + 1)} <= got <= {(r, c) for r in range(4) for c in range(min(4, r + 2))}
+    told = info.first()
+    assert told["n_cells_full"] == 16 and told["after_tile_filter"] == len(got) < 16
+    assert site.site_grid(tiles, rasters, 16, pixels, least=0.0, keep_footprint=False)[0].count() == 16
+
+
 def test_a_window_of_512_pixels_is_packed_in_seconds(spark):
     side = 512
     pixels = spark.range(side * side).select(
