@@ -120,7 +120,8 @@ def write_tables(tables: dict[str, DataFrame], root: str, version: str, after: s
 def create(spark: SparkSession, path: str, text: str) -> bool:
     """Makes a file that doesn't exist yet, whole or not at all; False if there is one.
 
-    The text is written beside it and renamed, which fails where the name is taken.
+    The text is written beside it and renamed, which fails where the name is taken.  That holds on local disks and HDFS; an
+    object store whose rename is a copy can't keep two writers apart.
     """
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     target, beside = (jvm.org.apache.hadoop.fs.Path(x) for x in (path, f"{path}.{uuid.uuid4().hex}"))
