@@ -17,6 +17,8 @@ from tessera.operators.runs import FAILED, OK, SKIPPED
 from tessera.operators.spatial import box_semi_join, clip_to, grid_counters, grid_info, pixel_areas, pixel_grid, total_bounds, window_coverage, with_cell_ids
 from tessera.sources.store import done_sites, patch_shapes, read_cells, record_run, remove, staged, write_cells, write_patches, write_site_meta
 
+Stage = Callable[[DataFrame, str], DataFrame]
+
 
 def in_raster_systems(tiles: DataFrame, rasters: DataFrame) -> DataFrame:
     """Tile boxes in the system of their site's raster; as they are where either table doesn't say its ``srid``."""
@@ -27,15 +29,17 @@ def in_raster_systems(tiles: DataFrame, rasters: DataFrame) -> DataFrame:
     return moved.withColumn("srid", F.col("_to")).drop("_to").where("xmin is not null").select(tiles.columns)
 
 
-def site_grid(tiles: DataFrame, rasters: DataFrame, patch: int, pixels: DataFrame | None = None, least: float = 0.02, block: int = 256, keep_footprint: bool = True) -> tuple[DataFrame, DataFrame]:
+def site_grid(tiles: DataFrame, rasters: DataFrame, patch: int, pixels: DataFrame | None = None, least: float = 0.02, block: int = 256, keep_footprint: bool = True, stage: Stage | None = None) -> tuple[DataFrame, DataFrame]:
     """(cells, info): the numbered cells of ``patch`` pixels that touch a tile and aren't void, and what is told of the grid.
 
-    ``tiles`` are boxes by site_id, ``rasters`` (site_id, width, height,
-    geo_transform), ``pixels`` their pixels (site_id, row, col, r, g, b).  Tiles are brought to the raster's reference system
+    ``tiles`` are boxes by site_id, ``rasters`` (site_id, width, height, geo_transform), ``pixels`` their pixels (site_id, row,
+    col, r, g, b).  Tiles are brought to the raster's reference system
     (``srid``, if both say it), then cut to the polygons of its data (``keep_footprint``) or to its extent, each tile by itself, and
     cells are those that touch what is left of one; the box around all of it is snapped outward to the raster's pixels and whole patches.  Without pixels nothing is known of data, and all cells
-    stay.  Boxes meet in buckets of a cell's side, which each site has by its own resolution.
+    stay.  Boxes meet in buckets of a cell's side, which each site has by its own resolution.  ``stage`` writes a step and reads it
+    back: what is left of tiles, cells near them and cells kept are each used more than once.
     """
+    stage = stage or (lambda step, name: step)
     site, place = ["site_id"], ["site_id", "row", "col"]
     side = rasters.select("site_id", (native_resolution(F.col("geo_transform")) * patch).alias("_side"))
     tiles = in_raster_systems(tiles, rasters)
@@ -47,14 +51,15 @@ def site_grid(tiles: DataFrame, rasters: DataFrame, patch: int, pixels: DataFram
         gt, zero = F.col("geo_transform"), F.lit(0)
         extents = rasters.select("site_id", *[v.alias(k) for k, v in pixel_box_to_world(gt, zero, zero, F.col("width"), F.col("height")).items()])
         cut = clip_to(tiles, extents, site).join(side, site)
+    cut = stage(cut, "cut")
     full = pixel_grid(pixel_areas(total_bounds(cut, site), rasters, patch), patch)
     sized = full.join(side, site)
     near = polygon_semi_join(sized, cut, "_side", place, site, touch=True) if polygon else box_semi_join(sized, cut, "_side", site, place)
-    near = near.select(full.columns)
+    near = stage(near.select(full.columns), "near")
     kept = near
     if pixels is not None:
         seen = window_coverage(near, pixels, block, site, ["row", "col"]).where(F.col("coverage") >= least)
-        kept = near.join(seen.select(*place), place, "left_semi")
+        kept = stage(near.join(seen.select(*place), place, "left_semi"), "kept")
     return with_cell_ids(kept), grid_info(kept, grid_counters(full, near, kept), rasters, patch)
 
 
@@ -90,8 +95,9 @@ def run_sites(
     told = {"patch": patch, "model": model, "least": least, "resume": resume, "with_patches": with_patches}
     record_run(mine, told | (settings or {}), f"{out}/runs", run_id)
     staging = f"{out}/_staging/{run_id}"
-    grid, info = site_grid(mine, rasters, patch, pixels, least)
-    grid, info = staged(grid, f"{staging}/grid"), staged(info, f"{staging}/info")
+    stage = lambda step, name: staged(step, f"{staging}/{name}")
+    grid, info = site_grid(mine, rasters, patch, pixels, least, stage=stage)
+    grid = stage(grid, "grid")
     ready = (embed_tokens if with_patches else embed)(cell_pixels(grid), "pixels", make_embedder).drop("pixels")
     if with_patches:
         ready = staged(ready, f"{staging}/embedded")
