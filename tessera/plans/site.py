@@ -33,11 +33,11 @@ def site_grid(tiles: DataFrame, rasters: DataFrame, patch: int, pixels: DataFram
     """(cells, info): the numbered cells of ``patch`` pixels that touch a tile and aren't void, and what is told of the grid.
 
     ``tiles`` are boxes by site_id, ``rasters`` (site_id, width, height, geo_transform), ``pixels`` their pixels (site_id, row,
-    col, r, g, b).  Tiles are brought to the raster's reference system
-    (``srid``, if both say it), then cut to the polygons of its data (``keep_footprint``) or to its extent, each tile by itself, and
-    cells are those that touch what is left of one; the box around all of it is snapped outward to the raster's pixels and whole patches.  Without pixels nothing is known of data, and all cells
-    stay.  Boxes meet in buckets of a cell's side, which each site has by its own resolution.  ``stage`` writes a step and reads it
-    back: what is left of tiles, cells near them and cells kept are each used more than once.
+    col, r, g, b).  Tiles are brought to the raster's reference system (``srid``, if both say it), then cut to the polygons of
+    its data (``keep_footprint``) or to its extent, each tile by itself, and cells are those that touch what is left of one; the
+    box around all of it is snapped outward to the raster's pixels and whole patches.  Without pixels nothing is known of data,
+    and all cells stay.  Boxes meet in buckets of a cell's side, which each site has by its own resolution.  ``stage`` writes a
+    step and reads it back: what is left of tiles, cells near them and cells kept are each used more than once.
     """
     stage = stage or (lambda step, name: step)
     site, place = ["site_id"], ["site_id", "row", "col"]
