@@ -45,6 +45,9 @@ def rings_of(mask: np.ndarray) -> list[Ring]:
 
     Where two pixels touch by a corner only, the outline turns right, so that regions are what is joined by sides.
     """
+    if mask.size and mask.all():  # a block, the outline of most small regions
+        h, w = mask.shape
+        return [(np.array([0, w, w, 0], float), np.array([0, 0, h, h], float))]
     edges = straight_edges(mask).tolist()
     leaving: dict[tuple, list[tuple]] = {}
     for x0, y0, x1, y1 in edges:
@@ -111,7 +114,7 @@ def simplified_together(rings: list[Ring], tolerance: float) -> list[Ring]:
     """All rings of a region simplified, with half the tolerance again and again while any of their edges cross."""
     while tolerance > 1e-3:
         found = [simplified(r, tolerance) for r in rings]
-        if trapezoids_of(found) is not None:
+        if all(a is b for a, b in zip(found, rings, strict=True)) or trapezoids_of(found) is not None:
             return found
         tolerance /= 2
     return rings
@@ -169,11 +172,15 @@ def trapezoids(polygons: DataFrame, by: list[str], rings: str = "rings") -> Data
 
     def cut(batches):
         for b in batches:
+            parts = []
             for r in b.to_dict("records"):
                 found = trapezoids_of([(np.asarray(x["xs"], float), np.asarray(x["ys"], float)) for x in r[rings]])
                 if found is None:
                     raise ValueError(f"edges of a polygon cross: {[r[c] for c in by]}")
-                yield pd.DataFrame(found, columns=EDGES).assign(**{c: r[c] for c in by})[[*by, *EDGES]]
+                parts.append(found)
+            whole = pd.DataFrame(np.concatenate([np.zeros((0, len(EDGES))), *parts]), columns=EDGES)
+            told = b[by].iloc[np.repeat(np.arange(len(b)), [len(p) for p in parts])].reset_index(drop=True)
+            yield pd.concat([told, whole], axis=1)
 
     rows = polygons.select(*by, rings).mapInPandas(cut, ", ".join([*[f"`{c}` {kinds[c]}" for c in by], *[f"{c} double" for c in EDGES]]))
     return with_boxes(rows)
@@ -191,29 +198,47 @@ def areas(pieces: DataFrame, by: list[str]) -> DataFrame:
 def footprint_polygons(blocks: DataFrame, rasters: DataFrame, site: str = "site_id", max_side: int = 2000, least_pixels: int = 64, tolerance: float = 1.0) -> DataFrame:
     """(site, region, rings): where rasters have data, a polygon a region, simplified to ``tolerance`` thinned pixels.
 
-    Thinning, speckle and rasters without a region are as in :func:`tessera.operators.spatial.footprint`.  A site's thinned
-    mask, ``max_side`` squared at most, is what one task holds.
+    Thinning, speckle and rasters without a region are as in :func:`tessera.operators.spatial.footprint`.  Runs of a site's
+    thinned mask, ``max_side`` squared at most, are numbered by region in one task; regions are then dealt out and each is traced
+    by itself.
     """
     sized, runs = data_runs(blocks, rasters, site, max_side)
     kind = dict(blocks.dtypes)[site]
+    none = F.lit(None).cast("int")
 
-    def traced(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["row", "col0"]).reset_index(drop=True)
-        row, col0, col1 = (part[c].to_numpy() for c in ("row", "col0", "col1"))
-        region = joined_runs(row, col0, col1)
-        size = (part["col1"] - part["col0"] + 1).groupby(region).transform("sum").to_numpy()
-        out = []
-        for g in np.unique(region[size >= least_pixels]):
-            mine = region == g
-            top, left = row[mine].min(), col0[mine].min()
-            mask = np.zeros((row[mine].max() - top + 1, col1[mine].max() - left + 1), bool)
-            for r, a, b in zip(row[mine] - top, col0[mine] - left, col1[mine] - left, strict=True):
-                mask[r, a : b + 1] = True
-            rings = simplified_together(rings_of(mask), tolerance)
-            out.append((part[site].iloc[0], int(g), [{"xs": (x + left).tolist(), "ys": (y + top).tolist()} for x, y in rings]))
-        return pd.DataFrame(out, columns=[site, "region", "rings"])
-
-    found = sized.join(runs.groupBy(site).applyInPandas(traced, f"`{site}` {kind}, region int, rings {RINGS}"), site, "left")
+    def numbered(part: pd.DataFrame) -> pd.DataFrame:
+        name = part[site].iloc[0]
+        part = part[part["row"].notna()].astype({"row": int, "col0": int, "col1": int}).sort_values(["row", "col0"]).reset_index(drop=True)
+        part["region"] = joined_runs(part["row"].to_numpy(), part["col0"].to_numpy(), part["col1"].to_numpy())
+        size = (part["col1"] - part["col0"] + 1).groupby(part["region"]).transform("sum")
+        kept = part[size >= least_pixels][[site, "region", "row", "col0", "col1"]]
+        return kept if len(kept) else pd.DataFrame([[name, *[None] * 4]], columns=kept.columns)
+
+    def traced(batches):
+        for b in batches:
+            out = []
+            for found in b["runs"]:
+                if not len(found):
+                    out.append(None)
+                    continue
+                row, col0, col1 = (np.array([r[c] for r in found]) for c in ("row", "col0", "col1"))
+                top, left = row.min(), col0.min()
+                mask = np.zeros((row.max() - top + 1, col1.max() - left + 1), bool)
+                for r, first, last in zip(row - top, col0 - left, col1 - left, strict=True):
+                    mask[r, first : last + 1] = True
+                rings = simplified_together(rings_of(mask), tolerance)
+                out.append([{"xs": (x + left).tolist(), "ys": (y + top).tolist()} for x, y in rings])
+            yield b[[site, "region"]].assign(rings=out)
+
+    # each raster has a row without a run, so that one without a region is told too
+    every = runs.select(site, "row", "col0", "col1").unionByName(sized.select(site, none.alias("row"), none.alias("col0"), none.alias("col1")))
+    labelled = every.groupBy(site).applyInPandas(numbered, f"`{site}` {kind}, region int, row int, col0 int, col1 int")
+    spark = blocks.sparkSession
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))  # kept: bytes don't tell what tracing takes
+    one = F.when(F.col("row").isNotNull(), F.struct("row", "col0", "col1"))
+    regions = labelled.repartition(tasks, site, "region").groupBy(site, "region").agg(F.collect_list(one).alias("runs"))
+    polygons = regions.mapInPandas(traced, f"`{site}` {kind}, region int, rings {RINGS}").withColumnRenamed(site, "_site")
+    found = polygons.join(F.broadcast(sized), F.col("_site").eqNullSafe(F.col(site))).drop("_site")  # a row a raster
     w, h, s, gt = F.col("width").cast("double"), F.col("height").cast("double"), F.col("_scale").cast("double"), F.col("geo_transform")
     zero = F.lit(0.0)
     whole = F.array(F.struct(F.array(zero, w, w, zero).alias("xs"), F.array(zero, zero, h, h).alias("ys")))

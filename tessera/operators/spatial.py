@@ -228,11 +228,11 @@ def data_runs(blocks: DataFrame, rasters: DataFrame, site: str, max_side: int) -
     runs of thinned pixels."""
     scale = F.greatest(F.floor(F.greatest("width", "height") / max_side), F.lit(1)).cast("int")
     sized = rasters.select(site, "geo_transform", "width", "height", scale.alias("_scale"))
-    lit = blocks.where("r != 0 or g != 0 or b != 0").join(sized.select(site, "_scale"), site)
+    lit = blocks.where("r != 0 or g != 0 or b != 0").join(F.broadcast(sized.select(site, "_scale")), site)  # a row a raster
     thin = lit.where((F.col("row") % F.col("_scale") == 0) & (F.col("col") % F.col("_scale") == 0))
-    thin = thin.select(site, F.floor(F.col("row") / F.col("_scale")).cast("int").alias("row"), F.floor(F.col("col") / F.col("_scale")).cast("int").alias("col")).distinct()
+    thin = thin.select(site, F.floor(F.col("row") / F.col("_scale")).cast("int").alias("row"), F.floor(F.col("col") / F.col("_scale")).cast("int").alias("col"))
     line = W.partitionBy(site, "row").orderBy("col")
-    runs = thin.withColumn("run", F.col("col") - F.row_number().over(line)).groupBy(site, "row", "run").agg(F.min("col").alias("col0"), F.max("col").alias("col1")).drop("run")
+    runs = thin.withColumn("run", F.col("col") - F.dense_rank().over(line)).groupBy(site, "row", "run").agg(F.min("col").alias("col0"), F.max("col").alias("col1")).drop("run")
     return sized, runs
 
 

@@ -39,6 +39,15 @@ def read(spark: SparkSession, sf: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{table}.parquet")
 
 
+def dealt(rows: DataFrame, per_task: int, *by: str) -> DataFrame:
+    """``rows`` dealt out by key in parts of about ``per_task`` rows, at least one a core.
+
+    For rows of which much is made: a small table is one split, and Spark brings small shuffles together by their bytes.
+    """
+    parts = max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // per_task))
+    return rows.repartition(parts, *by)
+
+
 def r6(c: Column) -> Column:
     return F.round(c, 6)
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tessera.functions import geo
 from tessera.operators import embedding, maintenance, polygons, runs, spatial, stats
 from tessera.plans import audit, site, statistics
-from tessera.plans.queries import _BOXES, boxes, query, r6, read
+from tessera.plans.queries import _BOXES, boxes, dealt, query, r6, read
 from tessera.plans.site_queries import _CELLS, _NEAR, PATCH, rasters
 from tessera.session import work_path
 from tessera.sources import store
@@ -116,6 +116,7 @@ def footprint_regions(spark: SparkSession, sf: str) -> DataFrame:
     """Rasters with a block of data for each part, apart from each other: small ones are speckle, the others polygons."""
     k, size = F.col("p_partkey"), F.col("p_size")
     b = read(spark, sf, "part").select(F.col("p_brand").alias("site_id"), (k % 97 * 20).alias("c0"), (F.floor(k / 97) * 20).alias("r0"), (size % 16 + 1).alias("w"), (5 + size % 9).alias("h"))
+    b = dealt(b, 50_000, "site_id", "r0")
     span = lambda at, n: F.explode(F.sequence(F.col(at).cast("int"), (F.col(at) + F.col(n) - 1).cast("int")))
     pixels = b.select("site_id", "r0", "h", span("c0", "w").alias("col")).select("site_id", span("r0", "h").alias("row"), "col", F.lit(1).alias("r"), F.lit(0).alias("g"), F.lit(0).alias("b"))
     found = polygons.footprint_polygons(pixels, rasters(spark, sf).withColumn("height", F.lit(1 << 20)), max_side=1 << 20)
