@@ -108,13 +108,18 @@ def padded_size(height: Column, width: Column, multiple: int, square: bool = Fal
 
 
 def pad_by_edge(pixels: DataFrame, sizes: DataFrame, key: str) -> DataFrame:
-    """Pixels (key, row, col, value...) over the larger canvas of ``sizes`` (key, h, w, new_h, new_w), the edge repeated."""
-    grid = sizes.select("*", F.explode(F.sequence(F.lit(0), F.col("new_h") - 1)).alias("row"))
-    grid = grid.select("*", F.explode(F.sequence(F.lit(0), F.col("new_w") - 1)).alias("col"))
-    g = grid.select(key, "row", "col", F.least("row", F.col("h") - 1).alias("_r"), F.least("col", F.col("w") - 1).alias("_c")).alias("g")
-    p = pixels.alias("p")
-    same = (F.col(f"g.{key}") == F.col(f"p.{key}")) & (F.col("g._r") == F.col("p.row")) & (F.col("g._c") == F.col("p.col"))
-    return g.join(p, same).select(f"g.{key}", "g.row", "g.col", *[f"p.{c}" for c in pixels.columns if c not in (key, "row", "col")])
+    """Pixels (key, row, col, value...) over the larger canvas of ``sizes`` (key, h, w, new_h, new_w), the edge repeated.
+
+    Each pixel is joined with its canvas and spread over the places that it fills.  Pixels are never sent to all tasks: Spark
+    takes what explodes make for as small as the rows they are made from.
+    """
+    names = {"h": "_h", "w": "_w", "new_h": "_new_h", "new_w": "_new_w"}
+    each = pixels.join(sizes.select(key, *[F.col(c).alias(n) for c, n in names.items()]).hint("shuffle_hash"), key)
+    each = each.where("row between 0 and least(_h, _new_h) - 1 and col between 0 and least(_w, _new_w) - 1")
+    fills = lambda at, n: F.sequence(F.col(at).cast("int"), F.when(F.col(at) == F.col(f"_{n}") - 1, F.col(f"_new_{n}") - 1).otherwise(F.col(at)).cast("int"))
+    other = [c for c in pixels.columns if c not in (key, "row", "col")]
+    rows = each.select(key, F.explode(fills("row", "h")).alias("row"), fills("col", "w").alias("_cols"), *other)
+    return rows.select(key, "row", F.explode("_cols").alias("col"), *other)
 
 
 def canvas(tiles: DataFrame, key: str) -> DataFrame:
