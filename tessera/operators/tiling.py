@@ -96,8 +96,9 @@ def stitched(values: DataFrame, windows: DataFrame, overlap: int, key: str, plac
     row, col = place
     cut = trimmed(windows, overlap).select(key, "row_px", "col_px", "r0", "c0", "r1", "c1")
     inside = (F.col(row) >= F.col("r0")) & (F.col(row) < F.col("r1")) & (F.col(col) >= F.col("c0")) & (F.col(col) < F.col("c1"))
-    kept = values.join(cut, [key, "row_px", "col_px"]).where(inside).select(key, row, col, "row_px", "col_px", "value")
-    return first_writer(kept, [key, row, col], ["row_px", "col_px"]).select(key, row, col, "value")
+    kept = values.join(cut.hint("shuffle_hash"), [key, "row_px", "col_px"]).where(inside)  # windows are too many to send to all tasks
+    order = F.col("row_px").cast("long") * (1 << 32) + F.col("col_px")  # one number, which groups are hashed with; a struct is sorted by
+    return kept.groupBy(key, row, col).agg(F.min_by("value", order).alias("value"))
 
 
 def padded_size(height: Column, width: Column, multiple: int, square: bool = False) -> tuple[Column, Column]:
