@@ -28,6 +28,12 @@ def target(original: Column) -> Column:
     return out
 
 
+def known_bit(original: Column) -> Column:
+    """A whole number with one bit set, its own for each id of the map and of no data; null for others."""
+    ids = dict.fromkeys([*ORIGINALS, *NO_DATA])  # 53 of the 63 that fit
+    return F.element_at(F.create_map(*[F.lit(x) for i, o in enumerate(ids) for x in (o, 1 << i)]).cast("map<int, bigint>"), original.cast("int"))
+
+
 def is_no_data(original: Column) -> Column:
     return original.isin(*NO_DATA)
 

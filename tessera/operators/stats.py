@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tessera.functions.classes import NO_DATA, TARGETS, is_no_data, target
+from tessera.functions.classes import NO_DATA, TARGETS, is_no_data, known_bit, target
 from tessera.operators.percentiles import exact_percentiles
 
 
@@ -29,7 +29,8 @@ def invalid_classes(histogram: DataFrame, tile: list[str]) -> DataFrame:
 def class_rollup(histogram: DataFrame, tile: list[str]) -> DataFrame:
     """One wide row a tile, without the tiles that have an invalid id.
 
-    One aggregate of conditional sums: no pivot pass and no join with the map.
+    One aggregate of conditional sums: no pivot pass and no join with the map.  A tile that stays has ids of the map and of no
+    data only, so its different ids are the bits that are set of a number.
     """
     t, n = F.col("target"), F.col("pixel_count")
     part = lambda when: F.coalesce(F.sum(F.when(when, n)), F.lit(0)).cast("bigint")
@@ -37,7 +38,7 @@ def class_rollup(histogram: DataFrame, tile: list[str]) -> DataFrame:
         F.sum(n).cast("bigint").alias("total_pixels"),
         part(t == 0).alias("pixels_no_data"),
         *[part(t == k).alias(f"pixels_class_{k}") for k in TARGETS],
-        F.countDistinct("original_class_id").cast("smallint").alias("n_unique_orig_classes"),
+        F.bit_count(F.bit_or(known_bit(F.col("original_class_id")))).cast("smallint").alias("n_unique_orig_classes"),
         F.count_if(t.isNull()).alias("bad"),
     )
     known = sum((F.col(f"pixels_class_{k}") for k in TARGETS), F.col("pixels_no_data"))

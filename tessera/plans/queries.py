@@ -68,7 +68,7 @@ def original(good: bool = False) -> Column:
 
 def histogram(spark: SparkSession, sf: str) -> DataFrame:
     rows = read(spark, sf, "lineitem").select(F.col("l_orderkey").alias("tile"), original().alias("original_class_id"), F.col("l_quantity").cast("bigint").alias("n"))
-    return stats.class_histogram(rows, ["tile"], count="n")
+    return stats.class_histogram(dealt(rows, 500_000, "tile"), ["tile"], count="n")
 
 
 _HISTOGRAM = f"""SELECT l_orderkey AS tile, CAST(c AS INTEGER) AS original_class_id, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS pixel_count
