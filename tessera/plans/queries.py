@@ -471,7 +471,7 @@ def overlap_windows(spark: SparkSession, sf: str) -> DataFrame:
  LATERAL (SELECT unnest(range(col_px // 64, (col_px + w_px - 1) // 64 + 1)) AS bc) GROUP BY 1, 2, 3"""
 )
 def overlap_coverage(spark: SparkSession, sf: str) -> DataFrame:
-    return tiling.overlap_coverage(tiling.overlap_windows(blobs(spark, sf), 512, 128), 64)
+    return tiling.overlap_coverage(tiling.overlap_windows(dealt(blobs(spark, sf), 10_000, "uuid"), 512, 128), 64)
 
 
 @query('SELECT CAST(l_partkey % 40 AS BIGINT) AS "row", CAST(l_suppkey % 30 AS BIGINT) AS col, round(avg(l_extendedprice), 2) AS value, count(*) AS n FROM lineitem GROUP BY 1, 2')
