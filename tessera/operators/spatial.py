@@ -45,7 +45,8 @@ def box_semi_join(left: DataFrame, right: DataFrame, size: Size, on: list[str] |
     same = (F.col("a.bx") == F.col("b.bx")) & (F.col("a.by") == F.col("b.by"))
     for c in on:
         same &= F.col(f"a.{c}") == F.col(f"b.{c}")
-    found = a.join(b, same & intersects("a", "b"), "left_semi").drop("bx", "by")
+    # sorted and merged, as Spark takes buckets' rows for as small as the boxes they are made from, and would send them to all tasks
+    found = a.join(b.hint("merge"), same & intersects("a", "b"), "left_semi").drop("bx", "by")
     return found.dropDuplicates(key) if key else found.distinct()
 
 
