@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401  (pa.compute)
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -84,19 +85,57 @@ def mask_summary(mask: np.ndarray) -> dict:
     return {"class_ids": ids.astype(np.int32).tolist(), "class_counts": counts.tolist(), **dict(zip(("row0", "row1", "col0", "col1"), box, strict=True)), "annotated": int(seen.sum())}
 
 
+LOT = 1 << 20  # pixels that are summarised at once, or one larger mask
+
+
+def mask_summaries(pixels: np.ndarray, sizes: np.ndarray, widths: np.ndarray) -> tuple[np.ndarray, ...]:
+    """:func:`mask_summary` of many masks at once, their pixels one after the other: the number of different ids of each, all
+    ids and their counts, (row0, row1, col0, col1) and the number of annotated pixels."""
+    n = len(sizes)
+    starts = np.cumsum(sizes) - sizes
+    owner = np.repeat(np.arange(n), sizes)
+    order = np.lexsort((pixels, owner))
+    told = pixels[order]
+    first = np.flatnonzero(np.r_[True, (np.diff(told) != 0) | (np.diff(owner) != 0)]) if len(told) else np.zeros(0, np.int64)
+    counts = np.diff(np.r_[first, len(told)])
+    seen = np.flatnonzero(~np.isin(pixels, NO_DATA))
+    mine = owner[seen]
+    row, col = np.divmod(seen - starts[mine], widths[mine])
+    annotated = np.bincount(mine, minlength=n)
+    box = np.zeros((4, n), np.int64)
+    some = np.flatnonzero(annotated)
+    at = np.searchsorted(mine, some)
+    if len(some):
+        box[:, some] = [f.reduceat(x, at) for x in (row, col) for f in (np.minimum, np.maximum)]
+    return np.bincount(owner[first], minlength=n), told[first], counts, box, annotated
+
+
 def summarised(masks: DataFrame) -> DataFrame:
     """``masks`` with :func:`mask_summary` of their ``classify`` in its place: a narrow row a mask, not a row a pixel."""
     keep = [f for f in masks.schema.fields if f.name not in ("classify", "problem")]
+    names = [f.name for f in keep]
     schema = StructType([*keep, *StructType.fromDDL(SUMMARY).fields])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [mask_summary(np.asarray(m, np.int64).reshape(-1, w) if w else np.zeros((0, 0), np.int64)) for m, w in zip(b["classify"], b["width"], strict=True)]
-            told = pd.DataFrame(found, columns=[f.name for f in schema.fields[len(keep) :]])
-            whole = {c: told[c].astype("Int32") for c in ("row0", "row1", "col0", "col1")}
-            yield pd.concat([b[[f.name for f in keep]].reset_index(drop=True), told.assign(**whole)], axis=1)
-
-    return masks.where(F.col("classify").isNotNull()).select(*[f.name for f in keep], "classify").mapInPandas(run, schema)
+            at, sizes = 0, np.asarray(pa.compute.list_value_length(b["classify"])).astype(np.int64)
+            total = np.cumsum(sizes)
+            while at < len(sizes):
+                last = max(at + 1, int(np.searchsorted(total, total[at] - sizes[at] + LOT, "right")))
+                part = b.slice(at, last - at)
+                yield pa.RecordBatch.from_arrays([*[part[c] for c in names], *columns(part["classify"], sizes[at:last], part["width"])], schema.names)
+                at = last
+
+    def columns(masks: pa.Array, sizes: np.ndarray, widths: pa.Array) -> list[pa.Array]:
+        width = np.asarray(pa.compute.fill_null(widths, 0)).astype(np.int64)
+        sizes_seen = np.where(width > 0, sizes, 0)  # a mask without a width has no pixels
+        pixels = np.asarray(masks.flatten()).astype(np.int64)[np.repeat(width > 0, sizes)]
+        n, ids, counts, box, annotated = mask_summaries(pixels, sizes_seen, np.maximum(width, 1))
+        begin = pa.array(np.r_[0, np.cumsum(n)].astype(np.int32))
+        lists = [pa.ListArray.from_arrays(begin, pa.array(x)) for x in (ids.astype(np.int32), counts.astype(np.int64))]
+        return [*lists, *[pa.array(x.astype(np.int32), mask=annotated == 0) for x in box], pa.array(annotated.astype(np.int64))]
+
+    return masks.where(F.col("classify").isNotNull()).select(*names, "classify").mapInArrow(run, schema)
 
 
 def tile_rows(masks: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -137,7 +137,8 @@ def mask_counts(spark: SparkSession, sf: str) -> DataFrame:
     """Masks of one row of pixels, an order each: their ids and the box around what is annotated."""
     k = F.col("l_partkey")
     pixel = F.struct("l_linenumber", "l_partkey", "l_suppkey", F.when(k % 3 == 0, 0).otherwise(k % 5 + 2).cast("int").alias("c"))
-    masks = read(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.transform(F.sort_array(F.collect_list(pixel)), lambda p: p["c"]).alias("classify")).withColumn("width", F.size("classify"))
+    rows = dealt(read(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"), 500_000, "l_orderkey")
+    masks = rows.groupBy("l_orderkey").agg(F.transform(F.sort_array(F.collect_list(pixel)), lambda p: p["c"]).alias("classify")).withColumn("width", F.size("classify"))
     ids = F.concat(F.lit("["), F.array_join(F.col("class_ids").cast("array<string>"), ", "), F.lit("]"))
     return stats.summarised(masks).select("l_orderkey", ids.alias("ids"), "annotated", *[F.coalesce(c, F.lit(-1)).alias(c) for c in ("col0", "col1")])
 
